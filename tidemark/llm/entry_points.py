@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, packing, quality_rules, token_store
+from tidemark.llm import decontamination, near_dedup, packing, quality_rules, substring_dedup, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": substring_dedup.query,
+        "op2_near_dedup": near_dedup.query,
         "op4_token_store": token_store.query,
         "op6_decontamination": decontamination.query,
         "op7_quality_rules": quality_rules.query,
