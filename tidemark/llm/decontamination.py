@@ -60,7 +60,7 @@ class Sieve:
 
 def _digests(words: kernels.Words, sizes: list[int]) -> dict:
     """Prefix sums of two independent word digests."""
-    return {s: kernels.prefix(words.digests(s, fold_case=True), s + 1) for s in sizes}
+    return {s: kernels.prefix(words.digests(s, fold_case=True)) for s in sizes}
 
 
 class Windows:
@@ -76,7 +76,7 @@ class Windows:
         item = np.repeat(np.arange(len(items)), per)
         start = np.arange(len(item)) - np.repeat(np.cumsum(per) - per, per) + words.first[:-1][item]
         length = length[item]
-        a, c = (kernels.spans(self.pre[s], start, start + length, s + 1) for s in (31, 33))
+        a, c = (kernels.spans(self.pre[s], start, start + length) for s in (31, 33))
         _, first, group = np.unique(a ^ kernels.mix(c), return_index=True, return_inverse=True)
         self.start, self.length, self.a, self.c = start[first], length[first], a[first], c[first]
         names: list[set] = [set() for _ in first]
@@ -94,7 +94,7 @@ class Windows:
             win = np.repeat(own, per)
             place = np.arange(len(win)) - np.repeat(np.cumsum(per) - per, per)
             at = self.start[win] + place
-            out[int(k)] = kernels.spans(self.pre[31], at, at + k, 32), win, place
+            out[int(k)] = kernels.spans(self.pre[31], at, at + k), win, place
         return out
 
 
@@ -109,10 +109,10 @@ def shingle_counts(docs: DataFrame, shingles: dict) -> dict[int, dict[int, int]]
         for rb in batches:
             for _, b in kernels.chunks(rb, "text"):
                 words = kernels.Words(b, "alnum")
-                pre = kernels.prefix(words.digests(31, fold_case=True), 32)
+                pre = kernels.prefix(words.digests(31, fold_case=True))
                 for k, s in sieves.items():
                     at = kernels.windows(words, k)
-                    _, pos = s.find(kernels.spans(pre, at, at + k, 32))
+                    _, pos = s.find(kernels.spans(pre, at, at + k))
                     acc[k] += np.bincount(pos, minlength=len(acc[k]))
         for k, n in acc.items():
             at = np.flatnonzero(n)
@@ -148,7 +148,7 @@ class Index:
         found_at, found = [], []
         for k, (sieve, begin, end, win, place) in self.by_size.items():
             at = kernels.windows(words, k)
-            hit, pos = sieve.find(kernels.spans(pre[31], at, at + k, 32))
+            hit, pos = sieve.find(kernels.spans(pre[31], at, at + k))
             per = end[pos] - begin[pos]
             entry = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(begin[pos], per)
             seen = np.repeat(at[hit], per)
@@ -157,7 +157,7 @@ class Index:
             start, w = start[inside], w[inside]
             same = np.ones(len(start), dtype=bool)
             for s, want in ((31, self.a), (33, self.c)):
-                same &= kernels.spans(pre[s], start, start + self.length[w], s + 1) == want[w]
+                same &= kernels.spans(pre[s], start, start + self.length[w]) == want[w]
             found_at.append(start[same])
             found.append(w[same])
         none = np.zeros(0, dtype=np.int64)

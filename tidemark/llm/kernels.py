@@ -2,8 +2,8 @@
 
 A batch of texts is one UTF-8 byte buffer and an array of document offsets, so a kernel runs
 over all documents of a batch at once. Digests of a span are differences of prefix sums of a
-polynomial modulo 2**64, divided by the power at the span's start; two independent
-polynomials give 128 bits.
+polynomial modulo 2**64, divided by the power at the span's start; two of them with independent
+coefficients give 128 bits.
 """
 
 from __future__ import annotations
@@ -29,23 +29,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def _base(seed: int) -> int:
-    return int(np.random.default_rng(seed).integers(1 << 40, 1 << 62)) * 8 + 5
+#: Any odd number does: its powers modulo 2**64 can be undone.
+_BASE = 0x2545F4914F6CDD1D
 
 
-def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the seed's base, and of its inverse modulo 2**64."""
-    c, key = cache(), ("powers", seed)
-    if key not in c or len(c[key][0]) < n:
-        m = max(n, CHUNK_BYTES + 1024)
-        base = _base(seed) & (2**64 - 1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, and of its inverse modulo 2**64."""
+    c = cache()
+    if len(c.get("powers", ((),))[0]) < n:
+        m = 1 << max(10, (n - 1).bit_length())
         out = []
-        for b in (base, pow(base, -1, 2**64)):
+        for b in (_BASE, pow(_BASE, -1, 2**64)):
             p = np.full(m, b, dtype=_U)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        c[key] = tuple(out)
-    return c[key][0][:n], c[key][1][:n]
+        c["powers"] = tuple(out)
+    return c["powers"][0][:n], c["powers"][1][:n]
 
 
 def byte_table(seed: int, fold_case: bool = False) -> np.ndarray:
@@ -144,21 +143,21 @@ class Words:
         return span_digests(self.batch.buf, self.start, self.end, seed, fold_case)
 
 
-def prefix(values: np.ndarray, seed: int) -> np.ndarray:
-    p, _ = powers(seed, len(values))
+def prefix(values: np.ndarray) -> np.ndarray:
+    p, _ = powers(len(values))
     out = np.zeros(len(values) + 1, dtype=_U)
     np.cumsum(values * p, out=out[1:])
     return out
 
 
-def spans(pre: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+def spans(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Digests of [start, end) from the prefix sums; the length is part of the digest."""
-    _, inv = powers(seed, len(pre))
+    _, inv = powers(len(pre))
     return mix((pre[end] - pre[start]) * inv[start] + (end - start).astype(_U) * _U(0xA24BAED4963EE407))
 
 
 def span_digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int, fold_case: bool = False) -> np.ndarray:
-    return spans(prefix(byte_table(seed, fold_case)[buf], seed), start, end, seed)
+    return spans(prefix(byte_table(seed, fold_case)[buf]), start, end)
 
 
 def windows(words: Words, size: int) -> np.ndarray:

@@ -49,14 +49,14 @@ def distinct_shingles(b: kernels.Batch, size: int) -> tuple[np.ndarray, np.ndarr
     Words are lower-cased in A-Z; a document of fewer words than `size`, but not none, is one shingle.
     """
     words = kernels.Words(b)
-    pre = kernels.prefix(words.digests(51, fold_case=True), 52)
+    pre = kernels.prefix(words.digests(51, fold_case=True))
     n = np.diff(words.first)
     length = np.minimum(n, size)
     per = np.where(n > 0, n - length + 1, 0)
     doc = np.repeat(np.arange(b.n), per)
     first = np.cumsum(per) - per
     start = np.arange(len(doc)) - first[doc] + words.first[:-1][doc]
-    d = kernels.spans(pre, start, start + length[doc], 52)
+    d = kernels.spans(pre, start, start + length[doc])
     sets = [np.unique(d[i : i + k]) for i, k in zip(first.tolist(), per.tolist(), strict=True)]
     return (np.concatenate(sets) if sets else d), np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64)))
 

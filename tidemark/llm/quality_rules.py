@@ -98,7 +98,7 @@ def measure(b: kernels.Batch, min_words: int, max_repeat_percent: int) -> dict[s
     at = kernels.windows(words, 3)
     repeat = np.zeros(n, dtype=np.int64)
     if len(at):
-        keys = kernels.spans(kernels.prefix(digests, 13), at, at + 3, 13) ^ salt[word_doc[at]]
+        keys = kernels.spans(kernels.prefix(digests), at, at + 3) ^ salt[word_doc[at]]
         order = np.sort(keys)
         twice = np.unique(order[1:][order[1:] == order[:-1]])
         hit = at[np.isin(keys, twice)] if len(twice) else at[:0]
