@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, near_dedup, packing, quality_rules, substring_dedup, token_store
+from tidemark.llm import decontamination, line_crf, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": substring_dedup.query,
         "op2_near_dedup": near_dedup.query,
         "op4_token_store": token_store.query,
+        "op5_line_crf": line_crf.query,
         "op6_decontamination": decontamination.query,
         "op7_quality_rules": quality_rules.query,
         "op8_packing": packing.query,
+        "op10_suffix_dedup": suffix_dedup.query,
     }
 
 
