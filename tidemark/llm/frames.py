@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,9 @@ class Saved:
         self.path = f"{shared_dir(self.spark)}/tidemark-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
         self.schema = df.schema
+        # nothing refers to the shuffles that fed this table any more: let Spark's cleaner remove their files
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         atexit.register(_delete, self.spark, self.path)
 
     @property
@@ -56,6 +60,11 @@ class Saved:
         _delete(self.spark, self.path)
 
 
+def join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join whatever the sizes: no side has a proven bound, and adaptive execution splits its hot keys."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def text_key(text: str = "text") -> Column:
     """With doc_id, the key that joins results back to rows; rows alike in both share their results."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

@@ -76,7 +76,7 @@ def _send_anchors(opt: Options, n_buckets: int):
                 at = kernels.windows(words, size)
                 if not len(at):
                     continue
-                d = kernels.spans(kernels.prefix(words.digests(41), 42), at, at + size, 42)
+                d = kernels.spans(kernels.prefix(words.digests(41)), at, at + size)
                 doc = words.doc[at]
                 block = (at - words.first[doc]) % size == 0
                 # digests that several documents of this batch hold are hits at once, and are sent once
@@ -194,7 +194,7 @@ def _send_windows(opt: Options, n_buckets: int):
                 at = at[_marked(words, part, "starts", "ends")[at]]
                 if not len(at):
                     continue
-                x, y = (kernels.spans(kernels.prefix(words.digests(s), s + 1), at, at + size, s + 1) for s in (43, 45))
+                x, y = (kernels.spans(kernels.prefix(words.digests(s)), at, at + size) for s in (43, 45))
                 ids = _ids(part.column(0))
                 rank = np.where(ids == NO_ID, 2**63 - 1, ids)[words.doc[at]]
                 # of a digest in several of this batch's documents, only the smallest document's is sent
@@ -253,7 +253,7 @@ def repeats(docs: DataFrame, opt: Options = Options()) -> frames.Saved:
     docs = docs.select(frames.null_first_id("doc_id").alias("id"), frames.text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     anchors = _round(docs, _send_anchors(opt, routing.buckets_for(size)), _meet_anchors, opt.window - opt.block)
-    near = docs.join(anchors.df, ["id", "text_key"])
+    near = docs.join(anchors.df.hint("merge"), ["id", "text_key"])
     marked = anchors.df.agg(F.sum(F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first()["n"] or 0
     out = _round(near, _send_windows(opt, routing.buckets_for(8 * marked)), _meet_windows, 0)
     anchors.drop()
@@ -267,7 +267,7 @@ def strip(docs: DataFrame, opt: Options = Options(), columns: tuple[str, ...] =
     """
     found = repeats(docs, opt).df.withColumnsRenamed({"id": "_id", "text_key": "_key"})
     left = docs.select(*columns, frames.null_first_id("doc_id").alias("_id"), frames.text_key().alias("_key"))
-    joined = left.join(found, ["_id", "_key"], "left").select(*columns, "starts", "ends")
+    joined = left.join(found.hint("merge"), ["_id", "_key"], "left").select(*columns, "starts", "ends")
     schema = ", ".join(f"{c} {t}" for c, t in joined.select(*columns).dtypes) + ", n_words long, removed_starts array<int>, removed_ends array<int>"
     at_text, window = columns.index("text"), opt.window
 
