@@ -1,4 +1,4 @@
-"""Names of the engine's queries, their plans and their SQL counterparts."""
+"""The engine's queries over the driver's tables, each with its SQL counterpart."""
 
 from __future__ import annotations
 
@@ -7,14 +7,341 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import model
+from tidemark.functions import ip, text
+from tidemark.operators import reactions, state
+from tidemark.operators.filters import DetailFilter, EventFilter, condition, has_tags, numeric_detail
+from tidemark.plans.query import EventQuery, Sort, page, total
+from tidemark.sources import tables
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
+NOW = 1706659200000  # a fixed clock keeps results the same
+DAY = 86_400_000
+
+E_SQL = """e AS (
+  SELECT event_id, sha1('e|' || event_id) AS uuid, epoch_us(ts) // 1000 AS created, '/App/' || event_type AS event_class,
+    CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS severity,
+    CASE event_id % 10 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS status, 'user-' || user_id AS element_identifier, sha1('u|' || user_id) AS element_uuid,
+    'user-' || user_id || '|' || event_type AS fingerprint, CAST(nullif(regexp_extract(props, '"k": *(-?[0-9]+)', 1), '') AS INTEGER) AS k, user_id, event_type, value,
+    '10.' || (user_id // 65536) || '.' || ((user_id // 256) % 256) || '.' || (user_id % 256) AS ip
+  FROM events)"""
+S_SQL = (
+    E_SQL
+    + """, m AS (SELECT *, coalesce(created < max(created) OVER (PARTITION BY fingerprint ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM e),
+ g AS (SELECT fingerprint, arg_min(uuid, event_id) AS uuid, count(*) AS event_count, min(created) AS first_seen, max(created) AS last_seen, any_value(event_class) AS event_class,
+    any_value(severity) AS severity, any_value(element_identifier) AS element_identifier, any_value(element_uuid) AS element_uuid,
+    arg_max(status, CASE WHEN late THEN -1 ELSE event_id END) AS ls, bool_or(status = 1 AND NOT late) AS acked FROM m GROUP BY fingerprint),
+ s AS (SELECT *, sha1(fingerprint) AS fingerprint_hash, CASE WHEN acked AND ls IN (0, 2) THEN 1 ELSE ls END AS status FROM g)"""
+)
+
+
+def _s(spark: SparkSession, d: str) -> DataFrame:
+    return state.dedup(tables.occurrences(spark, d))
+
+
+Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(name: str, sql: str | None):
+    def add(f):
+        Q[name] = (f, sql)
+        return f
+
+    return add
+
+
+def _filtered(name: str, flt: EventFilter, sql: str, exclusion: EventFilter | None = None) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = _s(spark, d).where(condition(flt))
+        df = df.where(~condition(exclusion)) if exclusion else df
+        return df.select("uuid", "severity", "status", "event_count", "last_seen")
+
+    query(name, f"WITH {S_SQL} SELECT uuid, severity, status, event_count, last_seen FROM s WHERE {sql}")(run)
+
+
+def _events(name: str, cond: Callable[[], object], sql: str) -> None:
+    query(name, f"WITH {E_SQL} SELECT uuid, created FROM e WHERE {sql}")(lambda spark, d: tables.occurrences(spark, d).where(cond()).select("uuid", "created"))
+
+
+@query("filter_status_severity_topk", f"WITH {S_SQL} SELECT uuid, severity, last_seen, event_count FROM s WHERE severity >= 3 AND status IN (0, 1, 2) ORDER BY severity DESC, last_seen DESC, uuid LIMIT 20")
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of open events of severity WARNING or more, most severe and latest first."""
+    q = EventQuery(EventFilter(severity=(3, 4, 5), status=model.OPEN_STATUSES), sort=(Sort("severity", True), Sort("last_seen", True)), limit=20)
+    return page(_s(spark, d), q).select("uuid", "severity", "last_seen", "event_count")
+
+
+_filtered("filter_time_range", EventFilter(last_seen=((1706400000000, 1706600000000),), first_seen=((None, 1704400000000),)), "last_seen BETWEEN 1706400000000 AND 1706600000000 AND first_seen <= 1704400000000")
+_filtered("filter_count_range", EventFilter(count=((5, 10), (8, 12), (40, None))), "event_count BETWEEN 5 AND 12 OR event_count >= 40")
+_filtered("filter_or_operator", EventFilter(severity=(4,), status=(2,), op="OR"), "severity = 4 OR status = 2")
+_filtered("filter_exclusion", EventFilter(severity=(3, 4)), "severity IN (3, 4) AND NOT (status = 1)", EventFilter(status=(1,)))
+_filtered("filter_exclusion_only", EventFilter(), "NOT (severity = 0)", EventFilter(severity=(0,)))
+_filtered("filter_subfilter_tree", EventFilter(subfilters=(EventFilter(severity=(4,), status=(1,)), EventFilter(severity=(0,), count=((12, None),))), op="OR"), "(severity = 4 AND status = 1) OR (severity = 0 AND event_count >= 12)")
+_filtered("wildcard_case_sensitive", EventFilter(wildcards=(("fingerprint", ("user-1?|err*", "USER*")),)), "regexp_full_match(fingerprint, 'user-1.\\|err.*')")
+_filtered("wildcard_prefix", EventFilter(wildcards=(("fingerprint", ("user-7*",)),)), "fingerprint LIKE 'user-7%'")
+_filtered("path_prefix", EventFilter(event_class=("/app/*",)), "lower(event_class) || '/' LIKE '/app/%'")
+_filtered("path_exact", EventFilter(event_class=("/APP/error",)), "lower(event_class) = '/app/error'")
+_filtered("path_phrase", EventFilter(event_class=("ap*/cli*", "purchase")), "regexp_full_match(lower(event_class), '/ap[^/]*/cli[^/]*') OR lower(event_class) LIKE '%/purchase'")
+
+
+@query("identifier_substring", "SELECT p_partkey FROM part WHERE p_name ILIKE '%idge%' OR lower(p_name) = 'red bolt'")
+def identifier_substring(spark, d):
+    p = tables.read(spark, d, "part")
+    return p.where(text.identifier(F.col("p_name"), "IDGE*") | text.identifier(F.col("p_name"), '"Red Bolt"')).select("p_partkey")
+
+
+@query("fulltext_terms", "SELECT doc_id FROM documents WHERE list_contains(string_split_regex(lower(text), '\\s+'), 'the') AND len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x LIKE 'rea%')) > 0")
+def fulltext_terms(spark, d):
+    return tables.read(spark, d, "documents").where(text.full_text(F.col("text"), "THE rea*")).select("doc_id")
+
+
+@query("fulltext_phrase", "SELECT doc_id FROM documents WHERE ' ' || regexp_replace(lower(text), '\\s+', ' ', 'g') || ' ' LIKE '% of the %'")
+def fulltext_phrase(spark, d):
+    return tables.read(spark, d, "documents").where(text.full_text(F.col("text"), '"of the"')).select("doc_id")
+
+
+_events("tag_any", lambda: has_tags(F.col("tags"), ("error", "g3"), "OR"), "event_type = 'error' OR user_id % 7 = 3")
+_events("tag_all", lambda: has_tags(F.col("tags"), ("error", "g3"), "AND"), "event_type = 'error' AND user_id % 7 = 3")
+_events("detail_numeric_range", lambda: condition(EventFilter(details=(DetailFilter("k", ("10:20", "15:30", "77")),)), {"k": "INTEGER"}), "k BETWEEN 10 AND 30 OR k = 77")
+_events("detail_missing_sentinel", lambda: numeric_detail(F.when(F.col("k") < 50, F.col("detail_k")), (":5",)), "k <= 5 OR k IS NULL OR k >= 50")
+_events("ip_exact", lambda: ip.exact(F.col("ip"), "10.0.0.17"), "ip = '10.0.0.17'")
+_events("ip_range", lambda: ip.in_range(F.col("ip"), "10.0.0.16/29") | ip.in_range(F.col("ip"), "10.0.0.90-95"), "user_id BETWEEN 16 AND 23 OR user_id BETWEEN 90 AND 95")
+_events("ip_substring", lambda: ip.substring(F.col("ip"), "0.1?"), "user_id BETWEEN 10 AND 19")
+
+
+@query("sort_multi_key", f"WITH {S_SQL} SELECT uuid, event_count, element_identifier FROM s ORDER BY event_count DESC, lower(element_identifier), uuid LIMIT 50")
+def sort_multi_key(spark, d):
+    q = EventQuery(sort=(Sort("event_count", True), Sort("element_identifier")), limit=50)
+    return page(_s(spark, d), q).select("uuid", "event_count", "element_identifier")
+
+
+@query("sort_ip_v4_before_v6", f"WITH {E_SQL} SELECT uuid FROM (SELECT uuid, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS v6, user_id FROM e ORDER BY v6, user_id, uuid LIMIT 100)")
+def sort_ip(spark, d):
+    e = tables.occurrences(spark, d)
+    addr = F.when(F.col("arrival_seq") % 2 == 0, F.concat(F.lit("fe80::"), F.lower(F.hex("user_id")))).otherwise(F.col("ip"))
+    return page(e.withColumn("addr", addr), EventQuery(sort=(Sort("addr", kind="ip"),), limit=100)).select("uuid")
+
+
+@query("page_offset_limit", f"WITH {S_SQL} SELECT uuid, last_seen FROM s ORDER BY last_seen DESC, uuid LIMIT 25 OFFSET 50")
+def page_offset_limit(spark, d):
+    return page(_s(spark, d), EventQuery(sort=(Sort("last_seen", True),), offset=50, limit=25)).select("uuid", "last_seen")
+
+
+@query("total_hits", f"WITH {S_SQL} SELECT count(*) AS total, CASE WHEN count(*) > 75 THEN 75 END AS next_offset FROM s WHERE severity >= 2")
+def total_hits(spark, d):
+    return total(_s(spark, d), EventQuery(EventFilter(severity=(2, 3, 4, 5)), offset=50, limit=25))
+
+
+@query("keyset_page", f"WITH {S_SQL} SELECT uuid FROM s WHERE uuid > '8' AND last_seen <= 1706600000000 ORDER BY uuid LIMIT 40")
+def keyset_page(spark, d):
+    return state.keyset_page(_s(spark, d).withColumn("update_time", F.col("last_seen")), "8", 1706600000000, 40).select("uuid")
+
+
+@query("dedup_summary", f"WITH {S_SQL} SELECT uuid, fingerprint_hash, event_class, severity, status, event_count, first_seen, last_seen FROM s")
+def dedup_summary(spark, d):
+    return _s(spark, d).select("uuid", "fingerprint_hash", "event_class", "severity", "status", "event_count", "first_seen", "last_seen")
+
+
+@query("snapshot_merge", f"WITH {S_SQL} SELECT fingerprint_hash, uuid, event_count, first_seen, last_seen FROM s")
+def snapshot_merge(spark, d):
+    """Two batches folded one after the other are the same as one."""
+    e = tables.occurrences(spark, d)
+    return state.merge_snapshots(state.dedup(e.where("arrival_seq % 2 = 0 and arrival_seq < 4000 or arrival_seq < 3000")), state.dedup(e.where("not (arrival_seq % 2 = 0 and arrival_seq < 4000 or arrival_seq < 3000)"))).select(
+        "fingerprint_hash", F.lit(None).cast("string").alias("u"), "event_count", "first_seen", "last_seen", "fingerprint"
+    ).join(e.groupBy("fingerprint").agg(F.min_by("uuid", "arrival_seq").alias("uuid")), "fingerprint").select("fingerprint_hash", "uuid", "event_count", "first_seen", "last_seen")
+
+
+@query("tag_severity_rollup", f"""WITH {S_SQL}, t AS (SELECT unnest([event_class, element_identifier]) AS tag, severity, status, event_count FROM s WHERE status IN (0, 1))
+ SELECT tag, severity, count(*) AS events, count(*) FILTER (status = 1) AS acknowledged, CAST(any_value(total) AS BIGINT) AS total FROM t JOIN (SELECT tag, sum(event_count) AS total FROM t GROUP BY tag) USING (tag) GROUP BY tag, severity""")
+def tag_severity_rollup(spark, d):
+    return reactions.tag_severities(_s(spark, d).withColumn("tags", F.array("event_class", "element_identifier")))
+
+
+AGE_SQL = f"status IN (0, 1, 2) AND severity < 4 AND last_seen < {NOW - 5 * DAY}"
+
+
+@query("age_eligible_count", f"WITH {S_SQL} SELECT count(*) AS n FROM s WHERE {AGE_SQL}")
+def age_eligible_count(spark, d):
+    return _s(spark, d).where(state.age_condition(NOW, 5 * DAY, model.ERROR)).agg(F.count("*").alias("n"))
+
+
+@query("age_events", f"WITH {S_SQL} SELECT uuid, CASE WHEN {AGE_SQL} THEN 6 ELSE status END AS status FROM s")
+def age_events(spark, d):
+    return state.age(_s(spark, d), NOW, 5 * DAY, model.ERROR).select("uuid", "status")
+
+
+@query("archive_split", f"WITH {S_SQL} SELECT uuid, last_seen // {DAY} AS archive_day FROM s WHERE {AGE_SQL} AND last_seen < {NOW - 6 * DAY}")
+def archive_split(spark, d):
+    return state.archive_split(state.age(_s(spark, d), NOW, 5 * DAY, model.ERROR), NOW, 6 * DAY)[1].select("uuid", "archive_day")
+
+
+C_SQL = """, c AS (SELECT element_identifier, created, uuid AS clear_uuid FROM e WHERE severity = 0),
+ p AS (SELECT s.uuid, arg_min(clear_uuid, (c.created, clear_uuid)) AS cleared_by FROM s JOIN c USING (element_identifier) WHERE s.severity > 0 AND s.last_seen <= c.created GROUP BY s.uuid)"""
+
+
+def _clears(spark, d):
+    e = tables.occurrences(spark, d)
+    key = text.clear_fingerprint(F.col("element_identifier"), F.lit(""), F.lit("/App"), F.lit(""))
+    open_ = state.dedup(e).where("severity > 0").withColumn("clear_hash", key)
+    return open_, e.where("severity = 0").select(key.alias("clear_hash"), F.col("uuid").alias("clear_uuid"), "created")
+
+
+@query("clear_events", f"WITH {S_SQL}{C_SQL} SELECT uuid, cleared_by FROM p")
+def clear_events(spark, d):
+    return state.clears(*_clears(spark, d))
+
+
+@query("clear_drop_unmatched", f"WITH {S_SQL}{C_SQL} SELECT clear_uuid FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.severity > 0 AND s.element_identifier = c.element_identifier AND s.last_seen <= c.created)")
+def clear_drop_unmatched(spark, d):
+    """Clears that clear nothing are dropped: the earliest open event of their hash decides."""
+    open_, clears = _clears(spark, d)
+    first = open_.groupBy("clear_hash").agg(F.min("last_seen").alias("first"))
+    return clears.join(first, "clear_hash", "left").where("first is null or first > created").select("clear_uuid")
+
+
+@query("reopen_transition", f"WITH {S_SQL} SELECT uuid, CASE WHEN severity = 1 THEN 0 ELSE CASE WHEN severity = 2 THEN 3 ELSE status END END AS status FROM s")
+def reopen_transition(spark, d):
+    s = _s(spark, d).withColumn("user_name", F.lit(None).cast("string")).withColumn("status_change", F.col("last_seen"))
+    closed = state.transition(s, s.where("severity in (1, 2)"), model.CLOSED, NOW, "op")
+    return state.transition(closed, closed.where("severity = 1"), model.NEW, NOW + 1).select("uuid", "status")
+
+
+@query("ack_idempotent", f"WITH {S_SQL} SELECT uuid, 1 AS status, {NOW} AS status_change FROM s WHERE severity = 4")
+def ack_idempotent(spark, d):
+    s = _s(spark, d).where("severity = 4").withColumn("user_name", F.lit(None).cast("string")).withColumn("status_change", F.col("last_seen"))
+    once = state.transition(s, s, model.ACKNOWLEDGED, NOW, "op")
+    return state.transition(once, once, model.ACKNOWLEDGED, NOW + 5, "op").select("uuid", "status", "status_change")
+
+
+@query("dimension_view_join", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def dimension_view_join(spark, d):
+    c, n, r = (tables.read(spark, d, t) for t in ("customer", "nation", "region"))
+    return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey, "left").select("c_custkey", "n_name", "r_name")
+
+
+@query("left_join_missing", "SELECT c_custkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') o ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+def left_join_missing(spark, d):
+    c, o = tables.read(spark, d, "customer"), tables.read(spark, d, "orders").where("o_orderstatus = 'P'")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+
+
+@query("semi_join_in_subquery", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def semi_join(spark, d):
+    o, c = tables.read(spark, d, "orders"), tables.read(spark, d, "customer").where("c_acctbal < 0")
+    return o.join(c, o.o_custkey == c.c_custkey, "left_semi").select("o_orderkey")
+
+
+ETL_SQL = f"""WITH {S_SQL}, a AS (SELECT uuid, fingerprint, last_seen FROM s WHERE last_seen < {NOW - 2 * DAY}), n AS (SELECT uuid, fingerprint, last_seen FROM s WHERE last_seen >= {NOW - 4 * DAY})"""
+
+
+def _etl(spark, d):
+    s = _s(spark, d).select("uuid", "fingerprint", "last_seen")
+    return s.where(F.col("last_seen") >= NOW - 4 * DAY), s.where(F.col("last_seen") < NOW - 2 * DAY)
+
+
+@query("anti_join_etl", ETL_SQL + " SELECT uuid FROM a WHERE uuid NOT IN (SELECT uuid FROM n)")
+def anti_join_etl(spark, d):
+    new, old = _etl(spark, d)
+    return old.join(new, "uuid", "left_anti").select("uuid")
+
+
+@query("etl_union", ETL_SQL + " SELECT uuid, fingerprint, 'status' AS origin FROM n UNION ALL SELECT uuid, fingerprint, 'history' FROM a WHERE uuid NOT IN (SELECT uuid FROM n)")
+def etl_union(spark, d):
+    new, old = _etl(spark, d)
+    return new.select("uuid", "fingerprint", F.lit("status").alias("origin")).unionByName(old.join(new, "uuid", "left_anti").select("uuid", "fingerprint", F.lit("history").alias("origin")))
+
+
+@query("heartbeat_status", f"""WITH {E_SQL}, h AS (SELECT element_identifier AS monitor, event_type AS daemon, max(created) + 43200000 < {NOW} AS expired FROM e WHERE event_type <> 'signup' GROUP BY ALL),
+ o AS (SELECT DISTINCT element_identifier AS monitor, event_type AS daemon FROM e WHERE event_type IN ('error', 'signup'))
+ SELECT monitor, daemon, CASE WHEN expired THEN 'error' ELSE 'clear' END AS action FROM h FULL JOIN o USING (monitor, daemon) WHERE expired OR o.monitor IS NOT NULL""")
+def heartbeat_status(spark, d):
+    e = tables.occurrences(spark, d).select(F.col("element_identifier").alias("monitor"), F.col("event_type").alias("daemon"), F.col("created").alias("last_time"), F.lit(43200).alias("timeout_s"))
+    return reactions.heartbeats(e.where("daemon <> 'signup'"), e.where("daemon in ('error', 'signup')"), NOW)
+
+
+FLAP_SQL = f"""WITH {E_SQL}, f AS (SELECT *, coalesce(lag(severity) OVER w, 0) AS prev FROM e WINDOW w AS (PARTITION BY element_uuid ORDER BY created, event_id)),
+ k AS (SELECT *, CASE WHEN prev = severity THEN 0 ELSE count(*) FILTER (prev = 0 AND severity >= 3) OVER (PARTITION BY element_uuid ORDER BY created // 1000 RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) END AS n_flaps FROM f)"""
+
+
+def _flaps(spark, d):
+    return reactions.flaps(tables.occurrences(spark, d), "element_uuid", model.WARNING, 86400)
+
+
+@query("flap_count", FLAP_SQL + " SELECT uuid, n_flaps FROM k")
+def flap_count(spark, d):
+    return _flaps(spark, d).select("uuid", "n_flaps")
+
+
+@query("flap_emit", FLAP_SQL + " SELECT uuid FROM k WHERE n_flaps >= 2 AND n_flaps % 2 = 0")
+def flap_emit(spark, d):
+    return reactions.flap_alerts(_flaps(spark, d), 2).select("uuid")
+
+
+TRIGGERS = {"t1": "evt.severity >= 4 and dev.name.startswith('user-1')", "t2": "'error' in evt.event_class or evt.count > 30", "t3": "1 = 0", "t4": "evt.missing == 1", "t5": "not evt.severity > 0"}
+T_SQL = f"WITH {S_SQL}, t AS (SELECT uuid, 't1' AS trigger FROM s WHERE severity >= 4 AND element_identifier LIKE 'user-1%' UNION ALL SELECT uuid, 't2' FROM s WHERE event_class LIKE '%error%' OR event_count > 30 UNION ALL SELECT uuid, 't5' FROM s WHERE severity = 0)"
+
+
+def _matched(spark, d):
+    columns = {"evt.severity": F.col("severity"), "evt.event_class": F.col("event_class"), "evt.count": F.col("event_count"), "dev.name": F.col("element_identifier")}
+    return reactions.matched(_s(spark, d), TRIGGERS, columns)
+
+
+@query("trigger_rule_match", T_SQL + " SELECT uuid, trigger FROM t")
+def trigger_rule_match(spark, d):
+    return _matched(spark, d)
+
+
+def _subscriptions(spark):
+    return spark.createDataFrame([("s1", "t1", 0, 60), ("s2", "t1", 30, 0), ("s3", "t2", 10, 10)], "subscription string, trigger string, delay_seconds int, repeat_seconds int")
+
+
+SUB_SQL = T_SQL + f", b AS (SELECT * FROM (VALUES ('s1', 't1', 0, 60), ('s2', 't1', 30, 0), ('s3', 't2', 10, 10)) AS v(subscription, trigger, delay_seconds, repeat_seconds)), sp AS (SELECT uuid, subscription, CAST({NOW} + delay_seconds * 1000 AS BIGINT) AS flush_time, delay_seconds = 0 AS sent FROM t JOIN b USING (trigger))"
+
+
+@query("trigger_spool_schedule", SUB_SQL + " SELECT * FROM sp")
+def trigger_spool_schedule(spark, d):
+    return reactions.schedule(_matched(spark, d), _subscriptions(spark), NOW)
+
+
+@query("trigger_spool_flush", SUB_SQL + f" SELECT sp.uuid, subscription FROM sp JOIN s USING (uuid) WHERE flush_time <= {NOW + 15000} AND status IN (0, 1, 2)")
+def trigger_spool_flush(spark, d):
+    subs = _subscriptions(spark)
+    return reactions.flush(reactions.schedule(_matched(spark, d), subs, NOW), subs, _s(spark, d), NOW + 15000)[0]
+
+
+@query("min_flush_time", SUB_SQL + " SELECT min(flush_time) AS next_time FROM sp WHERE NOT sent")
+def min_flush_time(spark, d):
+    return reactions.schedule(_matched(spark, d), _subscriptions(spark), NOW).where("not sent").agg(F.min("flush_time").alias("next_time"))
+
+
+@query("organizer_ancestors", f"WITH {E_SQL} SELECT uuid, '/App,' || event_class AS organizers FROM e")
+def organizer_ancestors(spark, d):
+    return tables.occurrences(spark, d).select("uuid", F.array_join(text.organizer_ancestors(F.array("event_class")), ",").alias("organizers"))
+
+
+@query("clear_fingerprint_hash", f"WITH {E_SQL} SELECT uuid, sha1(element_identifier || '||' || event_class || '|') AS clear_hash FROM e")
+def clear_fingerprint_hash(spark, d):
+    return tables.occurrences(spark, d).select("uuid", text.clear_fingerprint(F.col("element_identifier"), F.lit(None).cast("string"), F.col("event_class"), F.lit("")).alias("clear_hash"))
+
+
+@query("event_time_since", f"WITH {E_SQL} SELECT uuid, created FROM e WHERE created >= 1706000000000 ORDER BY created, uuid LIMIT 100")
+def event_time_since(spark, d):
+    return tables.occurrences(spark, d).where(F.col("created") >= 1706000000000).orderBy("created", "uuid").limit(100).select("uuid", "created")
+
+
+@query("routing_key", f"WITH {E_SQL} SELECT uuid, 'tidemark.event.app.' || event_type AS routing_key FROM e")
+def routing_key(spark, d):
+    return tables.occurrences(spark, d).select("uuid", text.routing_key(F.col("event_class")).alias("routing_key"))
+
+
+@query("export_projection", f"WITH {S_SQL} SELECT uuid, last_seen AS timestamp, CASE WHEN status = 2 THEN 'SUPPRESSED' ELSE 'OPEN' END AS status, ['CLEAR', 'DEBUG', 'INFO', 'WARNING', 'ERROR', 'CRITICAL'][severity + 1] AS severity, element_identifier AS context, left(fingerprint, 12) AS summary FROM s WHERE severity >= 2")
+def export_projection(spark, d):
+    names = F.array(*map(F.lit, model.SEVERITY_NAMES))
+    status = F.when(F.col("status") == model.SUPPRESSED, "SUPPRESSED").when(F.col("status").isin(*model.CLOSED_STATUSES), "CLOSED").otherwise("OPEN")
+    return _s(spark, d).where("severity >= 2").select("uuid", F.col("last_seen").alias("timestamp"), status.alias("status"), F.get(names, F.col("severity")).alias("severity"), F.col("element_identifier").alias("context"), text.truncate_utf8(F.col("fingerprint"), 12).alias("summary"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for k, (f, _) in Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in Q.items() if s}
