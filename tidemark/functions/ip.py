@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,8 +89,7 @@ def substring(col: Column, value: str) -> Column:
     """Consecutive octets (with .) or groups (with :) that may have wildcards; else one of either."""
     value = value.lower()
     family, sep = ("4", ".") if "." in value else ("6", ":") if ":" in value else (None, None)
-    parts = [p.lstrip("0") or ("0" if p else "") for p in (value.split(sep) if sep else [value])]
-    parts = [p for p in parts if p]
+    parts = [re.sub(r"^0+(?=[0-9a-f])", "", p) for p in (value.split(sep) if sep else [value]) if p]
     if not parts:
         return F.lit(False)
     if sep is None:
