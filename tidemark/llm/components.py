@@ -20,10 +20,10 @@ def components(edges: DataFrame) -> DataFrame:
     labels = frames.Saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         old = labels.df
-        near = both.join(old.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        least = old.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
+        near = frames.join(both, old.withColumnRenamed("node", "b"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        least = frames.join(old, near, ["node"]).select("node", "label", F.least("label", "near").alias("next"))
         jump = old.select(F.col("node").alias("next"), F.col("label").alias("jump"))
-        new = frames.Saved(least.join(jump, "next", "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("label"), (F.least("next", F.coalesce("jump", "next")) < F.col("label")).alias("moved")))
+        new = frames.Saved(frames.join(least, jump, ["next"], "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("label"), (F.least("next", F.coalesce("jump", "next")) < F.col("label")).alias("moved")))
         moved = new.df.where("moved").limit(1).count()
         labels.drop()
         labels = new

@@ -8,10 +8,13 @@ are banded. Nodes that share a band are candidates; their Jaccard index is estim
 registers, less the share of registers that are expected to be equal by chance, and pairs
 that could reach the threshold are verified on the full sets.
 
-Pairs of a band are not all formed. First every node is paired with the least node of each of its
-bands. The links found make components. Then, in bands that still hold several components, only nodes of
-different components are compared, by their sketches, in blocks of bounded size: any other link lies inside one component and
-cannot change it. So no link that matters is lost, however many nodes a band holds. A pair at the
+Pairs of a band are not all formed. A node's centre score is the number of nodes that it meets in its
+bands; an original scores above its edited copies. First every node is paired with the most
+central node of each of its bands, and the links found make components. Then, in bands that still
+hold several components, every node is paired with the most central node of another component, and
+then with its likeliest partner in another one by the sketches. At last, in bands that are still open, only nodes of different components are compared, by their sketches and in
+blocks of bounded size: any other link lies inside one component and cannot change it. So no link
+that matters is lost, however many nodes a band holds. A pair at the
 threshold exactly shares no band with a probability of (1 - 0.8 ** rows) ** bands, 5e-8 here.
 
 Defined results: null, empty and white texts have no shingles and are linked with nothing. Repeated rows
@@ -40,6 +43,7 @@ class Options:
     registers: int = 128
     band: int = 4
     mantissa: int = 10
+    slack: float = 5.0
     block: int = 1024  # nodes of a band that are compared at once
 
 
@@ -87,15 +91,15 @@ def chance(n_a: np.ndarray, n_b: np.ndarray, opt: Options) -> np.ndarray:
     return (p(n_a) * p(n_b)).sum(-1) / 2**opt.mantissa
 
 
-def may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, opt: Options) -> np.ndarray:
-    """Whether the corrected estimate, with six standard errors in its favour, reaches the threshold. Sketches are rows."""
+def estimated(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, opt: Options) -> tuple[np.ndarray, np.ndarray]:
+    """The corrected estimate, and whether it reaches the threshold with `slack` standard errors in its favour. Sketches are rows."""
     used = ((a != 0) | (b != 0)).sum(-1)
     equal = ((a == b) & (a != 0)).sum(-1)
     by_chance = chance(n_a, n_b, opt)
     estimate = (equal / np.maximum(used, 1) - by_chance) / (1 - by_chance)
     t = opt.percent / 100
     near_sizes = 100 * np.minimum(n_a, n_b) >= opt.percent * np.maximum(n_a, n_b)
-    return near_sizes & (estimate + 6 * np.sqrt(t * (1 - t) / np.maximum(used, 1)) >= t)
+    return estimate, near_sizes & (estimate + opt.slack * np.sqrt(t * (1 - t) / np.maximum(used, 1)) >= t)
 
 
 def _sketch(docs: DataFrame, opt: Options) -> DataFrame:
@@ -115,11 +119,18 @@ def _sketch(docs: DataFrame, opt: Options) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_key long, node binary, n long, sketch binary")
 
 
-def _bands(nodes: DataFrame, opt: Options) -> DataFrame:
+def _bands(nodes: DataFrame, opt: Options) -> frames.Saved:
+    """(key, band, node, size, centre) of every band that several nodes share."""
     width = 2 * opt.band
     keys = F.transform(F.sequence(F.lit(0), F.lit(opt.registers // opt.band - 1)), lambda i: F.struct(i.alias("i"), F.substring("sketch", i * width + 1, F.lit(width)).alias("k")))
     used = F.filter(keys, lambda x: x["k"] != F.lit(bytes(width)))
-    return nodes.select("node", "doc", F.explode(F.transform(used, lambda x: F.xxhash64(x["i"], x["k"]))).alias("key"))
+    every = nodes.select("node", F.explode(F.transform(used, lambda x: F.struct(x["i"].alias("band"), F.xxhash64(x["i"], x["k"]).alias("key")))).alias("at")).select("at.key", "at.band", "node")
+    sizes = every.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = frames.Saved(frames.join(every, sizes, ["key"]))
+    centre = shared.df.groupBy("node").agg(F.sum("size").alias("centre"))
+    out = frames.Saved(frames.join(shared.df, centre, ["node"]))
+    shared.drop()
+    return out
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, opt: Options) -> DataFrame:
@@ -132,9 +143,9 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, opt: Options) -> DataFrame:
                 x = rb.slice(at, 4096)
                 s = [np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint16).reshape(-1, opt.registers) for k in (2, 3)]
                 n = [x.column(k).to_numpy() for k in (4, 5)]
-                yield x.select([0, 1]).filter(pa.array(may_link(*s, *n, opt)))
+                yield x.select([0, 1]).filter(pa.array(estimated(*s, *n, opt)[1]))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(run, "a binary, b binary")
+    return frames.join(frames.join(pairs, a, ["a"]), b, ["b"]).select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(run, "a binary, b binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, opt: Options) -> DataFrame:
@@ -147,7 +158,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, opt: Options) -> DataFrame:
                 sets = [values[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    joined = docs.select(F.col("doc_id").alias("doc"), "text_key", "text").join(wanted, ["doc", "text_key"])
+    joined = frames.join(docs.select(F.col("doc_id").alias("doc"), "text_key", "text"), wanted, ["doc", "text_key"])
     return joined.select("node", "text").mapInArrow(run, "node binary, set binary")
 
 
@@ -162,22 +173,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, opt: Options) -> DataFrame:
             yield rb.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     a, b = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
+    return frames.join(frames.join(pairs, b, ["b"]), a, ["a"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
-def _across(bands: DataFrame, nodes: DataFrame, labels: DataFrame, opt: Options) -> DataFrame:
-    """Candidate pairs of nodes in different components that share a band."""
-    own = bands.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_keys = own.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("size > 2 and low <> high").select("key", "size")
-    members = own.join(open_keys, "key").join(nodes.select("node", "n", "sketch"), "node")
+def _open(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """The bands (with their nodes' labels) that hold several components."""
+    own = frames.join(bands, labels, ["node"], "left").select("key", "band", "node", "size", "centre", F.coalesce("label", "node").alias("label"))
+    keys = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return frames.join(own, keys, ["key"])
+
+
+def _pairs(own: Column, pivot: Column) -> list[Column]:
+    return [F.least(own, pivot).alias("a"), F.greatest(own, pivot).alias("b")]
+
+
+def _to_other_component(open_: DataFrame) -> DataFrame:
+    """Every node of an open band with the most central node of another component."""
+    top = F.struct("centre", "node", "label")
+    first = open_.groupBy("key").agg(F.max(top).alias("p"))
+    with_first = frames.join(open_, first, ["key"])
+    second = with_first.where("label <> p.label").groupBy("key").agg(F.max(top).alias("q"))
+    both = frames.join(with_first, second, ["key"])
+    return both.select(*_pairs(F.col("node"), F.when(F.col("label") == F.col("p.label"), F.col("q.node")).otherwise(F.col("p.node")))).distinct()
+
+
+def _across(open_: DataFrame, nodes: DataFrame, opt: Options, nearest: bool = False) -> DataFrame:
+    """Candidate pairs of nodes in different components that share a band; a pair comes from the first band that it shares.
+
+    With nearest, only each node's likeliest partner in each block.
+    """
+    members = frames.join(open_.where("size > 2"), nodes.select("node", "n", "sketch"), ["node"])
     blocks = F.ceil(F.col("size") / opt.block).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    rows = members.select("key", "node", "label", "n", "sketch", mine.alias("mine"), F.explode(meets).alias("at"))
-    rows = rows.select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "mine", "node", "label", "n", "sketch")
+    rows = members.select("key", "band", "node", "label", "n", "sketch", mine.alias("mine"), F.explode(meets).alias("at"))
+    rows = rows.select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "mine", "band", "node", "label", "n", "sketch")
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
+        i, j, band = key[1].as_py(), key[2].as_py(), t.column("band")[0].as_py()
         mine = t.column("mine").to_numpy()
         node, label = t.column("node").to_pylist(), t.column("label").to_pylist()
         code = {x: k for k, x in enumerate(dict.fromkeys(label))}
@@ -187,8 +220,14 @@ def _across(bands: DataFrame, nodes: DataFrame, labels: DataFrame, opt: Options)
         out_a, out_b = [], []
         right = np.flatnonzero(mine == j)
         for x in np.flatnonzero(mine == i).tolist():
-            y = right[(right > x) & (label[right] != label[x])] if i == j else right[label[right] != label[x]]
-            y = y[may_link(s[x][None, :], s[y], np.full(len(y), n[x]), n[y], opt)] if len(y) else y
+            y = right[(label[right] != label[x]) & ((right > x) | nearest | (i != j))]
+            if not len(y):
+                continue
+            estimate, able = estimated(s[x][None, :], s[y], np.full(len(y), n[x]), n[y], opt)
+            y = y[[estimate.argmax()]] if nearest and able[estimate.argmax()] else y[able & (not nearest)]
+            if len(y) and not nearest:
+                share = (s[x].reshape(-1, opt.band) == s[y].reshape(len(y), -1, opt.band)).all(2) & (s[x].reshape(-1, opt.band) != 0).any(1)
+                y = y[share.argmax(1) == band]
             for k in y.tolist():
                 a, b = sorted((node[x], node[k]))
                 out_a.append(a)
@@ -205,28 +244,30 @@ def groups(docs: DataFrame, opt: Options = Options()) -> frames.Saved:
     rows = drawn.df
     known = F.when(F.col("doc_id") == F.lit(-(2**63)), None).otherwise(F.col("doc_id"))
     nodes = frames.Saved(rows.where("n > 0").groupBy("node").agg(F.min(known).alias("least"), F.min(F.struct("doc_id", "text_key", "n", "sketch")).alias("r")).select("node", "least", F.col("r.doc_id").alias("doc"), "r.text_key", "r.n", "r.sketch")).df
-    bands = _bands(nodes, opt)
+    bands = _bands(nodes, opt).df
 
-    pivots = bands.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a")
-    pairs = bands.join(pivots, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    first = frames.Saved(_estimated(pairs, nodes, opt)).df
-    links = _link(first, docs, nodes, opt)
+    pivots = bands.groupBy("key").agg(F.max(F.struct("centre", "node")).alias("p"))
+    pairs = frames.join(bands, pivots, ["key"]).where("node <> p.node").select(*_pairs(F.col("node"), F.col("p.node"))).distinct()
+    tested = frames.Saved(_estimated(pairs, nodes, opt)).df
+    links = _link(tested, docs, nodes, opt)
     labels = components(links)
-    second = _across(bands, nodes, labels, opt).join(first, ["a", "b"], "left_anti")
-    second = frames.Saved(second).df
-    if second.limit(1).count():
-        links = links.unionByName(_link(second, docs, nodes, opt))
-        labels = components(links)
-
-    owner = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    for step in (_to_other_component, lambda x: _across(x, nodes, opt, nearest=True), lambda x: _across(x, nodes, opt)):
+        open_ = frames.Saved(_open(bands, labels)).df
+        pairs = frames.join(step(open_), tested, ["a", "b"], "left_anti")
+        new = frames.Saved(_estimated(pairs, nodes, opt)).df
+        if new.limit(1).count():
+            tested, links = tested.unionByName(new), links.unionByName(_link(new, docs, nodes, opt))
+            labels = components(links)
+
+    owner = frames.join(nodes, labels, ["node"], "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     named = owner.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_node = owner.join(named, "label").select("node", "component_id")
-    return frames.Saved(rows.join(by_node, "node", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(known).alias("component_id")))
+    by_node = frames.join(owner, named, ["label"]).select("node", "component_id")
+    return frames.Saved(frames.join(rows, by_node, ["node"], "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(known).alias("component_id")))
 
 
 def _link(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, opt: Options) -> DataFrame:
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = frames.Saved(nodes.join(ends, "node", "left_semi").select("node", "doc", "text_key")).df
+    wanted = frames.Saved(frames.join(nodes, ends, ["node"], "left_semi").select("node", "doc", "text_key")).df
     sets = frames.Saved(_sets(docs, wanted, opt).dropDuplicates(["node"]))
     return frames.Saved(_verified(pairs, sets.df, opt)).df
 
@@ -239,7 +280,7 @@ def keep_one(docs: DataFrame, opt: Options, columns: tuple[str, ...]) -> DataFra
     """The given columns of the documents that name their group (its smallest doc_id)."""
     stay = groups(docs, opt).df.where("component_id is null or component_id = doc_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     left = docs.select(*columns, frames.null_first_id("doc_id").alias("_id"), frames.text_key().alias("_key"))
-    return left.join(stay, ["_id", "_key"], "left_semi").select(*columns)
+    return frames.join(left, stay, ["_id", "_key"], "left_semi").select(*columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
