@@ -36,7 +36,7 @@ _BASE = 0x2545F4914F6CDD1D
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base, and of its inverse modulo 2**64."""
     c = cache()
-    if len(c.get("powers", ((),))[0]) < n:
+    if "powers" not in c or len(c["powers"][0]) < n:
         m = 1 << max(10, (n - 1).bit_length())
         out = []
         for b in (_BASE, pow(_BASE, -1, 2**64)):
