@@ -10,15 +10,24 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
+from itertools import pairwise
 
-import numpy as np
-
-CACHE_UNITS = 300_000
+CACHE_UNITS = 200_000
+CACHE_PIECES = 1_300_000
 CACHE_LONGEST = 48
 
 #: The characters with the Unicode property White_Space.
 WHITE = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: A word with marks after it, whose ids are those of its pieces: both kinds of tokenizer cut there.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SPLIT = re.compile(f"(\n?)( ?[{_LATIN}]+)([.,;:!?]*)")
+_MARKS = ".,;:!?"
+_ASCII_MARKS = r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"  # all but the apostrophe, which some tokenizers cut in words of their own
+_PLAIN = re.compile(rf"[{_LATIN}0-9{_ASCII_MARKS} \t\n]*")
+_CUT_DROP = re.compile(rf"[{_LATIN}]+|[0-9]|[{_ASCII_MARKS}]+")
+_CUT_KEEP = re.compile(rf" ?[{_LATIN}]+| ?[0-9]+| ?[{_ASCII_MARKS}]+|\s+(?!\S)|\s+")
 
 
 class Encoder:
@@ -32,28 +41,114 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.drops_space = not keeps_space(spec)
         self.units: dict = {}
+        self.pieces: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.edge = [False] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            self.edge[i] = token.endswith("</w>") if self.drops_space else token.startswith("\u0120")
         self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        out: list[bytes] = [b""] * len(texts)
+        plain, rest = [], []
+        for i, t in enumerate(texts):
+            if t:
+                (plain if _PLAIN.fullmatch(t) else rest).append(i)
+        if plain:  # Latin letters, marks and white space: cut as the tokenizer does, whole pieces
+            find = _CUT_DROP.findall if self.drops_space else _CUT_KEEP.findall
+            cut = [find(texts[i].lower() if self.drops_space else texts[i]) for i in plain]
+            extra = self._encode_pieces(set().union(*cut).difference(self.pieces))
+            get = self.pieces.__getitem__ if not extra else lambda p: self.pieces[p] if p in self.pieces else extra[p]
+            for i, pieces in zip(plain, cut, strict=True):
+                out[i] = b"".join(map(get, pieces))
+        if rest:
+            for i, ids in zip(rest, self._encode_units([texts[i] for i in rest]), strict=True):
+                out[i] = ids
+        return out
+
+    def _encode_units(self, texts: list[str]) -> list[bytes]:
         if self.drops_space:
-            split = [(t or "").encode().split() for t in texts]
+            split = [t.encode().split() for t in texts]
         else:
-            split = [_UNITS.findall(t or "") for t in texts]
+            split = [_UNITS.findall(t) for t in texts]
         known = self.units
         if len(known) > CACHE_UNITS:
             known.clear()
         new = list(set().union(*split).difference(known)) if split else []
-        extra: dict = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            plain = [u.decode() for u in part] if self.drops_space else part
-            for unit, e in zip(part, self._batch(plain, add_special_tokens=False), strict=True):
-                (known if len(unit) <= CACHE_LONGEST and len(known) <= 2 * CACHE_UNITS else extra)[unit] = np.asarray(e.ids, dtype="<u4").tobytes()
+        plain = (b"\n".join(new).decode().split("\n") if new else []) if self.drops_space else new
+        pieces, drops = self.pieces, self.drops_space
+        words = [u.rstrip(_MARKS) for u in plain]
+        lower = "\n".join(words).lower().split("\n") if drops else list(words)
+        rest: dict[int, tuple[str, ...]] = {}
+        for i, (word, unit) in enumerate(zip(words, plain, strict=True)):
+            if not (word.isascii() and (word.isalpha() if drops else word[:1] == " " and word[1:].isalpha())):
+                rest[i] = self._parts(unit)
+                lower[i] = ""
+        missing = set(lower)
+        missing.update(unit[len(word) :] for word, unit in zip(words, plain, strict=True))
+        missing.update(p for x in rest.values() for p in x)
+        extra = self._encode_pieces(missing.difference(pieces, [""]))
         if extra:
-            return [b"".join([known[u] if u in known else extra[u] for u in units]) for units in split]
+            have = extra | {p: pieces[p] for p in missing if p in pieces}
+        else:
+            have = pieces
+        for i, (unit, plain_unit, word, low) in enumerate(zip(new, plain, words, lower, strict=False)):
+            if not low:
+                known[unit] = b"".join([have[p] for p in rest[i]])
+            elif len(word) == len(plain_unit):
+                known[unit] = have[low]
+            else:
+                known[unit] = have[low] + have[plain_unit[len(word) :]]
         get = known.__getitem__
-        return [b"".join(map(get, units)) for units in split]
+        out = [b"".join(map(get, units)) for units in split]
+        for unit in new:
+            if len(unit) > CACHE_LONGEST:
+                del known[unit]
+        return out
+
+    def _encode_pieces(self, missing: set[str]) -> dict[str, bytes]:
+        """Encodes pieces; short ones go to the cache, the ids of longer ones are returned.
+
+        Words are encoded many at a time: where white space is dropped, a word's last id ends with the word-end mark; where it
+        is kept, the first id of a word after one space begins with the space. The cuts are counted before they are trusted.
+        """
+        extra: dict[str, bytes] = {}
+        if self.drops_space:
+            simple = [p for p in missing if p.isalpha() and len(p) <= CACHE_LONGEST]
+        else:
+            simple = [p for p in missing if p[0] == " " and p[1:].isalpha() and len(p) <= CACHE_LONGEST]
+        alone = list(missing.difference(simple))
+        glue = " " if self.drops_space else ""
+        groups = [simple[at : at + 64] for at in range(0, len(simple), 64)]
+        edge = self.edge
+        for group, e in zip(groups, self._batch([glue.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = e.ids
+            cuts = [i for i, x in enumerate(ids) if edge[x]]
+            cuts = [0, *(i + 1 for i in cuts)] if self.drops_space else [*cuts, len(ids)]
+            if len(cuts) != len(group) + 1:
+                alone.extend(group)
+                continue
+            raw = struct.pack(f"<{len(ids)}I", *ids)
+            self.pieces.update(zip(group, [raw[4 * i : 4 * j] for i, j in pairwise(cuts)], strict=True))
+        for at in range(0, len(alone), 4096):
+            some = alone[at : at + 4096]
+            for piece, e in zip(some, self._batch(some, add_special_tokens=False), strict=True):
+                ids = e.ids
+                (self.pieces if len(piece) <= CACHE_LONGEST else extra)[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return extra
+
+    def _parts(self, unit: str) -> tuple[str, ...]:
+        m = _SPLIT.fullmatch(unit)
+        if m is None:
+            return (unit,)
+        line, word, marks = m.groups()
+        if line and word[0] == " ":
+            return (unit,)
+        word = word.lower() if self.drops_space else word
+        return tuple(x for x in (line, word, marks) if x)
 
 
 def keeps_space(spec: str) -> bool:

@@ -100,7 +100,9 @@ def train_dictionary(docs: DataFrame, spec: str, fmt: Format) -> bytes:
     import zstandard as z
 
     cut = max(1, fmt.sample_chars // fmt.sample)
-    rows = docs.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, cut).alias("t")).orderBy("h", "t").limit(fmt.sample).collect()
+    share = min(1.0, fmt.sample / max(1, docs.count()))
+    chosen = F.xxhash64("doc_id") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True)
+    rows = docs.where(chosen).select(F.substring("text", 1, cut).alias("t")).limit(fmt.sample).collect()
     width = "<u2" if encoder.vocab_size(spec) <= 1 << 16 else "<u4"
     arrays = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in encoder.Encoder(spec).encode([r["t"] for r in rows])]
     arrays = [a for a in arrays if len(a) >= 8]
