@@ -153,10 +153,27 @@ class Model:
         return np.where(np.isnan(q), self.prior, p)
 
 
+def _measure_all(texts: list[bytes], step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The measures of many texts, about `step` bytes at a time, so that the driver holds the arrays of few bytes."""
+    xs, lengths, firsts, lines, held, size = [], [], [np.zeros(1, np.int64)], 0, [], 0
+    for i, t in enumerate(texts):
+        held.append(t)
+        size += len(t)
+        if size >= step or i + 1 == len(texts):
+            x, length, first = measure(kernels.Batch.of(held))
+            xs.append(x)
+            lengths.append(length)
+            firsts.append(first[1:] + lines)
+            lines += len(x)
+            held, size = [], 0
+    if not xs:
+        return measure(kernels.Batch.of([]))
+    return np.concatenate(xs), np.concatenate(lengths), np.concatenate(firsts)
+
+
 def fit(texts: list[bytes], labels: list[int], opt: Options = Options()) -> Model:
     """Maximum likelihood of the line labels by gradient steps with momentum (Adam), then the calibration."""
-    b = kernels.Batch.of(texts)
-    x, length, first = measure(b)
+    x, length, first = _measure_all(texts)
     y = np.array(labels, dtype=float)
     if not len(x) or len(set(labels)) < 2:
         return Model(np.zeros((13, opt.bins - 1)), opt)
