@@ -29,23 +29,23 @@ class Shard:
         code = np.cumsum(used).astype(np.int16)
         self.text = np.where(inside, code[raw], 0).astype(np.int16)
         self.alphabet = np.flatnonzero(used)
-        self.sa, self.rank = sort_suffixes(self.text, depth)
+        self.sa, self.rank, self.group = sort_suffixes(self.text, depth)
         self.depth = depth
 
-    def lcp(self) -> np.ndarray:
-        """Common prefix of each suffix (in text order) with the one before it in `sa`, up to `depth`."""
-        return kasai(self.text, self.sa, self.rank, self.begin, self.end, self.depth)
+    def lcp(self, least: int = 1) -> np.ndarray:
+        """Common prefix of each suffix (in text order) of `least` symbols or more with the one before it in `sa`, up to `depth`."""
+        return kasai(self.text, self.sa, self.rank, self.group, self.begin, self.end - least + 1, self.depth)
 
 
-def sort_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes ordered by `depth` symbols or more, and each suffix's place.
+def sort_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes ordered by `depth` symbols (or by a first key that is longer), each suffix's place, and its group: those that agree so far.
 
     Larsson and Sadakane: suffixes start in groups of one short prefix; a group is refined by the group numbers
     of its suffixes' continuations, which doubles the sorted length; sorted groups are left alone.
     """
     n = len(text)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     place = max(1, int(n).bit_length())  # bits of a place
     bits = max(1, int(text.max()).bit_length())
     h = max(1, (64 - place) // bits)
@@ -64,7 +64,8 @@ def sort_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
     active = np.flatnonzero(~single)
     while h < depth and len(active):
         s = sa[active]
-        group, follow = number[s], number[np.minimum(s + h, n)]
+        jump = min(h, depth - h)  # so that the sorting ends at exactly `depth`, unless it began beyond
+        group, follow = number[s], number[np.minimum(s + jump, n)]
         m = max(1, int(len(active)).bit_length())
         if 2 * place + m + 1 <= 64:
             order = np.sort((group.astype(_U) << _U(place + m)) | (follow.astype(_U) << _U(m)) | np.arange(len(active), dtype=_U))
@@ -77,10 +78,10 @@ def sort_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
         new[1:] = (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
         number[s] = active[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))] + 1
         active = active[~(new & np.append(new[1:], True))]
-        h *= 2
+        h += jump
     rank = np.empty(n, dtype=np.int64)
     rank[sa] = np.arange(n)
-    return sa, rank
+    return sa, rank, number[:n]
 
 
 def _words(text: np.ndarray) -> np.ndarray:
@@ -105,7 +106,7 @@ def extend(words: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray, most:
     return k
 
 
-def kasai(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
+def kasai(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, group: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
     """Kasai's rule, for all texts of a shard in step: a suffix shares at least one symbol less than the suffix before it in the text."""
     out = np.zeros(len(text), dtype=np.int64)
     words = _words(text)
@@ -122,9 +123,12 @@ def kasai(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, begin: np.ndarray,
         i = begin[lane] + step
         j = before[i]
         has = j >= 0
-        # suffixes that agree up to `most` are in no order, so from there the rule holds only if both went on together
-        sure = (k[lane] < most) | (j == last[lane] + 1)
+        # suffixes that agree up to `most` are in no order, so from there the rule holds only if their continuations are
+        sure = (k[lane] < most) | (last[lane] >= 0) & (rank[np.minimum(last[lane] + 1, len(rank) - 1)] < rank[i])
         known = np.where(has & sure, np.maximum(k[lane] - 1, 0), 0)
+        alike = has & (group[i] == group[np.maximum(j, 0)])  # the sorting has seen that they agree
+        known[alike] = most
+        has &= ~alike
         known[has] = extend(words, i[has], j[has], known[has], most)
         k[lane] = out[i] = known
         last[lane] = j

@@ -8,8 +8,8 @@ A string of `length` bytes goes if it also starts anywhere else. Three steps fin
    least gram. Contexts are counted by 128-bit digest; one found twice is all repeats, one whose cell has
    no other context has none, and only the others go on.
 2. Suffix arrays. Cells are dealt into buckets, a bucket into shards of bounded size. Each shard is sorted by
-   Larsson-Sadakane refinement, Kasai common prefixes of `length` or more join equal strings, and strings in cells that several
-   shards of a bucket share are merged by binary search in the other shards' arrays.
+   Larsson-Sadakane refinement to exactly `length` bytes, so that a group of its last round is the places of one string, with common
+   prefixes of `length` or more (Kasai's pass gives shorter ones too and is not needed here), and strings in cells that several shards of a bucket share are merged by binary search in the other shards' arrays.
 3. A cell of very many different contexts is not given to one task. Its strings are filed anew by a
    longer common part and so in finer cells, down to cells of single strings, which are only counted.
 
@@ -175,11 +175,9 @@ def _sort_bucket(opt: Options):
             place = np.arange(n) - s.begin[row]  # in its context
             whole = np.arange(n) + opt.length <= s.end[row]
             where = (doc[own][row] << 32) | (first[own][row] + place)  # one value for each place of each document
-            lcp = s.lcp()
             sa = s.sa[whole[s.sa]]
             joined = np.zeros(len(sa), dtype=bool)
-            before = np.flatnonzero(whole[s.sa])
-            joined[1:] = (lcp[sa[1:]] >= opt.length) & (np.diff(before) == 1)
+            joined[1:] = s.group[sa[1:]] == s.group[sa[:-1]]  # sorted to exactly `length`: one group, one string
             group = np.cumsum(~joined) - 1
             gone = np.zeros(n, dtype=bool)
             if len(sa):
