@@ -195,6 +195,52 @@ def test_packing(spark, docs):
     assert packing.pack(frame(spark, plain[:1]).limit(0), path, packing.Options(end_id=0)).count() == 0
 
 
+def test_packing_keeps_sources_and_weights_with_more_sources_than_queues(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    rng = random.Random(3)
+    names = [f"q{i}" for i in range(40)] + [None, ""]
+    plain = [(i, " ".join(rng.choices(["ab", "cde", "f", "gh"], k=rng.randint(0, 120))), rng.choice(names + ["hot"] * 30)) for i in range(900)]
+    df = spark.createDataFrame(plain, "doc_id long, text string, source string").repartition(4)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e = encoder.Encoder(open(path, encoding="utf-8").read())
+    for weights in ((), (("q3", 0.3), ("hot", 0.1), ("absent", 0.5))):
+        pieces = packing.pack(df, path, packing.Options(end_id=0, length=128, max_queues=4, weights=weights)).toPandas()
+        flat = packing.pack(df, path, packing.Options(end_id=0, length=128, weights=weights)).toPandas()
+        for d, g in pieces.sort_values("start").groupby("doc_id"):
+            assert b"".join(g.ids) == e.encode([plain[d][1]])[0] + b"\0\0\0\0"
+            assert {x if isinstance(x, str) else None for x in g.source} == {plain[d][2]}
+        windows = pieces.sort_values("offset").groupby("sequence_id")
+        for _, g in windows:
+            assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]]
+            keys = g.source.fillna("(null)")
+            assert (keys != keys.shift()).sum() == keys.nunique()  # each source's ids are contiguous
+        sizes = windows.length.sum()
+        assert (sizes[:-1] == 128).all() and pieces.length.sum() == flat.length.sum()
+        served = lambda p, s: p[p.source.fillna("(null)") == s].groupby("sequence_id").length.sum().reindex(range(len(sizes)), fill_value=0).cumsum()  # noqa: E731, B023
+        for s in {x if x is not None else "(null)" for _, _, x in plain}:
+            assert (abs(served(pieces, s) - served(flat, s)) < 7).all(), s
+
+
+def test_tree_places_and_serves_alike():
+    rng = np.random.default_rng(5)
+    for n in (np.array([7]), rng.integers(1, 40, 2), rng.integers(1, 60, 13), np.array([1, 500, 1, 1, 3]), np.array([5, 9, 1]) + (1 << 33)):
+        node, left, is_left = packing.Tree.paths(n)
+        t, total = packing.Tree(node, left, is_left), int(n.sum())
+        if total > 1 << 20:
+            for i in (np.zeros_like(n), n // 3, n - 1):
+                at = t.place(i)
+                assert (t.served(at, np.arange(len(n)))[0] == i).all() and (t.served(at + 1, np.arange(len(n)))[0] == i + 1).all()
+            continue
+        x = np.arange(total + 1)
+        served = [t.served(x, np.full(len(x), k)) for k in range(len(n))]
+        assert (np.array([s for s, _ in served]).sum(0) == x).all()
+        for k, (s, before) in enumerate(served):
+            assert (before == sum((served[j][0] for j in range(k)), np.zeros_like(x))).all() and s[-1] == n[k]
+            assert (abs(s - x * n[k] / total) <= 1 + node.shape[1] / 2).all()
+            places = [int(packing.Tree(node[k : k + 1], left[k : k + 1], is_left[k : k + 1]).place(np.array([i]))[0]) for i in range(n[k])]
+            assert places == np.flatnonzero(np.diff(s)).tolist()
+
+
 def test_schedule_is_monotone_and_full():
     n = [1000, 5, 30000, 1]
     s = packing.Schedule(n, [0.1, 0.2, 0.3, 0.4], 64)

@@ -11,7 +11,12 @@ queue that runs dry leaves its slots to the others in proportion. Inside a windo
 ids are contiguous. All windows are full but the last.
 
 Target shares are by default those of the corpus, or the given weights. Where there are more
-sources than `max_queues`, sources share queues by hash, so a task holds a bounded state.
+sources than `max_queues`, those without a weight of their own are dealt over `max_queues` groups.
+The groups, and the sources with weights, are then the queues above, and inside a group a binary
+tree shares each node's ids between its halves in proportion to their tokens. As sources without
+weights run dry together, the target shares are those of a queue for each source; the tree holds
+them to one token and a half more for each level. A document knows only its source's path in the tree, so a task
+holds a bounded state, however many sources there are.
 
 Defined results: a null or empty text is its end id alone; a null source is a queue of its own.
 Repeated rows are packed each. An empty table packs to nothing. Other columns are ignored.
@@ -76,6 +81,52 @@ class Schedule:
         return (before.sum(1) + ((at - before) * earlier).sum(1)) // self.length
 
 
+class Tree:
+    """Where the ids of sources lie in the order of their groups.
+
+    For each row a path from the root of its group's tree to its source: at each level the ids of the node, the ids
+    of its left half, and whether the source lies there. Of the first x ids of a node, round(x * left / node) go left.
+    """
+
+    def __init__(self, node: np.ndarray, left: np.ndarray, is_left: np.ndarray):
+        kind = np.int64 if node.max(initial=0) < 1 << 30 else object  # products of three fit, or Python's integers
+        self.node, self.left, self.is_left, self.kind = node.astype(kind), left.astype(kind), is_left, kind
+
+    @classmethod
+    def of(cls, rb: pa.RecordBatch) -> Tree:
+        node, left, is_left = (rb.column(c).to_pylist() for c in ("node", "left", "is_left"))
+        deep = max(map(len, node), default=0)
+        pad = lambda rows, fill: np.array([x + [fill] * (deep - len(x)) for x in rows]).reshape(len(rows), deep)  # noqa: E731  a node that is all left passes ids on as they are
+        return cls(pad(node, 1).astype(np.int64), pad(left, 1).astype(np.int64), pad(is_left, True).astype(bool))
+
+    @staticmethod
+    def paths(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """node, left and is_left of each of the sources of a group, which have n ids each."""
+        k, low, high = np.arange(len(n)), np.zeros(len(n), dtype=np.int64), np.full(len(n), len(n))
+        ends, out = np.concatenate(([0], np.cumsum(n))), []
+        while (high - low > 1).any():
+            mid = np.where(high - low > 1, (low + high) // 2, high)
+            out.append((ends[high] - ends[low], ends[mid] - ends[low], k < mid))
+            low, high = np.where(k < mid, low, mid), np.where(k < mid, mid, high)
+        return tuple(np.array([x[i] for x in out]).reshape(len(out), len(n)).T for i in range(3))
+
+    def served(self, x: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the first x ids of the row's group: those of its source, and those of the sources before it."""
+        x, before = x.astype(self.kind), np.zeros(len(x), dtype=self.kind)
+        for node, left, is_left in zip(self.node[row].T, self.left[row].T, self.is_left[row].T, strict=True):
+            first = (2 * x * left + node) // (2 * node)
+            before, x = before + np.where(is_left, 0, first), np.where(is_left, first, x - first)
+        return x.astype(np.int64), before.astype(np.int64)
+
+    def place(self, i: np.ndarray) -> np.ndarray:
+        """The place in its group's order of id i of each row's source."""
+        i = i.astype(self.kind)
+        for node, left, is_left in zip(self.node.T[::-1], self.left.T[::-1], self.is_left.T[::-1], strict=True):
+            right = np.where(is_left, 1, node - left)
+            i = np.where(is_left, -(-node * (2 * i + 1) // (2 * left)) - 1, node * (2 * i + 1) // (2 * right))
+        return i.astype(np.int64)
+
+
 def tokenise(docs: DataFrame, tokenizer_path: str, opt: Options) -> frames.Saved:
     """(part, doc_id, queue, local_start, n_tokens, ids): local_start counts the ids of that queue before it in its part."""
     spark = docs.sparkSession
@@ -97,13 +148,25 @@ def tokenise(docs: DataFrame, tokenizer_path: str, opt: Options) -> frames.Saved
                 counts = pa.array([len(x) // width for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int64()), piece.column(0), piece.column(1), pa.array(starts, pa.int64()), counts, pa.array(ids, pa.binary())], names=["part", "doc_id", "queue", "local_start", "n_tokens", "ids"])
 
-    return frames.Saved(docs.select("doc_id", _queue(docs, opt.max_queues).alias("queue"), "text").mapInArrow(run, "part long, doc_id long, queue string, local_start long, n_tokens long, ids binary"))
+    return frames.Saved(docs.select("doc_id", _queue().alias("queue"), "text").mapInArrow(run, "part long, doc_id long, queue string, local_start long, n_tokens long, ids binary"))
+
+
+def _queue() -> Column:
+    return F.concat(F.lit("s"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+
 
+PATH = "queue string, node array<long>, left array<long>, is_left array<boolean>"
 
-def _queue(docs: DataFrame, most: int) -> Column:
-    few = docs.select("source").distinct().limit(most + 1).count() <= most
-    named = F.concat(F.lit("s"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    return named if few else F.concat(F.lit("h="), F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(most)).cast("string"))
+
+def _paths(sources: DataFrame) -> DataFrame:
+    """The path of each source, of (queue, grp, n). A group has about one of `max_queues` parts of the sources."""
+
+    def run(group):
+        group = group.sort_values("queue")
+        node, left, is_left = Tree.paths(group["n"].to_numpy())
+        return group[["queue"]].assign(node=list(node), left=list(left), is_left=list(is_left))
+
+    return sources.groupBy("grp").applyInPandas(run, PATH)
 
 
 OUT = "doc_id long, start long, length long, doc_tokens long, source string, sequence_id long, offset long, ids binary"
@@ -115,9 +178,14 @@ def pack(docs: DataFrame, tokenizer_path: str, opt: Options) -> DataFrame:
     saved = tokenise(docs, tokenizer_path, opt).df
     by_part = saved.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n"))
     starts = frames.Saved(by_part.select("queue", "part", "n", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("part_start"))).df
-    totals = {r["queue"]: r["n"] for r in starts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most max_queues rows
-    names = sorted(totals)
+    sources = starts.groupBy("queue").agg(F.sum("n").alias("n"))
+    few = sources.limit(opt.max_queues + 1).count() <= opt.max_queues
     weights = {f"s={k}": v for k, v in opt.weights}
+    if not few:
+        hashed = F.concat(F.lit("h="), F.pmod(F.xxhash64("queue"), F.lit(opt.max_queues)).cast("string"))
+        sources = frames.Saved(sources.withColumn("grp", F.when(F.col("queue").isin(*weights), F.col("queue")).otherwise(hashed) if weights else hashed)).df
+    totals = {r["grp"]: r["n"] for r in sources.groupBy(F.col("queue" if few else "grp").alias("grp")).agg(F.sum("n").alias("n")).collect()}  # max_queues rows and one for each weight at most
+    names = sorted(totals)
     all_tokens = max(1, sum(totals.values()))
     plan = Schedule([totals[q] for q in names], [weights.get(q, totals[q] / all_tokens) for q in names], opt.length)
     index = {q: i for i, q in enumerate(names)}
@@ -128,35 +196,47 @@ def pack(docs: DataFrame, tokenizer_path: str, opt: Options) -> DataFrame:
             for at in range(0, rb.num_rows, step):
                 yield from _cut(rb.slice(at, step), plan, index)
 
-    placed = saved.join(starts.select("queue", "part", "part_start"), ["queue", "part"])
-    return placed.select("doc_id", "queue", "local_start", "part_start", "n_tokens", "ids").mapInArrow(run, OUT)
+    columns = ["doc_id", "queue", "local_start", "part_start", "n_tokens", "ids"]
+    if few:
+        placed = saved.join(starts.select("queue", "part", "part_start"), ["queue", "part"])
+    else:
+        starts = starts.select("queue", "part", "part_start").join(sources.select("queue", "grp"), "queue").join(_paths(sources), "queue")
+        placed, columns = saved.join(starts, ["queue", "part"]), [*columns, "grp", "node", "left", "is_left"]
+    return placed.select(*columns).mapInArrow(run, OUT)
 
 
 def _cut(rb: pa.RecordBatch, plan: Schedule, index: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    queue = np.array([index[q] for q in rb.column(1).to_pylist()], dtype=np.int64)
+    tree = Tree.of(rb) if rb.num_columns > 6 else None
+    queue = np.array([index[q] for q in rb.column(6 if tree else 1).to_pylist()], dtype=np.int64)
     begin = rb.column(2).to_numpy(zero_copy_only=False) + rb.column(3).to_numpy(zero_copy_only=False)
     n = rb.column(4).to_numpy(zero_copy_only=False)
-    first, last = plan.window(queue, begin), plan.window(queue, begin + n - 1)
+    first, last = (plan.window(queue, tree.place(i) if tree else i) for i in (begin, begin + n - 1))
     per = last - first + 1
     row = np.repeat(np.arange(len(n)), per)
     w = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per) + first[row]
     ids = rb.column(5).to_pylist()
     width = len(ids[0]) // int(n[0])
-    for at in range(0, len(row), 100_000):
-        r, ww = row[at : at + 100_000], w[at : at + 100_000]
+    source = pa.array([None if q == "s" else q[2:] for q in rb.column(1).to_pylist()], pa.string())
+    step = max(1, min(100_000, (1 << 22) // len(plan.n)))
+    for at in range(0, len(row), step):
+        r, ww = row[at : at + step], w[at : at + step]
         edges, where = np.unique(np.concatenate((ww, ww + 1)), return_inverse=True)
         served = plan.served(edges)
         low, high = served[where[: len(ww)]], served[where[len(ww) :]]
         mine, here = queue[r], np.arange(len(r))
-        start = np.maximum(begin[r], low[here, mine])
-        stop = np.minimum(begin[r] + n[r], high[here, mine])
         earlier = np.arange(served.shape[1])[None, :] < mine[:, None]
-        offset = ((high - low) * earlier).sum(1) + start - low[here, mine]
+        before = ((high - low) * earlier).sum(1)
+        low, high = low[here, mine], high[here, mine]
+        if tree:
+            (low, low_before), (high, high_before) = tree.served(low, r), tree.served(high, r)
+            before += high_before - low_before
+        start = np.maximum(begin[r], low)
+        stop = np.minimum(begin[r] + n[r], high)
+        offset = before + start - low
         some = stop > start
         r, start, stop, offset, ww = r[some], (start - begin[r])[some], (stop - begin[r])[some], offset[some], ww[some]
         pieces = [np.frombuffer(ids[i], f"<u{width}", b - a, a * width).astype("<u4").tobytes() for i, a, b in zip(r.tolist(), start.tolist(), stop.tolist(), strict=True)]
         take = pa.array(r)
-        source = pa.array([None if q == "s" else q[2:] for q in rb.column(1).to_pylist()], pa.string())
         yield pa.RecordBatch.from_arrays(
             [rb.column(0).take(take), pa.array(start), pa.array(stop - start), rb.column(4).take(take), source.take(take), pa.array(ww), pa.array(offset), pa.array(pieces, pa.binary())],
             names=[c.split()[0] for c in OUT.split(", ")],
