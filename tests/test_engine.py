@@ -199,3 +199,50 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(tuple(r) for r in table.read(last).select(*cols).collect())
     n = e.where("arrival_seq < 999")
     assert got == sorted(tuple(r) for r in state.dedup(n).select(*cols).collect())
+
+
+def test_stream_applies_clears_in_arrival_order(spark, tmp_path):
+    from tidemark.streaming.engine import SummaryTable
+
+    schema = OCC + ", clear_hash string, clear_hashes array<string>"
+    row = lambda i, t, sev, f, h=None, hs=None: (f"u{i}", i, 1, t, "/A", sev, 0, "h", "e", f, h, hs)
+    arrivals = [
+        row(0, 10, 4, "f", "h1"), row(1, 15, 4, "g", "h1"), row(2, 30, 4, "x", "h2"),
+        row(3, 14, 0, "c", hs=["h1"]),  # f only: g was seen later
+        row(4, 20, 4, "f", "h1"),  # a new life of f
+        row(5, 25, 0, "c", hs=["h1", "h2"]),  # f again and g; x was seen later
+        row(6, 26, 0, "c", hs=["h1", "h9"]),  # nothing is open: dropped
+        row(7, 40, 4, "f", "h1"), row(8, 50, 4, "m", "h3"), row(9, 60, 4, "m", "h4"),
+        row(10, 70, 0, "c", hs=["h3"]),  # m has another hash by now: dropped
+        row(11, 80, 0, "c", hs=["h4"]), row(12, 90, 4, "n", None), row(13, 95, 0, "c", hs=[]),
+    ]
+    want = {
+        ("u0", "f", model.CLEARED, 1, "u3"), ("u1", "g", model.CLEARED, 1, "u5"), ("u4", "f", model.CLEARED, 1, "u5"), ("u2", "x", model.NEW, 1, None), ("u7", "f", model.NEW, 1, None),
+        ("u8", "m", model.CLEARED, 2, "u11"), ("u12", "n", model.NEW, 1, None), ("u3", "c", model.CLOSED, 1, None), ("u5", "c", model.CLOSED, 1, None), ("u11", "c", model.CLOSED, 1, None),
+    }
+    for name, cuts in (("one", [0, 14]), ("two", [0, 4, 9, 14])):
+        table = SummaryTable(spark, str(tmp_path / name))
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            table.fold(spark.createDataFrame(arrivals[a:b], schema), n)
+        got = table.read(len(cuts) - 2)
+        rows = [tuple(r) for r in got.select("uuid", "fingerprint", "status", "event_count", "cleared_by").collect()]
+        assert len(rows) == len(want) and set(rows) == want
+        assert got.select("fingerprint_hash").distinct().count() == len(want)
+
+
+def test_stream_of_flaps_equals_batch(spark, tmp_path):
+    from tidemark.sources import tables
+    from tidemark.streaming import engine
+
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    rows = [(f"u{i}", i, 1, 1000 * i * (1 if i < 60 else 40), "/A", (0, 4, 4, 0, 5, 2)[i * 7 % 6 if i % 5 else 0], 0, "h", None if i % 11 == 10 else f"e{i % 2}", "f") for i in range(120)]
+    df = spark.createDataFrame(rows, OCC)
+    want = {(r["uuid"], r["n_flaps"]) for r in reactions.flap_alerts(reactions.flaps(df, "element_uuid", interval_s=300), 2).collect()}
+    src = tmp_path / "in"
+    for a in (0, 50, 100):
+        df.where(f"arrival_seq between {a} and {a + 49}").coalesce(1).write.mode("append").parquet(str(src))
+        alerts = engine.flap_alerts(tables.stream(spark, str(src), df.schema), "element_uuid", 2, interval_s=300)
+        alerts.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    got = [(r["uuid"], r["n_flaps"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert want and len(got) == len(want) and set(got) == want

@@ -19,34 +19,39 @@ def fingerprint_hash(fingerprint: Column) -> Column:
     return F.sha1(truncate_utf8(fingerprint, model.LIMITS["fingerprint"]))
 
 
+def _extra(df: DataFrame) -> list[str]:
+    return [c for c in ("clear_hash",) if c in df.columns]
+
+
 def dedup(events: DataFrame) -> DataFrame:
-    """One summary for each fingerprint.
+    """One summary for each fingerprint, and life of it where events have a column life; clear_hash stays where there is one.
 
     Counts add up and the earliest time stays. The rest is the latest occurrence's: an occurrence is late if an
     earlier arrival was created after it, and late ones change neither status nor content. An acknowledged
     event stays so. Apart from the running maximum, which streams over each key's arrivals, all is aggregated before
     the shuffle.
     """
-    before = Window.partitionBy("hash").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
+    keys = ["hash", *(["life"] if "life" in events.columns else [])]
+    before = Window.partitionBy(*keys).orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
     keyed = events.withColumn("hash", fingerprint_hash(F.col("fingerprint")))
     marked = keyed.withColumn("late", F.coalesce(F.col("created") < F.max("created").over(before), F.lit(False)))
     on_time = lambda c: F.when(~F.col("late"), c)
-    last = F.max(on_time(F.struct("arrival_seq", "status", "event_class", "severity", "element_identifier", "element_uuid", "fingerprint")))
-    agg = marked.groupBy("hash").agg(
+    last = F.max(on_time(F.struct("arrival_seq", "status", "event_class", "severity", "element_identifier", "element_uuid", "fingerprint", *_extra(events))))
+    agg = marked.groupBy(*keys).agg(
         F.min_by("uuid", "arrival_seq").alias("uuid"), F.sum("count").alias("event_count"), F.min("created").alias("first_seen"), F.max("created").alias("last_seen"),
         last.alias("l"), F.coalesce(F.max(on_time(F.col("status") == model.ACKNOWLEDGED)), F.lit(False)).alias("acked"),
     )
     status = F.when(F.col("acked") & F.col("l.status").isin(model.NEW, model.SUPPRESSED), model.ACKNOWLEDGED).otherwise(F.col("l.status"))
-    return agg.select("uuid", F.col("hash").alias("fingerprint_hash"), "l.fingerprint", "l.event_class", "l.severity", status.alias("status"), "l.element_identifier", "l.element_uuid", "event_count", "first_seen", "last_seen")
+    return agg.select("uuid", F.col("hash").alias("fingerprint_hash"), "l.fingerprint", "l.event_class", "l.severity", status.alias("status"), "l.element_identifier", "l.element_uuid", "event_count", "first_seen", "last_seen", *(f"l.{c}" for c in _extra(events)), *keys[1:])
 
 
 def merge_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
     """Summaries of a new batch folded into those stored: the newer side leads, an acknowledgement stays."""
     both = old.withColumn("side", F.lit(0)).unionByName(new.withColumn("side", F.lit(1)))
-    lead = F.max(F.struct("last_seen", "side", "fingerprint", "event_class", "severity", "status", "element_identifier", "element_uuid"))
+    lead = F.max(F.struct("last_seen", "side", "fingerprint", "event_class", "severity", "status", "element_identifier", "element_uuid", *_extra(old)))
     agg = both.groupBy("fingerprint_hash").agg(F.min_by("uuid", "side").alias("uuid"), F.sum("event_count").alias("event_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), lead.alias("l"), F.max(F.col("status") == model.ACKNOWLEDGED).alias("acked"))
     status = F.when(F.col("acked") & F.col("l.status").isin(model.NEW, model.SUPPRESSED), model.ACKNOWLEDGED).otherwise(F.col("l.status"))
-    return agg.select("uuid", "fingerprint_hash", "l.fingerprint", "l.event_class", "l.severity", status.alias("status"), "l.element_identifier", "l.element_uuid", "event_count", "first_seen", "last_seen")
+    return agg.select("uuid", "fingerprint_hash", "l.fingerprint", "l.event_class", "l.severity", status.alias("status"), "l.element_identifier", "l.element_uuid", "event_count", "first_seen", "last_seen", *(f"l.{c}" for c in _extra(old)))
 
 
 def clears(events: DataFrame, clears_: DataFrame) -> DataFrame:

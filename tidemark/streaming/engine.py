@@ -2,16 +2,124 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark import model
 from tidemark.operators import state
 
+OLD, EVENT, CLEAR = range(3)
+
+
+def _lives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a key in arrival order, with the life of their fingerprint (it ends by a clear) and, for clears, the lives they end."""
+    key, active, lives = None, {}, {}
+    for rb in batches:
+        life, ended = [], []
+        columns = (rb.column(c).to_pylist() for c in ("key", "kind", "hash", "clear_hash", "created", "status"))
+        for k, kind, h, clear_hash, created, status in zip(*columns, strict=True):
+            if k != key:
+                key, active, lives = k, {}, {}
+            if kind == CLEAR:
+                gone = [f for f, (c, seen, s) in active.items() if c == clear_hash and seen <= created and s in model.OPEN_STATUSES]
+                ended.append([{"hash": f, "life": lives[f]} for f in gone])
+                life.append(None)
+                for f in gone:
+                    del active[f]
+                    lives[f] += 1
+                continue
+            lives.setdefault(h, 0)
+            if h not in active or created >= active[h][1]:
+                active[h] = (clear_hash, created, status)
+            life.append(lives[h])
+            ended.append([])
+        kind = pa.list_(pa.struct([("hash", pa.string()), ("life", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(life, pa.int32()), pa.array(ended, kind)], names=[*rb.schema.names, "life", "ended"])
+
+
+def apply_in_order(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """Summaries after a batch of occurrences with clear_hash, and clear_hashes where they are CLEAR.
+
+    In arrival order, a CLEAR occurrence ends the open events of its hashes that were last seen by then: they become
+    cleared, with cleared_by, and the next occurrence of their fingerprint starts a new summary. It is kept itself, closed,
+    if it ended any; otherwise it is dropped. The arrivals of a clear hash go through one task; hashes
+    that a fingerprint changes between go together.
+    """
+    is_clear = F.col("severity") == model.CLEAR
+    named = batch.withColumn("hash", state.fingerprint_hash(F.col("fingerprint"))).withColumn("kind", F.when(is_clear, CLEAR).otherwise(EVENT))
+    events = named.where(~F.coalesce(is_clear, F.lit(False))).drop("clear_hashes")
+    ends = named.where(is_clear).withColumn("clear_hash", F.explode(F.array_distinct("clear_hashes"))).drop("clear_hashes").where("clear_hash is not null")
+    rows = events.unionByName(ends)
+    idle = F.col("status").isin(model.CLOSED, model.CLEARED)
+    if old is not None:
+        held = old.where(~idle).select(F.col("fingerprint_hash").alias("hash"), F.lit(OLD).alias("kind"), F.lit(None).cast("long").alias("arrival_seq"), F.col("last_seen").alias("created"), "status", "clear_hash", "uuid")
+        rows = rows.unionByName(held, allowMissingColumns=True)
+    own = F.coalesce("clear_hash", F.concat(F.lit("f|"), "hash"))
+    linked = rows.where(F.col("kind") != CLEAR).groupBy("hash").agg(F.collect_set(own).alias("all")).where("size(all) > 1").select(F.explode("all").alias("key")).distinct()
+    keyed = rows.withColumn("key", own).join(linked.withColumn("link", F.lit("*")), "key", "left").withColumn("key", F.coalesce("link", "key")).drop("link")
+    ordered = keyed.repartition("key").sortWithinPartitions("key", F.col("arrival_seq").asc_nulls_first(), "uuid")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
+    done = ordered.mapInArrow(_lives, ddl + ", life int, ended array<struct<hash:string,life:int>>").localCheckpoint()
+    new = state.dedup(done.where(F.col("kind") == EVENT).drop("hash"))
+    first, later = new.where("life = 0").drop("life"), new.where("life > 0")
+    kept = first if old is None else state.merge_snapshots(old.where(~idle).drop("cleared_by"), first)
+    clears = done.where((F.col("kind") == CLEAR) & (F.size("ended") > 0))
+    by = clears.select(F.explode("ended").alias("e"), F.col("uuid").alias("cleared_by"), F.col("created").alias("at")).select(F.col("e.hash").alias("fingerprint_hash"), F.col("e.life").alias("life"), "cleared_by", "at")
+    out = kept.withColumn("life", F.lit(0)).unionByName(later).join(by, ["fingerprint_hash", "life"], "left")
+    gone = F.col("cleared_by").isNotNull()
+    salted = F.sha1(F.concat_ws("|", "fingerprint", "at", "cleared_by", "life"))
+    out = out.withColumn("fingerprint_hash", F.when(gone, salted).otherwise(F.col("fingerprint_hash"))).withColumn("status", F.when(gone, model.CLEARED).otherwise(F.col("status"))).drop("life", "at")
+    stored = clears.dropDuplicates(["uuid", "arrival_seq"]).select(
+        "uuid", F.sha1(F.concat_ws("|", "fingerprint", F.col("created") - 1, "uuid", "arrival_seq")).alias("fingerprint_hash"), "fingerprint", "event_class", "severity", F.lit(model.CLOSED).alias("status"), "element_identifier", "element_uuid",
+        F.col("count").cast("long").alias("event_count"), F.col("created").alias("first_seen"), F.col("created").alias("last_seen"), F.lit(None).cast("string").alias("clear_hash"), F.lit(None).cast("string").alias("cleared_by"),
+    )
+    out = out.unionByName(stored)
+    return out if old is None else out.unionByName(old.where(idle))
+
+
+def flap_alerts(events: DataFrame, key: str, count: int, threshold: int = model.WARNING, interval_s: int = 3600) -> DataFrame:
+    """(key, uuid, n_flaps) of a stream's occurrences that reactions.flap_alerts names in a batch.
+
+    A key's state is its last severity and the seconds of its flaps in the interval; it goes when the key is silent for
+    the interval, and the key then starts from CLEAR. In a micro-batch a key's occurrences count in the order of (created, arrival_seq);
+    of flaps in the same second, those that come later are not counted. A run with availableNow ends only where
+    spark.sql.streaming.noDataMicroBatches.enabled is false: Spark goes on with empty batches to look for time-outs.
+    """
+
+    def run(k, chunks: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        if kept.hasTimedOut:
+            kept.remove()
+            return
+        prev, times = kept.get if kept.exists else (model.CLEAR, [])
+        times, out = list(times), []
+        for _, created, severity, uuid in sorted((s, c, v, u) for x in chunks for c, s, v, u in zip(x["created"].tolist(), zip(x["created"].tolist(), x["arrival_seq"].tolist(), strict=True), x["severity"].tolist(), x["uuid"].tolist(), strict=True)):
+            now = created // 1000
+            if prev == model.CLEAR and severity >= threshold:
+                times.append(now)
+            n = 0 if severity == prev else sum(now - interval_s <= t <= now for t in times)
+            if n >= count and n % count == 0:
+                out.append((k[0], uuid, n))
+            times, prev = [t for t in times if t >= now - interval_s], severity
+        kept.update((prev, times))
+        kept.setTimeoutDuration(interval_s * 1000)
+        yield pd.DataFrame(out, columns=["key", "uuid", "n_flaps"])
+
+    seen = events.where(F.col("element_uuid").isNotNull()).select(F.col(key).cast("string").alias("key"), "created", "arrival_seq", "severity", "uuid")
+    return seen.groupBy("key").applyInPandasWithState(run, "key string, uuid string, n_flaps long", "prev int, times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
 
 class SummaryTable:
     """Versions of the summary table in a folder; a version is complete once its success marker is there.
 
     A micro-batch that is run again after a failure writes its own version again from the one before it, so
-    it counts once. There is no watermark: late occurrences are merged, never dropped.
+    it counts once. There is no watermark: late occurrences are merged, never dropped. CLEAR occurrences act on
+    the table in arrival order where occurrences have clear_hash and clear_hashes (the array of what a CLEAR ends);
+    without these columns nothing can be cleared, and they fold as ordinary ones.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -28,9 +136,12 @@ class SummaryTable:
         return self.spark.read.parquet(self.version(n))
 
     def fold(self, batch: DataFrame, n: int) -> None:
-        new = state.dedup(state.validate(batch))
-        if n > 0 and self._exists(n - 1):
-            new = state.merge_snapshots(self.read(n - 1), new)
+        old, valid = self.read(n - 1) if n > 0 and self._exists(n - 1) else None, state.validate(batch)
+        if {"clear_hash", "clear_hashes"} <= set(batch.columns):
+            new = apply_in_order(old, valid)
+        else:
+            new = state.dedup(valid)
+            new = new if old is None else state.merge_snapshots(old, new)
         new.write.mode("overwrite").parquet(self.version(n))
 
     def run(self, events: DataFrame, checkpoint: str):
