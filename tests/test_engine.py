@@ -246,3 +246,36 @@ def test_stream_of_flaps_equals_batch(spark, tmp_path):
     spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     got = [(r["uuid"], r["n_flaps"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert want and len(got) == len(want) and set(got) == want
+
+
+def test_spool_state_machine(spark):
+    """Every row of the survey's table, for r: (rule satisfied, subscription, spool before) -> (spool after, signal)."""
+    now, never = 1_000_000, reactions.NEVER
+    subs = [("n", "t", 0, 0, False), ("nr", "t", 0, 60, False), ("i", "t", 0, 0, True), ("ir", "t", 0, 60, True), ("d", "t", 30, 0, False), ("di", "t", 30, 0, True), ("dr", "t", 30, 60, False)]
+    cases = [
+        (False, "n", None, None, None), (False, "d", (5, False), (never, False), None), (False, "dr", (never, True), (never, True), None),
+        (True, "n", None, (never, True), False), (True, "nr", None, (now + 60000, True), False), (True, "nr", (7, False), (7, True), False), (True, "n", (7, True), (7, True), False),
+        (True, "i", None, (never, True), False), (True, "ir", None, (now + 60000, True), False), (True, "ir", (never, True), (now + 60000, True), None), (True, "ir", (7, True), (7, True), None), (True, "i", (never, True), (never, True), None),
+        (True, "d", None, (now + 30000, False), None), (True, "dr", None, (now + 30000, False), None), (True, "d", (never, True), (now + 30000, True), None), (True, "d", (7, False), (7, False), None),
+        (True, "di", (never, True), (never, True), None), (True, "dr", (now + 60001, True), (now + 60000, True), None), (True, "dr", (7, False), (7, False), None),
+    ]
+    # one event a case; of each, only the case's subscription counts
+    uuids = [f"e{i}" for i in range(len(cases))]
+    before = [(u, c[1], *c[2]) for u, c in zip(uuids, cases, strict=True) if c[2]] + [("closed", "n", 5, True), ("closed", "d", 5, False), ("elsewhere", "d", 5, False), ("e0", "unknown", 5, False)]
+    events = [(u, 0) for u in uuids] + [("closed", model.CLOSED)]
+    matches = [(u, "t") for u, c in zip(uuids, cases, strict=True) if c[0]] + [("closed", "t")]
+    signals, spool = reactions.advance(
+        spark.createDataFrame(events, "uuid string, status int"), spark.createDataFrame(matches, "uuid string, trigger string"),
+        spark.createDataFrame(subs, "subscription string, trigger string, delay_seconds int, repeat_seconds int, send_initial boolean"),
+        spark.createDataFrame(before, "uuid string, subscription string, flush_time long, sent boolean"), now,
+    )
+    after = {(r["uuid"], r["subscription"]): (r["flush_time"], r["sent"]) for r in spool.collect()}
+    sent = {(r["uuid"], r["subscription"]): r["clear"] for r in signals.collect()}
+    for u, (_, sub, _, want, signal) in zip(uuids, cases, strict=True):
+        assert after.get((u, sub)) == want and sent.get((u, sub)) == signal, (u, sub)
+    assert [k for k in after if k[0] == "closed"] == [] and {k: v for k, v in sent.items() if k[0] == "closed"} == {("closed", "n"): True}
+    assert after["elsewhere", "d"] == (5, False) and after["e0", "unknown"] == (5, False)
+    subs = spark.createDataFrame([("s", 60)], "subscription string, repeat_seconds int")
+    due = spark.createDataFrame([("a", "s", 5, True), ("gone", "s", 5, True)], "uuid string, subscription string, flush_time long, sent boolean")
+    none, rest = reactions.flush(due, subs, spark.createDataFrame([("a", model.CLOSED)], "uuid string, status int"), 10)
+    assert none.count() == 0 and rest.count() == 0

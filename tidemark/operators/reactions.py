@@ -119,19 +119,50 @@ def matched(events: DataFrame, triggers: dict[str, str], columns: dict[str, Colu
     return events.select("uuid", F.explode(hits).alias("trigger"))
 
 
+NEVER = -1  # the flush_time of a spool that is not due again
+
+
+def advance(events: DataFrame, matches: DataFrame, subscriptions: DataFrame, spool: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(signals, the spool) after a batch of events (uuid, status) that meets a spool (uuid, subscription, flush_time, sent).
+
+    matches are all of the batch's; subscriptions have delay_seconds, repeat_seconds and send_initial. A signal has clear where its event
+    is closed; spools of closed events go, and those of events outside the batch stay as they are.
+    """
+    now, delay, repeat = F.lit(now_ms).cast("long"), F.col("delay_seconds").cast("long") * 1000, F.col("repeat_seconds").cast("long") * 1000
+    seen = events.groupBy("uuid").agg(F.max(F.col("status").isin(*model.OPEN_STATUSES)).alias("open"))
+    hits = matches.select("uuid", "trigger").distinct().join(subscriptions.select("subscription", "trigger"), "trigger").join(seen.where("open").select("uuid"), "uuid").select("uuid", "subscription", F.lit(True).alias("hit"))
+    both = spool.select("uuid", "subscription", "flush_time", "sent", F.lit(True).alias("there")).join(hits, ["uuid", "subscription"], "full_outer")
+    all_ = both.join(seen, "uuid", "left").join(subscriptions.select("subscription", "delay_seconds", "repeat_seconds", "send_initial"), "subscription", "left")
+    there, hit, initial = F.coalesce("there", F.lit(False)), F.coalesce("hit", F.lit(False)), F.coalesce("send_initial", F.lit(False))
+    at_once, closed = delay <= 0, ~F.coalesce("open", F.lit(True))
+    first = F.when(delay > 0, now + delay).when(repeat > 0, now + repeat).otherwise(F.lit(NEVER).cast("long"))
+    pulled = F.when((repeat > 0) & ((F.col("flush_time") == NEVER) | (F.col("flush_time") > now + repeat)), now + repeat).otherwise(F.col("flush_time"))
+    known = F.col("open") & F.col("delay_seconds").isNotNull()
+    again = F.when((repeat == 0) & ~initial & (F.col("flush_time") == NEVER), now + delay).otherwise(pulled)
+    flush_time = (
+        F.when(~hit, F.when(known, F.lit(NEVER).cast("long")).otherwise(F.col("flush_time")))
+        .when(~there, first).when(at_once & ~initial, F.col("flush_time")).when(at_once, pulled).otherwise(again)
+    )
+    goes = hit & at_once & (~initial | ~there)
+    sent = goes | F.coalesce("sent", F.lit(False))
+    cleared = closed & there & F.coalesce("sent", F.lit(False))
+    signals = all_.where(goes | cleared).select("uuid", "subscription", closed.alias("clear"))
+    return signals, all_.where(~closed).select("uuid", "subscription", flush_time.alias("flush_time"), sent.alias("sent"))
+
+
 def schedule(matches: DataFrame, subscriptions: DataFrame, now_ms: int) -> DataFrame:
-    """The spool: when each subscription of a matched trigger is due. Without a delay the signal goes out at once."""
+    """What matched triggers enter in an empty spool, as the registered SQL has it: due after the delay, at once without one. advance() has all rules."""
     due = F.lit(now_ms).cast("long") + F.col("delay_seconds") * 1000
     return matches.join(subscriptions, "trigger").select("uuid", "subscription", due.alias("flush_time"), (F.col("delay_seconds") == 0).alias("sent"))
 
 
 def flush(spool: DataFrame, subscriptions: DataFrame, summaries: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
-    """(signals due by now, the spool after them): repeats go on unless acknowledged or not wanted."""
+    """(signals due by now, the spool after them): repeats go on unless acknowledged or not wanted; spools of closed and missing events go."""
     due = spool.where((F.col("flush_time") <= now_ms) & (F.col("flush_time") >= 0))
     full = due.join(subscriptions.select("subscription", "repeat_seconds"), "subscription").join(summaries.select("uuid", "status"), "uuid", "left")
     signals = full.where(F.col("status").isin(*model.OPEN_STATUSES)).select("uuid", "subscription")
     again = (F.col("repeat_seconds") > 0) & (F.col("status") != model.ACKNOWLEDGED)
     nxt = F.when(again, F.lit(now_ms).cast("long") + F.col("repeat_seconds") * 1000).otherwise(F.lit(-1).cast("long"))
-    later = full.select("uuid", "subscription", nxt.alias("flush_time"), F.lit(True).alias("sent"))
+    later = full.where(F.col("status").isin(*model.OPEN_STATUSES)).select("uuid", "subscription", nxt.alias("flush_time"), F.lit(True).alias("sent"))
     rest = spool.join(due.select("uuid", "subscription"), ["uuid", "subscription"], "left_anti")
     return signals, rest.unionByName(later)
