@@ -54,7 +54,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the first stage's distances nor the last one's tokens; the tests run a brute-force version.
+#: SQL can express neither the first stage's distances nor the last one's tokens. No test runs the stages one after another.
 ORACLE_SQL = None
 
 
