@@ -78,6 +78,13 @@ def test_url_templates_learn_from_labels(spark):
     assert got == {(1, "block"), (0, "allow")}
 
 
+def test_url_filter_allows_a_clean_section_beside_blocked_ones(spark):
+    urls = [f"http://h{n}.net/{s}/{'abcdefghijklmnopqrst'[i]}" for n in (1, 4, 5) for s, k in (("es", 15), ("fr", 15), ("de", n)) for i in range(k)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {(r["host"], r["path"][:4], r["verdict"]) for r in url_filter.judge(df).collect()}
+    assert got == {(f"h{n}.net", s, v) for n in (1, 4, 5) for s, v in (("/es/", "block"), ("/fr/", "block"), ("/de/", "allow"))}
+
+
 def test_url_filter_runs_no_python(spark):
     df = spark.createDataFrame([(1, "http://a/b")], "page_id long, url string")
     for frame_ in (url_filter.judge(df), license_scan.scan(df.select(F.col("page_id").alias("doc_id"), F.col("url").alias("text")))):

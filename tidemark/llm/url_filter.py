@@ -8,8 +8,10 @@ Tree. A path is its first `depth` segments; what comes after them is one more, o
 runs in a segment are generalised at once. Then, level by level from the root of each host, a
 child is merged into the wildcard `*` unless it stands out from its siblings: it does if its share of blocked
 labels differs from its siblings' by `z` standard errors, or if it has at least `support` urls and
-no labels where its siblings have some. What is left of a path is its template. A template is
-rejected if it has labels and its smoothed purity, (blocked + prior * strength) / (labels + strength), reaches `purity`.
+no labels where its siblings have some. A child without labels beside siblings that rules block stands out
+at any count: the rules cover all of what they fit, so that it has no label says something. What is left of a path is its template. A template is
+rejected if it has labels and its smoothed purity, (blocked + prior * strength) / (labels + strength), reaches `purity`. So urls of a
+host without any label are always allowed.
 
 The tree is built on counts of different (host, segments), so a host with very many urls is aggregated before it
 is shuffled; no step collects the children of a branch in one place.
@@ -67,24 +69,24 @@ def segments(path: Column, depth: int) -> Column:
 
 
 def templates(urls: DataFrame, opt: Options = Options()) -> DataFrame:
-    """(host, segs, template, n_labels, n_blocked, purity, rejected) for each different (host, segs); urls has host, segs, bad (1, 0 or null)."""
-    nodes = urls.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
+    """(host, segs, template, n_labels, n_blocked, purity, rejected) for each different (host, segs); urls has host, segs, bad (1, 0 or null), ruled (bad is a rule's block)."""
+    nodes = urls.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.count_if("ruled").alias("r"))
     nodes = nodes.withColumn("prefix", F.lit(""))
     for level in range(opt.depth):
         saved = frames.Saved(nodes).df
         seg = F.get("segs", F.lit(level))
-        here = saved.where(seg.isNotNull()).select("host", "prefix", seg.alias("seg"), "n", "l", "b")
-        child = here.groupBy("host", "prefix", "seg").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"))
-        parent = child.groupBy("host", "prefix").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"))
+        here = saved.where(seg.isNotNull()).select("host", "prefix", seg.alias("seg"), "n", "l", "b", "r")
+        child = here.groupBy("host", "prefix", "seg").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"), F.sum("r").alias("r"))
+        parent = child.groupBy("host", "prefix").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"), F.sum("r").alias("pr"))
         ol, ob = F.col("pl") - F.col("l"), F.col("pb") - F.col("b")  # siblings
         pooled = (F.col("pb") + 1) / (F.col("pl") + 2)
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("l"), F.lit(1)) + 1 / F.greatest(ol, F.lit(1))))
         differs = (F.col("l") > 0) & (ol > 0) & (F.abs(F.col("b") / F.greatest(F.col("l"), F.lit(1)) - ob / F.greatest(ol, F.lit(1))) >= opt.z * error)
-        bare = ((F.col("l") == 0) != (ol == 0)) & (F.col("n") >= opt.support)
+        bare = ((F.col("l") == 0) != (ol == 0)) & (F.col("n") >= opt.support) | (F.col("l") == 0) & (F.col("pr") > 0)
         kept = frames.join(child, parent, ["host", "prefix"]).where(differs | bare).select("host", "prefix", "seg", F.lit(True).alias("stands"))
         joined = frames.join(saved.withColumn("seg", F.coalesce(seg, F.lit(""))), kept, ["host", "prefix", "seg"], "left")
         step = F.when(seg.isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.when(F.coalesce("stands", F.lit(False)), F.col("seg")).otherwise(F.lit("*"))))
-        nodes = joined.select("host", "segs", "n", "l", "b", F.concat("prefix", step).alias("prefix"))
+        nodes = joined.select("host", "segs", "n", "l", "b", "r", F.concat("prefix", step).alias("prefix"))
     nodes = frames.Saved(nodes.withColumn("template", F.concat("prefix", F.when(F.size("segs") > opt.depth, F.lit("/**")).otherwise(F.lit(""))))).df
     totals = nodes.groupBy("host", "template").agg(F.sum("l").alias("n_labels"), F.sum("b").alias("n_blocked"))
     purity = (F.col("n_blocked") + opt.prior * opt.strength) / (F.col("n_labels") + opt.strength)
@@ -103,7 +105,7 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, opt: O
     else:
         cut = cut.withColumn("given", F.lit(None).cast("int"))
     said = F.when(F.col("r.verdict") == "block", 1).when(F.col("r.verdict") == "allow", 0)
-    urls = frames.Saved(cut.withColumn("bad", F.coalesce(said, "given"))).df
+    urls = frames.Saved(cut.withColumn("bad", F.coalesce(said, "given")).withColumn("ruled", F.coalesce(said == 1, F.lit(False)))).df
     tree = templates(urls, opt).select("host", "segs", "template", "purity", "rejected")
     out = frames.join(urls, tree, ["host", "segs"])
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
