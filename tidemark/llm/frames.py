@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -11,7 +10,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Arrow batches are bounded by bytes and rows, since Python workers hold a batch whole; shuffles are deleted with the query that made them.
+_SETTINGS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+def settle(spark: SparkSession) -> None:
+    """Sets the session's limits that the operators' memory and disk rely on."""
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,9 +35,11 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -45,11 +61,9 @@ class Saved:
     def __init__(self, df: DataFrame, spark: SparkSession | None = None):
         self.spark = spark or df.sparkSession
         self.path = f"{shared_dir(self.spark)}/tidemark-{uuid.uuid4().hex}"
+        settle(self.spark)
         df.write.option("compression", "zstd").parquet(self.path)
         self.schema = df.schema
-        # nothing refers to the shuffles that fed this table any more: let Spark's cleaner remove their files
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
         atexit.register(_delete, self.spark, self.path)
 
     @property
@@ -60,6 +74,22 @@ class Saved:
         _delete(self.spark, self.path)
 
 
+class Scratch:
+    """Tables that are deleted when the block ends."""
+
+    def __enter__(self) -> Scratch:
+        self._made: list[Saved] = []
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self._made.append(Saved(df))
+        return self._made[-1].df
+
+    def __exit__(self, *_) -> None:
+        for t in self._made:
+            t.drop()
+
+
 def join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """A sort-merge join whatever the sizes: no side has a proven bound, and adaptive execution splits its hot keys."""
     return left.join(right.hint("merge"), on, how)

@@ -13,7 +13,8 @@ import sys
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+#: A chunk's arrays take up to some 50 bytes for each byte of it, beside the buffers of one Arrow batch.
+CHUNK_BYTES = 512 << 10
 _U = np.uint64
 
 
@@ -31,20 +32,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: Any odd number does: its powers modulo 2**64 can be undone.
 _BASE = 0x2545F4914F6CDD1D
+#: Arrays are worked through in slabs that fit a core's cache, with one table of powers for all of them.
+_BITS = 15
+SLAB = 1 << _BITS
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base, and of its inverse modulo 2**64."""
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The first SLAB powers of the base, and of its inverse modulo 2**64."""
     c = cache()
-    if "powers" not in c or len(c["powers"][0]) < n:
-        m = 1 << max(10, (n - 1).bit_length())
-        out = []
-        for b in (_BASE, pow(_BASE, -1, 2**64)):
-            p = np.full(m, b, dtype=_U)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        c["powers"] = tuple(out)
-    return c["powers"][0][:n], c["powers"][1][:n]
+    if "powers" not in c:
+        c["powers"] = tuple(_power_table(b, SLAB) for b in (_BASE, pow(_BASE, -1, 2**64)))
+    return c["powers"]
+
+
+def _power_table(b: int, n: int) -> np.ndarray:
+    p = np.full(max(1, n), b, dtype=_U)
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+def _slab_powers(n: int, inverse: bool) -> np.ndarray:
+    """The powers at the beginning of each slab of n places."""
+    b = pow(_BASE, -1, 2**64) if inverse else _BASE
+    return _power_table(pow(b, SLAB, 2**64), n // SLAB + 1)
 
 
 def byte_table(seed: int, fold_case: bool = False) -> np.ndarray:
@@ -122,16 +132,12 @@ class Words:
     def __init__(self, b: Batch, kind: str = "space"):
         inside = ~separator_table(kind)[b.buf]
         n = len(inside)
-        begin = np.zeros(n + 1, dtype=bool)
-        begin[b.off[:-1][b.off[:-1] < n]] = True  # no word crosses a document's edge
-        starts = inside.copy()
-        if n:
-            starts[1:] &= ~inside[:-1] | begin[1:n]
-        self.start = np.flatnonzero(starts)
-        stop = inside.copy()
+        edge = np.ones(n + 1, dtype=bool)  # a word may begin or end here
         if n:
-            stop[:-1] &= ~inside[1:] | begin[1:n]
-        self.end = np.flatnonzero(stop) + 1
+            np.not_equal(inside[1:], inside[:-1], out=edge[1:n])
+        edge[b.off] = True  # no word crosses a document's edge
+        self.start = np.flatnonzero(edge[:n] & inside)
+        self.end = np.flatnonzero(edge[1:] & inside) + 1
         self.first = np.searchsorted(self.start, b.off)
         self.batch = b
 
@@ -143,21 +149,36 @@ class Words:
         return span_digests(self.batch.buf, self.start, self.end, seed, fold_case)
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    p, _ = powers(len(values))
-    out = np.zeros(len(values) + 1, dtype=_U)
-    np.cumsum(values * p, out=out[1:])
+def prefix(values: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Prefix sums of the polynomial over values (or table[values]): 8 bytes a value and one slab."""
+    n = len(values)
+    p, high = _powers()[0], _slab_powers(n, inverse=False)
+    out = np.zeros(n + 1, dtype=_U)
+    for k, at in enumerate(range(0, n, SLAB)):
+        v = values[at : at + SLAB]
+        v = (v if table is None else table[v]) * p[: len(v)]
+        v *= high[k]
+        own = out[at + 1 : at + 1 + len(v)]
+        np.cumsum(v, out=own)
+        own += out[at]
     return out
 
 
 def spans(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Digests of [start, end) from the prefix sums; the length is part of the digest."""
-    _, inv = powers(len(pre))
-    return mix((pre[end] - pre[start]) * inv[start] + (end - start).astype(_U) * _U(0xA24BAED4963EE407))
+    inv, high = _powers()[1], _slab_powers(len(pre), inverse=True)
+    out = np.empty(len(start), dtype=_U)
+    for at in range(0, len(start), SLAB):
+        s, e = start[at : at + SLAB], end[at : at + SLAB]
+        d = (pre[e] - pre[s]) * inv[s & (SLAB - 1)]
+        if len(high) > 1:
+            d *= high[s >> _BITS]
+        out[at : at + SLAB] = mix(d + (e - s).astype(_U) * _U(0xA24BAED4963EE407))
+    return out
 
 
 def span_digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int, fold_case: bool = False) -> np.ndarray:
-    return spans(prefix(byte_table(seed, fold_case)[buf]), start, end)
+    return spans(prefix(buf, byte_table(seed, fold_case)), start, end)
 
 
 def windows(words: Words, size: int) -> np.ndarray:
@@ -170,9 +191,9 @@ def windows(words: Words, size: int) -> np.ndarray:
 
 def cover(n: int, starts: np.ndarray, size) -> np.ndarray:
     """True for each of n places inside any [start, start + size)."""
-    d = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(d, starts, 1)
-    np.add.at(d, np.minimum(starts + size, n), -1)
+    if not len(starts):
+        return np.zeros(n, dtype=bool)
+    d = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + size, n), minlength=n + 1)
     return np.cumsum(d[:n]) > 0
 
 

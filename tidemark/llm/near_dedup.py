@@ -8,18 +8,25 @@ are banded. Nodes that share a band are candidates; their Jaccard index is estim
 registers, less the share of registers that are expected to be equal by chance, and pairs
 that could reach the threshold are verified on the full sets.
 
-Pairs of a band are not all formed. A node's centre score is the number of nodes that it meets in its
-bands; an original scores above its edited copies. First every node is paired with the most
-central node of each of its bands, and the links found make components. Then, in bands that still
-hold several components, every node is paired with the most central node of another component, and
-then with its likeliest partner in another one by the sketches. At last, in bands that are still open, only nodes of different components are compared, by their sketches and in
-blocks of bounded size: any other link lies inside one component and cannot change it. So no link
-that matters is lost, however many nodes a band holds. A pair at the
-threshold exactly shares no band with a probability of (1 - 0.8 ** rows) ** bands, 5e-8 here.
+Pairs of a band are never rows. A node's centre score is the number of nodes that it meets in its
+bands; an original scores above its edited copies.
+
+1. Every node is paired with the most central node of each of its bands. That closes most bands.
+2. In bands that are still open, nodes meet in blocks of bounded size. A block compares sketches and gives back a
+   forest: at most one link for each of its rows, which joins all nodes whose sketches allow a link. The components of these
+   candidate links hold every link.
+3. The pairs of step 1 are verified on the full sets, and their links make components. In candidate components that
+   still hold several of these, nodes meet in blocks again: intersections of full sets are counted for all pairs of a block at once by a product of
+   0-1 matrices, and the block gives back a forest of its verified links.
+
+Members of the component that holds most of a group are not compared with each other, so a group costs its minority
+times its size, over blocks. A pair at the threshold exactly shares no band with a probability of
+(1 - 0.8 ** rows) ** bands, 5e-8 here.
 
 Defined results: null, empty and white texts have no shingles and are linked with nothing. Repeated rows
 are one node and get the same group. A null doc_id never names a group that has another id;
-a group of null ids alone has a null component_id and its rows are kept. Other columns are ignored.
+a group of null ids alone has a null component_id and its rows are kept. A very long text takes some 40 bytes of memory for each of its
+bytes. Ties (pairs at the threshold exactly) are linked. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import frames, kernels
+from tidemark.llm import frames, kernels, union_find
 from tidemark.llm.components import components
 
 
@@ -44,7 +51,8 @@ class Options:
     band: int = 4
     mantissa: int = 10
     slack: float = 5.0
-    block: int = 1024  # nodes of a band that are compared at once
+    block: int = 1024  # nodes of a group that are compared at once
+    block_shingles: int = 1 << 20  # and their shingles
 
 
 def distinct_shingles(b: kernels.Batch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +69,11 @@ def distinct_shingles(b: kernels.Batch, size: int) -> tuple[np.ndarray, np.ndarr
     first = np.cumsum(per) - per
     start = np.arange(len(doc)) - first[doc] + words.first[:-1][doc]
     d = kernels.spans(pre, start, start + length[doc])
-    sets = [np.unique(d[i : i + k]) for i, k in zip(first.tolist(), per.tolist(), strict=True)]
-    return (np.concatenate(sets) if sets else d), np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64)))
+    for i, k in zip(first.tolist(), per.tolist(), strict=True):
+        d[i : i + k].sort()
+    new = np.ones(len(d), dtype=bool)
+    new[1:] = (d[1:] != d[:-1]) | (doc[1:] != doc[:-1])
+    return d[new], np.concatenate(([0], np.cumsum(np.bincount(doc[new], minlength=b.n))))
 
 
 def sketches(values: np.ndarray, first: np.ndarray, opt: Options) -> np.ndarray:
@@ -91,11 +102,23 @@ def chance(n_a: np.ndarray, n_b: np.ndarray, opt: Options) -> np.ndarray:
     return (p(n_a) * p(n_b)).sum(-1) / 2**opt.mantissa
 
 
+STEPS = 8  # set sizes are rounded to an eighth of an octave where chances are looked up
+
+
+def _chances(opt: Options) -> np.ndarray:
+    """A table of `chance` by rounded set sizes."""
+    c = kernels.cache()
+    if ("chances", opt) not in c:
+        n = 2.0 ** (np.arange(32 * STEPS) / STEPS)
+        c["chances", opt] = np.stack([chance(np.full(len(n), x), n, opt) for x in n])
+    return c["chances", opt]
+
+
 def estimated(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, opt: Options) -> tuple[np.ndarray, np.ndarray]:
     """The corrected estimate, and whether it reaches the threshold with `slack` standard errors in its favour. Sketches are rows."""
     used = ((a != 0) | (b != 0)).sum(-1)
     equal = ((a == b) & (a != 0)).sum(-1)
-    by_chance = chance(n_a, n_b, opt)
+    by_chance = _chances(opt)[tuple(np.rint(np.log2(np.maximum(n, 1)) * STEPS).astype(np.int64) for n in (n_a, n_b))]
     estimate = (equal / np.maximum(used, 1) - by_chance) / (1 - by_chance)
     t = opt.percent / 100
     near_sizes = 100 * np.minimum(n_a, n_b) >= opt.percent * np.maximum(n_a, n_b)
@@ -119,168 +142,304 @@ def _sketch(docs: DataFrame, opt: Options) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_key long, node binary, n long, sketch binary")
 
 
-def _bands(nodes: DataFrame, opt: Options) -> frames.Saved:
-    """(key, band, node, size, centre) of every band that several nodes share."""
+def _bands(nodes: DataFrame, opt: Options, keep: frames.Scratch) -> DataFrame:
+    """(key, nid, centre) of every band that several nodes share."""
     width = 2 * opt.band
     keys = F.transform(F.sequence(F.lit(0), F.lit(opt.registers // opt.band - 1)), lambda i: F.struct(i.alias("i"), F.substring("sketch", i * width + 1, F.lit(width)).alias("k")))
     used = F.filter(keys, lambda x: x["k"] != F.lit(bytes(width)))
-    every = nodes.select("node", F.explode(F.transform(used, lambda x: F.struct(x["i"].alias("band"), F.xxhash64(x["i"], x["k"]).alias("key")))).alias("at")).select("at.key", "at.band", "node")
+    every = nodes.select("nid", F.explode(F.transform(used, lambda x: F.xxhash64(x["i"], x["k"]))).alias("key"))
     sizes = every.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = frames.Saved(frames.join(every, sizes, ["key"]))
-    centre = shared.df.groupBy("node").agg(F.sum("size").alias("centre"))
-    out = frames.Saved(frames.join(shared.df, centre, ["node"]))
-    shared.drop()
-    return out
+    shared = keep(frames.join(every, sizes, ["key"]).select("key", "nid", "size"))
+    centre = shared.groupBy("nid").agg(F.sum("size").alias("centre"))
+    return keep(frames.join(shared, centre, ["nid"]).select("key", "nid", "centre"))
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, opt: Options) -> DataFrame:
-    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+def _star_pairs(bands: DataFrame, nodes: DataFrame, opt: Options) -> DataFrame:
+    """(nid, pivot, centre) of nodes and the most central node of one of their bands whose sketches allow a link; centre is the pivot's."""
+    pivots = bands.groupBy("key").agg(F.max(F.struct("centre", "nid")).alias("p"))
+    pairs = frames.join(bands, pivots, ["key"]).where("nid <> p.nid").select("nid", F.col("p.nid").alias("pivot"), F.col("p.centre").alias("centre")).distinct()
+    a = nodes.select("nid", F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    b = nodes.select(F.col("nid").alias("pivot"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            for at in range(0, rb.num_rows, 4096):
-                x = rb.slice(at, 4096)
-                s = [np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint16).reshape(-1, opt.registers) for k in (2, 3)]
-                n = [x.column(k).to_numpy() for k in (4, 5)]
-                yield x.select([0, 1]).filter(pa.array(estimated(*s, *n, opt)[1]))
+            s = [_registers(rb.column(k), opt) for k in (3, 4)]
+            n = [rb.column(k).to_numpy() for k in (5, 6)]
+            yield rb.select([0, 1, 2]).filter(pa.array(estimated(*s, *n, opt)[1]))
 
-    return frames.join(frames.join(pairs, a, ["a"]), b, ["b"]).select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(run, "a binary, b binary")
+    near = F.lit(100) * F.least("n_a", "n_b") >= opt.percent * F.greatest("n_a", "n_b")
+    both = frames.join(frames.join(pairs, a, ["nid"]), b, ["pivot"]).where(near)
+    return both.select("nid", "pivot", "centre", "s_a", "s_b", "n_a", "n_b").mapInArrow(run, "nid long, pivot long, centre long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, opt: Options) -> DataFrame:
-    """The full shingle sets (sorted 64-bit digests) of the wanted nodes (node, doc, text_key)."""
+def _registers(col: pa.Array, opt: Options) -> np.ndarray:
+    """A column of sketches as rows of registers, without Python objects."""
+    return kernels.arrow_batch(col).buf.view(np.uint8).copy().view(np.uint16).reshape(len(col), opt.registers)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            for part, b in kernels.chunks(rb, "text"):
-                values, first = distinct_shingles(b, opt.shingle)
-                sets = [values[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    joined = frames.join(docs.select(F.col("doc_id").alias("doc"), "text_key", "text"), wanted, ["doc", "text_key"])
-    return joined.select("node", "text").mapInArrow(run, "node binary, set binary")
+def _meetings(members: DataFrame, by: str, block: Column, opt: Options) -> DataFrame:
+    """Members of each group `by`, dealt into blocks that must meet: adds i, j (a pair of blocks) and mine (i or j).
 
+    Members of one label need no comparison with each other, so the members with the group's major label are dealt into blocks of
+    their own, which only meet the blocks of the others. `block` is the number of blocks that a count of members and their size take.
+    """
+    labels = members.groupBy(by, "label").agg(F.count("*").alias("m"), F.sum("weight").alias("w"))
+    major = labels.groupBy(by).agg(F.max(F.struct("m", "label", "w")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w")).where("top.m < m")
+    blocks = major.select(by, F.col("top.label").alias("major"), block(F.col("m") - F.col("top.m"), F.col("w") - F.col("top.w")).alias("minors"), block(F.col("top.m"), F.col("top.w")).alias("majors"))
+    rows = frames.join(members, blocks, [by])
+    is_major = F.col("label") == F.col("major")
+    mine = F.when(is_major, F.col("minors") + F.pmod(F.xxhash64("nid"), "majors")).otherwise(F.pmod(F.xxhash64("nid"), "minors")).cast("int")
+    last = F.when(is_major, F.col("minors") - 1).otherwise(F.col("minors") + F.col("majors") - 1).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), last), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
+    return rows.select(by, "nid", "label", mine.alias("mine"), F.explode(meets).alias("at")).select(by, F.col("at.i").alias("i"), F.col("at.j").alias("j"), "mine", "nid", "label")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows (group in the first three columns) as tables of whole groups of about `limit` bytes or more, with where groups begin."""
+    held: list[pa.RecordBatch] = []
+    for rb in batches:
+        if not rb.num_rows:
+            continue
+        if held and sum(x.nbytes for x in held) >= limit:
+            t = pa.Table.from_batches(held)
+            edges = _edges(t)
+            cut = int(edges[-1])
+            if cut:
+                yield t.slice(0, cut).combine_chunks(), edges[:-1]
+                held = t.slice(cut).combine_chunks().to_batches()
+        held.append(rb)
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, _edges(t)
+
+
+def _edges(t: pa.Table) -> np.ndarray:
+    new = np.ones(t.num_rows, dtype=bool)
+    new[1:] = False
+    for k in range(3):
+        v = t.column(k).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def _pairs_in(begin: np.ndarray, end: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs x < y inside each [begin, end), about `step` of them at a time."""
+    sizes = end - begin
+    x = np.repeat(begin, sizes) + (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+    per = np.repeat(end, sizes) - 1 - x
+    total = np.cumsum(per)
+    at = 0
+    while at < len(x):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + step, side="right")))
+        p = per[at:to]
+        a = np.repeat(x[at:to], p)
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(p) - p, p)
+        at = to
+
+
+def _forest(of: np.ndarray, nid: np.ndarray) -> pa.RecordBatch:
+    """A link from each place to its class, as (a, b); links within one node are none."""
+    a, b = nid, nid[of]
+    some = a != b
+    return pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(b[some])], names=["a", "b"])
+
+
+def _alike(rows: DataFrame, nodes: DataFrame, opt: Options) -> DataFrame:
+    """Links (a, b) that join all nodes of a block whose sketches allow a link: a forest, fewer links than rows.
+
+    Nodes that are joined already are not compared, so the pairs of a dense block are soon done.
+    """
 
-def _verified(pairs: DataFrame, sets: DataFrame, opt: Options) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            keep = []
-            for x, y in zip(rb.column(2), rb.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= opt.percent * (len(x) + len(y) - both))
-            yield rb.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    a, b = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
-    return frames.join(frames.join(pairs, b, ["b"]), a, ["a"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
+        for t, begin in _whole_groups(batches, 1 << 20):
+            i, j, mine, nid, label, n = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
+            s = _registers(t.column(7), opt)
+            end = np.append(begin[1:], t.num_rows)
+            group = np.repeat(np.arange(len(begin)), end - begin)
+            of = union_find.classes(np.arange(len(nid)), *_same(group, label))
+            for x, y in _pairs_in(begin, end, 1 << 14):
+                some = (of[x] != of[y]) & ((i[x] == j[x]) | (mine[x] != mine[y])) & (100 * np.minimum(n[x], n[y]) >= opt.percent * np.maximum(n[x], n[y]))
+                x, y = x[some], y[some]
+                if len(x):
+                    able = estimated(s[x], s[y], n[x], n[y], opt)[1]
+                    if able.any():
+                        of = union_find.classes(of, x[able], y[able])
+            yield _forest(of, nid)
+
+    sketched = frames.join(rows, nodes.select("nid", "n", "sketch"), ["nid"]).select("key", "i", "j", "mine", "nid", "label", "n", "sketch")
+    return sketched.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _same(group: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between places that agree in both."""
+    order = np.lexsort((label, group))
+    a, b = order[:-1], order[1:]
+    same = (group[a] == group[b]) & (label[a] == label[b])
+    return a[same], b[same]
+
+
+def linked(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of sets (sorted distinct digests) with 100 * intersection >= percent * union, by exact counts.
+
+    With left, only pairs of a set that is left and one that is not. Shingles that one set alone has are in no intersection, and sets
+    without enough others are dropped; what is left is multiplied as a 0-1 matrix, some columns at a time.
+    """
+    m = len(sets)
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    if m == 2 or left is not None and min(left.sum(), m - left.sum()) == 1:
+        one = 0 if m == 2 else int(np.flatnonzero(left)[0] if left.sum() == 1 else np.flatnonzero(~left)[0])
+        other = np.array([k for k in range(m) if k != one])
+        both = np.array([_common(sets[one], sets[k]) for k in other.tolist()], dtype=np.int64)
+        ok = 100 * both >= percent * (size[one] + size[other] - both)
+        return np.full(int(ok.sum()), one), other[ok]
+    value = np.concatenate(sets)
+    owner = np.repeat(np.arange(m, dtype=np.int32), size)
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    new = np.ones(len(value), dtype=bool)
+    new[1:] = value[1:] != value[:-1]
+    column = np.cumsum(new) - 1
+    live = np.ones(m, dtype=bool)
+    while True:
+        shared = np.bincount(column)[column] > 1
+        column, owner = column[shared], owner[shared]
+        keep = 100 * np.bincount(owner, minlength=m) >= percent * size
+        if keep[owner].all():
+            live &= keep
+            break
+        column, owner = column[keep[owner]], owner[keep[owner]]
+    names = np.flatnonzero(live)
+    place = np.zeros(m, dtype=np.int64)
+    place[names] = np.arange(len(names))
+    _, column = np.unique(column, return_inverse=True)
+    width = 2048
+    both = np.zeros((len(names), len(names)), dtype=np.float32)
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
+    for c, (p, q) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        x = np.zeros((len(names), width), dtype=np.float32)
+        x[place[owner[p:q]], column[p:q] - c * width] = 1
+        both += x @ x.T
+    n = size[names]
+    a, b = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1))
+    a, b = names[a], names[b]
+    if left is not None:
+        cross = left[a] != left[b]
+        a, b = a[cross], b[cross]
+    return a, b
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(y):
+        return 0
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def _verified(rows: DataFrame, sets: DataFrame, by: str, opt: Options) -> DataFrame:
+    """Links (a, b) that join all nodes of a block that are linked by their full sets: a forest, fewer links than rows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, begin in _whole_groups(batches, 1 << 20):
+            i, j, mine, nid, label = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
+            b = kernels.arrow_batch(t.column(6))
+            values, off = np.frombuffer(b.buf.tobytes(), np.uint64), b.off // 8
+            end = np.append(begin[1:], t.num_rows)
+            of = np.arange(len(nid))
+            for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
+                if hi - lo < 2:
+                    continue
+                own = [values[off[k] : off[k + 1]] for k in range(lo, hi)]
+                x, y = linked(own, opt.percent, None if i[lo] == j[lo] else mine[lo:hi] == i[lo])
+                of = union_find.classes(of, x + lo, y + lo) if len(x) else of
+            yield _forest(of, nid)
+
+    full = frames.join(rows, sets, ["nid"]).select(by, "i", "j", "mine", "nid", "label", "set")
+    return full.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j").mapInArrow(run, "a long, b long")
 
-def _open(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """The bands (with their nodes' labels) that hold several components."""
-    own = frames.join(bands, labels, ["node"], "left").select("key", "band", "node", "size", "centre", F.coalesce("label", "node").alias("label"))
-    keys = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    return frames.join(own, keys, ["key"])
 
+def _sets(docs: DataFrame, wanted: DataFrame, opt: Options) -> DataFrame:
+    """The full shingle sets (sorted 64-bit digests) of the wanted nodes (nid, doc, text_key)."""
 
-def _pairs(own: Column, pivot: Column) -> list[Column]:
-    return [F.least(own, pivot).alias("a"), F.greatest(own, pivot).alias("b")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for part, b in kernels.chunks(rb, "text"):
+                values, first = distinct_shingles(b, opt.shingle)
+                yield pa.RecordBatch.from_arrays([part.column(0), _packed(values, first)], names=["nid", "set"])
 
+    one = frames.join(docs.select(F.col("doc_id").alias("doc"), "text_key", "text"), wanted, ["doc", "text_key"])
+    return one.select("nid", "text").mapInArrow(run, "nid long, set binary")
 
-def _to_other_component(open_: DataFrame) -> DataFrame:
-    """Every node of an open band with the most central node of another component."""
-    top = F.struct("centre", "node", "label")
-    first = open_.groupBy("key").agg(F.max(top).alias("p"))
-    with_first = frames.join(open_, first, ["key"])
-    second = with_first.where("label <> p.label").groupBy("key").agg(F.max(top).alias("q"))
-    both = frames.join(with_first, second, ["key"])
-    return both.select(*_pairs(F.col("node"), F.when(F.col("label") == F.col("p.label"), F.col("q.node")).otherwise(F.col("p.node")))).distinct()
 
+def _packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    off = first * 8
+    kind = pa.large_binary() if off[-1] >= 1 << 31 else pa.binary()
+    return pa.Array.from_buffers(kind, len(first) - 1, [None, pa.py_buffer(off.astype(np.int64 if kind == pa.large_binary() else np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
-def _across(open_: DataFrame, nodes: DataFrame, opt: Options, nearest: bool = False) -> DataFrame:
-    """Candidate pairs of nodes in different components that share a band; a pair comes from the first band that it shares.
 
-    With nearest, only each node's likeliest partner in each block.
-    """
-    members = frames.join(open_.where("size > 2"), nodes.select("node", "n", "sketch"), ["node"])
-    blocks = F.ceil(F.col("size") / opt.block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    rows = members.select("key", "band", "node", "label", "n", "sketch", mine.alias("mine"), F.explode(meets).alias("at"))
-    rows = rows.select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "mine", "band", "node", "label", "n", "sketch")
-
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        i, j, band = key[1].as_py(), key[2].as_py(), t.column("band")[0].as_py()
-        mine = t.column("mine").to_numpy()
-        node, label = t.column("node").to_pylist(), t.column("label").to_pylist()
-        code = {x: k for k, x in enumerate(dict.fromkeys(label))}
-        label = np.array([code[x] for x in label])
-        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, opt.registers)
-        n = t.column("n").to_numpy()
-        out_a, out_b = [], []
-        right = np.flatnonzero(mine == j)
-        for x in np.flatnonzero(mine == i).tolist():
-            y = right[(label[right] != label[x]) & ((right > x) | nearest | (i != j))]
-            if not len(y):
-                continue
-            estimate, able = estimated(s[x][None, :], s[y], np.full(len(y), n[x]), n[y], opt)
-            y = y[[estimate.argmax()]] if nearest and able[estimate.argmax()] else y[able & (not nearest)]
-            if len(y) and not nearest:
-                share = (s[x].reshape(-1, opt.band) == s[y].reshape(len(y), -1, opt.band)).all(2) & (s[x].reshape(-1, opt.band) != 0).any(1)
-                y = y[share.argmax(1) == band]
-            for k in y.tolist():
-                a, b = sorted((node[x], node[k]))
-                out_a.append(a)
-                out_b.append(b)
-        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+NO_ID = -(2**63)
 
 
 def groups(docs: DataFrame, opt: Options = Options()) -> frames.Saved:
-    """Saved table (doc_id, text_key, n_shingles, component_id), a row for each row of the input; doc_id null is the least long."""
+    """Saved table (doc_id, text_key, n_shingles, component_id, first), a row for each row of the input; doc_id null is the least long.
+
+    `first` marks the rows of the one (doc_id, text_key) that stands for its group: its smallest doc_id, known ones before null, then the smallest text_key.
+    """
     docs = docs.select(frames.null_first_id("doc_id").alias("doc_id"), frames.text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    drawn = frames.Saved(_sketch(docs, opt))
-    rows = drawn.df
-    known = F.when(F.col("doc_id") == F.lit(-(2**63)), None).otherwise(F.col("doc_id"))
-    nodes = frames.Saved(rows.where("n > 0").groupBy("node").agg(F.min(known).alias("least"), F.min(F.struct("doc_id", "text_key", "n", "sketch")).alias("r")).select("node", "least", F.col("r.doc_id").alias("doc"), "r.text_key", "r.n", "r.sketch")).df
-    bands = _bands(nodes, opt).df
-
-    pivots = bands.groupBy("key").agg(F.max(F.struct("centre", "node")).alias("p"))
-    pairs = frames.join(bands, pivots, ["key"]).where("node <> p.node").select(*_pairs(F.col("node"), F.col("p.node"))).distinct()
-    tested = frames.Saved(_estimated(pairs, nodes, opt)).df
-    links = _link(tested, docs, nodes, opt)
-    labels = components(links)
-    for step in (_to_other_component, lambda x: _across(x, nodes, opt, nearest=True), lambda x: _across(x, nodes, opt)):
-        open_ = frames.Saved(_open(bands, labels)).df
-        pairs = frames.join(step(open_), tested, ["a", "b"], "left_anti")
-        new = frames.Saved(_estimated(pairs, nodes, opt)).df
-        if new.limit(1).count():
-            tested, links = tested.unionByName(new), links.unionByName(_link(new, docs, nodes, opt))
-            labels = components(links)
-
-    owner = frames.join(nodes, labels, ["node"], "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    named = owner.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_node = frames.join(owner, named, ["label"]).select("node", "component_id")
-    return frames.Saved(frames.join(rows, by_node, ["node"], "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(known).alias("component_id")))
-
-
-def _link(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, opt: Options) -> DataFrame:
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = frames.Saved(frames.join(nodes, ends, ["node"], "left_semi").select("node", "doc", "text_key")).df
-    sets = frames.Saved(_sets(docs, wanted, opt).dropDuplicates(["node"]))
-    return frames.Saved(_verified(pairs, sets.df, opt)).df
+    with frames.Scratch() as keep:
+        return _groups(docs, opt, keep)
+
+
+def _groups(docs: DataFrame, opt: Options, keep: frames.Scratch) -> frames.Saved:
+    rows = keep(_sketch(docs, opt))
+    known = F.when(F.col("doc_id") == F.lit(NO_ID), None).otherwise(F.col("doc_id"))
+    least = F.min(F.struct(known.isNull().alias("none"), "doc_id", "text_key", "n", "sketch")).alias("r")
+    nodes = keep(rows.where("n > 0").groupBy("node").agg(least).select("node", F.monotonically_increasing_id().alias("nid"), "r.none", F.col("r.doc_id").alias("doc"), "r.text_key", "r.n", "r.sketch"))
+    bands = _bands(nodes, opt, keep)
+
+    stars = keep(_star_pairs(bands, nodes, opt))
+    by_star = stars.groupBy("nid").agg(F.max(F.struct("centre", "pivot")).alias("p"))
+    own = bands.groupBy("nid").agg(F.first("centre").alias("centre"))
+    loose = frames.join(own, by_star, ["nid"], "left").select("nid", F.greatest(F.struct("centre", F.col("nid").alias("pivot")), F.coalesce("p", F.struct("centre", F.col("nid").alias("pivot"))))["pivot"].alias("label"))
+    members = frames.join(bands.select("key", "nid"), loose, ["nid"]).withColumn("weight", F.lit(0))
+    meetings = _meetings(members, "key", lambda m, w: F.ceil(m / opt.block), opt)
+    candidates = keep(stars.select(F.col("nid").alias("a"), F.col("pivot").alias("b")).union(_alike(meetings, nodes, opt)).distinct())
+    loose = components(candidates)  # every link lies in one of these
+
+    wanted = frames.join(nodes, loose, ["nid"], "left_semi")
+    sets = keep(_sets(docs, wanted.select("nid", "doc", "text_key"), opt).dropDuplicates(["nid"]))
+    parts = stars.groupBy("pivot").agg(F.ceil(F.count("*") / opt.block).cast("int").alias("parts"))
+    spread = frames.join(stars, parts, ["pivot"]).select(F.col("pivot").alias("key"), F.lit(0).alias("i"), (1 + F.pmod(F.xxhash64("nid"), "parts")).cast("int").alias("j"), "nid")
+    centres = parts.select(F.col("pivot").alias("key"), F.lit(0).alias("i"), F.explode(F.sequence(F.lit(1), "parts")).alias("j"), F.lit(0).alias("mine"), F.col("pivot").alias("nid"))
+    star_rows = spread.select("key", "i", "j", F.col("j").alias("mine"), "nid").unionByName(centres).withColumn("label", F.col("nid"))
+    links = keep(_verified(star_rows, sets, "key", opt))
+    tight = components(links)
+
+    weights = nodes.select("nid", F.col("n").alias("weight"))
+    members = frames.join(loose.withColumnRenamed("label", "loose"), tight, ["nid"], "left")
+    members = frames.join(members.select("nid", "loose", F.coalesce("label", "nid").alias("label")), weights, ["nid"])
+    meetings = _meetings(members, "loose", lambda m, w: F.ceil(F.greatest(m / opt.block, w / opt.block_shingles, F.lit(1.0))), opt)
+    more = keep(_verified(meetings, sets, "loose", opt))
+    labels = components(links.union(more)) if more.limit(1).count() else tight
+
+    owner = keep(frames.join(nodes, labels, ["nid"], "left").select("node", "none", "doc", "text_key", F.coalesce("label", "nid").alias("label")))
+    named = owner.groupBy("label").agg(F.min(F.struct("none", "doc", "text_key")).alias("r"))
+    by_node = frames.join(owner, named, ["label"]).select("node", "r")
+    stands = F.coalesce((F.col("doc_id") == F.col("r.doc")) & (F.col("text_key") == F.col("r.text_key")), F.lit(True))
+    group = F.when(F.col("n") == 0, known).when(~F.col("r.none"), F.col("r.doc"))
+    return frames.Saved(frames.join(rows, by_node, ["node"], "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), group.alias("component_id"), stands.alias("first")))
 
 
 def _id() -> Column:
-    return F.when(F.col("doc_id") == F.lit(-(2**63)), None).otherwise(F.col("doc_id"))
+    return F.when(F.col("doc_id") == F.lit(NO_ID), None).otherwise(F.col("doc_id"))
 
 
 def keep_one(docs: DataFrame, opt: Options, columns: tuple[str, ...]) -> DataFrame:
-    """The given columns of the documents that name their group (its smallest doc_id)."""
-    stay = groups(docs, opt).df.where("component_id is null or component_id = doc_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    left = docs.select(*columns, frames.null_first_id("doc_id").alias("_id"), frames.text_key().alias("_key"))
-    return frames.join(left, stay, ["_id", "_key"], "left_semi").select(*columns)
+    """The given columns of one document of each group: the row that is `first`, and of rows alike in id and text the least by all columns."""
+    stay = groups(docs, opt).df.where("first").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    left = docs.select(F.struct(*columns).alias("_row"), frames.null_first_id("doc_id").alias("_id"), frames.text_key().alias("_key"))
+    chosen = frames.join(left, stay, ["_id", "_key"], "left_semi")
+    return chosen.groupBy("_id", "_key").agg(F.min("_row").alias("_row")).select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
