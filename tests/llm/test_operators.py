@@ -283,22 +283,24 @@ def test_suffix_dedup_of_nothing(spark, docs):
 
 def test_suffix_arrays():
     rng = random.Random(2)
-    for _ in range(40):
-        alphabet = rng.choice([b"ab", b"abcdefgh \n", bytes(range(256))])
-        texts = [bytes(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(rng.randint(2, 9))] + [b"abab" * 9] * 2
-        depth = rng.choice([3, 7, 20])
-        s = suffix_array.Shard(texts, depth)
-        suffix = {b + p: t[p:] for b, t in zip(s.begin.tolist(), texts, strict=True) for p in range(len(t))}
-        lcp, order = s.lcp(), s.sa.tolist()
-        assert sorted(order) == list(range(len(s.text)))
+    for _ in range(60):
+        alphabet = rng.choice([1, 2, 8, 200])
+        texts: list[list[int]] = []
+        for _ in range(rng.randint(2, 7)):
+            t = [rng.randint(1, alphabet) for _ in range(rng.randint(1, 90))]
+            texts.append(rng.choice(texts)[rng.randint(0, 5) :] + t if texts and rng.random() < 0.5 else t)
+        flat = np.array([x for t in texts for x in [*t, 0]], np.uint8)
+        plain = bytes(flat)
+        order = suffix_array.suffixes(flat, 2048).tolist()
+        assert order == sorted(range(len(plain)), key=lambda i: plain[i:])
+        most = rng.choice([5, 20, 64])
+        lcp = suffix_array.kasai(flat, np.array(order, np.int32), most)
         for x, y in zip(order, order[1:], strict=False):
-            if x in suffix and y in suffix:
-                a, b = suffix[x], suffix[y]
-                k = next((i for i in range(min(len(a), len(b), depth)) if a[i] != b[i]), min(len(a), len(b), depth))
-                assert a[:depth] <= b[:depth] and (lcp[y] == k or k == min(len(a), len(b)) and lcp[y] >= k)
-        one, two = suffix_array.Shard(texts[:2], depth), suffix_array.Shard(texts[2:], depth)
-        at = [{b + p: t[p : p + depth] for b, t in zip(x.begin.tolist(), ts, strict=True) for p in range(len(t) - depth + 1)} for x, ts in ((one, texts[:2]), (two, texts[2:]))]
-        there = np.array([x for x in two.sa.tolist() if x in at[1]], dtype=np.int64)
-        found = suffix_array.find(one, np.array(list(at[0]), dtype=np.int64), two, there, depth)
-        for w, i in zip(at[0].values(), found.tolist(), strict=True):
-            assert (i >= 0) == (w in at[1].values()) and (i < 0 or at[1][int(there[i])] == w)
+            k = next((k for k in range(most) if plain[x + k : x + k + 1] != plain[y + k : y + k + 1] or max(x, y) + k >= len(plain)), most)
+            assert lcp[y] == k
+        one, two = (np.array([x for t in ts for x in [*t, 0]], np.uint8) for ts in (texts[:1], texts[1:]))
+        whole = [[i for i in range(len(x) - 7) if 0 not in x[i : i + 7]] for x in (one, two)]
+        there = np.array([i for i in suffix_array.suffixes(two, 2048).tolist() if i in set(whole[1])], dtype=np.int64)
+        found = suffix_array.find(one, np.array(whole[0], dtype=np.int64), two, there, 7)
+        known = {bytes(two[i : i + 7]) for i in whole[1]}
+        assert found.tolist() == [bytes(one[i : i + 7]) in known for i in whole[0]]

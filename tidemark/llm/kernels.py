@@ -201,3 +201,46 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     d = np.diff(np.concatenate(([0], mask.astype(np.int8), [0])))
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
+
+
+def rolling(pre: np.ndarray, size: int) -> np.ndarray:
+    """Digests of every span of `size` places, from the prefix sums; as `spans` gives them."""
+    n = len(pre) - size
+    out = np.empty(max(0, n), dtype=_U)
+    inv, high = _powers()[1], _slab_powers(len(pre), inverse=True)
+    for k, at in enumerate(range(0, n, SLAB)):
+        e = min(n, at + SLAB)
+        d = (pre[at + size : e + size] - pre[at:e]) * inv[: e - at]
+        d *= high[k]
+        d += _U(size * 0xA24BAED4963EE407 % 2**64)
+        out[at:e] = mix(d)
+    return out
+
+
+def pieces(rb: pa.RecordBatch, text: str, overlap: int, limit: int = CHUNK_BYTES):
+    """(rows, where their pieces begin, Batch) of about `limit` bytes; a longer text comes in pieces that share `overlap` bytes.
+
+    A piece begins at every multiple of `limit`, so each place is the begin of a span of up to overlap + 1 bytes in one piece alone.
+    """
+    whole = arrow_batch(rb.column(rb.schema.get_field_index(text)))
+    held: list[int] = []
+
+    def together() -> tuple[np.ndarray, np.ndarray, Batch]:
+        lo, hi = held[0], held[-1] + 1
+        off = whole.off[lo : hi + 1]
+        return np.arange(lo, hi), np.zeros(hi - lo, np.int64), Batch(whole.buf[off[0] : off[-1]], off - off[0])
+
+    size = 0
+    for row, (a, e) in enumerate(zip(whole.off[:-1].tolist(), whole.off[1:].tolist(), strict=True)):
+        if held and size + e - a > limit:
+            yield together()
+            held, size = [], 0
+        if e - a <= limit:
+            held.append(row)
+            size += e - a
+            continue
+        for at in range(0, max(1, e - a - overlap), limit):
+            piece = whole.buf[a + at : min(e, a + at + limit + overlap)]
+            yield np.array([row]), np.array([at]), Batch(piece, np.array([0, len(piece)]))
+    if held:
+        yield together()

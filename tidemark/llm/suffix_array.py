@@ -1,7 +1,7 @@
 """Suffix arrays of byte texts in numpy: Larsson-Sadakane refinement, Kasai common prefixes, merging by binary search.
 
-A shard is a list of texts, at most `MAX_BYTES` together. Each text is followed by a sentinel that is
-smaller than any byte, so a prefix without a sentinel lies inside one text.
+A shard is one text of symbols, in which several texts follow each other; symbol 0 stands after each and nowhere else, so a
+prefix without a 0 lies inside one text. Places and ranks are 32-bit.
 """
 
 from __future__ import annotations
@@ -12,148 +12,133 @@ MAX_BYTES = 1 << 20
 _U = np.uint64
 
 
-class Shard:
-    """`text` has the symbols (0: sentinel), `sa` the suffixes in the order of their first `depth` symbols or more."""
-
-    def __init__(self, texts: list[bytes], depth: int):
-        n = sum(map(len, texts)) + len(texts)
-        if n > MAX_BYTES and len(texts) > 1 or n >= 1 << 27:
-            raise ValueError("too much text for one shard")
-        raw = np.frombuffer(b"\0".join([*texts, b""]), dtype=np.uint8)
-        self.end = np.cumsum([len(t) + 1 for t in texts]) - 1  # of each text, where its sentinel is
-        self.begin = np.concatenate(([0], self.end[:-1] + 1)) if len(texts) else self.end
-        used = np.zeros(256, dtype=bool)
-        inside = np.ones(n, dtype=bool)
-        inside[self.end] = False
-        used[raw[inside]] = True
-        code = np.cumsum(used).astype(np.int16)
-        self.text = np.where(inside, code[raw], 0).astype(np.int16)
-        self.alphabet = np.flatnonzero(used)
-        self.sa, self.rank, self.group = sort_suffixes(self.text, depth)
-        self.depth = depth
-
-    def lcp(self, least: int = 1) -> np.ndarray:
-        """Common prefix of each suffix (in text order) of `least` symbols or more with the one before it in `sa`, up to `depth`."""
-        return kasai(self.text, self.sa, self.rank, self.group, self.begin, self.end - least + 1, self.depth)
-
-
-def sort_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes ordered by `depth` symbols (or by a first key that is longer), each suffix's place, and its group: those that agree so far.
+def suffixes(text: np.ndarray, depth: int) -> np.ndarray:
+    """The places of `text` in the order of their suffixes, exact to `depth` symbols or more.
 
     Larsson and Sadakane: suffixes start in groups of one short prefix; a group is refined by the group numbers
     of its suffixes' continuations, which doubles the sorted length; sorted groups are left alone.
     """
     n = len(text)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     place = max(1, int(n).bit_length())  # bits of a place
+    if place > 31:
+        raise ValueError("too much text for one shard")
     bits = max(1, int(text.max()).bit_length())
     h = max(1, (64 - place) // bits)
     key = np.zeros(n, dtype=_U)
-    padded = np.concatenate((text.astype(_U), np.zeros(h, _U)))
     for k in range(h):
-        key = (key << _U(bits)) | padded[k : k + n]
-    order = np.sort((key << _U(place)) | np.arange(n, dtype=_U))
-    sa = (order & _U((1 << place) - 1)).astype(np.int64)
+        key <<= _U(bits)
+        key[: max(0, n - k)] |= text[k:]
+    key <<= _U(place)
+    key |= np.arange(n, dtype=_U)
+    key.sort()
+    sa = (key & _U((1 << place) - 1)).astype(np.int32)
+    key >>= _U(place)
     new = np.ones(n, dtype=bool)
-    new[1:] = (order[1:] >> _U(place)) != (order[:-1] >> _U(place))
-    number = np.zeros(n + 1, dtype=np.int64)  # a group's number is one more than its first place; 0 stands past the end
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    number[sa] = head + 1
-    single = new & np.append(new[1:], True)
-    active = np.flatnonzero(~single)
+    new[1:] = key[1:] != key[:-1]
+    del key
+    number = np.zeros(n + 1, dtype=np.int32)  # a group's number is one more than its first place; 0 stands past the end
+    number[sa] = np.maximum.accumulate(np.where(new, np.arange(1, n + 1, dtype=np.int32), 0))
+    active = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)
     while h < depth and len(active):
         s = sa[active]
-        jump = min(h, depth - h)  # so that the sorting ends at exactly `depth`, unless it began beyond
-        group, follow = number[s], number[np.minimum(s + jump, n)]
-        m = max(1, int(len(active)).bit_length())
-        if 2 * place + m + 1 <= 64:
-            order = np.sort((group.astype(_U) << _U(place + m)) | (follow.astype(_U) << _U(m)) | np.arange(len(active), dtype=_U))
-            at = (order & _U((1 << m) - 1)).astype(np.int64)
+        low = max(1, int(len(active)).bit_length())
+        group, follow = number[s].astype(_U), number[np.minimum(s + np.int64(h), n)].astype(_U)
+        if place + 1 + low <= 63 - place:
+            own = (group << _U(place + 1 + low)) | (follow << _U(low)) | np.arange(len(s), dtype=_U)
+            own.sort()
+            at = (own & _U((1 << low) - 1)).astype(np.int32)
+            own >>= _U(low)
         else:
             at = np.lexsort((follow, group))
-        s, group, follow = s[at], group[at], follow[at]
+            own = (group[at] << _U(place + 1)) | follow[at]
+        s = s[at]
         sa[active] = s
         new = np.ones(len(s), dtype=bool)
-        new[1:] = (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
-        number[s] = active[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))] + 1
+        new[1:] = own[1:] != own[:-1]
+        number[s] = np.maximum.accumulate(np.where(new, active + 1, 0))
         active = active[~(new & np.append(new[1:], True))]
-        h += jump
-    rank = np.empty(n, dtype=np.int64)
-    rank[sa] = np.arange(n)
-    return sa, rank, number[:n]
+        h *= 2
+    return sa
 
 
-def _words(text: np.ndarray) -> np.ndarray:
-    """Four symbols from each place on, as one integer, the first lowest."""
-    t = np.concatenate((text.astype(_U), np.zeros(4, _U)))
+def words(text: np.ndarray) -> np.ndarray:
+    """Eight symbols from each place on, as one integer, the first lowest; past the end there is 255, which is no symbol."""
     n = len(text)
-    return t[:n] | (t[1 : n + 1] << _U(16)) | (t[2 : n + 2] << _U(32)) | (t[3 : n + 3] << _U(48))
+    t = np.concatenate((text, np.full(8, 255, text.dtype)))
+    out = t[:n].astype(_U)
+    for k in range(1, 8):
+        out |= t[k : n + k].astype(_U) << _U(8 * k)
+    return out
 
 
-def extend(words: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray, most: int) -> np.ndarray:
-    """The common prefix of suffixes i and j, of which k symbols are known to agree, up to `most`."""
-    n = len(words)
+def extend(w: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The common prefix of the suffixes i and j, of which k symbols are known to agree, up to `most`."""
     k = k.copy()
-    go = np.arange(len(i))
+    last = len(w) - 1
+    go = np.flatnonzero(k < most)
     while len(go):
         a, b = i[go] + k[go], j[go] + k[go]
-        inside = (a < n) & (b < n)
-        x = np.where(inside, words[np.minimum(a, n - 1)] ^ words[np.minimum(b, n - 1)], _U(1))
-        same = np.where(x & _U(0xFFFF) != 0, 0, np.where(x & _U(0xFFFFFFFF) != 0, 1, np.where(x & _U(0xFFFFFFFFFFFF) != 0, 2, np.where(x != 0, 3, 4))))
-        k[go] = np.minimum(k[go] + same, most)
-        go = go[(same == 4) & (k[go] < most)]
+        x = w[np.minimum(a, last)] ^ w[np.minimum(b, last)]
+        x[(a > last) | (b > last)] = 1
+        same = np.full(len(go), 8, dtype=np.int32)
+        odd = np.flatnonzero(x)
+        low = x[odd] & (~x[odd] + _U(1))  # the lowest bit that differs
+        same[odd] = np.frexp(low.astype(np.float64))[1] - 1 >> 3
+        k[go] = np.minimum(k[go] + same, most[go])
+        go = go[(same == 8) & (k[go] < most[go])]
     return k
 
 
-def kasai(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, group: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
-    """Kasai's rule, for all texts of a shard in step: a suffix shares at least one symbol less than the suffix before it in the text."""
-    out = np.zeros(len(text), dtype=np.int64)
-    words = _words(text)
-    before = np.full(len(text), -1, dtype=np.int64)
+def kasai(text: np.ndarray, sa: np.ndarray, most: int, stride: int = 64) -> np.ndarray:
+    """For each place the common prefix of its suffix with the one before it in `sa`, up to `most`.
+
+    By Kasai's rule a prefix shrinks by at most one symbol from a place to the next. It is used in both
+    directions and in strides: places at every 64th symbol are compared first; between two known places the
+    rule bounds the prefix from below and above, and only where these bounds differ are symbols compared, from the lower one on.
+    """
+    n = len(text)
+    before = np.full(n, -1, dtype=np.int32)
     before[sa[1:]] = sa[:-1]
-    lane = np.arange(len(begin))
-    k = np.zeros(len(begin), dtype=np.int64)
-    last = np.full(len(begin), -2, dtype=np.int64)
-    step = 0
+    w = words(text)
+    out = np.zeros(n + stride, dtype=np.int32)  # past the end nothing agrees
+    step = stride
+    at = np.arange(0, n, step)
+    low, high = np.zeros(len(at), np.int32), np.full(len(at), most, np.int32)
     while True:
-        lane = lane[begin[lane] + step < end[lane]]
-        if not len(lane):
-            return out
-        i = begin[lane] + step
-        j = before[i]
-        has = j >= 0
-        # suffixes that agree up to `most` are in no order, so from there the rule holds only if their continuations are
-        sure = (k[lane] < most) | (last[lane] >= 0) & (rank[np.minimum(last[lane] + 1, len(rank) - 1)] < rank[i])
-        known = np.where(has & sure, np.maximum(k[lane] - 1, 0), 0)
-        alike = has & (group[i] == group[np.maximum(j, 0)])  # the sorting has seen that they agree
-        known[alike] = most
-        has &= ~alike
-        known[has] = extend(words, i[has], j[has], known[has], most)
-        k[lane] = out[i] = known
-        last[lane] = j
-        step += 1
-
-
-def find(mine: Shard, at: np.ndarray, other: Shard, sorted_at: np.ndarray, size: int) -> np.ndarray:
-    """For each window of `size` bytes at places `at` of a shard, an equal one among the other shard's `sorted_at` (its index, or -1).
-
-    Binary search in the other shard's suffix order; `sorted_at` are places of whole windows in that order.
+        j = before[at]
+        low, high = np.where(j >= 0, low, 0), np.where(j >= 0, high, 0)
+        todo = np.flatnonzero(low < high)
+        low[todo] = extend(w, at[todo], j[todo], low[todo], high[todo])
+        out[at] = low
+        if step == 1:
+            return out[:n]
+        step //= 2
+        at = np.arange(step, n, 2 * step)
+        after = out[at + step]
+        low = np.maximum(out[at - step] - step, 0)
+        high = np.where(after < most, np.minimum(after + step, most), most)
+        high = np.maximum(low, high)
+
+
+def find(mine: np.ndarray, at: np.ndarray, other: np.ndarray, there: np.ndarray, size: int) -> np.ndarray:
+    """Whether each window of `size` symbols of text `mine` at `at` equals one of the text `other` at `there`.
+
+    Binary search; `there` are places in the order of their suffixes, and both texts have the same symbols.
     """
-    if not len(sorted_at) or not len(at):
-        return np.full(len(at), -1, dtype=np.int64)
-    a = np.where(mine.text > 0, mine.alphabet[np.maximum(mine.text - 1, 0)] + 1, 0).astype(np.int16)
-    b = np.where(other.text > 0, other.alphabet[np.maximum(other.text - 1, 0)] + 1, 0).astype(np.int16)
-    both = np.concatenate((a, b))
-    words, shift = _words(both), len(a)
-    low, high = np.zeros(len(at), dtype=np.int64), np.full(len(at), len(sorted_at), dtype=np.int64)
-    found = np.full(len(at), -1, dtype=np.int64)
-    while (open_ := np.flatnonzero((low < high) & (found < 0))).size:
+    found = np.zeros(len(at), dtype=bool)
+    if not len(there) or not len(at):
+        return found
+    both = np.concatenate((mine, other))
+    w, shift = words(both), len(mine)
+    low, high = np.zeros(len(at), dtype=np.int64), np.full(len(at), len(there), dtype=np.int64)
+    while (open_ := np.flatnonzero((low < high) & ~found)).size:
         mid = (low[open_] + high[open_]) // 2
-        i, j = at[open_], sorted_at[mid] + shift
-        k = extend(words, i, j, np.zeros(len(i), dtype=np.int64), size)
+        i, j = at[open_], there[mid] + shift
+        k = extend(w, i, j, np.zeros(len(i), np.int32), np.full(len(i), size, np.int32))
         equal = k == size
-        found[open_[equal]] = mid[equal]
+        found[open_[equal]] = True
         right = ~equal & (both[np.minimum(i + k, len(both) - 1)] > both[np.minimum(j + k, len(both) - 1)])
         low[open_[right]] = mid[right] + 1
         left = ~equal & ~right

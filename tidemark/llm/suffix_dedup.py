@@ -1,22 +1,24 @@
 """Exact substring dedup over bytes with suffix arrays.
 
-A string of `length` bytes goes if it also starts anywhere else. Three steps find those strings.
+A string of `length` bytes goes if it also starts anywhere else.
 
 1. Cells. Every string is filed under the least digest among its `gram`-byte substrings. Equal strings
-   have the same least digest, so strings of different cells cannot be equal and are never compared. All
-   strings of one place share the same few cells: a document is cut into overlapping contexts, the strings around one
-   least gram. Contexts are counted by 128-bit digest; one found twice is all repeats, one whose cell has
-   no other context has none, and only the others go on.
-2. Suffix arrays. Cells are dealt into buckets, a bucket into shards of bounded size. Each shard is sorted by
-   Larsson-Sadakane refinement to exactly `length` bytes, so that a group of its last round is the places of one string, with common
-   prefixes of `length` or more (Kasai's pass gives shorter ones too and is not needed here), and strings in cells that several shards of a bucket share are merged by binary search in the other shards' arrays.
-3. A cell of very many different contexts is not given to one task. Its strings are filed anew by a
-   longer common part and so in finer cells, down to cells of single strings, which are only counted.
+   have the same least digest, so strings of different cells are never compared. Strings that follow each other in a
+   document and have one cell make up a context, so each place of a document is in one context. Contexts that are alike as a whole
+   (a 128-bit digest) are collapsed into one; a context that was found twice is all repeats, one
+   that is alone in its cell and not periodic has none, and only the other cells go on.
+2. Suffix arrays. Cells are dealt into buckets and a bucket into shards of bounded size, which are sorted one after the other by
+   Larsson-Sadakane refinement. Kasai's common prefixes decide: a place is lost if its suffix shares `length` bytes or more
+   with the one before or after it. A cell with more text than a shard is spread over several; its strings that are not lost yet are
+   looked up in the other shards' suffix arrays by binary search.
+3. A cell of very many different contexts is not given to one task. Its strings are filed anew by longer
+   grams, at last by their own digest.
 
 Matches never cross documents, and strings are judged on the input.
 
 Defined results: a null or empty text has no bytes. Repeated rows are separate documents, so texts of
-`length` bytes or more lose everything in each. A null doc_id is a document like others. Other columns are ignored.
+`length` bytes or more lose everything in each. A null doc_id is a document like others. A very long text is worked
+through in overlapping pieces. Strings have no order, so there are no ties. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,231 +42,252 @@ class Options:
     gram: int = 64
     cell: int = 4096  # different contexts of a cell, at most, that one task sorts
 
-    @property
-    def reach(self) -> int:
-        """How far before a gram a string that holds it can start."""
-        return self.length - self.gram
+    def grams(self) -> list[int]:
+        """The gram lengths of step 1 and of each refinement of step 3."""
+        out = [self.gram]
+        while out[-1] < self.length:
+            out.append(min(self.length, out[-1] + max(1, (self.length - out[-1]) * 2 // 3), out[-1] * 3))
+        return out
 
 
-def _slide(x: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
-    """op over each x[i:i + w] (block prefixes and suffixes); the last w - 1 places reach past the end."""
+def _slide(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of each x[i:i + w] (block prefixes and suffixes); the last w - 1 places reach past the end."""
     n = len(x)
-    pad = np.full((-n) % w + w, x[-1] if n else 0, dtype=x.dtype)
-    b = np.concatenate((x, pad)).reshape(-1, w)
-    pre = op.accumulate(b, axis=1).ravel()
-    suf = op.accumulate(b[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(suf[:n], pre[w - 1 : n + w - 1])
-
-
-def least_grams(b: kernels.Batch, opt: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the grams that are least in some string of one document, their digests and documents."""
-    n, w = len(b.buf), opt.reach + 1
-    if n < opt.length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    pre = kernels.prefix(kernels.byte_table(61)[b.buf])
-    at = np.arange(n - opt.gram + 1)
-    d = kernels.spans(pre, at, at + opt.gram)
-    d = np.concatenate((d, np.full(opt.gram - 1, 2**64 - 1, np.uint64)))
-    least = _slide(d, w, np.minimum)
-    whole = np.zeros(n, dtype=bool)  # strings inside one document
-    for lo, hi in zip(b.off[:-1].tolist(), b.off[1:].tolist(), strict=True):
-        whole[lo : max(lo, hi - opt.length + 1)] = True
-    # a gram is least in one of the strings that start up to `reach` before it, if the greatest of their least digests is its own
-    m = np.where(whole, least, np.uint64(0))
-    most = _slide(m[::-1], w, np.maximum)[::-1]
-    place = np.flatnonzero((most == d) & (most > 0))
-    doc = np.searchsorted(b.off, place, side="right") - 1
-    inside = place + opt.gram <= b.off[doc + 1]
-    place, doc = place[inside], doc[inside]
-    return place, d[place], doc
-
-
-def _contexts(docs: DataFrame, opt: Options) -> DataFrame:
-    """(cell, x, y, doc_id, text_key, first, last): strings that start from `first` to `last` hold the cell's gram."""
+    b = np.concatenate((x, np.full((-n) % w + w, 2**64 - 1, dtype=np.uint64))).reshape(-1, w)
+    pre = np.minimum.accumulate(b, axis=1).ravel()
+    suf = np.minimum.accumulate(b[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(suf[:n], pre[w - 1 : n + w - 1])
+
+
+def contexts(b: kernels.Batch, length: int, gram: int, ranges: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs [first, last] of starts of strings inside one document with one least gram, that gram's digest, and whether a run may repeat itself.
+
+    A string of a run can equal a later one of it only if its gram begins before the last start.
+
+    With ranges ([first, last] of starts), only of those. A run has at most as many starts as strings can share one gram, so that
+    periodic text gives runs of bounded length, too.
+    """
+    n, w = len(b.buf), length - gram + 1
+    none = np.zeros(0, np.int64)
+    if n < length:
+        return none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
+    inside = np.zeros(n + 1, dtype=np.int32)
+    if ranges is None:
+        full = b.off[1:] - b.off[:-1] >= length
+        first, last = b.off[:-1][full], b.off[1:][full] - length
+    else:
+        first, last = ranges
+    np.add.at(inside, first, 1)
+    np.add.at(inside, last + 1, -1)
+    inside = np.cumsum(inside[:n]) > 0
+    d = kernels.rolling(kernels.prefix(b.buf, kernels.byte_table(61)), gram)
+    least = _slide(d, w)
+    least = np.concatenate((least, np.zeros(n - len(least), np.uint64)))
+    new = np.ones(n, dtype=bool)
+    new[1:] = (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])
+    new[b.off[:-1][b.off[:-1] < n]] = True
+    if ranges is not None:
+        new[first] = True
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, n))
+    some = inside[at]
+    at, size = at[some], size[some]
+    per = -(-size // w)
+    part = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    start = np.repeat(at, per) + part * w
+    stop = np.minimum(start + w, np.repeat(at + size, per)) - 1
+    own = np.concatenate(([0], np.cumsum(d == least[: len(d)], dtype=np.int32)))
+    return start, stop, least[start], own[np.minimum(stop, len(d))] > own[np.minimum(start, len(d))]
+
+
+CONTEXTS = "cell long, x long, y long, doc_id long, text_key long, first int, last int, within boolean"
+
+
+def _context_rows(docs: DataFrame, opt: Options, gram: int, again: bool) -> DataFrame:
+    """The contexts of all texts, or with again of the ranges of starts in the column `at`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            for part, b in kernels.chunks(rb, "text"):
-                place, d, doc = least_grams(b, opt)
-                begin, end = b.off[doc], b.off[doc + 1]
-                first, last = np.maximum(begin, place - opt.reach), np.minimum(place, end - opt.length)
-                x, y = (kernels.spans(kernels.prefix(kernels.byte_table(s)[b.buf]), first, last + opt.length) for s in (63, 67))
-                x = kernels.mix(x + (place - first).astype(np.uint64))
-                yield _context_rows(part, doc, d, x, y, first - begin, last - begin, place - opt.reach - begin, np.full(len(doc), opt.reach + 1))
+            ids, keys = (rb.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            at = _Ranges(rb.column(3)) if again else None
+            for rows, base, b in kernels.pieces(rb, "text", opt.length - 1):
+                first, last, cell, within = contexts(b, opt.length, gram, at.of(rows, base, b, opt.length) if again else None)
+                x, y = (kernels.spans(kernels.prefix(b.buf, kernels.byte_table(s)), first, last + opt.length) for s in (63, 67))
+                doc = np.searchsorted(b.off, first, side="right") - 1
+                row, shift = rows[doc], base[doc] - b.off[doc]
+                cols = [*(v.view(np.int64) for v in (cell, x, y)), ids[row], keys[row], *((v + shift).astype(np.int32) for v in (first, last))]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*cols, within)], names=[c.split()[0] for c in CONTEXTS.split(", ")])
 
     return docs.mapInArrow(run, CONTEXTS)
 
 
-CONTEXTS = "cell long, x long, y long, doc_id long, text_key long, first int, last int, origin int, width int"
+class _Ranges:
+    """A column of lists of (first, last)."""
 
+    def __init__(self, col: pa.Array):
+        flat = col.flatten()
+        self.first, self.last = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        self.off = np.concatenate(([0], np.cumsum(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)))
 
-def _context_rows(part: pa.RecordBatch, doc, cell, x, y, *places) -> pa.RecordBatch:
-    ids, keys = (part.column(k).to_numpy()[doc] for k in (0, 1))
-    cols = [*(v.view(np.int64) for v in (cell, x, y)), ids, keys, *(v.astype(np.int32) for v in places)]
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=[c.split()[0] for c in CONTEXTS.split(", ")])
+    def rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ranges of some rows, and which of them each belongs to."""
+        per = self.off[rows + 1] - self.off[rows]
+        of = np.repeat(np.arange(len(rows)), per)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per) + self.off[rows][of]
+        return self.first[k], self.last[k], of
 
+    def of(self, rows: np.ndarray, base: np.ndarray, b: kernels.Batch, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges of the rows' pieces as places of the batch, cut to the starts that a piece is asked about."""
+        first, last, of = self.rows(rows)
+        size = np.diff(b.off)[of]
+        lo, hi = np.maximum(first - base[of], 0), np.minimum(last - base[of], size - length)
+        some = lo <= hi
+        return (lo + b.off[of])[some], (hi + b.off[of])[some]
 
-def _divide(docs: DataFrame, nodes: DataFrame, parts: int, opt: Options) -> DataFrame:
-    """Contexts filed anew: each in `parts` pieces, under their old cell and the bytes that all strings of the piece share.
 
-    Pieces are cut at fixed distances from the gram, also where the document's edge cuts the context short.
-    """
+def _by_doc(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last")).alias("at"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            for part, b in kernels.chunks(rb, "text"):
-                sizes = np.array([len(x) for x in part.column(3).to_pylist()], dtype=np.int64)
-                doc = np.repeat(np.arange(b.n), sizes)
-                flat = part.column(3).flatten()
-                cell, first, last, origin, width = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
-                step = -(-width // parts)
-                per = -(-width // step)
-                of = np.repeat(np.arange(len(first)), per)
-                k = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
-                o = origin[of] + k * step[of]
-                w = np.minimum(step[of], width[of] - k * step[of])
-                lo, hi = np.maximum(o, first[of]), np.minimum(o + w - 1, last[of])
-                some = lo <= hi
-                of, k, o, w, lo, hi = (v[some] for v in (of, k, o, w, lo, hi))
-                at = b.off[doc[of]]
-                pre = {s: kernels.prefix(kernels.byte_table(s)[b.buf]) for s in (61, 63, 67)}
-                core = kernels.mix(kernels.spans(pre[61], at + o + w - 1, at + o + opt.length) + cell[of].view(np.uint64) * np.uint64(31) + k.astype(np.uint64))
-                x, y = (kernels.spans(pre[s], at + lo, at + hi + opt.length) for s in (63, 67))
-                yield _context_rows(part, doc[of], core, kernels.mix(x + (lo - o).astype(np.uint64)), y, lo, hi, o, w)
-
-    return docs.join(nodes.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "at").mapInArrow(run, CONTEXTS)
 
+SPANS = "doc_id long, text_key long, first int, last int"
+CUT = "cell long, alone boolean, doc_id long, text_key long, first int, text binary"
 
-def _by_doc(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("cell", "first", "last", "origin", "width")).alias("at"))
 
+class _Shard:
+    """One sorted shard of a bucket: its text, which places start a string, and which of these are lost."""
 
-SPANS = "doc_id long, text_key long, first int, last int"
+    def __init__(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int):
+        self.text, self.begin = text, begin
+        sa = suffix_array.suffixes(text, 2 * length)
+        common = suffix_array.kasai(text, sa, length)
+        hit = np.flatnonzero(common[sa] >= length)
+        self.gone = np.zeros(len(text), dtype=bool)
+        self.gone[sa[hit]] = True
+        self.gone[sa[hit - 1]] = True
+        self.gone &= kernels.cover(len(text), begin, end - begin - length + 1)  # suffixes that start no whole string may agree beyond their text's end
+        self.sa, self.end, self.length = sa, end, length
+
+    def strings(self, some: np.ndarray) -> np.ndarray:
+        """Places of whole strings of the given texts, in the order of their suffixes."""
+        row = np.searchsorted(self.begin, self.sa, side="right") - 1
+        return self.sa[some[row] & (self.sa + self.length <= self.end[row])]
 
 
 def _sort_bucket(opt: Options):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        cell = t.column("cell").to_numpy()
-        order = np.argsort(cell, kind="stable")
-        ids, keys, first, text = t.column("doc_id").to_pylist(), t.column("text_key").to_pylist(), t.column("first").to_numpy(), t.column("text").to_pylist()
-        name: dict = {}
-        doc = np.array([name.setdefault(k, len(name)) for k in zip(ids, keys, strict=True)], dtype=np.int64)
-        # shards of whole cells where they fit, else of parts of one cell
-        shards, held, size = [], [], 0
-        cells = np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []
-        for own in cells:
-            n = sum(len(text[i]) + 1 for i in own)
-            if held and size + n > suffix_array.MAX_BYTES:
-                shards.append(held)
-                held, size = [], 0
-            for i in own.tolist():
-                if size + len(text[i]) + 1 > suffix_array.MAX_BYTES:
-                    shards.append(held)
-                    held, size = [], 0
-                held.append(i)
-                size += len(text[i]) + 1
-        if held:
-            shards.append(held)
-        split = {c for c, n in zip(*np.unique(np.concatenate([np.unique(cell[s]) for s in shards]), return_counts=True), strict=True) if n > 1} if len(shards) > 1 else set()
-        out: list[list] = [[], [], [], []]
+        t = t.combine_chunks().sort_by("cell")
+        cell, alone = t.column("cell").to_numpy(), t.column("alone").to_numpy(zero_copy_only=False)
+        b = kernels.arrow_batch(t.column("text"))
+        used = np.zeros(256, dtype=bool)
+        used[b.buf] = True
+        code = np.cumsum(used).astype(np.uint8)  # at most 243 byte values are in UTF-8
+        size = np.diff(b.off) + 1
+        shards: list[tuple[int, int]] = []
+        lo = 0
+        while lo < len(size):
+            hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(size[lo:]), suffix_array.MAX_BYTES, side="right")))
+            shards.append((lo, hi))
+            lo = hi
+        split = {int(cell[hi]) for _, hi in shards[:-1] if cell[hi] == cell[hi - 1]}
+        out: list[tuple] = []
         kept = []
-        for own in shards:
-            s = suffix_array.Shard([text[i] for i in own], opt.length)
-            n = len(s.text)
-            row = np.repeat(np.arange(len(own)), s.end - s.begin + 1)
-            place = np.arange(n) - s.begin[row]  # in its context
-            whole = np.arange(n) + opt.length <= s.end[row]
-            where = (doc[own][row] << 32) | (first[own][row] + place)  # one value for each place of each document
-            sa = s.sa[whole[s.sa]]
-            joined = np.zeros(len(sa), dtype=bool)
-            joined[1:] = s.group[sa[1:]] == s.group[sa[:-1]]  # sorted to exactly `length`: one group, one string
-            group = np.cumsum(~joined) - 1
-            gone = np.zeros(n, dtype=bool)
-            if len(sa):
-                edges = np.flatnonzero(~joined)
-                differ = np.minimum.reduceat(where[sa], edges) != np.maximum.reduceat(where[sa], edges)
-                gone[sa] = differ[group]
-            if split:
-                part = np.array([cell[i] in split for i in own])
-                some = part[row[sa]]
-                least, greatest = (f.reduceat(where[sa], edges)[group][some] if len(sa) else where[:0] for f in (np.minimum, np.maximum))
-                kept.append((s, row, sa[some], least, greatest, gone, where, own))
+        for lo, hi in shards:
+            end = np.cumsum(size[lo:hi]) - 1
+            begin = end + 1 - size[lo:hi]
+            text = np.zeros(int(end[-1]) + 1, dtype=np.uint8)
+            body = np.ones(len(text), dtype=bool)
+            body[end] = False
+            text[body] = code[b.buf[b.off[lo] : b.off[hi]]]
+            s = _Shard(text, begin, end, opt.length)
+            some = np.isin(cell[lo:hi], list(split)) if split else np.zeros(hi - lo, dtype=bool)
+            if some.any():
+                kept.append((lo, s, s.strings(some)))
+                s.sa = None
             else:
-                _spans(own, row, place, gone, s, first, ids, keys, out)
-        for s, row, at, _, _, gone, where, own in kept:
-            for other, _, there, least, greatest, _, _, _ in kept:
+                out.append(_lost(lo, s, t, alone))
+        for lo, s, at in kept:
+            for _, other, there in kept:
                 if other is not s:
-                    todo = at[~gone[at]]
-                    hit = suffix_array.find(s, todo, other, there, opt.length)
-                    todo, hit = todo[hit >= 0], hit[hit >= 0]
-                    # contexts overlap, so the other shard may hold the same place of the same document: no repeat
-                    gone[todo[(least[hit] != where[todo]) | (greatest[hit] != where[todo])]] = True
-            _spans(own, row, np.arange(len(s.text)) - s.begin[row], gone, s, first, ids, keys, out)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "text_key", "first", "last"])
+                    todo = at[~s.gone[at]]
+                    s.gone[todo[suffix_array.find(s.text, todo, other.text, there, opt.length)]] = True
+            out.append(_lost(lo, s, t, alone))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _spans(own, row, place, gone, s, first, ids, keys, out) -> None:
-    """Appends the runs of lost starts of each context of a shard (runs end at the sentinels, which are never lost)."""
-    del s
-    a, e = kernels.runs(gone)
-    for p, q in zip(a.tolist(), e.tolist(), strict=True):
-        i = own[row[p]]
-        out[0].append(ids[i])
-        out[1].append(keys[i])
-        out[2].append(int(first[i] + place[p]))
-        out[3].append(int(first[i] + place[q - 1]))
+def _lost(lo: int, s: _Shard, t: pa.Table, alone: np.ndarray) -> pa.Table:
+    """The runs of lost starts of the shard's contexts; those that were found twice as a whole are known already."""
+    a, e = kernels.runs(s.gone)
+    row = np.searchsorted(s.begin, a, side="right") - 1
+    some = alone[lo + row]
+    a, e, row = a[some], e[some], row[some]
+    at = pa.array(lo + row)
+    first = t.column("first").to_numpy()[lo + row] - s.begin[row]
+    return pa.table({"doc_id": t.column("doc_id").take(at), "text_key": t.column("text_key").take(at), "first": pa.array((first + a).astype(np.int32)), "last": pa.array((first + e - 1).astype(np.int32))})
 
 
 def _cut_texts(docs: DataFrame, rows: DataFrame, opt: Options) -> DataFrame:
+    """The texts of the given contexts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            for part, b in kernels.chunks(rb, "text"):
-                out: list[list] = [[], [], [], [], []]
-                for i, (doc, key, at) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True)):
-                    text = b.text(i)
-                    for x in at:
-                        for col, v in zip(out, (x["cell"], doc, key, x["first"], text[x["first"] : x["last"] + opt.length]), strict=True):
-                            col.append(v)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["cell", "doc_id", "text_key", "first", "text"])
-
-    return docs.join(_by_doc(rows).hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "at").mapInArrow(run, "cell long, doc_id long, text_key long, first int, text binary")
+            ids, keys = (rb.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            whole = kernels.arrow_batch(rb.column(2))
+            at = _Ranges(rb.column(3))
+            flat = rb.column(3).flatten()
+            first, last, of = at.rows(np.arange(rb.num_rows))
+            lo, size = whole.off[of] + first, last - first + opt.length
+            total = np.cumsum(size)
+            begin = 0
+            while begin < len(of):
+                to = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + kernels.CHUNK_BYTES, side="right")))
+                n = size[begin:to]
+                off = np.concatenate(([0], np.cumsum(n)))
+                place = np.repeat(lo[begin:to] - off[:-1], n) + np.arange(off[-1])
+                text = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(whole.buf[place])])
+                own = of[begin:to]
+                cols = [flat.field(2).slice(begin, to - begin), flat.field(3).slice(begin, to - begin), pa.array(ids[own]), pa.array(keys[own]), pa.array(first[begin:to].astype(np.int32)), text]
+                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in CUT.split(", ")])
+                begin = to
+
+    lists = rows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last", "cell", (F.col("n") == 1).alias("alone"))).alias("at"))
+    one = docs.dropDuplicates(["doc_id", "text_key"])
+    return frames.join(one, lists, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "at").mapInArrow(run, CUT)
 
 
 def repeats(docs: DataFrame, opt: Options = Options()) -> frames.Saved:
     """Saved table (doc_id, text_key, at): ranges [first, last] of starts of strings that also start elsewhere. doc_id null is the least long."""
     docs = docs.select(frames.null_first_id("doc_id").alias("doc_id"), frames.text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    long = docs.where(F.octet_length("text") >= opt.length)
+    with frames.Scratch() as keep:
+        return frames.Saved(_by_doc(_found(docs.where(F.octet_length("text") >= opt.length), opt, keep)))
+
+
+def _found(long: DataFrame, opt: Options, keep: frames.Scratch) -> DataFrame:
     found = []
-    drawn = frames.Saved(_contexts(long, opt))
-    parts = 8
-    while True:
-        rows = drawn.df
-        one = F.struct("doc_id", "text_key", "first", "last", "origin", "width")
-        contexts = rows.groupBy("cell", "x", "y").agg(F.count("*").alias("n"), F.min(one).alias("r"))
-        cells = contexts.groupBy("cell").agg(F.count("*").alias("size"), F.sum((F.col("n") == 1).cast("long")).alias("alone"))
-        known = frames.Saved(contexts.join(cells.hint("merge"), "cell").where("n > 1 or (size > 1 and alone > 0)").select("cell", "x", "y", "n", "r.*", "size", "alone"))
-        twice = known.df.where("n > 1").select("cell", "x", "y")
-        found.append(frames.Saved(rows.join(twice.hint("merge"), ["cell", "x", "y"], "left_semi").select("doc_id", "text_key", "first", "last")).df)
-        drawn.drop()
-        todo = known.df.where("size > 1 and alone > 0")
+    source, again = long.select("doc_id", "text_key", "text"), False
+    for gram in opt.grams():
+        rows = keep(_context_rows(source, opt, gram, again))
+        firsts = (F.first(c).alias(c) for c in ("doc_id", "text_key", "first", "last", "within"))  # all from one row
+        known = keep(rows.groupBy("cell", "x", "y").agg(F.count("*").alias("n"), *firsts))
+        cells = known.groupBy("cell").agg(F.count("*").alias("size"), F.sum((F.col("n") == 1).cast("long")).alias("alone"), F.max("within").alias("within"))
+        twice = known.where("n > 1").select("cell", "x", "y")
+        found.append(keep(frames.join(rows, twice, ["cell", "x", "y"], "left_semi").select("doc_id", "text_key", "first", "last")))
+        todo = keep(frames.join(known, cells.where("alone > 0 and (size > 1 or within)").select("cell", "size"), ["cell"]).select("cell", "doc_id", "text_key", "first", "last", "n", "size"))
         small = todo.where(F.col("size") <= opt.cell)
         total = small.agg(F.sum(F.col("last") - F.col("first") + opt.length).alias("n")).first()["n"] or 0
         if total:
-            n = -(-total // BUCKET_BYTES)
-            texts = _cut_texts(long, small, opt).withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(n)))
-            found.append(frames.Saved(texts.groupBy("bucket").applyInArrow(_sort_bucket(opt), SPANS)).df)
+            texts = _cut_texts(long, small, opt).withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(-(-total // BUCKET_BYTES))))
+            found.append(keep(texts.groupBy("bucket").applyInArrow(_sort_bucket(opt), SPANS)))
         large = todo.where(F.col("size") > opt.cell)
         if not large.limit(1).count():
             break
-        drawn = frames.Saved(_divide(long, _by_doc(large), parts, opt))
+        one = long.dropDuplicates(["doc_id", "text_key"])
+        source, again = frames.join(one, _by_doc(large), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "at"), True
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
-    return frames.Saved(every.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last")).alias("at")))
+    return every
 
 
 OUT = "n_bytes long, removed_starts array<long>, removed_ends array<long>, kept binary"
@@ -278,30 +301,23 @@ def strip(docs: DataFrame, opt: Options = Options()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for part, b in kernels.chunks(rb, "text"):
-                starts, ends, kept = [], [], []
-                for i, x in enumerate(part.column(2).to_pylist()):
-                    text = b.text(i)
-                    if x is None:
-                        starts.append([])
-                        ends.append([])
-                        kept.append(text)
-                        continue
-                    lo = np.array([r["first"] for r in x])
-                    hi = np.array([r["last"] for r in x])
-                    gone = np.zeros(len(text) + 1, dtype=np.int32)
-                    np.add.at(gone, lo, 1)
-                    np.add.at(gone, hi + opt.length, -1)
-                    gone = np.cumsum(gone[:-1]) > 0
-                    a, e = kernels.runs(gone)
-                    starts.append(a.tolist())
-                    ends.append(e.tolist())
-                    kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(b.off)), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
-                    names=["doc_id", "n_bytes", "removed_starts", "removed_ends", "kept"],
-                )
-
-    return left.join(at.hint("merge"), ["_id", "_key"], "left").select("doc_id", "text", "at").mapInArrow(run, f"doc_id long, {OUT}")
+                first, last, of = _Ranges(part.column(2)).rows(np.arange(b.n))
+                gone = kernels.cover(len(b.buf), b.off[of] + first, last - first + opt.length)
+                edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
+                a, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+                # a run that goes on into the next document is one run in each
+                cut = b.off[1:-1][(b.off[1:-1] > 0) & (b.off[1:-1] < len(gone))]
+                cut = np.unique(cut[gone[cut] & gone[cut - 1]]) if len(cut) else cut
+                a, e = np.sort(np.concatenate((a, cut))), np.sort(np.concatenate((e, cut)))
+                doc = np.searchsorted(b.off, a, side="right") - 1
+                lists = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=b.n)))).astype(np.int32)
+                left = b.buf[~gone]
+                off = np.concatenate(([0], np.cumsum(~gone)))[b.off] if len(gone) else b.off
+                kept = pa.Array.from_buffers(pa.binary(), b.n, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(left))])
+                starts, ends = (pa.ListArray.from_arrays(pa.array(lists), pa.array(v - b.off[doc])) for v in (a, e))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(b.off)), starts, ends, kept], names=["doc_id", "n_bytes", "removed_starts", "removed_ends", "kept"])
+
+    return frames.join(left, at, ["_id", "_key"], "left").select("doc_id", "text", "at").mapInArrow(run, f"doc_id long, {OUT}")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
