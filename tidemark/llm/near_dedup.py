@@ -11,7 +11,8 @@ that could reach the threshold are verified on the full sets.
 Pairs of a band are never rows. A node's centre score is the number of nodes that it meets in its
 bands; an original scores above its edited copies.
 
-1. Every node is paired with the most central node of each of its bands. That closes most bands.
+1. Every node is paired with the most central node of its bands whose sketch allows a link. That closes most bands: those
+   whose nodes all have one such centre.
 2. In bands that are still open, nodes meet in blocks of bounded size. A block compares sketches and gives back a
    forest: at most one link for each of its rows, which joins all nodes whose sketches allow a link. The components of these
    candidate links hold every link.
@@ -397,10 +398,11 @@ def _groups(docs: DataFrame, opt: Options, keep: frames.Scratch) -> frames.Saved
     nodes = keep(rows.where("n > 0").groupBy("node").agg(least).select("node", F.monotonically_increasing_id().alias("nid"), "r.none", F.col("r.doc_id").alias("doc"), "r.text_key", "r.n", "r.sketch"))
     bands = _bands(nodes, opt, keep)
 
-    stars = keep(_star_pairs(bands, nodes, opt))
-    by_star = stars.groupBy("nid").agg(F.max(F.struct("centre", "pivot")).alias("p"))
+    best = _star_pairs(bands, nodes, opt).groupBy("nid").agg(F.max(F.struct("centre", "pivot")).alias("p"))
     own = bands.groupBy("nid").agg(F.first("centre").alias("centre"))
-    loose = frames.join(own, by_star, ["nid"], "left").select("nid", F.greatest(F.struct("centre", F.col("nid").alias("pivot")), F.coalesce("p", F.struct("centre", F.col("nid").alias("pivot"))))["pivot"].alias("label"))
+    me = F.struct("centre", F.col("nid").alias("pivot"))
+    loose = keep(frames.join(own, best, ["nid"], "left").select("nid", F.greatest(me, F.coalesce("p", me))["pivot"].alias("label")))
+    stars = loose.where("nid <> label").withColumnRenamed("label", "pivot")
     members = frames.join(bands.select("key", "nid"), loose, ["nid"]).withColumn("weight", F.lit(0))
     meetings = _meetings(members, "key", lambda m, w: F.ceil(m / opt.block), opt)
     candidates = keep(stars.select(F.col("nid").alias("a"), F.col("pivot").alias("b")).union(_alike(meetings, nodes, opt)).distinct())
