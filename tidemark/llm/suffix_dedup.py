@@ -11,8 +11,8 @@ A string of `length` bytes goes if it also starts anywhere else.
    Larsson-Sadakane refinement. Kasai's common prefixes decide: a place is lost if its suffix shares `length` bytes or more
    with the one before or after it. A cell with more text than a shard is spread over several; its strings that are not lost yet are
    looked up in the other shards' suffix arrays by binary search.
-3. A cell of very many different contexts is not given to one task. Its strings are filed anew by longer
-   grams, at last by their own digest.
+3. A cell of very many different contexts is not given to one task. The strings of its contexts are filed anew by longer
+   grams, at last by their own digest, which leaves one context for each cell.
 
 Matches never cross documents, and strings are judged on the input.
 
@@ -59,35 +59,25 @@ def _slide(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(suf[:n], pre[w - 1 : n + w - 1])
 
 
-def contexts(b: kernels.Batch, length: int, gram: int, ranges: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def contexts(b: kernels.Batch, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs [first, last] of starts of strings inside one document with one least gram, that gram's digest, and whether a run may repeat itself.
 
     A string of a run can equal a later one of it only if its gram begins before the last start.
 
-    With ranges ([first, last] of starts), only of those. A run has at most as many starts as strings can share one gram, so that
+    A run has at most as many starts as strings can share one gram, so that
     periodic text gives runs of bounded length, too.
     """
     n, w = len(b.buf), length - gram + 1
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
-    inside = np.zeros(n + 1, dtype=np.int32)
-    if ranges is None:
-        full = b.off[1:] - b.off[:-1] >= length
-        first, last = b.off[:-1][full], b.off[1:][full] - length
-    else:
-        first, last = ranges
-    np.add.at(inside, first, 1)
-    np.add.at(inside, last + 1, -1)
-    inside = np.cumsum(inside[:n]) > 0
+    inside = kernels.cover(n, b.off[:-1], np.maximum(0, b.off[1:] - b.off[:-1] - length + 1))
     d = kernels.rolling(kernels.prefix(b.buf, kernels.byte_table(61)), gram)
     least = _slide(d, w)
     least = np.concatenate((least, np.zeros(n - len(least), np.uint64)))
     new = np.ones(n, dtype=bool)
     new[1:] = (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])
     new[b.off[:-1][b.off[:-1] < n]] = True
-    if ranges is not None:
-        new[first] = True
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, n))
     some = inside[at]
@@ -100,25 +90,38 @@ def contexts(b: kernels.Batch, length: int, gram: int, ranges: tuple[np.ndarray,
     return start, stop, least[start], own[np.minimum(stop, len(d))] > own[np.minimum(start, len(d))]
 
 
-CONTEXTS = "cell long, x long, y long, doc_id long, text_key long, first int, last int, within boolean"
+CONTEXTS = "cell long, x long, y long, doc_id long, text_key long, first int, last int, within boolean, weight long"
 
 
-def _context_rows(docs: DataFrame, opt: Options, gram: int, again: bool) -> DataFrame:
-    """The contexts of all texts, or with again of the ranges of starts in the column `at`."""
+def _context_rows(texts: DataFrame, opt: Options, gram: int) -> DataFrame:
+    """The contexts of all texts (doc_id, text_key, text). Where texts are contexts themselves (with base, weight), theirs with their own text."""
+    inner = "base" in texts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             ids, keys = (rb.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            at = _Ranges(rb.column(3)) if again else None
+            origin, weight = (rb.column(k).to_numpy().astype(np.int64) for k in (3, 4)) if inner else (np.zeros(rb.num_rows, np.int64), np.ones(rb.num_rows, np.int64))
             for rows, base, b in kernels.pieces(rb, "text", opt.length - 1):
-                first, last, cell, within = contexts(b, opt.length, gram, at.of(rows, base, b, opt.length) if again else None)
+                first, last, cell, within = contexts(b, opt.length, gram)
                 x, y = (kernels.spans(kernels.prefix(b.buf, kernels.byte_table(s)), first, last + opt.length) for s in (63, 67))
                 doc = np.searchsorted(b.off, first, side="right") - 1
-                row, shift = rows[doc], base[doc] - b.off[doc]
-                cols = [*(v.view(np.int64) for v in (cell, x, y)), ids[row], keys[row], *((v + shift).astype(np.int32) for v in (first, last))]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*cols, within)], names=[c.split()[0] for c in CONTEXTS.split(", ")])
+                row = rows[doc]
+                shift = base[doc] + origin[row] - b.off[doc]
+                cols = [*(v.view(np.int64) for v in (cell, x, y)), ids[row], keys[row], *((v + shift).astype(np.int32) for v in (first, last)), within, weight[row]]
+                out = [pa.array(v) for v in cols]
+                if inner:
+                    out.append(_slices(b.buf, first, last + opt.length))
+                yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in CONTEXTS.split(", ")] + ["text"] * inner)
 
-    return docs.mapInArrow(run, CONTEXTS)
+    return texts.mapInArrow(run, CONTEXTS + ", text binary" * inner)
+
+
+def _slices(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Spans of a buffer as a binary column."""
+    n = end - start
+    off = np.concatenate(([0], np.cumsum(n)))
+    place = np.repeat(start - off[:-1], n) + np.arange(off[-1])
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(buf[place])])
 
 
 class _Ranges:
@@ -136,21 +139,13 @@ class _Ranges:
         k = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per) + self.off[rows][of]
         return self.first[k], self.last[k], of
 
-    def of(self, rows: np.ndarray, base: np.ndarray, b: kernels.Batch, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ranges of the rows' pieces as places of the batch, cut to the starts that a piece is asked about."""
-        first, last, of = self.rows(rows)
-        size = np.diff(b.off)[of]
-        lo, hi = np.maximum(first - base[of], 0), np.minimum(last - base[of], size - length)
-        some = lo <= hi
-        return (lo + b.off[of])[some], (hi + b.off[of])[some]
-
 
 def _by_doc(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last")).alias("at"))
 
 
 SPANS = "doc_id long, text_key long, first int, last int"
-CUT = "cell long, alone boolean, doc_id long, text_key long, first int, text binary"
+CUT = "cell long, alone boolean, size long, doc_id long, text_key long, first int, text binary"
 
 
 class _Shard:
@@ -242,16 +237,13 @@ def _cut_texts(docs: DataFrame, rows: DataFrame, opt: Options) -> DataFrame:
             begin = 0
             while begin < len(of):
                 to = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + kernels.CHUNK_BYTES, side="right")))
-                n = size[begin:to]
-                off = np.concatenate(([0], np.cumsum(n)))
-                place = np.repeat(lo[begin:to] - off[:-1], n) + np.arange(off[-1])
-                text = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(whole.buf[place])])
                 own = of[begin:to]
-                cols = [flat.field(2).slice(begin, to - begin), flat.field(3).slice(begin, to - begin), pa.array(ids[own]), pa.array(keys[own]), pa.array(first[begin:to].astype(np.int32)), text]
+                text = _slices(whole.buf, lo[begin:to], lo[begin:to] + size[begin:to])
+                cols = [*(flat.field(k).slice(begin, to - begin) for k in (2, 3, 4)), pa.array(ids[own]), pa.array(keys[own]), pa.array(first[begin:to].astype(np.int32)), text]
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in CUT.split(", ")])
                 begin = to
 
-    lists = rows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last", "cell", (F.col("n") == 1).alias("alone"))).alias("at"))
+    lists = rows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last", "cell", "alone", "size")).alias("at"))
     one = docs.dropDuplicates(["doc_id", "text_key"])
     return frames.join(one, lists, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "at").mapInArrow(run, CUT)
 
@@ -264,26 +256,30 @@ def repeats(docs: DataFrame, opt: Options = Options()) -> frames.Saved:
 
 
 def _found(long: DataFrame, opt: Options, keep: frames.Scratch) -> DataFrame:
-    found = []
-    source, again = long.select("doc_id", "text_key", "text"), False
-    for gram in opt.grams():
-        rows = keep(_context_rows(source, opt, gram, again))
-        firsts = (F.first(c).alias(c) for c in ("doc_id", "text_key", "first", "last", "within"))  # all from one row
-        known = keep(rows.groupBy("cell", "x", "y").agg(F.count("*").alias("n"), *firsts))
-        cells = known.groupBy("cell").agg(F.count("*").alias("size"), F.sum((F.col("n") == 1).cast("long")).alias("alone"), F.max("within").alias("within"))
-        twice = known.where("n > 1").select("cell", "x", "y")
-        found.append(keep(frames.join(rows, twice, ["cell", "x", "y"], "left_semi").select("doc_id", "text_key", "first", "last")))
-        todo = keep(frames.join(known, cells.where("alone > 0 and (size > 1 or within)").select("cell", "size"), ["cell"]).select("cell", "doc_id", "text_key", "first", "last", "n", "size"))
-        small = todo.where(F.col("size") <= opt.cell)
-        total = small.agg(F.sum(F.col("last") - F.col("first") + opt.length).alias("n")).first()["n"] or 0
+    found, at = [], ["doc_id", "text_key", "first"]
+    rows, level = keep(_context_rows(long.select("doc_id", "text_key", "text"), opt, opt.gram)), 0
+    while True:
+        firsts = (F.first(c).alias(c) for c in (*at, "last", "within"))  # all from one row
+        known = keep(rows.groupBy("cell", "x", "y").agg((F.sum("weight") == 1).alias("alone"), *firsts))
+        cells = known.groupBy("cell").agg(F.count("*").alias("size"), F.max("alone").alias("some"), F.max("within").alias("within"))
+        found.append(keep(frames.join(rows.where("weight = 1"), known.where("not alone").select("cell", "x", "y"), ["cell", "x", "y"], "left_semi").select(*at, "last")))
+        mixed = cells.where("some and (size > 1 or within)").select("cell", "size")
+        todo = keep(frames.join(known, mixed, ["cell"]).select("cell", *at, "last", "alone", "size"))
+        if level == 0:
+            texts = keep(_cut_texts(long, todo, opt))
+        else:
+            texts = keep(frames.join(rows.select(*at, "text"), todo, at).select("cell", "alone", "size", *at, "text"))
+        small = texts.where(F.col("size") <= opt.cell)
+        total = small.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
         if total:
-            texts = _cut_texts(long, small, opt).withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(-(-total // BUCKET_BYTES))))
-            found.append(keep(texts.groupBy("bucket").applyInArrow(_sort_bucket(opt), SPANS)))
-        large = todo.where(F.col("size") > opt.cell)
+            buckets = small.withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(-(-total // BUCKET_BYTES))))
+            found.append(keep(buckets.groupBy("bucket").applyInArrow(_sort_bucket(opt), SPANS)))
+        large = texts.where(F.col("size") > opt.cell)
         if not large.limit(1).count():
             break
-        one = long.dropDuplicates(["doc_id", "text_key"])
-        source, again = frames.join(one, _by_doc(large), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "at"), True
+        level += 1
+        weight = F.when(F.col("alone"), 1).otherwise(2).cast("long")
+        rows = keep(_context_rows(large.select("doc_id", "text_key", "text", F.col("first").alias("base"), weight.alias("weight")), opt, opt.grams()[level]))
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
