@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import has_phrase, matches
+from tidemark.functions.text import matches, phrase
 
 
 def canonical(value: str) -> str:
@@ -94,4 +94,4 @@ def substring(col: Column, value: str) -> Column:
         return F.lit(False)
     if sep is None:
         return F.exists(tokens(col), lambda t: matches(t, parts[0]))
-    return (ip_type(col) == family) & has_phrase(tokens(col), parts)
+    return (ip_type(col) == family) & phrase(F.array_join(tokens(col), sep), parts, re.escape(sep), f"[^{sep}]")

@@ -39,28 +39,27 @@ def tokens(col: Column, pattern: str = r"\s+") -> Column:
     return F.filter(F.split(F.lower(F.coalesce(col, F.lit(""))), pattern), lambda t: t != "")
 
 
-def has_phrase(toks: Column, parts: list[str]) -> Column:
-    """Whether consecutive tokens match the patterns."""
-    if not parts:
-        return F.lit(False)
-    if len(parts) == 1:
-        return F.exists(toks, lambda t: matches(t, parts[0]))
-    last = F.size(toks) - len(parts)
+def _part(glob: str, inner: str) -> str:
+    """A pattern as a regular expression inside one token; `inner` matches a token's characters."""
+    return "".join(f"{inner}*" if c == "*" else inner if c == "?" else re.escape(c) for c in glob)
+
 
-    def at(i: Column) -> Column:
-        cond = F.lit(True)
-        for k, p in enumerate(parts):
-            cond = cond & matches(F.get(toks, i + k), p)
-        return cond
+def phrase(joined: Column, parts: list[str], sep: str, inner: str) -> Column:
+    """Whether consecutive tokens of a text match the patterns: one regular expression over the text, which is never split.
 
-    return F.when(last >= 0, F.exists(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(F.lit(False))
+    `sep` and `inner` are character classes of what parts tokens and of what is in them.
+    """
+    if not parts:
+        return F.lit(False)
+    run = f"{sep}+".join(_part(p, inner) for p in parts)
+    return joined.rlike(f"(?s)(?<!{inner}){run}(?!{inner})")
 
 
 def full_text(col: Column, value: str) -> Column:
     """All tokens, in any order; text in quotes is a run of consecutive tokens."""
-    toks, cond = tokens(col), F.lit(True)
+    low, cond = F.lower(F.coalesce(col, F.lit(""))), F.lit(True)
     for quoted, bare in re.findall(r'"([^"]*)"?|([^\s"]+)', value.lower()):
-        cond = cond & has_phrase(toks, quoted.split() if quoted else [bare])
+        cond = cond & phrase(low, quoted.split() if quoted else [bare], r"\s", r"\S")
     return cond
 
 
@@ -84,7 +83,39 @@ def path(col: Column, value: str) -> Column:
         if value.endswith(("/", "*")):
             return stored.startswith(value.rstrip("*").rstrip("/") + "/") if value.rstrip("*").endswith("/") else stored.startswith(value.rstrip("*"))
         return stored == value + "/"
-    return has_phrase(tokens(col, "/"), [p for p in value.split("/") if p])
+    return phrase(stored, [p for p in value.split("/") if p], "/", "[^/]")
+
+
+def clear_fingerprints(element: Column, sub: Column, classes: Column, key: Column, sub_uuid: Column) -> Column:
+    """The hashes of all that a clear ends: for each of its classes the one by identifiers and, with a sub-element's uuid, the one by that."""
+    e = lambda c: F.coalesce(c, F.lit(""))
+    old = F.transform(classes, lambda c: F.sha1(F.concat_ws("|", e(element), e(sub), c, e(key))))
+    new = F.when(e(sub_uuid) != "", F.transform(classes, lambda c: F.sha1(F.concat_ws("|", sub_uuid, c, e(key))))).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.when(e(element) != "", F.concat(old, new)).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def uuid_text(binary: Column) -> Column:
+    """16 bytes as a uuid of 36 characters."""
+    h = F.lower(F.hex(binary))
+    return F.when(binary.isNotNull(), F.concat_ws("-", *(F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))))
+
+
+def uuid_bytes(text: Column) -> Column:
+    return F.unhex(F.regexp_replace(text, "-", ""))
+
+
+def sha1_text(binary: Column) -> Column:
+    return F.lower(F.hex(binary))
+
+
+def millis_text(ms: Column) -> Column:
+    """Milliseconds since the epoch as YYYY-MM-DD HH:MM:SS.mmm, in UTC whatever the session's zone."""
+    utc = F.to_utc_timestamp(F.timestamp_millis(ms), F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd HH:mm:ss.SSS")
+
+
+def title_or_id(title: Column, identifier_: Column) -> Column:
+    return F.coalesce(title, identifier_)
 
 
 def truncate_utf8(col: Column, n: int) -> Column:

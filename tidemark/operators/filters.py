@@ -119,10 +119,17 @@ def numeric_detail(values: Column, wanted: tuple[str, ...], op: str = "OR") -> C
 
 
 def has_tags(tags: Column, wanted: tuple[str, ...], op: str) -> Column:
+    """tags: a row's tag uuids; all_tags() adds those of its elements."""
     want = F.array(*map(F.lit, wanted))
     return F.size(F.array_except(want, tags)) == 0 if op == "AND" else F.arrays_overlap(tags, want)
 
 
+def all_tags(tags: Column, element_uuid: Column, sub_uuid: Column) -> Column:
+    """The set of a row's tags and the uuids of its element and sub-element."""
+    none = F.expr("cast(array() as array<string>)")
+    return F.filter(F.array_union(F.coalesce(tags, none), F.array(element_uuid, sub_uuid)), lambda t: F.coalesce(t, F.lit("")) != "")
+
+
 def detail(name: str, f: DetailFilter, types: dict[str, str]) -> Column:
     kind = types.get(name)
     if kind is None:
@@ -147,6 +154,13 @@ def _ip(c: Column, value: str) -> Column:
         return ip.substring(c, value)
 
 
+def clauses(f: EventFilter) -> int:
+    """The values of a filter and of all filters in it."""
+    ranges = sum(len(getattr(f, n)) for n in ("severity", "status", "count", "first_seen", "last_seen", "status_change", "update_time", "event_class"))
+    lists = sum(len(v) for pairs in (f.wildcards, f.identifiers, f.texts, f.tags) for _, v in pairs) + sum(len(d.values) for d in f.details)
+    return ranges + lists + sum(clauses(s) for s in f.subfilters) + (clauses(f.not_filter) if f.not_filter else 0)
+
+
 def condition(f: EventFilter, types: dict[str, str] | None = None) -> Column:
     """The filter as a Column that is never null."""
     out: list[Column] = []
@@ -168,7 +182,7 @@ def condition(f: EventFilter, types: dict[str, str] | None = None) -> Column:
     for d in f.details:
         out.append(detail(d.name, d, types or {}))
     out.extend(condition(s, types) for s in f.subfilters)
-    if len(out) > MAX_CLAUSES:
+    if clauses(f) > MAX_CLAUSES:
         raise ValueError(f"a filter has more than {MAX_CLAUSES} clauses")
     cond = F.lit(True) if not out else (any_of(out) if f.op == "OR" else all_of(out))
     if f.not_filter is not None:

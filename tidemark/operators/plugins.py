@@ -34,3 +34,30 @@ def apply(events: DataFrame, plugins: Iterable[Plugin], disabled: Iterable[str]
     for p in in_order(plugins, disabled):
         events = p.run(events, p.properties)
     return events
+
+
+@dataclass
+class Hooks:
+    """Functions that are called with what became of a batch; each kind runs in the order in which they were added.
+
+    post_create: (occurrences, summaries). post_index: (start, prepare, run, end), called in that order for each batch with (batch). update: (kind, uuids, change),
+    where kind is status, note or details. A hook that raises stops the batch, which is then run again.
+    """
+
+    post_create: list[Callable[[DataFrame, DataFrame], None]] = field(default_factory=list)
+    post_index: list[tuple[Callable[[DataFrame], None] | None, ...]] = field(default_factory=list)
+    update: list[Callable[[str, DataFrame, dict], None]] = field(default_factory=list)
+
+    def created(self, occurrences: DataFrame, summaries: DataFrame) -> None:
+        for f in self.post_create:
+            f(occurrences, summaries)
+
+    def indexed(self, batch: DataFrame) -> None:
+        for step in range(4):
+            for hook in self.post_index:
+                if step < len(hook) and hook[step] is not None:
+                    hook[step](batch)
+
+    def updated(self, kind: str, uuids: DataFrame, change: dict) -> None:
+        for f in self.update:
+            f(kind, uuids, change)

@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import model
+from tidemark.operators.filters import EventFilter, condition
 
 
-def tag_severities(summaries: DataFrame, requested: list[str] | None = None) -> DataFrame:
-    """(tag, severity, events, acknowledged, total) over open summaries with an array column tags; total sums event counts by tag."""
-    open_ = summaries.where(F.col("status").isin(model.NEW, model.ACKNOWLEDGED))
-    tags = open_.select(F.explode(F.array_distinct("tags")).alias("tag"), "severity", "status", "event_count")
+def tag_severities(summaries: DataFrame, flt: EventFilter | None = None, requested: list[str] | None = None, types: dict[str, str] | None = None) -> DataFrame:
+    """(tag, severity, events, acknowledged, total) over the summaries of a filter, with an array column tags; total sums event counts by tag.
+
+    A tag that is listed twice in one summary counts once. Tags that are asked for and found nowhere have zeros and no severity.
+    """
+    rows = summaries.where(condition(flt, types)) if flt else summaries
+    tags = rows.select(F.explode(F.array_distinct("tags")).alias("tag"), "severity", "status", "event_count")
     if requested is not None:
         tags = tags.where(F.col("tag").isin(*requested))
     per = tags.groupBy("tag", "severity").agg(F.count("*").alias("events"), F.count_if(F.col("status") == model.ACKNOWLEDGED).alias("acknowledged"), F.sum("event_count").alias("n"))
@@ -21,32 +25,69 @@ def tag_severities(summaries: DataFrame, requested: list[str] | None = None) ->
     out = per.join(totals, "tag").select("tag", "severity", "events", "acknowledged", "total")
     if requested is not None:
         asked = summaries.sparkSession.createDataFrame([(t,) for t in requested], "tag string")
-        out = asked.join(out, "tag", "left").select("tag", "severity", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("acknowledged", F.lit(0)).alias("acknowledged"), F.coalesce("total", F.lit(0)).alias("total"))
+        none = F.lit(0).cast("long")
+        out = asked.join(out, "tag", "left").select("tag", "severity", *(F.coalesce(c, none).alias(c) for c in ("events", "acknowledged", "total")))
     return out
 
 
 def flaps(events: DataFrame, key: str, threshold: int = model.WARNING, interval_s: int = 3600) -> DataFrame:
-    """Events with is_flap (clear before, at least threshold now) and n_flaps in the trailing interval; n_flaps is 0 where severity stays."""
-    w = Window.partitionBy(key).orderBy("created", "arrival_seq")
-    prev = F.lag("severity", 1, 0).over(w)
-    marked = events.where(F.col("element_uuid").isNotNull()).withColumn("prev", prev).withColumn("is_flap", (F.col("prev") == model.CLEAR) & (F.col("severity") >= threshold))
-    trail = Window.partitionBy(key).orderBy(F.expr("created div 1000")).rangeBetween(-interval_s, 0)
-    n = F.count_if("is_flap").over(trail)
-    return marked.withColumn("n_flaps", F.when(F.col("prev") == F.col("severity"), F.lit(0).cast("long")).otherwise(n))
+    """Events with prev, is_flap (below the threshold before, at least the threshold now) and n_flaps.
+
+    n_flaps of a flap is the number of its key's flaps up to it and in the trailing interval; other events have 0. A key starts from CLEAR. Events
+    without a key or an element's uuid are left out. Keys are worked through in blocks of one interval of time: the severity
+    before a block comes from an aggregate, and a flap is also a witness in the next block.
+    """
+    rows = events.where(F.col("element_uuid").isNotNull() & (F.col("element_uuid") != "") & F.col(key).isNotNull()).withColumn("second", F.expr("created div 1000"))
+    rows = rows.withColumn("block", F.expr(f"second div {max(1, interval_s)}"))
+    per = rows.groupBy(key, "block").agg(F.max(F.struct("created", "arrival_seq", "severity")).alias("l"))
+    earlier = per.select(key, "block", F.lag("l.severity", 1, model.CLEAR).over(Window.partitionBy(key).orderBy("block")).alias("before"))
+    w = Window.partitionBy(key, "block").orderBy("created", "arrival_seq")
+    marked = rows.join(earlier, [key, "block"]).withColumn("prev", F.coalesce(F.lag("severity").over(w), "before")).drop("before")
+    marked = marked.withColumn("is_flap", (F.col("prev") < threshold) & (F.col("severity") >= threshold))
+    in_block = lambda b: F.struct((F.col("block") + b).alias("block"), F.lit(b == 0).alias("own"))
+    seen = marked.withColumn("at", F.explode(F.when(F.col("is_flap"), F.array(in_block(0), in_block(1))).otherwise(F.array(in_block(0)))))
+    seen = seen.withColumn("block", F.col("at.block")).withColumn("own", F.col("at.own")).drop("at")
+    upto = F.count_if("is_flap").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    gone = F.count_if("is_flap").over(Window.partitionBy(key, "block").orderBy("second").rangeBetween(Window.unboundedPreceding, -interval_s - 1))
+    counted = seen.withColumn("n_flaps", F.when(F.col("is_flap"), upto - gone).otherwise(F.lit(0).cast("long"))).where("own")
+    return counted.drop("own", "block", "second")
 
 
 def flap_alerts(flapped: DataFrame, count: int) -> DataFrame:
-    return flapped.where((F.col("n_flaps") >= count) & (F.col("n_flaps") % count == 0))
+    return flapped.where(F.col("is_flap") & (F.col("n_flaps") >= count) & (F.col("n_flaps") % count == 0))
+
+
+def latest_beats(beats: DataFrame) -> DataFrame:
+    """The stored heartbeats after a batch: the last of each (monitor, daemon)."""
+    return beats.groupBy("monitor", "daemon").agg(F.max(F.struct("last_time", "timeout_s")).alias("b")).select("monitor", "daemon", "b.last_time", "b.timeout_s")
 
 
 def heartbeats(beats: DataFrame, open_events: DataFrame, now_ms: int) -> DataFrame:
-    """(monitor, daemon, action): error for a daemon that is late, clear for one that is back or unknown but has an open event."""
-    last = beats.groupBy("monitor", "daemon").agg(F.max(F.struct("last_time", "timeout_s")).alias("b")).select("monitor", "daemon", (F.col("b.last_time") + F.col("b.timeout_s") * 1000 < now_ms).alias("expired"))
+    """(monitor, daemon, action): error for a daemon whose time is up, clear for one that is back or unknown but has an open event."""
+    last = latest_beats(beats).select("monitor", "daemon", (F.col("last_time") + F.col("timeout_s") * 1000 <= now_ms).alias("expired"))
     both = last.join(open_events.select("monitor", "daemon", F.lit(True).alias("open")).distinct(), ["monitor", "daemon"], "full_outer")
     action = F.when(F.col("expired"), "error").when(F.col("open"), "clear")
     return both.select("monitor", "daemon", action.alias("action")).where("action is not null")
 
 
+def heartbeat_events(actions: DataFrame, now_ms: int) -> DataFrame:
+    """The occurrences that heartbeats send back to the raw stream: an error or a clear for each (monitor, daemon)."""
+    clear = F.col("action") == "clear"
+    return actions.select(
+        F.sha1(F.concat_ws("|", F.lit("heartbeat"), "monitor", "daemon", F.lit(str(now_ms)))).alias("uuid"), F.lit(now_ms).cast("long").alias("created"), F.lit("/Heartbeat").alias("event_class"),
+        F.when(clear, model.CLEAR).otherwise(model.ERROR).alias("severity"), F.lit(model.NEW).alias("status"), F.col("monitor").alias("element_identifier"),
+        F.concat_ws("|", "monitor", "daemon", F.lit("/Heartbeat")).alias("fingerprint"),
+    )
+
+
+def flap_events(alerts: DataFrame, event_class: str = "/Status/Flapping") -> DataFrame:
+    """The occurrences that flap alerts send back to the raw stream."""
+    return alerts.select(
+        F.sha1(F.concat_ws("|", F.lit("flap"), "uuid")).alias("uuid"), "created", F.lit(event_class).alias("event_class"), "severity", F.lit(model.NEW).alias("status"),
+        "element_identifier", F.concat_ws("|", "element_identifier", F.lit(event_class)).alias("fingerprint"), F.concat(F.lit("flapped "), "n_flaps", F.lit(" times")).alias("summary"),
+    )
+
+
 class _Rule(ast.NodeVisitor):
     """Compiles an expression of the rule language; anything else is refused."""
 
@@ -150,19 +191,51 @@ def advance(events: DataFrame, matches: DataFrame, subscriptions: DataFrame, spo
     return signals, all_.where(~closed).select("uuid", "subscription", flush_time.alias("flush_time"), sent.alias("sent"))
 
 
-def schedule(matches: DataFrame, subscriptions: DataFrame, now_ms: int) -> DataFrame:
-    """What matched triggers enter in an empty spool, as the registered SQL has it: due after the delay, at once without one. advance() has all rules."""
-    due = F.lit(now_ms).cast("long") + F.col("delay_seconds") * 1000
-    return matches.join(subscriptions, "trigger").select("uuid", "subscription", due.alias("flush_time"), (F.col("delay_seconds") == 0).alias("sent"))
+def empty_spool(spark) -> DataFrame:
+    return spark.createDataFrame([], "uuid string, subscription string, flush_time long, sent boolean")
+
 
+def flush(spool: DataFrame, subscriptions: DataFrame, summaries: DataFrame, now_ms: int, triggers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(signals due by now, the spool after them).
 
-def flush(spool: DataFrame, subscriptions: DataFrame, summaries: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
-    """(signals due by now, the spool after them): repeats go on unless acknowledged or not wanted; spools of closed and missing events go."""
-    due = spool.where((F.col("flush_time") <= now_ms) & (F.col("flush_time") >= 0))
-    full = due.join(subscriptions.select("subscription", "repeat_seconds"), "subscription").join(summaries.select("uuid", "status"), "uuid", "left")
-    signals = full.where(F.col("status").isin(*model.OPEN_STATUSES)).select("uuid", "subscription")
+    Spools of closed and missing events go. Those whose subscription, or trigger (of triggers: trigger, enabled), is missing stay as they are. A disabled
+    trigger sends nothing but its spool goes on; repeats go on unless acknowledged or not wanted.
+    """
+    due = (F.col("flush_time") <= now_ms) & (F.col("flush_time") != NEVER)
+    subs = subscriptions.select("subscription", "trigger", "repeat_seconds")
+    subs = subs.withColumn("enabled", F.lit(True)) if triggers is None else subs.join(triggers.select("trigger", "enabled"), "trigger")
+    full = spool.withColumn("due", due).join(subs, "subscription", "left").join(summaries.select("uuid", "status"), "uuid", "left")
+    open_ = F.coalesce(F.col("status").isin(*model.OPEN_STATUSES), F.lit(False))
+    sends = F.col("due") & open_ & F.coalesce("enabled", F.lit(False))
+    goes_on = F.col("due") & F.col("enabled").isNotNull()
     again = (F.col("repeat_seconds") > 0) & (F.col("status") != model.ACKNOWLEDGED)
-    nxt = F.when(again, F.lit(now_ms).cast("long") + F.col("repeat_seconds") * 1000).otherwise(F.lit(-1).cast("long"))
-    later = full.where(F.col("status").isin(*model.OPEN_STATUSES)).select("uuid", "subscription", nxt.alias("flush_time"), F.lit(True).alias("sent"))
-    rest = spool.join(due.select("uuid", "subscription"), ["uuid", "subscription"], "left_anti")
-    return signals, rest.unionByName(later)
+    nxt = F.when(again, F.lit(now_ms).cast("long") + F.col("repeat_seconds") * 1000).otherwise(F.lit(NEVER).cast("long"))
+    rest = full.where(~F.col("due") | open_)
+    return full.where(sends).select("uuid", "subscription"), rest.select("uuid", "subscription", F.when(goes_on, nxt).otherwise(F.col("flush_time")).alias("flush_time"), (F.col("sent") | sends).alias("sent"))
+
+
+def nested_subscriptions(triggers: DataFrame, subscriptions: DataFrame, enabled_only: bool = False) -> DataFrame:
+    """Each trigger with an array of its subscriptions, ordered by name; empty where it has none."""
+    rows = triggers.where("enabled") if enabled_only else triggers
+    own = subscriptions.groupBy("trigger").agg(F.array_sort(F.collect_list(F.struct("subscription", "delay_seconds", "repeat_seconds"))).alias("subscriptions"))
+    none = F.expr("cast(array() as array<struct<subscription:string,delay_seconds:int,repeat_seconds:int>>)")
+    return rows.join(own, "trigger", "left").withColumn("subscriptions", F.coalesce("subscriptions", none))
+
+
+def replace_subscriptions(stored: DataFrame, subscriber: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(subscriptions after a subscriber's list was set to `wanted`, those of the subscriber that were not in it and went)."""
+    own = F.col("subscriber") == subscriber
+    gone = stored.where(own).join(wanted.select("subscription"), "subscription", "left_anti")
+    rest = stored.join(wanted.select("subscription"), "subscription", "left_anti").join(gone.select("subscription"), "subscription", "left_anti")
+    return rest.unionByName(wanted.select(*stored.columns)), gone
+
+
+def find_subscription(subscriptions: DataFrame, trigger: str, subscriber: str) -> DataFrame:
+    return subscriptions.where((F.col("trigger") == trigger) & (F.col("subscriber") == subscriber))
+
+
+def full_signals(signals: DataFrame, subscriptions: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Signals with their trigger and subscriber, their event and, for cleared ones, the event that cleared it."""
+    clearing = summaries.select(F.col("uuid").alias("cleared_by"), F.col("fingerprint").alias("clear_fingerprint"))
+    event = summaries.select("uuid", "fingerprint", "severity", "status", "event_count", *(["cleared_by"] if "cleared_by" in summaries.columns else [F.lit(None).cast("string").alias("cleared_by")]))
+    return signals.join(subscriptions.select("subscription", "trigger", "subscriber"), "subscription").join(event, "uuid").join(clearing, "cleared_by", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import ip
+from tidemark.operators import state
 from tidemark.operators.filters import EventFilter, condition
 
 MAX_PAGE = 1000
@@ -64,8 +65,9 @@ def total(summaries: DataFrame, q: EventQuery, types: dict[str, str] | None = No
 class SavedSearches:
     """Frozen result lists with a sliding timeout; each is a table in the shared folder."""
 
-    def __init__(self, write, timeout_s: float = 300.0, now=time.monotonic):
-        self._write, self._timeout, self._now, self._held = write, timeout_s, now, {}
+    def __init__(self, write, timeout_s: float = 300.0, now=time.monotonic, drop=None):
+        """write makes a frame into a table and gives it back; drop deletes that table."""
+        self._write, self._timeout, self._now, self._held, self._drop = write, timeout_s, now, {}, drop
 
     def create(self, summaries: DataFrame, q: EventQuery) -> str:
         name = str(uuid.uuid4())
@@ -75,10 +77,19 @@ class SavedSearches:
     def page(self, name: str, offset: int, limit: int) -> DataFrame:
         df, q, until = self._held.get(name, (None, None, 0))
         if self._now() > until:
-            self._held.pop(name, None)
+            self.delete(name)
             raise KeyError(f"no saved search {name}")
         self._held[name] = (df, q, self._now() + self._timeout)
         return page(df, EventQuery(sort=q.sort, offset=offset, limit=limit))
 
     def delete(self, name: str) -> bool:
-        return self._held.pop(name, None) is not None
+        held = self._held.pop(name, None)
+        if held is not None and self._drop is not None:
+            self._drop(held[0])
+        return held is not None
+
+
+def update_by_search(summaries: DataFrame, found: DataFrame, to: int, now_ms: int, user: str | None = None, offset: int = 0, limit: int = MAX_PAGE) -> tuple[DataFrame, int, bool]:
+    """(summaries after a page of a frozen result list (uuid) changed status, where the next request goes on, whether there is one)."""
+    page_ = found.orderBy("uuid").offset(offset).limit(limit)
+    return state.transition(summaries, page_, to, now_ms, user), offset + limit, found.orderBy("uuid").offset(offset + limit).limit(1).count() > 0

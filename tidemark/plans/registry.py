@@ -18,20 +18,20 @@ NOW = 1706659200000  # a fixed clock keeps results the same
 DAY = 86_400_000
 
 E_SQL = """e AS (
-  SELECT event_id, sha1('e|' || event_id) AS uuid, epoch_us(ts) // 1000 AS created, '/App/' || event_type AS event_class,
+  SELECT event_id, xor(event_id, 5) AS seq, sha1('e|' || event_id) AS uuid, epoch_us(ts) // 1000 AS created, '/App/' || event_type AS event_class,
     CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS severity,
     CASE event_id % 10 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS status, 'user-' || user_id AS element_identifier, sha1('u|' || user_id) AS element_uuid,
     'user-' || user_id || '|' || event_type AS fingerprint, CAST(nullif(regexp_extract(props, '"k": *(-?[0-9]+)', 1), '') AS INTEGER) AS k, user_id, event_type, value,
     '10.' || (user_id // 65536) || '.' || ((user_id // 256) % 256) || '.' || (user_id % 256) AS ip
   FROM events)"""
-S_SQL = (
-    E_SQL
-    + """, m AS (SELECT *, coalesce(created < max(created) OVER (PARTITION BY fingerprint ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM e),
- g AS (SELECT fingerprint, arg_min(uuid, event_id) AS uuid, count(*) AS event_count, min(created) AS first_seen, max(created) AS last_seen, any_value(event_class) AS event_class,
-    any_value(severity) AS severity, any_value(element_identifier) AS element_identifier, any_value(element_uuid) AS element_uuid,
-    arg_max(status, CASE WHEN late THEN -1 ELSE event_id END) AS ls, bool_or(status = 1 AND NOT late) AS acked FROM m GROUP BY fingerprint),
- s AS (SELECT *, sha1(fingerprint) AS fingerprint_hash, CASE WHEN acked AND ls IN (0, 2) THEN 1 ELSE ls END AS status FROM g)"""
-)
+#: Occurrences that are late; the states that a fingerprint's others bring; and its summary.
+FOLD_SQL = """m AS (SELECT *, coalesce(created < max(created) OVER (PARTITION BY {key} ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM {source}),
+ o AS (SELECT {key} AS fp, seq, created, status, lag(status) OVER (PARTITION BY {key} ORDER BY seq) AS was FROM m WHERE NOT late),
+ st AS (SELECT fp, arg_max(status, seq) AS ls, coalesce(bool_or(status = 1), false) AS acked, arg_min(created, seq) FILTER (status = 1) AS ack_at, arg_max(created, seq) FILTER (was IS NULL OR was <> status) AS moved FROM o GROUP BY fp),
+ g AS (SELECT {key} AS fp, any_value(fingerprint) AS fingerprint, arg_min(uuid, seq) AS uuid, count(*) AS event_count, min(created) AS first_seen, max(created) AS last_seen, any_value(event_class) AS event_class,
+    any_value(severity) AS severity, any_value(element_identifier) AS element_identifier, any_value(element_uuid) AS element_uuid FROM m GROUP BY {key}),
+ s AS (SELECT g.*, sha1(fingerprint) AS fingerprint_hash, CASE WHEN acked AND ls IN (0, 1, 2) THEN 1 ELSE ls END AS status, CASE WHEN acked AND ls IN (0, 1, 2) THEN ack_at ELSE moved END AS status_change FROM g JOIN st USING (fp))"""
+S_SQL = E_SQL + ", " + FOLD_SQL.format(key="fingerprint", source="e")
 
 
 def _s(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +113,7 @@ def sort_multi_key(spark, d):
     return page(_s(spark, d), q).select("uuid", "event_count", "element_identifier")
 
 
-@query("sort_ip_v4_before_v6", f"WITH {E_SQL} SELECT uuid FROM (SELECT uuid, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS v6, user_id FROM e ORDER BY v6, user_id, uuid LIMIT 100)")
+@query("sort_ip_v4_before_v6", f"WITH {E_SQL} SELECT uuid FROM (SELECT uuid, CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END AS v6, user_id FROM e ORDER BY v6, user_id, uuid LIMIT 100)")
 def sort_ip(spark, d):
     e = tables.occurrences(spark, d)
     addr = F.when(F.col("arrival_seq") % 2 == 0, F.concat(F.lit("fe80::"), F.lower(F.hex("user_id")))).otherwise(F.col("ip"))
@@ -135,26 +135,36 @@ def keyset_page(spark, d):
     return state.keyset_page(_s(spark, d).withColumn("update_time", F.col("last_seen")), "8", 1706600000000, 40).select("uuid")
 
 
-@query("dedup_summary", f"WITH {S_SQL} SELECT uuid, fingerprint_hash, event_class, severity, status, event_count, first_seen, last_seen FROM s")
+SUMMARY = ("uuid", "fingerprint_hash", "event_class", "severity", "status", "element_identifier", "event_count", "first_seen", "last_seen", "status_change")
+
+
+@query("dedup_summary", f"WITH {S_SQL} SELECT {', '.join(SUMMARY)} FROM s")
 def dedup_summary(spark, d):
-    return _s(spark, d).select("uuid", "fingerprint_hash", "event_class", "severity", "status", "event_count", "first_seen", "last_seen")
+    return _s(spark, d).select(*SUMMARY)
 
 
-@query("snapshot_merge", f"WITH {S_SQL} SELECT fingerprint_hash, uuid, event_count, first_seen, last_seen FROM s")
+@query("snapshot_merge", f"WITH {S_SQL} SELECT {', '.join(SUMMARY)} FROM s")
 def snapshot_merge(spark, d):
-    """Two batches folded one after the other are the same as one."""
+    """Batches folded one after the other are the same as one."""
     e = tables.occurrences(spark, d)
-    return state.merge_snapshots(state.dedup(e.where("arrival_seq % 2 = 0 and arrival_seq < 4000 or arrival_seq < 3000")), state.dedup(e.where("not (arrival_seq % 2 = 0 and arrival_seq < 4000 or arrival_seq < 3000)"))).select(
-        "fingerprint_hash", F.lit(None).cast("string").alias("u"), "event_count", "first_seen", "last_seen", "fingerprint"
-    ).join(e.groupBy("fingerprint").agg(F.min_by("uuid", "arrival_seq").alias("uuid")), "fingerprint").select("fingerprint_hash", "uuid", "event_count", "first_seen", "last_seen")
+    first = state.dedup(e.where("arrival_seq < 3000"))
+    return state.dedup(e.where("arrival_seq >= 3000"), first, block=500).select(*SUMMARY)
+
+
+ROLLUP_SQL = """t AS (SELECT unnest([event_class, element_identifier]) AS tag, severity, status, event_count FROM s WHERE {cond})
+ SELECT tag, severity, count(*) AS events, count(*) FILTER (status = 1) AS acknowledged, CAST(any_value(total) AS BIGINT) AS total FROM t JOIN (SELECT tag, sum(event_count) AS total FROM t GROUP BY tag) USING (tag) GROUP BY tag, severity"""
 
 
-@query("tag_severity_rollup", f"""WITH {S_SQL}, t AS (SELECT unnest([event_class, element_identifier]) AS tag, severity, status, event_count FROM s WHERE status IN (0, 1))
- SELECT tag, severity, count(*) AS events, count(*) FILTER (status = 1) AS acknowledged, CAST(any_value(total) AS BIGINT) AS total FROM t JOIN (SELECT tag, sum(event_count) AS total FROM t GROUP BY tag) USING (tag) GROUP BY tag, severity""")
+@query("tag_severity_rollup", f"WITH {S_SQL}, " + ROLLUP_SQL.format(cond="true"))
 def tag_severity_rollup(spark, d):
     return reactions.tag_severities(_s(spark, d).withColumn("tags", F.array("event_class", "element_identifier")))
 
 
+@query("tag_rollup_filtered", f"WITH {S_SQL}, " + ROLLUP_SQL.format(cond="status IN (0, 2) AND event_count >= 10"))
+def tag_rollup_filtered(spark, d):
+    return reactions.tag_severities(_s(spark, d).withColumn("tags", F.array("event_class", "element_identifier")), EventFilter(status=(0, 2), count=((10, None),)))
+
+
 AGE_SQL = f"status IN (0, 1, 2) AND severity < 4 AND last_seen < {NOW - 5 * DAY}"
 
 
@@ -186,7 +196,7 @@ def _clears(spark, d):
 
 @query("clear_events", f"WITH {S_SQL}{C_SQL} SELECT uuid, cleared_by FROM p")
 def clear_events(spark, d):
-    return state.clears(*_clears(spark, d))
+    return state.clear_marks(*_clears(spark, d))
 
 
 @query("clear_drop_unmatched", f"WITH {S_SQL}{C_SQL} SELECT clear_uuid FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.severity > 0 AND s.element_identifier = c.element_identifier AND s.last_seen <= c.created)")
@@ -249,7 +259,7 @@ def etl_union(spark, d):
     return new.select("uuid", "fingerprint", F.lit("status").alias("origin")).unionByName(old.join(new, "uuid", "left_anti").select("uuid", "fingerprint", F.lit("history").alias("origin")))
 
 
-@query("heartbeat_status", f"""WITH {E_SQL}, h AS (SELECT element_identifier AS monitor, event_type AS daemon, max(created) + 43200000 < {NOW} AS expired FROM e WHERE event_type <> 'signup' GROUP BY ALL),
+@query("heartbeat_status", f"""WITH {E_SQL}, h AS (SELECT element_identifier AS monitor, event_type AS daemon, max(created) + 43200000 <= {NOW} AS expired FROM e WHERE event_type <> 'signup' GROUP BY ALL),
  o AS (SELECT DISTINCT element_identifier AS monitor, event_type AS daemon FROM e WHERE event_type IN ('error', 'signup'))
  SELECT monitor, daemon, CASE WHEN expired THEN 'error' ELSE 'clear' END AS action FROM h FULL JOIN o USING (monitor, daemon) WHERE expired OR o.monitor IS NOT NULL""")
 def heartbeat_status(spark, d):
@@ -257,20 +267,23 @@ def heartbeat_status(spark, d):
     return reactions.heartbeats(e.where("daemon <> 'signup'"), e.where("daemon in ('error', 'signup')"), NOW)
 
 
-FLAP_SQL = f"""WITH {E_SQL}, f AS (SELECT *, coalesce(lag(severity) OVER w, 0) AS prev FROM e WINDOW w AS (PARTITION BY element_uuid ORDER BY created, event_id)),
- k AS (SELECT *, CASE WHEN prev = severity THEN 0 ELSE count(*) FILTER (prev = 0 AND severity >= 3) OVER (PARTITION BY element_uuid ORDER BY created // 1000 RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) END AS n_flaps FROM f)"""
+FLAP_SQL = f"""WITH {E_SQL}, f AS (SELECT *, coalesce(lag(severity) OVER (PARTITION BY element_identifier ORDER BY created, seq), 0) AS prev FROM e),
+ q AS (SELECT *, prev < 3 AND severity >= 3 AS is_flap, created // 1000 AS sec FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY element_identifier ORDER BY created, seq) AS rn FROM q WHERE is_flap),
+ k AS (SELECT q.uuid, q.is_flap, coalesce(c.n, 0) AS n_flaps FROM q LEFT JOIN (SELECT a.uuid, count(*) AS n FROM r a JOIN r b ON a.element_identifier = b.element_identifier AND b.rn <= a.rn AND b.sec >= a.sec - 21600 GROUP BY a.uuid) c USING (uuid))"""
 
 
 def _flaps(spark, d):
-    return reactions.flaps(tables.occurrences(spark, d), "element_uuid", model.WARNING, 86400)
+    """Flaps by clear fingerprint; all of an element's events have one class here, as a mapping would give them."""
+    e = tables.occurrences(spark, d).withColumn("clear_hash", text.clear_fingerprint(F.col("element_identifier"), F.lit(""), F.lit("/App"), F.lit("")))
+    return reactions.flaps(e, "clear_hash", model.WARNING, 21600)
 
 
-@query("flap_count", FLAP_SQL + " SELECT uuid, n_flaps FROM k")
+@query("flap_count", FLAP_SQL + " SELECT uuid, is_flap, n_flaps FROM k")
 def flap_count(spark, d):
-    return _flaps(spark, d).select("uuid", "n_flaps")
+    return _flaps(spark, d).select("uuid", "is_flap", "n_flaps")
 
 
-@query("flap_emit", FLAP_SQL + " SELECT uuid FROM k WHERE n_flaps >= 2 AND n_flaps % 2 = 0")
+@query("flap_emit", FLAP_SQL + " SELECT uuid FROM k WHERE is_flap AND n_flaps >= 2 AND n_flaps % 2 = 0")
 def flap_emit(spark, d):
     return reactions.flap_alerts(_flaps(spark, d), 2).select("uuid")
 
@@ -289,27 +302,82 @@ def trigger_rule_match(spark, d):
     return _matched(spark, d)
 
 
+SUBS = (("s1", "t1", "ops", 0, 60, False), ("s2", "t1", "mail", 30, 0, False), ("s3", "t2", "ops", 10, 10, False), ("s4", "t5", "ops", 0, 0, True))
+SUBS_SQL = "b(subscription, trigger, subscriber, delay, repeat, initial) AS (VALUES ('s1', 't1', 'ops', 0, 60, false), ('s2', 't1', 'mail', 30, 0, false), ('s3', 't2', 'ops', 10, 10, false), ('s4', 't5', 'ops', 0, 0, true))"
+
+
 def _subscriptions(spark):
-    return spark.createDataFrame([("s1", "t1", 0, 60), ("s2", "t1", 30, 0), ("s3", "t2", 10, 10)], "subscription string, trigger string, delay_seconds int, repeat_seconds int")
+    return spark.createDataFrame(SUBS, "subscription string, trigger string, subscriber string, delay_seconds int, repeat_seconds int, send_initial boolean")
+
+
+def _first_batch(spark, d):
+    """Signals and spool after the summaries were the first batch that a spool meets."""
+    return reactions.advance(_s(spark, d), _matched(spark, d), _subscriptions(spark), reactions.empty_spool(spark), NOW)
+
 
+#: A new spool is due after the delay, else after one repeat, else never (-1); without a delay its signal is sent.
+SUB_SQL = T_SQL + f", {SUBS_SQL}, sp AS (SELECT uuid, subscription, CAST(CASE WHEN delay > 0 THEN {NOW} + delay * 1000 WHEN repeat > 0 THEN {NOW} + repeat * 1000 ELSE -1 END AS BIGINT) AS flush_time, delay = 0 AS sent FROM t JOIN s USING (uuid) JOIN b USING (trigger) WHERE status IN (0, 1, 2))"
 
-SUB_SQL = T_SQL + f", b AS (SELECT * FROM (VALUES ('s1', 't1', 0, 60), ('s2', 't1', 30, 0), ('s3', 't2', 10, 10)) AS v(subscription, trigger, delay_seconds, repeat_seconds)), sp AS (SELECT uuid, subscription, CAST({NOW} + delay_seconds * 1000 AS BIGINT) AS flush_time, delay_seconds = 0 AS sent FROM t JOIN b USING (trigger))"
+
+@query("trigger_signals", SUB_SQL + " SELECT uuid, subscription, false AS clear FROM sp WHERE sent")
+def trigger_signals(spark, d):
+    return _first_batch(spark, d)[0]
 
 
 @query("trigger_spool_schedule", SUB_SQL + " SELECT * FROM sp")
 def trigger_spool_schedule(spark, d):
-    return reactions.schedule(_matched(spark, d), _subscriptions(spark), NOW)
+    return _first_batch(spark, d)[1]
+
+
+LATER = NOW + 15000
+#: The second batch: some rules hold no longer, some events are closed, some are seen again.
+STEP_SQL = SUB_SQL + f""", z AS (SELECT uuid, event_count % 3 AS turn FROM s),
+ hit AS (SELECT uuid, subscription FROM t JOIN b USING (trigger) JOIN z USING (uuid) WHERE turn = 1),
+ nx AS (SELECT sp.uuid, sp.subscription, sent, turn, CASE WHEN turn = 2 THEN flush_time WHEN hit.uuid IS NULL THEN -1 WHEN delay = 0 AND NOT initial THEN flush_time
+   WHEN repeat > 0 AND (flush_time = -1 OR flush_time > {LATER} + repeat * 1000) THEN {LATER} + repeat * 1000 WHEN delay > 0 AND repeat = 0 AND NOT initial AND flush_time = -1 THEN {LATER} + delay * 1000 ELSE flush_time END AS flush_time,
+   hit.uuid IS NOT NULL AND delay = 0 AND NOT initial AS again
+  FROM sp JOIN z USING (uuid) JOIN b USING (subscription) LEFT JOIN hit ON hit.uuid = sp.uuid AND hit.subscription = sp.subscription)"""
 
 
-@query("trigger_spool_flush", SUB_SQL + f" SELECT sp.uuid, subscription FROM sp JOIN s USING (uuid) WHERE flush_time <= {NOW + 15000} AND status IN (0, 1, 2)")
+def _second_batch(spark, d):
+    s = _s(spark, d).withColumn("turn", F.col("event_count") % 3)
+    batch = s.where("turn < 2").withColumn("status", F.when(F.col("turn") == 0, model.CLOSED).otherwise(F.col("status")))
+    again = _matched(spark, d).join(s.where("turn = 1").select("uuid"), "uuid", "left_semi")
+    return reactions.advance(batch, again, _subscriptions(spark), _first_batch(spark, d)[1], LATER)
+
+
+@query("trigger_spool_step", STEP_SQL + " SELECT uuid, subscription, CAST(flush_time AS BIGINT) AS flush_time, sent OR again AS sent FROM nx WHERE turn <> 0")
+def trigger_spool_step(spark, d):
+    return _second_batch(spark, d)[1]
+
+
+@query("trigger_step_signals", STEP_SQL + " SELECT uuid, subscription, turn = 0 AS clear FROM nx WHERE turn = 0 AND sent OR turn = 1 AND again")
+def trigger_step_signals(spark, d):
+    return _second_batch(spark, d)[0]
+
+
+FLUSH_SQL = SUB_SQL + f", w AS (SELECT sp.*, repeat, CASE WHEN event_count % 7 = 0 THEN 3 ELSE status END AS status, trigger <> 't5' AS enabled, flush_time <= {NOW + 60000} AND flush_time <> -1 AS due FROM sp JOIN s USING (uuid) JOIN b USING (subscription))"
+
+
+def _flushed(spark, d):
+    s = _s(spark, d).withColumn("status", F.when(F.col("event_count") % 7 == 0, model.CLOSED).otherwise(F.col("status")))
+    triggers = spark.createDataFrame([(t, t != "t5") for t in TRIGGERS], "trigger string, enabled boolean")
+    return reactions.flush(_first_batch(spark, d)[1], _subscriptions(spark), s, NOW + 60000, triggers)
+
+
+@query("trigger_spool_flush", FLUSH_SQL + " SELECT uuid, subscription FROM w WHERE due AND status IN (0, 1, 2) AND enabled")
 def trigger_spool_flush(spark, d):
-    subs = _subscriptions(spark)
-    return reactions.flush(reactions.schedule(_matched(spark, d), subs, NOW), subs, _s(spark, d), NOW + 15000)[0]
+    return _flushed(spark, d)[0]
+
 
+@query("trigger_spool_after_flush", FLUSH_SQL + f" SELECT uuid, subscription, CAST(CASE WHEN NOT due THEN flush_time WHEN repeat > 0 AND status <> 1 THEN {NOW + 60000} + repeat * 1000 ELSE -1 END AS BIGINT) AS flush_time, sent OR (due AND enabled) AS sent FROM w WHERE NOT due OR status IN (0, 1, 2)")
+def trigger_spool_after_flush(spark, d):
+    return _flushed(spark, d)[1]
 
-@query("min_flush_time", SUB_SQL + " SELECT min(flush_time) AS next_time FROM sp WHERE NOT sent")
+
+@query("min_flush_time", SUB_SQL + " SELECT min(flush_time) AS next_time FROM sp WHERE flush_time <> -1")
 def min_flush_time(spark, d):
-    return reactions.schedule(_matched(spark, d), _subscriptions(spark), NOW).where("not sent").agg(F.min("flush_time").alias("next_time"))
+    return _first_batch(spark, d)[1].where(F.col("flush_time") != reactions.NEVER).agg(F.min("flush_time").alias("next_time"))
 
 
 @query("organizer_ancestors", f"WITH {E_SQL} SELECT uuid, '/App,' || event_class AS organizers FROM e")
@@ -340,8 +408,12 @@ def export_projection(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tidemark.plans import catalogue  # noqa: F401  registers its queries
+
     return {k: f for k, (f, _) in Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from tidemark.plans import catalogue  # noqa: F401
+
     return {k: s for k, (_, s) in Q.items() if s}

@@ -14,7 +14,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's events as occurrences; arrival_seq is the arrival order."""
+    """The driver's events as occurrences; arrival_seq is the arrival order, in which neighbours have changed places so that some come late."""
     e = read(spark, sf_dir, "events")
     severity = F.lit(0)
     for k, v in SEVERITY.items():
@@ -25,7 +25,7 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = F.unix_micros(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
-        F.sha1(text("e|", uid)).alias("uuid"), F.col("event_id").alias("arrival_seq"), F.expr("1").alias("count"), micros.alias("micros"),
+        F.sha1(text("e|", uid)).alias("uuid"), F.col("event_id").bitwiseXOR(F.lit(5)).alias("arrival_seq"), F.expr("1").alias("count"), micros.alias("micros"),
         F.floor(micros / 1000).cast("long").alias("created"), text("/App/", F.col("event_type")).alias("event_class"), severity.alias("severity"), status.alias("status"),
         text("user-", user).alias("element_identifier"), F.sha1(text("u|", user)).alias("element_uuid"), text("user-", user, "|", F.col("event_type")).alias("fingerprint"),
         k.alias("k"), F.when(k.isNotNull(), F.array(k)).alias("detail_k"), F.col("user_id"), F.col("event_type"), "value",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark import model
 from tidemark.operators import state
+from tidemark.sinks import scratch
 
 OLD, EVENT, CLEAR = range(3)
 
@@ -34,6 +35,10 @@ def _lives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     lives[f] += 1
                 continue
             lives.setdefault(h, 0)
+            if kind == EVENT and status in model.CLOSED_STATUSES:  # stored by itself, nothing can clear it
+                life.append(lives[h])
+                ended.append([])
+                continue
             if h not in active or created >= active[h][1]:
                 active[h] = (clear_hash, created, status)
             life.append(lives[h])
@@ -64,30 +69,28 @@ def apply_in_order(old: DataFrame | None, batch: DataFrame) -> DataFrame:
     keyed = rows.withColumn("key", own).join(linked.withColumn("link", F.lit("*")), "key", "left").withColumn("key", F.coalesce("link", "key")).drop("link")
     ordered = keyed.repartition("key").sortWithinPartitions("key", F.col("arrival_seq").asc_nulls_first(), "uuid")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
-    done = ordered.mapInArrow(_lives, ddl + ", life int, ended array<struct<hash:string,life:int>>").localCheckpoint()
-    new = state.dedup(done.where(F.col("kind") == EVENT).drop("hash"))
-    first, later = new.where("life = 0").drop("life"), new.where("life > 0")
-    kept = first if old is None else state.merge_snapshots(old.where(~idle).drop("cleared_by"), first)
+    done = scratch.cut(ordered.mapInArrow(_lives, ddl + ", life int, ended array<struct<hash:string,life:int>>"))
+    held = None if old is None else old.where(~idle).drop("cleared_by").withColumn("life", F.lit(0))
+    new = state.dedup(done.where(F.col("kind") == EVENT).drop("hash"), held)
     clears = done.where((F.col("kind") == CLEAR) & (F.size("ended") > 0))
     by = clears.select(F.explode("ended").alias("e"), F.col("uuid").alias("cleared_by"), F.col("created").alias("at")).select(F.col("e.hash").alias("fingerprint_hash"), F.col("e.life").alias("life"), "cleared_by", "at")
-    out = kept.withColumn("life", F.lit(0)).unionByName(later).join(by, ["fingerprint_hash", "life"], "left")
+    out = new.join(by, ["fingerprint_hash", "life"], "left")
     gone = F.col("cleared_by").isNotNull()
     salted = F.sha1(F.concat_ws("|", "fingerprint", "at", "cleared_by", "life"))
     out = out.withColumn("fingerprint_hash", F.when(gone, salted).otherwise(F.col("fingerprint_hash"))).withColumn("status", F.when(gone, model.CLEARED).otherwise(F.col("status"))).drop("life", "at")
     stored = clears.dropDuplicates(["uuid", "arrival_seq"]).select(
         "uuid", F.sha1(F.concat_ws("|", "fingerprint", F.col("created") - 1, "uuid", "arrival_seq")).alias("fingerprint_hash"), "fingerprint", "event_class", "severity", F.lit(model.CLOSED).alias("status"), "element_identifier", "element_uuid",
-        F.col("count").cast("long").alias("event_count"), F.col("created").alias("first_seen"), F.col("created").alias("last_seen"), F.lit(None).cast("string").alias("clear_hash"), F.lit(None).cast("string").alias("cleared_by"),
+        F.col("count").cast("long").alias("event_count"), F.col("created").alias("first_seen"), F.col("created").alias("last_seen"), F.col("created").alias("status_change"), F.lit(None).cast("string").alias("clear_hash"), F.lit(None).cast("string").alias("cleared_by"),
     )
-    out = out.unionByName(stored)
-    return out if old is None else out.unionByName(old.where(idle))
+    out = out.unionByName(stored, allowMissingColumns=True)
+    return out if old is None else out.unionByName(old.where(idle), allowMissingColumns=True)
 
 
 def flap_alerts(events: DataFrame, key: str, count: int, threshold: int = model.WARNING, interval_s: int = 3600) -> DataFrame:
     """(key, uuid, n_flaps) of a stream's occurrences that reactions.flap_alerts names in a batch.
 
     A key's state is its last severity and the seconds of its flaps in the interval; it goes when the key is silent for
-    the interval, and the key then starts from CLEAR. In a micro-batch a key's occurrences count in the order of (created, arrival_seq);
-    of flaps in the same second, those that come later are not counted. A run with availableNow ends only where
+    the interval, and the key then starts from CLEAR. In a micro-batch a key's occurrences count in the order of (created, arrival_seq). A run with availableNow ends only where
     spark.sql.streaming.noDataMicroBatches.enabled is false: Spark goes on with empty batches to look for time-outs.
     """
 
@@ -99,17 +102,17 @@ def flap_alerts(events: DataFrame, key: str, count: int, threshold: int = model.
         times, out = list(times), []
         for _, created, severity, uuid in sorted((s, c, v, u) for x in chunks for c, s, v, u in zip(x["created"].tolist(), zip(x["created"].tolist(), x["arrival_seq"].tolist(), strict=True), x["severity"].tolist(), x["uuid"].tolist(), strict=True)):
             now = created // 1000
-            if prev == model.CLEAR and severity >= threshold:
+            if prev < threshold <= severity:
                 times.append(now)
-            n = 0 if severity == prev else sum(now - interval_s <= t <= now for t in times)
-            if n >= count and n % count == 0:
-                out.append((k[0], uuid, n))
+                n = sum(t >= now - interval_s for t in times)
+                if n >= count and n % count == 0:
+                    out.append((k[0], uuid, n))
             times, prev = [t for t in times if t >= now - interval_s], severity
         kept.update((prev, times))
         kept.setTimeoutDuration(interval_s * 1000)
         yield pd.DataFrame(out, columns=["key", "uuid", "n_flaps"])
 
-    seen = events.where(F.col("element_uuid").isNotNull()).select(F.col(key).cast("string").alias("key"), "created", "arrival_seq", "severity", "uuid")
+    seen = events.where(F.col("element_uuid").isNotNull() & (F.col("element_uuid") != "") & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), "created", "arrival_seq", "severity", "uuid")
     return seen.groupBy("key").applyInPandasWithState(run, "key string, uuid string, n_flaps long", "prev int, times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
@@ -117,13 +120,14 @@ class SummaryTable:
     """Versions of the summary table in a folder; a version is complete once its success marker is there.
 
     A micro-batch that is run again after a failure writes its own version again from the one before it, so
-    it counts once. There is no watermark: late occurrences are merged, never dropped. CLEAR occurrences act on
+    it counts once; versions before the last two are deleted. There is no watermark: late occurrences are merged, never dropped. CLEAR occurrences act on
     the table in arrival order where occurrences have clear_hash and clear_hashes (the array of what a CLEAR ends);
     without these columns nothing can be cleared, and they fold as ordinary ones.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, sinks: tuple[Callable[[DataFrame, int], None], ...] = ()):
+        """sinks are given the valid occurrences of each batch, after its version is written."""
+        self.spark, self.path, self.sinks = spark, path, sinks
 
     def version(self, n: int) -> str:
         return f"{self.path}/v={n:012d}"
@@ -136,13 +140,19 @@ class SummaryTable:
         return self.spark.read.parquet(self.version(n))
 
     def fold(self, batch: DataFrame, n: int) -> None:
-        old, valid = self.read(n - 1) if n > 0 and self._exists(n - 1) else None, state.validate(batch)
+        if n > 0 and not self._exists(n - 1):
+            raise RuntimeError(f"version {n - 1} of the table is missing: its state can't be folded into")
+        old, valid = self.read(n - 1) if n > 0 else None, state.validate(batch)
         if {"clear_hash", "clear_hashes"} <= set(batch.columns):
             new = apply_in_order(old, valid)
         else:
-            new = state.dedup(valid)
-            new = new if old is None else state.merge_snapshots(old, new)
+            new = state.dedup(valid, old)
         new.write.mode("overwrite").parquet(self.version(n))
+        for sink in self.sinks:
+            sink(valid, n)
+        if n > 1:  # the one before this stays, for this batch may be run again
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.version(n - 2))
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     def run(self, events: DataFrame, checkpoint: str):
         """Everything that is there now, in micro-batches."""
