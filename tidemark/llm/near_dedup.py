@@ -14,7 +14,7 @@ bands; an original scores above its edited copies.
 1. Every node is paired with the most central node of its bands whose sketch allows a link. That closes most bands: those
    whose nodes all have one such centre.
 2. In bands that are still open, nodes meet in blocks of bounded size. A block compares sketches and gives back a
-   forest: at most one link for each of its rows, which joins all nodes whose sketches allow a link. The components of these
+   forest: fewer links than it has rows, which join all nodes whose sketches allow a link. The components of these
    candidate links hold every link.
 3. The pairs of step 1 are verified on the full sets, and their links make components. In candidate components that
    still hold several of these, nodes meet in blocks again: intersections of full sets are counted for all pairs of a block at once by a product of
@@ -238,26 +238,27 @@ def _pairs_in(begin: np.ndarray, end: np.ndarray, step: int) -> Iterator[tuple[n
         at = to
 
 
-def _forest(of: np.ndarray, nid: np.ndarray) -> pa.RecordBatch:
-    """A link from each place to its class, as (a, b); links within one node are none."""
-    a, b = nid, nid[of]
+def _forest(of: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    """The links (a, b) between labels that make one class of all labels of a class; links inside a label are known already."""
+    a, b = label, label[of]
     some = a != b
-    return pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(b[some])], names=["a", "b"])
+    pairs = np.unique(np.stack((a[some], b[some]), axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def _alike(rows: DataFrame, nodes: DataFrame, opt: Options) -> DataFrame:
-    """Links (a, b) that join all nodes of a block whose sketches allow a link: a forest, fewer links than rows.
+    """Links (a, b) between the labels of nodes whose sketches allow a link: a forest of each block, fewer links than rows.
 
     Nodes that are joined already are not compared, so the pairs of a dense block are soon done.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, begin in _whole_groups(batches, 1 << 20):
-            i, j, mine, nid, label, n = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
+            i, j, mine, label, n = (t.column(k).to_numpy() for k in (1, 2, 3, 5, 6))
             s = _registers(t.column(7), opt)
             end = np.append(begin[1:], t.num_rows)
             group = np.repeat(np.arange(len(begin)), end - begin)
-            of = union_find.classes(np.arange(len(nid)), *_same(group, label))
+            of = union_find.classes(np.arange(len(label)), *_same(group, label))
             for x, y in _pairs_in(begin, end, 1 << 14):
                 some = (of[x] != of[y]) & ((i[x] == j[x]) | (mine[x] != mine[y])) & (100 * np.minimum(n[x], n[y]) >= opt.percent * np.maximum(n[x], n[y]))
                 x, y = x[some], y[some]
@@ -265,7 +266,7 @@ def _alike(rows: DataFrame, nodes: DataFrame, opt: Options) -> DataFrame:
                     able = estimated(s[x], s[y], n[x], n[y], opt)[1]
                     if able.any():
                         of = union_find.classes(of, x[able], y[able])
-            yield _forest(of, nid)
+            yield _forest(of, label)
 
     sketched = frames.join(rows, nodes.select("nid", "n", "sketch"), ["nid"]).select("key", "i", "j", "mine", "nid", "label", "n", "sketch")
     return sketched.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
@@ -338,22 +339,22 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _verified(rows: DataFrame, sets: DataFrame, by: str, opt: Options) -> DataFrame:
-    """Links (a, b) that join all nodes of a block that are linked by their full sets: a forest, fewer links than rows."""
+    """Links (a, b) between the labels of nodes that are linked by their full sets: a forest of each block, fewer links than rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, begin in _whole_groups(batches, 1 << 20):
-            i, j, mine, nid, label = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
+            i, j, mine, label = (t.column(k).to_numpy() for k in (1, 2, 3, 5))
             b = kernels.arrow_batch(t.column(6))
             values, off = np.frombuffer(b.buf.tobytes(), np.uint64), b.off // 8
             end = np.append(begin[1:], t.num_rows)
-            of = np.arange(len(nid))
+            of = np.arange(len(label))
             for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
                 if hi - lo < 2:
                     continue
                 own = [values[off[k] : off[k + 1]] for k in range(lo, hi)]
                 x, y = linked(own, opt.percent, None if i[lo] == j[lo] else mine[lo:hi] == i[lo])
                 of = union_find.classes(of, x + lo, y + lo) if len(x) else of
-            yield _forest(of, nid)
+            yield _forest(of, label)
 
     full = frames.join(rows, sets, ["nid"]).select(by, "i", "j", "mine", "nid", "label", "set")
     return full.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j").mapInArrow(run, "a long, b long")
