@@ -258,15 +258,52 @@ def test_schedule_is_monotone_and_full():
         assert ((t[w, k] <= np.arange(m)) & (np.arange(m) < t[w + 1, k])).all()
 
 
-def test_license_scan(spark):
-    model = license_scan.train()
-    right = [model.predict(t)[0] == f for f, ts in license_scan.NOTICES.items() for t in ts]
-    assert np.mean(right) > 0.95
-    assert all(model.predict(t)[0] == "unknown" for t in license_scan.OTHERS)
-    docs = [(1, "Some text.\nReleased under the MIT License.\nmore"), (2, None), (3, ""), (None, "Licensed under the Apache License, Version 2.0."), (4, "nothing here"), (1, "Some text.\nReleased under the MIT License.\nmore")]
-    got = license_scan.scan(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, family string"), model).collect()
-    assert sorted((r["doc_id"] or 0, r["line"], r["family"], r["confirmed"]) for r in got) == [(0, 1, "Apache-2.0", True), (1, 2, "MIT", True), (1, 2, "MIT", True)]
-    assert all(abs(model.predict(r["paragraph"])[1] - r["probability"]) < 1e-6 for r in got)
+@pytest.fixture(scope="module")
+def licence_model():
+    return license_scan.train()
+
+
+#: Wordings that are in neither the learnt nor the calibration notices.
+FRESH = {
+    "MIT": "our tools are provided under the terms of the MIT license", "Apache": "you can use it under the Apache License, version 2.0 only", "BSD": "it is offered under a BSD license, see the file",
+    "GPL": "this plugin is free software under the GNU General Public License version 2", "LGPL": "the runtime is covered by the GNU Lesser General Public License", "AGPL": "the server is covered by the GNU Affero General Public License",
+    "MPL": "the engine is covered by the Mozilla Public License, v. 2.0", "CC-BY-SA": "photos are shared under CC BY-SA 4.0", "CC-BY-NC": "maps are licensed under CC BY-NC 4.0", "EPL": "the editor is covered by the Eclipse Public License 2.0",
+    "Public-Domain": "the data set is dedicated to the public domain under CC0", "ISC": "the parser is released under the ISC license", "BSL": "headers come under the Boost Software License", "Zlib": "the codec is under the zlib license",
+}
+
+
+def test_license_scan_finds_fresh_wordings_and_names_strangers_unknown(licence_model):
+    prose = "in the morning the boats went out and the people of the village stood on the wall to see them go".split()
+    found = [f in licence_model.paragraph(" ".join(prose[:6]) + " " + t + ". " + " ".join(prose[6:])) for f, t in FRESH.items()]
+    assert np.mean(found) >= 0.9
+    assert set(licence_model.paragraph("dual licensed under MIT and Apache-2.0")) == {"MIT", "Apache"}
+    assert licence_model.paragraph("Proprietary. Do not distribute.").keys() == {"unknown"}
+    assert not any(licence_model.paragraph(t) for t in (*license_scan.OTHERS, " ".join(prose), ""))
+
+
+def test_license_scan_equals_the_model_window_by_window(spark, licence_model):
+    import re
+
+    rng = random.Random(6)
+    plain = [w for ws in quality_rules.COMMON.values() for w in ws] + ["boat", "sea", "any", "file", "public", "use"]
+    texts = [None, "", "\n\n \n", "no licence here", "Released under the\nMIT License.", "x" * 3000]
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            words = rng.choices(plain, k=rng.randint(0, 70))
+            if rng.random() < 0.6:
+                f = rng.choice(list(FRESH))
+                words.insert(rng.randint(0, len(words)), rng.choice([FRESH[f], license_scan.NOTICES[f][0], license_scan.HELD_UNKNOWN[0]]))
+            parts.append(rng.choice([" ", "\n"]).join(words))
+        texts.append(rng.choice(["\n\n", "\n \t\n"]).join(parts))
+    docs = [(i if i % 9 else None, t, "x", 1) for i, t in enumerate(texts)] + [(4, texts[4], "x", 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, family string, paragraph int")
+    got = sorted(((r["doc_id"] or 0, r["paragraph"], r["family"], round(r["probability"], 5)) for r in license_scan.scan(df, licence_model).collect()))
+    want = sorted((d or 0, k, f, round(p, 5)) for d, t, *_ in docs for k, x in enumerate(re.split(r"\n[ \t\r]*\n", t or ""), 1) for f, p in licence_model.paragraph(x).items())
+    assert len(got) == len(want) > 30 and all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-4 for a, b in zip(got, want, strict=True))
+    mit = license_scan.scan(df.where("doc_id = 4"), licence_model).collect()
+    assert [(r["family"], r["confirmed"]) for r in mit] == [("MIT", True)] * 2
+    assert license_scan.scan(df.limit(0), licence_model).count() == 0
 
 
 @pytest.mark.parametrize(("cell", "shard"), [(4096, 1 << 20), (5, 1 << 20), (4096, 5000)])
