@@ -41,7 +41,7 @@ class Sieve:
 
     def __init__(self, digests: np.ndarray):
         self.sorted = np.unique(digests)
-        self.bits = max(10, int(np.ceil(np.log2(max(2, len(self.sorted))))) + 5)
+        self.bits = max(10, int(np.ceil(np.log2(max(2, len(self.sorted))))) + 4)
         self.table = np.zeros(1 << self.bits, dtype=bool)
         self.table[self._slot(self.sorted)] = True
 

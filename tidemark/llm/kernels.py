@@ -8,6 +8,7 @@ coefficients give 128 bits.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 
 import numpy as np
@@ -65,6 +66,19 @@ def byte_table(seed: int, fold_case: bool = False) -> np.ndarray:
     return t
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system; a worker lives on between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    c = cache()
+    if "trim" not in c:
+        try:
+            c["trim"] = ctypes.CDLL(None).malloc_trim
+        except (OSError, AttributeError):  # another C library
+            c["trim"] = None
+    if c["trim"] is not None:
+        c["trim"](0)
+
+
 class Batch:
     """Texts as one buffer. `off` has n + 1 offsets into `buf`."""
 
@@ -109,6 +123,7 @@ def chunks(rb: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES):
         part = rb.slice(at, to - at)
         yield part, arrow_batch(part.column(part.schema.get_field_index(text)))
         at = to
+    trim()
 
 
 #: Fixed values of the query contracts: bytes that part words.
@@ -244,3 +259,4 @@ def pieces(rb: pa.RecordBatch, text: str, overlap: int, limit: int = CHUNK_BYTES
             yield np.array([row]), np.array([at]), Batch(piece, np.array([0, len(piece)]))
     if held:
         yield together()
+    trim()

@@ -107,9 +107,10 @@ def _send_anchors(opt: Options, n_buckets: int):
 
 
 def _meet_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    batch, payload = table.column("batch").to_pylist(), table.column("payload").to_pylist()
+    kernels.trim()
     if key[0].as_py() < 0:
         return table.select(["batch", "payload"])
+    batch, payload = table.column("batch").to_pylist(), table.column("payload").to_pylist()
     parts = [routing.split(p) for p in payload]
     low = [np.frombuffer(p[2], np.uint32) for p in parts]
     flags = [routing.unsqueeze(p[3], np.uint8) for p in parts]
@@ -219,9 +220,10 @@ def _send_windows(opt: Options, n_buckets: int):
 
 
 def _meet_windows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    batch, payload = table.column("batch").to_pylist(), table.column("payload").to_pylist()
+    kernels.trim()
     if key[0].as_py() < 0:
         return table.select(["batch", "payload"])
+    batch, payload = table.column("batch").to_pylist(), table.column("payload").to_pylist()
     parts = [routing.split(p) for p in payload]
     x = np.concatenate([np.frombuffer(p[2], np.uint32) for p in parts])
     y = np.concatenate([np.frombuffer(p[3], np.uint64) for p in parts])
