@@ -118,3 +118,54 @@ def quality(url, rule_list):
     host = re.sub("[A-Z]", lambda x: x[0].lower(), m[1])
     fits = [(len(h + p), h + p, v) for h, p, v in rule_list if (host == h or host.endswith("." + h)) and m[2].startswith(p)]
     return host, m[2], *(max(fits)[1:] if fits else (None, None))
+
+
+def template_tree(rows, opt):
+    """{(host, segs): (template, purity, rejected)} of the path-template tree; rows are (host, segments, bad or None)."""
+    import math
+
+    def grow(rows):
+        """Templates of one host's paths, branch by branch."""
+        out = {}
+
+        def walk(paths, level, name):
+            done = [p for p in paths if len(p[0]) <= level]
+            for p in done:
+                out[tuple(p[0])] = name
+            kids = {}
+            for p in paths:
+                if len(p[0]) > level:
+                    kids.setdefault(p[0][level], []).append(p)
+            labels = lambda ps: [b for _, b in ps if b is not None]
+            every = labels([p for k in kids.values() for p in k])
+            own = (sum(every) + opt.prior * opt.pull) / (len(every) + opt.pull)
+            classes = {}
+            for ps in kids.values():
+                have = labels(ps)
+                share = (sum(have) + opt.pull * own) / (len(have) + opt.pull)
+                step = "?" if not have else str(min(opt.bins - 1, math.floor(math.asin(math.sqrt(share)) * 2 * opt.bins / math.pi + 1e-9)))
+                classes.setdefault(step, []).extend(ps)
+            for step, ps in classes.items():
+                walk(ps, level + 1, f"{name}/*{step}")
+
+        walk(rows, 0, "")
+        return out
+
+    hosts = {}
+    for h, segs, bad in rows:
+        hosts.setdefault(h, []).append((segs, bad))
+    common_rows = [(s, b) for h, s, b in rows if h]
+    common = grow(common_rows)
+    count = lambda rows, names: {t: (len(x := [b for s, b in rows if names[tuple(s)] == t and b is not None]), sum(x)) for t in set(names.values())}
+    all_counts = count(common_rows, common)
+    out = {}
+    for h, own in hosts.items():
+        names = grow(own)
+        counts = count(own, names)
+        for s, _ in own:
+            n, b = counts[names[tuple(s)]]
+            big_n, big_b = all_counts[common[tuple(s)]] if tuple(s) in common else (0, 0)
+            rate = (big_b + opt.prior * opt.strength) / (big_n + opt.strength) if tuple(s) in common else opt.prior
+            purity = (b + rate * opt.strength) / (n + opt.strength)
+            out[h, tuple(s)] = names[tuple(s)], purity, (n > 0 or big_n >= opt.support) and purity >= opt.purity and h != ""
+    return out

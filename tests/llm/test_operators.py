@@ -85,6 +85,39 @@ def test_url_filter_allows_a_clean_section_beside_blocked_ones(spark):
     assert got == {(f"h{n}.net", s, v) for n in (1, 4, 5) for s, v in (("/es/", "block"), ("/fr/", "block"), ("/de/", "allow"))}
 
 
+def test_url_tree_equals_a_plain_one(spark):
+    """Templates, purities and verdicts; long paths, hosts without labels, paths that agree over hosts."""
+    import re
+
+    rng = random.Random(12)
+    urls = []
+    for i in range(900):
+        host = rng.choice(["a.org", "b.org", "C.org", "d.org", "e.org"])
+        section = rng.choice(["en", "fr", "shop", "x7", f"u{i}"])
+        tail = "/".join(rng.choice(["p", "q", str(i), "f" * 20]) for _ in range(rng.choice([0, 1, 2, 3, 9, 20])))
+        urls.append((i, rng.choice([None, "nothing", f"http://{host}/{section}/{tail}?q"]) if i % 50 == 0 else f"http://{host}/{section}/{tail}"))
+    bad = {i: int(("/fr/" in (u or "")) != (rng.random() < 0.01)) for i, u in urls if i % 3 and "//e.org" not in (u or "")}
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame(list(bad.items()), "page_id long, bad int")
+    opt = url_filter.Options(support=8)
+    got = {r["page_id"]: r for r in url_filter.judge(df, rules=(), labels=labels, opt=opt).collect()}
+
+    def cut(u):
+        m = re.match(r"[^:]*://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m.group(1).lower(), m.group(2)) if m else ("", "")
+        segs = re.sub(r"^/", "", path).split("/", opt.depth)
+        return host, [re.sub(r"[0-9]+", "<n>", re.sub(r"[0-9a-fA-F]{16,}(?:-[0-9a-fA-F]+)*", "<h>", x)) for x in segs]
+
+    rows = [(*cut(u), bad.get(i)) for i, u in urls]
+    want = brute.template_tree(rows, opt)
+    for (i, _), (h, s, _) in zip(urls, rows, strict=True):
+        template, purity, rejected = want[h, tuple(s)]
+        assert (got[i]["template"], got[i]["verdict"]) == (template, "block" if rejected else "allow"), (h, s)
+        assert abs(got[i]["purity"] - purity) < 1e-9
+    unlabelled = [got[i]["verdict"] for i, u in urls if u and u.startswith("http://e.org/fr/")]
+    assert unlabelled.count("block") > len(unlabelled) / 2  # a host without labels is judged by what such paths are elsewhere
+
+
 def test_url_filter_runs_no_python(spark):
     df = spark.createDataFrame([(1, "http://a/b")], "page_id long, url string")
     for frame_ in (url_filter.judge(df), license_scan.scan(df.select(F.col("page_id").alias("doc_id"), F.col("url").alias("text")))):

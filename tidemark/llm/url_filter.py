@@ -4,24 +4,28 @@ Host and path are cut out of each url. A rule fits its host and every subdomain
 with the rule's; the longest rule wins. Rules also label the urls that the tree learns from, next
 to any labels that are given.
 
-Tree. A path is its first `depth` segments; what comes after them is one more, open segment. Digits and long hex
-runs in a segment are generalised at once. Then, level by level from the root of each host, a
-child is merged into the wildcard `*` unless it stands out from its siblings: it does if its share of blocked
-labels differs from its siblings' by `z` standard errors, or if it has at least `support` urls and
-no labels where its siblings have some. A child without labels beside siblings that rules block stands out
-at any count: the rules cover all of what they fit, so that it has no label says something. What is left of a path is its template. A template is
-rejected if it has labels and its smoothed purity, (blocked + prior * strength) / (labels + strength), reaches `purity`. So urls of a
-host without any label are always allowed.
+Tree. A path is its segments; digits and long hex runs in a segment are generalised at once, and what comes after `depth` segments
+counts as one more. Level by level from the root of each host, branches that are statistically similar are merged: a branch's share
+of blocked labels is drawn towards its parent's by `pull` labels, put on the scale on which shares have one standard error (the arcsine of
+the root), and branches that fall into the same of `bins` classes become one wildcard. Branches without labels are a class
+of their own, so no label of a neighbour counts against them. What is left of a path is its template.
+
+The same tree is grown over all hosts together. A template's purity on its host is its share of blocked labels there,
+smoothed by `strength` labels at the rate of the path's template in the common tree, which is itself smoothed by `strength` labels at `prior`. So a
+host without labels is judged by what paths like its own are elsewhere, and one with many by itself. A template is
+rejected if its purity reaches `purity` and it has a label on its host or `support` labels over all hosts.
 
 The tree is built on counts of different (host, segments), so a host with very many urls is aggregated before it
 is shuffled; no step collects the children of a branch in one place.
 
 Defined results: a null url and one without `://` have an empty host and path, which no rule fits and no
-template rejects. Repeated rows are judged alike. Other columns are ignored. An empty table stays empty.
+template rejects. Repeated rows are judged alike. Ties cannot occur: of the rules that fit, no two are equally long. Very long urls keep
+all their segments. Other columns are ignored. An empty table stays empty.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,12 +36,13 @@ from tidemark.llm import frames
 
 @dataclass(frozen=True)
 class Options:
-    depth: int = 4
-    support: int = 5
-    z: float = 2.0
+    depth: int = 6
+    bins: int = 5
+    pull: float = 5.0
     prior: float = 0.2
     strength: float = 5.0
     purity: float = 0.8
+    support: int = 50
 
 
 #: Fixed values of the query's contract: host and path, and what the rule says.
@@ -62,36 +67,46 @@ def best_rule(host: Column, path: Column, rules) -> Column:
 
 
 def segments(path: Column, depth: int) -> Column:
-    """The generalised segments of a path, at most depth and an open one."""
+    """The generalised segments of a path; after depth of them the rest is the last one."""
     every = F.split(F.regexp_replace(path, r"^/", ""), "/", depth + 1)
-    shape = F.transform(every, lambda s: F.regexp_replace(F.regexp_replace(s, r"[0-9a-fA-F]{16,}(?:-[0-9a-fA-F]+)*", "<h>"), r"[0-9]+", "<n>"))
-    return F.transform(shape, lambda s, i: F.when(i == depth, F.lit("**")).otherwise(s))
+    return F.transform(every, lambda s: F.regexp_replace(F.regexp_replace(s, r"[0-9a-fA-F]{16,}(?:-[0-9a-fA-F]+)*", "<h>"), r"[0-9]+", "<n>"))
 
 
-def templates(urls: DataFrame, opt: Options = Options()) -> DataFrame:
-    """(host, segs, template, n_labels, n_blocked, purity, rejected) for each different (host, segs); urls has host, segs, bad (1, 0 or null), ruled (bad is a rule's block)."""
-    nodes = urls.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.count_if("ruled").alias("r"))
-    nodes = nodes.withColumn("prefix", F.lit(""))
-    for level in range(opt.depth):
+EVERY = "*"  # the host of the common tree; no url has it
+
+
+def grown(nodes: DataFrame, opt: Options) -> DataFrame:
+    """(host, segs, template) for counts (host, segs, n, l, b) of urls, labels and blocked labels."""
+    nodes = nodes.withColumn("template", F.lit(""))
+    levels = nodes.agg(F.max(F.size("segs")).alias("n")).first()["n"] or 0
+    for level in range(levels):
         saved = frames.Saved(nodes).df
         seg = F.get("segs", F.lit(level))
-        here = saved.where(seg.isNotNull()).select("host", "prefix", seg.alias("seg"), "n", "l", "b", "r")
-        child = here.groupBy("host", "prefix", "seg").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"), F.sum("r").alias("r"))
-        parent = child.groupBy("host", "prefix").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"), F.sum("r").alias("pr"))
-        ol, ob = F.col("pl") - F.col("l"), F.col("pb") - F.col("b")  # siblings
-        pooled = (F.col("pb") + 1) / (F.col("pl") + 2)
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("l"), F.lit(1)) + 1 / F.greatest(ol, F.lit(1))))
-        differs = (F.col("l") > 0) & (ol > 0) & (F.abs(F.col("b") / F.greatest(F.col("l"), F.lit(1)) - ob / F.greatest(ol, F.lit(1))) >= opt.z * error)
-        bare = ((F.col("l") == 0) != (ol == 0)) & (F.col("n") >= opt.support) | (F.col("l") == 0) & (F.col("pr") > 0)
-        kept = frames.join(child, parent, ["host", "prefix"]).where(differs | bare).select("host", "prefix", "seg", F.lit(True).alias("stands"))
-        joined = frames.join(saved.withColumn("seg", F.coalesce(seg, F.lit(""))), kept, ["host", "prefix", "seg"], "left")
-        step = F.when(seg.isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.when(F.coalesce("stands", F.lit(False)), F.col("seg")).otherwise(F.lit("*"))))
-        nodes = joined.select("host", "segs", "n", "l", "b", "r", F.concat("prefix", step).alias("prefix"))
-    nodes = frames.Saved(nodes.withColumn("template", F.concat("prefix", F.when(F.size("segs") > opt.depth, F.lit("/**")).otherwise(F.lit(""))))).df
+        child = saved.where(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
+        parent = child.groupBy("host", "template").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"))
+        own = (F.col("pb") + opt.prior * opt.pull) / (F.col("pl") + opt.pull)
+        share = (F.col("b") + opt.pull * own) / (F.col("l") + opt.pull)
+        bin_ = F.least(F.floor(F.asin(F.sqrt(share)) * (2 * opt.bins / math.pi) + 1e-9), F.lit(opt.bins - 1))
+        step = F.concat(F.lit("/*"), F.when(F.col("l") == 0, F.lit("?")).otherwise(bin_.cast("string")))
+        classes = frames.join(child, parent, ["host", "template"]).select("host", "template", "seg", step.alias("step"))
+        joined = frames.join(saved.withColumn("seg", seg), classes, ["host", "template", "seg"], "left")
+        nodes = joined.select("host", "segs", "n", "l", "b", F.concat("template", F.coalesce("step", F.lit(""))).alias("template"))
+    return frames.Saved(nodes).df
+
+
+def templates(urls: DataFrame, opt: Options = Options()) -> DataFrame:
+    """(host, segs, template, n_labels, n_blocked, purity, rejected) for each different (host, segs); urls has host, segs and bad (1, 0 or null)."""
+    per = frames.Saved(urls.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))).df
+    common = per.where("host <> ''").groupBy("segs").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b")).select(F.lit(EVERY).alias("host"), "segs", "n", "l", "b")
+    nodes = grown(per.unionByName(common), opt)
     totals = nodes.groupBy("host", "template").agg(F.sum("l").alias("n_labels"), F.sum("b").alias("n_blocked"))
-    purity = (F.col("n_blocked") + opt.prior * opt.strength) / (F.col("n_labels") + opt.strength)
-    judged = totals.withColumn("purity", purity).withColumn("rejected", (F.col("n_labels") > 0) & (F.col("purity") >= opt.purity) & (F.col("host") != ""))
-    return frames.join(nodes.select("host", "segs", "template"), judged, ["host", "template"])
+    every = frames.join(nodes.where(F.col("host") == EVERY).select("segs", "template"), totals.where(F.col("host") == EVERY).drop("host"), ["template"])
+    rate = (F.col("n_blocked") + opt.prior * opt.strength) / (F.col("n_labels") + opt.strength)
+    every = every.select("segs", rate.alias("rate"), F.col("n_labels").alias("all_labels"))
+    own = frames.join(nodes.where(F.col("host") != EVERY).select("host", "segs", "template"), totals, ["host", "template"])
+    purity = (F.col("n_blocked") + F.coalesce("rate", F.lit(opt.prior)) * opt.strength) / (F.col("n_labels") + opt.strength)
+    known = (F.col("n_labels") > 0) | (F.coalesce("all_labels", F.lit(0)) >= opt.support)
+    return frames.join(own, every, ["segs"], "left").withColumn("purity", purity).withColumn("rejected", known & (F.col("purity") >= opt.purity) & (F.col("host") != "")).drop("rate", "all_labels")
 
 
 def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, opt: Options = Options()) -> DataFrame:
@@ -105,7 +120,7 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, opt: O
     else:
         cut = cut.withColumn("given", F.lit(None).cast("int"))
     said = F.when(F.col("r.verdict") == "block", 1).when(F.col("r.verdict") == "allow", 0)
-    urls = frames.Saved(cut.withColumn("bad", F.coalesce(said, "given")).withColumn("ruled", F.coalesce(said == 1, F.lit(False)))).df
+    urls = frames.Saved(cut.withColumn("bad", F.coalesce(said, "given"))).df
     tree = templates(urls, opt).select("host", "segs", "template", "purity", "rejected")
     out = frames.join(urls, tree, ["host", "segs"])
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
