@@ -141,6 +141,8 @@ def test_token_files(spark, docs):
         want.append((d, at, zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert [tuple(r) for r in got] == want
+    few = token_store.fetch(files.df, dictionary, [7, None, 88888]).select("doc_id", F.crc32("ids")).collect()
+    assert sorted(map(tuple, few), key=brute.key) == sorted(((d, c) for d, _, c in want if d in (7, None)), key=brute.key)
     none, d = token_store.write(frame(spark, docs[:1]).limit(0), path, token_store.Format(end_id=2))
     assert token_store.read(none.df, d).count() == 0
     f = token_store.TokenFile(token_store.pack_file([3, None], [b"\1\0\2\0", b""], 2, b""), b"")

@@ -90,19 +90,25 @@ class TokenFile:
     def __len__(self) -> int:
         return len(self.doc_ids)
 
+    def find(self, doc_id: int | None) -> range:
+        """The places of a document's id; several where rows repeat."""
+        key = NO_ID if doc_id is None else doc_id
+        return range(int(np.searchsorted(self.doc_ids, key)), int(np.searchsorted(self.doc_ids, key, side="right")))
+
     def ids(self, i: int) -> np.ndarray:
         frame = self.frames[self.offsets[i] : self.offsets[i + 1]]
         return np.frombuffer(self._d.decompress(frame), dtype=f"<u{self.width}")
 
 
 def train_dictionary(docs: DataFrame, spec: str, fmt: Format) -> bytes:
-    """A dictionary from the ids of at most fmt.sample documents, chosen by a hash of doc_id; none where they are too few."""
+    """A dictionary from the ids of at most fmt.sample documents, those with the least hashes of doc_id; none where they are too few."""
     import zstandard as z
 
     cut = max(1, fmt.sample_chars // fmt.sample)
     share = min(1.0, fmt.sample / max(1, docs.count()))
-    chosen = F.xxhash64("doc_id") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True)
-    rows = docs.where(chosen).select(F.substring("text", 1, cut).alias("t")).limit(fmt.sample).collect()
+    h = F.xxhash64("doc_id")
+    near = docs.where(h <= int(-(2**63) + min(1.0, 1.2 * share) * (2**64 - 1))) if share < 0.8 else docs
+    rows = near.select(h.alias("h"), F.substring("text", 1, cut).alias("t")).orderBy("h", "t").limit(fmt.sample).collect()
     width = "<u2" if encoder.vocab_size(spec) <= 1 << 16 else "<u4"
     arrays = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in encoder.Encoder(spec).encode([r["t"] for r in rows])]
     arrays = [a for a in arrays if len(a) >= 8]
@@ -112,8 +118,11 @@ def train_dictionary(docs: DataFrame, spec: str, fmt: Format) -> bytes:
         return b""
 
 
+FILES = "part long, file long, start long, n_docs long, n_tokens long, first_id long, last_id long, content binary"
+
+
 def write(docs: DataFrame, tokenizer_path: str, fmt: Format) -> tuple[frames.Saved, bytes]:
-    """The files of all documents, as a saved table (part, file, start within the part, n_docs, n_tokens, content), and their dictionary."""
+    """The files of all documents, as a saved table (part, file, start within the part, n_docs, n_tokens, first_id, last_id, content), and their dictionary."""
     spark = docs.sparkSession
     spec = encoder.read_spec(tokenizer_path)
     width = 2 if max(encoder.vocab_size(spec), fmt.end_id + 1) <= 1 << 16 else 4
@@ -129,10 +138,11 @@ def write(docs: DataFrame, tokenizer_path: str, fmt: Format) -> tuple[frames.Sav
 
         def flush() -> pa.RecordBatch:
             n = state["bytes"] // width
-            row = [part, state["file"], state["start"], len(held), n, pack_file([h[0] for h in held], [h[1] for h in held], width, dictionary, level)]
+            first, last = (NO_ID if held[k][0] is None else held[k][0] for k in (0, -1))
+            row = [part, state["file"], state["start"], len(held), n, first, last, pack_file([h[0] for h in held], [h[1] for h in held], width, dictionary, level)]
             state.update(file=state["file"] + 1, start=state["start"] + n, bytes=0)
             held.clear()
-            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in row[:5]), pa.array([row[5]], pa.binary())], names=["part", "file", "start", "n_docs", "n_tokens", "content"])
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in row[:7]), pa.array([row[7]], pa.binary())], names=[c.split()[0] for c in FILES.split(", ")])
 
         for rb in batches:
             for at in range(0, rb.num_rows, 256):
@@ -146,8 +156,9 @@ def write(docs: DataFrame, tokenizer_path: str, fmt: Format) -> tuple[frames.Sav
         if held:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = frames.Saved(ordered.mapInArrow(run, "part long, file long, start long, n_docs long, n_tokens long, content binary"))
+    # rows of one id, nulls above all, are many partitions: the first characters of their texts part them in the order of the sort
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    files = frames.Saved(ordered.mapInArrow(run, FILES))
     return files, dictionary
 
 
@@ -177,6 +188,24 @@ def read(files: DataFrame, dictionary: bytes) -> DataFrame:
     return files.select("part", "start", "content").mapInArrow(run, "doc_id long, start long, ids binary")
 
 
+def fetch(files: DataFrame, dictionary: bytes, doc_ids: list[int | None]) -> DataFrame:
+    """doc_id and ids of a few documents: only the files that can hold them are read, and in these only their frames."""
+    keys = sorted({NO_ID if i is None else i for i in doc_ids})
+    wanted = F.lit(False)
+    for k in keys:
+        wanted = wanted | ((F.col("first_id") <= k) & (F.col("last_id") >= k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for content in rb.column(0).to_pylist():
+                f = TokenFile(content, dictionary)
+                at = [(k, i) for k in keys for i in f.find(k)]
+                docs = pa.array([None if k == NO_ID else k for k, _ in at], pa.int64())
+                yield pa.RecordBatch.from_arrays([docs, pa.array([f.ids(i).astype("<u4").tobytes() for _, i in at], pa.binary())], names=["doc_id", "ids"])
+
+    return files.where(wanted).select("content").mapInArrow(run, "doc_id long, ids binary")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
