@@ -5,12 +5,13 @@ repeated and common words) and the same bins of the lines before and after it. F
 marginal probability of being good; a document's quality is their mean, weighted by line length, put
 through a logistic calibration. Labels are of documents, so a training document's lines all carry its label.
 
-The model is fitted on a bounded sample (`Options.sample` labelled documents of at most
+The model is fitted on a bounded sample (the `Options.sample` labelled documents with the least hashes of their ids, of these the ones of at most
 `Options.longest` bytes). Scores are a function of the text alone.
 
 Defined results: lines without a word are left out; a document without lines (null, empty) gets the score of the
 prior share of good labels. Labels other than 0 and 1, null ids and ids without a document are not learnt from.
-Without labels of both kinds all scores are 0.5. Repeated rows are scored alike. Other columns are ignored.
+Without labels of both kinds all scores are 0.5. Repeated rows are scored alike. A very long text is scored as a whole, with some
+300 bytes of memory for each of its lines. Ties have no effect. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -221,11 +222,11 @@ def fit(texts: list[bytes], labels: list[int], opt: Options = Options()) -> Mode
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, opt: Options) -> tuple[list[bytes], list[int]]:
-    """At most opt.sample labelled documents, chosen by a hash of doc_id."""
-    named = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality")
-    share = min(1.0, opt.sample / max(1, named.count()))
-    chosen = named.where(F.xxhash64("doc_id") <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else named
-    rows = docs.where(F.octet_length("text") <= opt.longest).join(chosen, "doc_id").select("text", "quality").limit(opt.sample).collect()
+    """The labelled documents with the opt.sample least hashes of doc_id, in that order; of rows with one id the least text."""
+    named = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality", F.xxhash64("doc_id").alias("h"))
+    chosen = named.orderBy("h", "doc_id", "quality").limit(opt.sample)  # bounded, and all of it that is ever joined
+    few = docs.where(F.octet_length("text") <= opt.longest).join(F.broadcast(chosen), "doc_id")
+    rows = few.groupBy("h", "doc_id", "quality").agg(F.min("text").alias("text")).orderBy("h", "doc_id", "quality").limit(opt.sample).collect()
     return [r["text"].encode() for r in rows], [r["quality"] for r in rows]
 
 
