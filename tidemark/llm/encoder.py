@@ -13,8 +13,9 @@ import re
 import struct
 from itertools import pairwise
 
-CACHE_UNITS = 200_000
-CACHE_PIECES = 1_300_000
+#: A cached piece takes some 200 bytes of a worker; a full cache is emptied.
+CACHE_UNITS = 100_000
+CACHE_PIECES = 400_000
 CACHE_LONGEST = 48
 
 #: The characters with the Unicode property White_Space.

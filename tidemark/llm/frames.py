@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Arrow batches are bounded by bytes and rows, since Python workers hold a batch whole; shuffles are deleted with the query that made them.
 _SETTINGS = {
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 

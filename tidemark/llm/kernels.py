@@ -112,6 +112,21 @@ def arrow_batch(col: pa.Array) -> Batch:
     return Batch(whole[off[0] : off[-1]], off - off[0])
 
 
+def gathered(batches, limit: int):
+    """Record batches joined up to about `limit` bytes each."""
+    held, size = [], 0
+    for rb in batches:
+        if not rb.num_rows:
+            continue
+        if held and size + rb.nbytes > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+            held, size = [], 0
+        held.append(rb)
+        size += rb.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+
+
 def chunks(rb: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES):
     """Slices of a record batch with about `limit` bytes of text each, with their text Batch."""
     if not rb.num_rows:

@@ -70,7 +70,7 @@ def _send_anchors(opt: Options, n_buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = _Batches()
-        for rb in batches:
+        for rb in kernels.gathered(batches, routing.BATCH_BYTES):
             for part, b in kernels.chunks(rb, "text", routing.BATCH_BYTES):
                 words = kernels.Words(b)
                 at = kernels.windows(words, size)
@@ -188,7 +188,7 @@ def _send_windows(opt: Options, n_buckets: int):
         import pyarrow.compute  # noqa: F401
 
         numbers = _Batches()
-        for rb in batches:
+        for rb in kernels.gathered(batches, routing.BATCH_BYTES):
             for part, b in kernels.chunks(rb, "text", routing.BATCH_BYTES):
                 words = kernels.Words(b)
                 at = kernels.windows(words, size)
