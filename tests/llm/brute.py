@@ -169,3 +169,82 @@ def template_tree(rows, opt):
             purity = (b + rate * opt.strength) / (n + opt.strength)
             out[h, tuple(s)] = names[tuple(s)], purity, (n > 0 or big_n >= opt.support) and purity >= opt.purity and h != ""
     return out
+
+
+def verdicts(docs, limits, common, classes):
+    """Whether each (doc_id, text, lang) is kept by the quality rules; classes gives a byte's class, common the words of each language."""
+    import math
+    from collections import Counter
+
+    listed = {w for ws in common.values() for w in ws}
+
+    def measure(t):
+        chars = Counter(classes(c) for c in raw(t))
+        words = Counter()
+        for w in SPACE.findall(lower(t)):
+            w = w[:-1] if len(w) > 1 and w[-1:] in (b".", b",", b";", b":") else w
+            w = w.decode(errors="replace")
+            words[w if w in listed else None] += 1
+        return chars, words
+
+    def distance(p, q):
+        n, m = sum(p.values()), sum(q.values())
+        if not n or not m:
+            return 0.0
+        out = 0.0
+        for k in p.keys() | q.keys():
+            a, b = p[k] / n, q[k] / m
+            c = (a + b) / 2
+            out += sum(x * math.log2(x / c) for x in (a, b) if x > 0)
+        return math.sqrt(max(0.0, out / 2))
+
+    def mixed(p, q):
+        n, m = sum(p.values()), sum(q.values())
+        return Counter({k: p[k] / n + q[k] / m for k in p.keys() | q.keys()})
+
+    base = {i: r[-1] for i, r in enumerate(x for d in docs for x in rules([d[:2]]))}
+    language = [d[2] if d[2] in common else None for d in docs]
+    found = [measure(d[1]) for d in docs]
+    refs = {}
+    for i, m in enumerate(found):
+        if not base[i]:
+            own = refs.setdefault(language[i], (Counter(), Counter()))
+            own[0].update(m[0])
+            own[1].update(m[1])
+    out = []
+    for i, (chars, words) in enumerate(found):
+        n = sum(words.values())
+        if base[i] or n < limits.min_judged:
+            out.append(not base[i])
+            continue
+        own = refs[language[i]]
+        best = distance(chars, own[0]), distance(words, own[1])
+        for other in refs.values():
+            two = distance(chars, mixed(own[0], other[0])), distance(words, mixed(own[1], other[1]))
+            best = min(best, two, key=sum)
+        out.append(best[0] <= limits.char_distance and best[1] <= limits.word_distance + limits.word_noise / math.sqrt(n))
+    return out
+
+
+def keep_one(docs, k=5):
+    """One document of each near-duplicate group: its smallest doc_id."""
+    rows = near(docs, k)
+    return {d for d, n, c, kept in rows if kept or n == 0}
+
+
+def strip_words(docs, n=50):
+    """The texts without the words of windows that an earlier document has; a text that loses nothing stays as it is."""
+    first = {}
+    words = [(d, SPACE.findall(raw(t))) for d, t in docs]
+    for d, w in words:
+        for k in range(len(w) - n + 1):
+            x = tuple(w[k : k + n])
+            first[x] = min(first.get(x, 2**64), d)
+    out = []
+    for (d, t), (_, w) in zip(docs, words, strict=True):
+        gone = [False] * len(w)
+        for k in range(len(w) - n + 1):
+            if first[tuple(w[k : k + n])] < d:
+                gone[k : k + n] = [True] * n
+        out.append((d, b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode() if any(gone) else t))
+    return out

