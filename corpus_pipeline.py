@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; all but the last return the columns
 of `documents`. Between stages the rows are written as Parquet and read again.
+
+Defined results: null and empty texts have no words and go in the first stage. Rows that repeat are near duplicates, of which one stays;
+so do rows of one doc_id with different texts if they are no near duplicates, and rows without an id, whose groups keep the row with the least text key. Of rows
+alike in id and text the least by all columns stays. Columns other than those of `documents` are dropped at the first stage, whatever their names. An empty
+table gives an empty result. Very long texts are worked through whole, with the memory that the operators name.
 """
 
 from __future__ import annotations
@@ -54,7 +59,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the first stage's distances nor the last one's tokens. No test runs the stages one after another.
+#: SQL can express neither the first stage's distances nor the last one's tokens. The tests compare run() with plain stages on a small corpus.
 ORACLE_SQL = None
 
 
