@@ -8,12 +8,13 @@ of that shingle in it. Documents probe the index with every shingle. A hit's pla
 window would begin; it must lie inside the document (length bound), and then the whole window is
 compared.
 
-The index holds the benchmark, not the corpus. Its size is checked: a benchmark above
-`block_bytes` of text is joined in blocks, each small enough to broadcast, and the hits are merged.
+The index holds the benchmark, not the corpus, as arrays. Its size is checked: a benchmark above
+`block_bytes` of text is joined in blocks, each small enough to broadcast, and the hits are merged; each block reads the documents twice.
 
 Defined results: null and empty texts have no words, hit nothing and, as items, have no window. A null
 item_id counts as the empty string. Items with one id are one item. Repeated documents are
-judged alike, each on its own. With an empty benchmark nothing is hit. Other columns are ignored.
+judged alike, each on its own. With an empty benchmark nothing is hit, and an empty table gives an empty table. A very long text takes
+some 30 bytes of memory for each of its bytes. Of shingles that are equally rare the first in a window is its prefix. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from tidemark.llm import frames, kernels
 class Options:
     window: int = 10
     shingle: int = 5
-    block_bytes: int = 32 << 20
+    block_bytes: int = 8 << 20  # of benchmark text; its index takes some 15 times as much
 
 
 class Sieve:
@@ -79,10 +80,11 @@ class Windows:
         a, c = (kernels.spans(self.pre[s], start, start + length) for s in (31, 33))
         _, first, group = np.unique(a ^ kernels.mix(c), return_index=True, return_inverse=True)
         self.start, self.length, self.a, self.c = start[first], length[first], a[first], c[first]
-        names: list[set] = [set() for _ in first]
-        for g, i in zip(group.tolist(), item.tolist(), strict=True):
-            names[g].add(items[i][0])
-        self.items = names
+        # the items of window g are names[i] for i in item[edges[g]:edges[g + 1]], each once
+        ids = sorted({i for i, _ in items})
+        number = {x: k for k, x in enumerate(ids)}
+        own = np.unique(np.stack((group, np.array([number[i] for i, _ in items], dtype=np.int64)[item]), axis=1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
+        self.names, self.item, self.edges = ids, own[:, 1].astype(np.int32), np.searchsorted(own[:, 0], np.arange(len(first) + 1))
         self.k = np.minimum(self.length, opt.shingle)
 
     def shingles(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -98,8 +100,8 @@ class Windows:
         return out
 
 
-def shingle_counts(docs: DataFrame, shingles: dict) -> dict[int, dict[int, int]]:
-    """How often all documents hold each of the benchmark's shingles; as many rows as those at most reach the driver."""
+def shingle_counts(docs: DataFrame, shingles: dict) -> dict[int, np.ndarray]:
+    """How often all documents hold each of the benchmark's different shingles, in their order; one row for each of them at most reaches the driver."""
     sieves = {k: Sieve(v[0]) for k, v in shingles.items()}
     shipped = docs.sparkSession.sparkContext.broadcast(sieves)
 
@@ -118,20 +120,23 @@ def shingle_counts(docs: DataFrame, shingles: dict) -> dict[int, dict[int, int]]
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(n[at])], names=["k", "at", "n"])
 
-    out: dict[int, dict[int, int]] = {k: {} for k in sieves}
-    for r in docs.select("text").mapInArrow(run, "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect():
-        out[r["k"]][int(sieves[r["k"]].sorted[r["at"]])] = r["n"]
+    found = docs.select("text").mapInArrow(run, "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
+    size, at, n = (found.column(c).to_numpy() for c in ("k", "at", "n"))
+    out = {}
+    for k, s in sieves.items():
+        out[k] = np.zeros(len(s.sorted), dtype=np.int64)
+        out[k][at[size == k]] = n[size == k]
     return out
 
 
 class Index:
     """Windows under their rarest shingle."""
 
-    def __init__(self, w: Windows, shingles: dict, counts: dict[int, dict[int, int]]):
-        self.length, self.a, self.c, self.items = w.length, w.a, w.c, w.items
+    def __init__(self, w: Windows, shingles: dict, counts: dict[int, np.ndarray]):
+        self.length, self.a, self.c, self.names, self.item, self.edges = w.length, w.a, w.c, w.names, w.item, w.edges
         self.by_size = {}
         for k, (d, win, place) in shingles.items():
-            n = np.array([counts[k].get(int(x), 0) for x in d], dtype=np.int64)
+            n = counts[k][np.unique(d, return_inverse=True)[1]]
             order = np.lexsort((place, d, n, win))
             first = order[np.unique(win[order], return_index=True)[1]]  # the rarest of each window
             first = first[np.argsort(d[first], kind="stable")]
@@ -139,6 +144,11 @@ class Index:
             begin = np.searchsorted(d[first], sieve.sorted)
             self.by_size[k] = sieve, begin, np.append(begin[1:], len(first)), win[first], place[first]
 
+    def items(self, windows: np.ndarray) -> list[str]:
+        """The sorted ids of the items that some of the windows are of."""
+        own = [self.item[self.edges[w] : self.edges[w + 1]] for w in np.unique(windows).tolist()]
+        return sorted(self.names[i] for i in np.unique(np.concatenate(own)).tolist())
+
     def probe(self, b: kernels.Batch) -> tuple[kernels.Words, np.ndarray, np.ndarray]:
         """The words of a batch, and where (first word) which windows occur."""
         words = kernels.Words(b, "alnum")
@@ -195,7 +205,7 @@ def _probe_block(docs: DataFrame, index: Index) -> DataFrame:
                 for i in np.unique(doc).tolist():
                     a, e = kernels.runs(mask[words.first[i] : words.first[i + 1]])
                     starts[i], ends[i] = a.tolist(), e.tolist()
-                    items[i] = sorted(set().union(*(index.items[x] for x in np.unique(w[doc == i]).tolist())))
+                    items[i] = index.items(w[doc == i])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(n_words), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
                     names=[c.split()[0] for c in OUT.split(", ")],

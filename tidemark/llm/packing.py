@@ -19,7 +19,8 @@ them to one token and a half more for each level. A document knows only its sour
 holds a bounded state, however many sources there are.
 
 Defined results: a null or empty text is its end id alone; a null source is a queue of its own.
-Repeated rows are packed each. An empty table packs to nothing. Other columns are ignored.
+Repeated rows are packed each. An empty table packs to nothing. Ids with equal pass values go in the order of their queues' names. A very long
+text is encoded as a whole and cut into as many pieces as it needs. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -217,7 +218,7 @@ def _cut(rb: pa.RecordBatch, plan: Schedule, index: dict[str, int]) -> Iterator[
     ids = rb.column(5).to_pylist()
     width = len(ids[0]) // int(n[0])
     source = pa.array([None if q == "s" else q[2:] for q in rb.column(1).to_pylist()], pa.string())
-    step = max(1, min(100_000, (1 << 22) // len(plan.n)))
+    step = max(1, min(100_000, (1 << 20) // len(plan.n)))
     for at in range(0, len(row), step):
         r, ww = row[at : at + step], w[at : at + step]
         edges, where = np.unique(np.concatenate((ww, ww + 1)), return_inverse=True)
