@@ -157,3 +157,41 @@ class SummaryTable:
     def run(self, events: DataFrame, checkpoint: str):
         """Everything that is there now, in micro-batches."""
         return events.writeStream.foreachBatch(lambda df, n: self.fold(df, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class LatestTable:
+    """Versions of a table of the last row of each key, folded from micro-batches; heartbeats, say."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...], by: str):
+        self.spark, self.path, self.keys, self.by = spark, path, keys, by
+
+    def read(self, n: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/v={n:012d}")
+
+    def fold(self, batch: DataFrame, n: int) -> None:
+        rest = [c for c in batch.columns if c not in (*self.keys, self.by)]
+        rows = batch if n == 0 else self.read(n - 1).unionByName(batch)
+        last = rows.groupBy(*self.keys).agg(F.max(F.struct(self.by, *rest)).alias("r"))
+        last.select(*self.keys, "r.*").select(*batch.columns).write.mode("overwrite").parquet(f"{self.path}/v={n:012d}")
+
+    def run(self, rows: DataFrame, checkpoint: str):
+        return rows.writeStream.foreachBatch(lambda df, n: self.fold(df, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def index_changes(changes: DataFrame, load: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, DataFrame], None], checkpoint: str, hooks=None):
+    """Runs a stream of changed uuids through an index: each batch's uuids once, those that still have a row to be written, the others deleted.
+
+    The checkpoint is the queue: a batch that fails is run again, and writing a row twice is the same as writing it once.
+    """
+
+    def run(batch: DataFrame, n: int) -> None:
+        uuids = batch.select("uuid").dropDuplicates(["uuid"]).persist()
+        try:
+            rows = load(uuids)
+            write(rows, uuids.join(rows.select("uuid"), "uuid", "left_anti"))
+            if hooks is not None:
+                hooks.indexed(rows)
+        finally:
+            uuids.unpersist()
+
+    return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
