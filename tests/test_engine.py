@@ -333,7 +333,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for part in cut:
         part.coalesce(1).write.mode("append").parquet(str(src))
         table.run(tables.stream(spark, str(src), e.schema), str(tmp_path / "cp")).awaitTermination()
-    last = max(int(p.name[2:]) for p in (tmp_path / "out").iterdir() if p.name.startswith("v="))
+    last = max(int(p.name[9:]) for p in (tmp_path / "out").iterdir() if p.name.startswith("manifest="))
     cols = ["uuid", "fingerprint", "status", "event_count", "first_seen", "last_seen", "status_change"]
     got = sorted(tuple(r) for r in table.read(last).select(*cols).collect())
     n = e.where("arrival_seq < 999")

@@ -123,3 +123,21 @@ def test_a_missing_version_is_an_error(spark, tmp_path):
     t = engine.SummaryTable(spark, str(tmp_path / "t"))
     with pytest.raises(RuntimeError, match="missing"):
         t.fold(spark.createDataFrame([("a",)], "uuid string"), 4)
+
+
+def test_a_batch_writes_only_its_parts(spark, tmp_path):
+    from tidemark.operators import state
+
+    occ = "uuid string, arrival_seq long, count int, created long, event_class string, severity int, status int, element_identifier string, element_uuid string, fingerprint string"
+    row = lambda i, f: (f"u{i}", i, 1, 10 * i, "/A", 3, 0, "h", "e", f)
+    batches = [[row(i, f"f{i % 40}") for i in range(80)], [row(100, "f7"), row(101, "f7")], [row(102, "f8")], [row(103, "f7")]]
+    t = engine.SummaryTable(spark, str(tmp_path / "t"))
+    for n, rows in enumerate(batches):
+        t.fold(spark.createDataFrame(rows, occ), n)
+        if n == 1:
+            t.fold(spark.createDataFrame(rows, occ), n)  # run again after a failure
+    assert len(list((tmp_path / "t" / "v=000000000002").glob("part=*"))) == 1
+    assert {p.name for p in (tmp_path / "t").iterdir()} == {f"manifest={n:012d}" for n in (2, 3)} | {f"v={n:012d}" for n in (0, 1, 2, 3)}
+    cols = ["uuid", "fingerprint", "event_count", "last_seen", "status_change"]
+    want = state.dedup(spark.createDataFrame([r for b in batches for r in b], occ))
+    assert sorted(map(tuple, t.read(3).select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))

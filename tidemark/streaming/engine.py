@@ -117,42 +117,61 @@ def flap_alerts(events: DataFrame, key: str, count: int, threshold: int = model.
 
 
 class SummaryTable:
-    """Versions of the summary table in a folder; a version is complete once its success marker is there.
+    """Versions of the summary table in a folder, in 256 parts by the hash; a version's manifest says which version holds each part.
 
-    A micro-batch that is run again after a failure writes its own version again from the one before it, so
-    it counts once; versions before the last two are deleted. There is no watermark: late occurrences are merged, never dropped. CLEAR occurrences act on
-    the table in arrival order where occurrences have clear_hash and clear_hashes (the array of what a CLEAR ends);
-    without these columns nothing can be cleared, and they fold as ordinary ones.
+    A micro-batch writes only the parts that its fingerprints are in, under its own version, and then its manifest; what is not in the
+    manifest does not count, so a micro-batch that is run again after a failure counts once. Folders that the last two manifests
+    do not name are deleted. There is no watermark: late occurrences are merged, never dropped. CLEAR occurrences act on
+    the table in arrival order where occurrences have clear_hash and clear_hashes (the array of what a CLEAR ends); they can reach any
+    part, so such a batch writes all of them. Without these columns nothing can be cleared, and CLEAR occurrences fold as ordinary ones.
     """
 
     def __init__(self, spark: SparkSession, path: str, sinks: tuple[Callable[[DataFrame, int], None], ...] = ()):
         """sinks are given the valid occurrences of each batch, after its version is written."""
         self.spark, self.path, self.sinks = spark, path, sinks
 
-    def version(self, n: int) -> str:
-        return f"{self.path}/v={n:012d}"
+    def _path(self, name: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def _exists(self, n: int) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.version(n) + "/_SUCCESS")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        fs, p = self._path(f"manifest={n:012d}/_SUCCESS")
+        return fs.exists(p)
+
+    def _manifest(self, n: int) -> dict[str, int]:
+        return {r["part"]: r["v"] for r in self.spark.read.schema("part string, v long").parquet(f"{self.path}/manifest={n:012d}").collect()}  # 256 rows at most
+
+    def _parts(self, manifest: dict[str, int], parts: set[str]) -> DataFrame | None:
+        paths = [f"{self.path}/v={v:012d}/part={p}" for p, v in sorted(manifest.items()) if p in parts]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def read(self, n: int) -> DataFrame:
-        return self.spark.read.parquet(self.version(n))
+        manifest = self._manifest(n)
+        return self._parts(manifest, set(manifest))
 
     def fold(self, batch: DataFrame, n: int) -> None:
         if n > 0 and not self._exists(n - 1):
             raise RuntimeError(f"version {n - 1} of the table is missing: its state can't be folded into")
-        old, valid = self.read(n - 1) if n > 0 else None, state.validate(batch)
+        manifest, valid = self._manifest(n - 1) if n > 0 else {}, state.validate(batch)
+        part = F.substring("fingerprint_hash", 1, 2)
         if {"clear_hash", "clear_hashes"} <= set(batch.columns):
-            new = apply_in_order(old, valid)
+            new, stays = apply_in_order(self._parts(manifest, set(manifest)), valid), {}
         else:
-            new = state.dedup(valid, old)
-        new.write.mode("overwrite").parquet(self.version(n))
+            hashes = valid.select(state.occurrence_hash(F.col("fingerprint"), F.col("status"), F.col("severity"), F.col("created")).alias("fingerprint_hash"))
+            touched = {r["part"] for r in hashes.select(part.alias("part")).distinct().collect()}  # 256 at most
+            new, stays = state.dedup(valid, self._parts(manifest, touched)), manifest
+        new.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/v={n:012d}")
+        fs, p = self._path(f"v={n:012d}")
+        written = [f.getPath().getName().removeprefix("part=") for f in fs.listStatus(p) if f.isDirectory()]
+        now = stays | dict.fromkeys(written, n)
+        self.spark.createDataFrame(list(now.items()), "part string, v long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest={n:012d}")
         for sink in self.sinks:
             sink(valid, n)
-        if n > 1:  # the one before this stays, for this batch may be run again
-            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.version(n - 2))
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        used = {*now.values(), *manifest.values()}
+        for f in self._path("")[0].listStatus(self._path("")[1]):
+            kind, _, v = f.getPath().getName().partition("=")
+            if v.isdigit() and (kind == "v" and int(v) < n and int(v) not in used or kind == "manifest" and int(v) < n - 1):
+                self._path("")[0].delete(f.getPath(), True)
 
     def run(self, events: DataFrame, checkpoint: str):
         """Everything that is there now, in micro-batches."""
