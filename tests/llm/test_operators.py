@@ -263,6 +263,19 @@ def test_packing_keeps_sources_and_weights_with_more_sources_than_queues(spark):
             assert (abs(served(pieces, s) - served(flat, s)) < 7).all(), s
 
 
+def test_packing_of_thousands_of_sources(spark):
+    """More sources than queues at the default limit: names, ids and shares stay those of the sources."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    rng = random.Random(9)
+    plain = [(i, " ".join(rng.choices(["ab", "cde", "f"], k=rng.randint(1, 9))), f"src{i % 3000}") for i in range(6000)]
+    df = spark.createDataFrame(plain, "doc_id long, text string, source string").repartition(4)
+    pieces = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), packing.Options(end_id=0)).toPandas()
+    assert (pieces.groupby("doc_id").length.sum() == pieces.groupby("doc_id").doc_tokens.first()).all() and pieces.doc_id.nunique() == 6000
+    assert {(d, s) for d, s in zip(pieces.doc_id, pieces.source, strict=True)} == {(d, s) for d, _, s in plain}
+    sizes = pieces.groupby("sequence_id").length.sum()
+    assert (sizes.iloc[:-1] == 1024).all()
+
+
 def test_tree_places_and_serves_alike():
     rng = np.random.default_rng(5)
     for n in (np.array([7]), rng.integers(1, 40, 2), rng.integers(1, 60, 13), np.array([1, 500, 1, 1, 3]), np.array([5, 9, 1]) + (1 << 33)):

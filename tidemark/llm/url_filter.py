@@ -79,8 +79,13 @@ def grown(nodes: DataFrame, opt: Options) -> DataFrame:
     """(host, segs, template) for counts (host, segs, n, l, b) of urls, labels and blocked labels."""
     nodes = nodes.withColumn("template", F.lit(""))
     levels = nodes.agg(F.max(F.size("segs")).alias("n")).first()["n"] or 0
+    with frames.Scratch() as keep:
+        return _grown(nodes, levels, opt, keep)
+
+
+def _grown(nodes: DataFrame, levels: int, opt: Options, keep: frames.Scratch) -> DataFrame:
     for level in range(levels):
-        saved = frames.Saved(nodes).df
+        saved = keep(nodes)
         seg = F.get("segs", F.lit(level))
         child = saved.where(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
         parent = child.groupBy("host", "template").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"))
