@@ -9,8 +9,8 @@ from tidemark.functions import ip, text
 from tidemark.operators import counters, details, lookup, notes, reactions, state
 from tidemark.operators.filters import MISSING_INT, all_tags, condition, has_tags
 from tidemark.plans import views
-from tidemark.plans.query import EventQuery, Sort, matching, page, update_by_search
-from tidemark.plans.registry import AGE_SQL, C_SQL, DAY, E_SQL, FOLD_SQL, NOW, S_SQL, SUBS_SQL, SUMMARY, TRIGGERS, _first_batch, _flaps, _s, _subscriptions, FLAP_SQL, SUB_SQL, query
+from tidemark.plans.query import MAX_PAGE, EventQuery, Sort, matching, page, update_by_search
+from tidemark.plans.registry import AGE_SQL, C_SQL, DAY, E_SQL, FLAP_SQL, FOLD_SQL, NOW, S_SQL, SUB_SQL, SUBS_SQL, _first_batch, _flaps, _s, _subscriptions, query
 from tidemark.plans.request import event_filter, event_query
 from tidemark.sinks.tables import event_times
 from tidemark.sources import tables
@@ -65,12 +65,13 @@ def archive_page(spark, d):
     return lookup.partition_page(_split(spark, d)[1], (19740, "8"), NOW, 30).select("uuid", "archive_day")
 
 
-@query("hits_in_order", f"WITH {S_SQL}, h AS (SELECT uuid, row_number() OVER (ORDER BY uuid DESC) AS ordinal FROM e WHERE user_id < 20) SELECT h.uuid, h.ordinal, event_count FROM h JOIN s USING (uuid) ORDER BY ordinal")
+@query("hits_in_order", f"WITH {S_SQL}, h AS (SELECT uuid, row_number() OVER (ORDER BY uuid DESC) AS ordinal FROM (SELECT uuid FROM e ORDER BY uuid DESC LIMIT 1000)) SELECT h.uuid, h.ordinal, event_count FROM h JOIN s USING (uuid) ORDER BY ordinal")
 def hits_in_order(spark, d):
     """Hits without a row are left out; the others keep the hits' order."""
     from pyspark.sql import Window
 
-    hits = tables.occurrences(spark, d).where("user_id < 20").select("uuid", F.row_number().over(Window.orderBy(F.desc("uuid"))).alias("ordinal"))
+    found = tables.occurrences(spark, d).orderBy(F.desc("uuid")).limit(MAX_PAGE).select("uuid")  # a page of hits
+    hits = found.select("uuid", F.row_number().over(Window.orderBy(F.desc("uuid"))).alias("ordinal"))
     return lookup.in_order_of(hits, _s(spark, d)).select("uuid", F.col("ordinal").cast("long").alias("ordinal"), "event_count")
 
 
@@ -347,7 +348,7 @@ def etl_records(spark, d):
         found = F.array(one("k", F.concat(F.lit("v"), "event_count")), one("production_state", F.when(F.col("severity") > 2, "1000")))
         return df.withColumn("details", found.cast(details.DETAILS)).withColumn("summary", F.concat(F.lit(" seen\r "), "event_count", F.lit(" times\r")))
 
-    return _etl_text(views.etl(full(live), full(old.drop("archive_day", "update_time").unionByName(live.limit(5))), ("k",)))
+    return _etl_text(views.etl(full(live), full(old.drop("archive_day", "update_time").unionByName(live.where("severity = 3"))), ("k",)))
 
 
 @query("export_records", f"WITH {S_SQL} SELECT uuid, last_seen AS timestamp, CASE WHEN status = 2 THEN 'SUPPRESSED' ELSE 'OPEN' END AS status, ['CLEAR', 'DEBUG', 'INFO', 'WARNING', 'ERROR', 'CRITICAL'][severity + 1] AS severity, CASE WHEN event_count % 2 = 0 THEN 'eth0' ELSE element_identifier END AS context, left(fingerprint, 10) AS summary, CASE WHEN event_count % 2 = 0 THEN element_identifier END AS parent, 'site' AS source, event_class FROM s WHERE severity >= 3")
