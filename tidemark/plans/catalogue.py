@@ -472,6 +472,16 @@ def event_time_purge(spark, d):
     return lookup.purge(event_times(tables.occurrences(spark, d), NOW).withColumn("processed", F.col("created")), NOW - DAY, "processed").select("uuid")
 
 
+@query("messages_parsed", f"WITH {E_SQL} SELECT uuid, created, severity, 'ok' AS outcome FROM e WHERE event_id % 29 <> 0 UNION ALL SELECT NULL, NULL, NULL, 'not an event' FROM e WHERE event_id % 29 = 0")
+def messages_parsed(spark, d):
+    """Occurrences from JSON messages; broken ones are dead letters."""
+    e = tables.occurrences(spark, d).withColumn("event_id", F.col("arrival_seq").bitwiseXOR(F.lit(5)))
+    good = F.to_json(F.struct("uuid", "created", "severity", "event_class"))
+    raw = e.select(F.when(F.col("event_id") % 58 == 0, F.lit(None)).when(F.col("event_id") % 29 == 0, F.substring(good, 1, 20)).otherwise(good).alias("value"))
+    events, dead = tables.parse_messages(raw, "uuid string, created long, severity int, event_class string")
+    return events.select("uuid", "created", "severity", F.lit("ok").alias("outcome")).unionByName(dead.select(F.col("reason").alias("outcome")), allowMissingColumns=True)
+
+
 RAW_SQL = f"WITH {E_SQL}, w AS (SELECT CASE WHEN event_id % 17 = 0 THEN '' ELSE uuid END AS uuid, CASE WHEN event_id % 19 = 0 THEN NULL ELSE created END AS created, CASE WHEN event_id % 23 = 0 THEN 5 ELSE status END AS status, fingerprint FROM e)"
 
 

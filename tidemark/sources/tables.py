@@ -37,3 +37,20 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_trigger: int = 1000) -> DataFrame:
     """A folder as a stream; files per trigger are the back-pressure."""
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", per_trigger).load(path)
+
+
+def parse_messages(raw: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, messages that are none, with the reason) of a frame with a column value of JSON text, from whatever broker or folder it comes."""
+    kind = f"{schema}, _broken string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    read_ = raw.withColumn("e", F.from_json(F.col("value").cast("string"), kind, options))
+    broken = F.col("value").isNull() | F.col("e").isNull() | F.col("e._broken").isNotNull()
+    return read_.where(~broken).select("e.*").drop("_broken"), read_.where(broken).select("value", F.lit("not an event").alias("reason"))
+
+
+def broker(spark: SparkSession, servers: str, topic: str, per_trigger: int = 10_000) -> DataFrame:
+    """A topic as a stream of messages (value), where the session has the connector; offsets per trigger are the back-pressure."""
+    return (
+        spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+        .option("maxOffsetsPerTrigger", per_trigger).load().select("value")
+    )
