@@ -103,7 +103,7 @@ class Windows:
 def shingle_counts(docs: DataFrame, shingles: dict) -> dict[int, np.ndarray]:
     """How often all documents hold each of the benchmark's different shingles, in their order; one row for each of them at most reaches the driver."""
     sieves = {k: Sieve(v[0]) for k, v in shingles.items()}
-    shipped = docs.sparkSession.sparkContext.broadcast(sieves)
+    shipped = frames.Shipped(docs.sparkSession, sieves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieves = shipped.value
@@ -191,7 +191,7 @@ def _index(docs: DataFrame, block: DataFrame, opt: Options) -> Index:
 
 
 def _probe_block(docs: DataFrame, index: Index) -> DataFrame:
-    shipped = docs.sparkSession.sparkContext.broadcast(index)
+    shipped = frames.Shipped(docs.sparkSession, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shipped.value
@@ -250,12 +250,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, opt: Options = Options(), colum
     blocks = _blocks(benchmark, opt)
     at = columns.index("text")
     for block in blocks:
-        shipped = docs.sparkSession.sparkContext.broadcast(_index(docs, block, opt))
+        shipped = frames.Shipped(docs.sparkSession, _index(docs, block, opt))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            index = shipped.value
             for rb in batches:
                 for part, b in kernels.chunks(rb, rb.schema.names[at]):
-                    words, start, _ = shipped.value.probe(b)
+                    words, start, _ = index.probe(b)
                     keep = np.ones(b.n, dtype=bool)
                     keep[np.searchsorted(words.first, start, side="right") - 1] = False
                     yield part.filter(pa.array(keep))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,17 @@ class Saved:
         _delete(self.spark, self.path)
 
 
+class Shipped:
+    """A broadcast of any object. It travels as bytes that hold its class as well, so executors need no copy of this package on their path."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return pickle.loads(self._bytes.value)  # noqa: S301  made by the driver of this session
+
+
 class Scratch:
     """Tables that are deleted when the block ends."""
 

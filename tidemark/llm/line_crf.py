@@ -232,12 +232,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, opt: Options) -> tuple[lis
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1, higher: label 1 likelier) of each document."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = frames.Shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shipped.value
         for rb in batches:
             for part, b in kernels.chunks(rb, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shipped.value.scores(b))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(b))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 

@@ -133,7 +133,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, opt: Options) -> frames.Saved
     spark = docs.sparkSession
     spec = encoder.read_spec(tokenizer_path)
     width = 2 if max(encoder.vocab_size(spec), opt.end_id + 1) <= 1 << 16 else 4
-    shipped, end_id = spark.sparkContext.broadcast(spec), opt.end_id
+    shipped, end_id = frames.Shipped(spark, spec), opt.end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder.encoder(shipped.value), TaskContext.get().partitionId()

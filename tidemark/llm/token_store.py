@@ -127,7 +127,7 @@ def write(docs: DataFrame, tokenizer_path: str, fmt: Format) -> tuple[frames.Sav
     spec = encoder.read_spec(tokenizer_path)
     width = 2 if max(encoder.vocab_size(spec), fmt.end_id + 1) <= 1 << 16 else 4
     dictionary = train_dictionary(docs, spec, fmt)
-    shipped, level = spark.sparkContext.broadcast((spec, dictionary)), fmt.level
+    shipped, level = frames.Shipped(spark, (spec, dictionary)), fmt.level
     end = np.array([fmt.end_id], dtype=f"<u{width}").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,7 @@ def part_starts(files: DataFrame) -> dict[int, int]:
 
 def read(files: DataFrame, dictionary: bytes) -> DataFrame:
     """Documents from the files: doc_id, start (ids of all documents before it), ids as little-endian unsigned 32-bit integers."""
-    shipped = files.sparkSession.sparkContext.broadcast((part_starts(files), dictionary))
+    shipped = frames.Shipped(files.sparkSession, (part_starts(files), dictionary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, dictionary = shipped.value
