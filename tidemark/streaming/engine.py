@@ -6,14 +6,19 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+import tidemark
 from tidemark import model
 from tidemark.operators import state
 from tidemark.sinks import scratch
 
+# Functions of this package go to executors by value, so these need no copy of it on their path.
+cloudpickle.register_pickle_by_value(tidemark)
+
 OLD, EVENT, CLEAR = range(3)
 
 
