@@ -90,7 +90,12 @@ def rules(docs):
         lines = [x for x in t.split("\n") if SPACE.search(x.encode())]
         three = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
         repeat = {p for i, x in enumerate(three) if three.count(x) > 1 for p in (i, i + 1, i + 2)}
-        out.append((d, len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeat), len(w) < 50 or 100 * len(repeat) > 50 * len(w)))
+        out.append(
+            (
+                d, len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeat),
+                len(w) < 50 or 100 * len(repeat) > 50 * len(w)
+            )
+        )
     return sorted(out, key=key)
 
 
@@ -156,7 +161,9 @@ def template_tree(rows, opt):
         hosts.setdefault(h, []).append((segs, bad))
     common_rows = [(s, b) for h, s, b in rows if h]
     common = grow(common_rows)
-    count = lambda rows, names: {t: (len(x := [b for s, b in rows if names[tuple(s)] == t and b is not None]), sum(x)) for t in set(names.values())}
+    count = lambda rows, names: {
+        t: (len(x := [b for s, b in rows if names[tuple(s)] == t and b is not None]), sum(x)) for t in set(names.values())
+    }
     all_counts = count(common_rows, common)
     out = {}
     for h, own in hosts.items():

@@ -15,7 +15,9 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, no
 
 def frame(spark, docs):
     """With extra columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(d, t, "en" if i % 3 else None, f"s{i % 4}" if i % 5 else None, None, "x", 1, 2) for i, (d, t) in enumerate(docs)], SCHEMA).repartition(4)
+    return spark.createDataFrame(
+        [(d, t, "en" if i % 3 else None, f"s{i % 4}" if i % 5 else None, None, "x", 1, 2) for i, (d, t) in enumerate(docs)], SCHEMA
+    ).repartition(4)
 
 
 def rows(df):
@@ -38,7 +40,10 @@ def docs():
         b = rng.choices(words, k=[1, 2, 5, 20, 60, 60, 200, 90][g])
         for _ in range(9):
             out.append((len(out), " ".join(rng.choice(words) if rng.random() < 0.04 else x for x in b)))
-    return out + out[:6] + [(5, " ".join(base[0])), (7000, ""), (7001, None), (7002, "x " * 500), (7003, "x\n" * 300), (None, None), (7004, "x" * 401), (7005, "é" * 450), (7006, " \n\t"), (7007, "A b C"), (7008, "a B c")]
+    return out + out[:6] + [
+        (5, " ".join(base[0])), (7000, ""), (7001, None), (7002, "x " * 500), (7003, "x\n" * 300), (None, None), (7004, "x" * 401),
+        (7005, "é" * 450), (7006, " \n\t"), (7007, "A b C"), (7008, "a B c")
+    ]
 
 
 def test_substring_dedup(spark, docs, monkeypatch):
@@ -62,7 +67,10 @@ def test_near_dedup_of_nothing(spark, docs):
 
 
 def test_url_filter(spark):
-    urls = [None, "nourl", "", "HTTP://A.COM", "x://example.com/en/a/b/c/d/e/f?x#y", "x://example.com/en/a/b/c/d/e/f?x#y", "http://WWW.Example.com/en/://q", "http://net/es/", "http://a.net/es", "http://b.a.net/fr/1", "http://xnet/es/", "//a://b/c"]
+    urls = [
+        None, "nourl", "", "HTTP://A.COM", "x://example.com/en/a/b/c/d/e/f?x#y", "x://example.com/en/a/b/c/d/e/f?x#y",
+        "http://WWW.Example.com/en/://q", "http://net/es/", "http://a.net/es", "http://b.a.net/fr/1", "http://xnet/es/", "//a://b/c"
+    ]
     df = spark.createDataFrame([(i if i else None, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df).collect()}
     want = {(i if i else None, *(x := brute.quality(u, url_filter.RULES))[:3], x[3] or "allow") for i, u in enumerate(urls)}
@@ -79,7 +87,10 @@ def test_url_templates_learn_from_labels(spark):
 
 
 def test_url_filter_allows_a_clean_section_beside_blocked_ones(spark):
-    urls = [f"http://h{n}.net/{s}/{'abcdefghijklmnopqrst'[i]}" for n in (1, 4, 5) for s, k in (("es", 15), ("fr", 15), ("de", n)) for i in range(k)]
+    urls = [
+        f"http://h{n}.net/{s}/{'abcdefghijklmnopqrst'[i]}" for n in (1, 4, 5) for s,
+        k in (("es", 15), ("fr", 15), ("de", n)) for i in range(k)
+    ]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {(r["host"], r["path"][:4], r["verdict"]) for r in url_filter.judge(df).collect()}
     assert got == {(f"h{n}.net", s, v) for n in (1, 4, 5) for s, v in (("/es/", "block"), ("/fr/", "block"), ("/de/", "allow"))}
@@ -95,7 +106,9 @@ def test_url_tree_equals_a_plain_one(spark):
         host = rng.choice(["a.org", "b.org", "C.org", "d.org", "e.org"])
         section = rng.choice(["en", "fr", "shop", "x7", f"u{i}"])
         tail = "/".join(rng.choice(["p", "q", str(i), "f" * 20]) for _ in range(rng.choice([0, 1, 2, 3, 9, 20])))
-        urls.append((i, rng.choice([None, "nothing", f"http://{host}/{section}/{tail}?q"]) if i % 50 == 0 else f"http://{host}/{section}/{tail}"))
+        urls.append(
+            (i, rng.choice([None, "nothing", f"http://{host}/{section}/{tail}?q"]) if i % 50 == 0 else f"http://{host}/{section}/{tail}")
+        )
     bad = {i: int(("/fr/" in (u or "")) != (rng.random() < 0.01)) for i, u in urls if i % 3 and "//e.org" not in (u or "")}
     df = spark.createDataFrame(urls, "page_id long, url string")
     labels = spark.createDataFrame(list(bad.items()), "page_id long, bad int")
@@ -190,14 +203,18 @@ def test_line_crf_marginals_are_exact():
     good, _ = m.marginals(u, np.array([0, 3, 3, 4]))
     weight = {}
     for y in itertools.product((0, 1), repeat=3):
-        weight[y] = np.exp(sum(u[i] * v for i, v in enumerate(y)) + m.start * y[0] + sum(m.stay[a, b] for a, b in zip(y, y[1:], strict=False)))
+        weight[y] = np.exp(
+            sum(u[i] * v for i, v in enumerate(y)) + m.start * y[0] + sum(m.stay[a, b] for a, b in zip(y, y[1:], strict=False))
+        )
     total = sum(weight.values())
     assert np.allclose(good[:3], [sum(w for y, w in weight.items() if y[i]) / total for i in range(3)])
 
 
 @pytest.mark.parametrize("block", [1 << 25, 1500])
 def test_decontamination(spark, docs, block):
-    items = [(i, " ".join((t or "").split()[20:60])) for i, (_, t) in enumerate(docs[:40])] + [(None, "x"), (900, ""), (901, None), (902, docs[3][1]), (902, docs[4][1]), (903, "a b")]
+    items = [(i, " ".join((t or "").split()[20:60])) for i, (_, t) in enumerate(docs[:40])] + [
+        (None, "x"), (900, ""), (901, None), (902, docs[3][1]), (902, docs[4][1]), (903, "a b")
+    ]
     bench = spark.createDataFrame(items, "item_id long, text string")
     opt = decontamination.Options(block_bytes=block)
     want = brute.contaminated(docs, items)
@@ -208,7 +225,9 @@ def test_decontamination(spark, docs, block):
 
 def test_quality_rules(spark, docs):
     got = quality_rules.judge(frame(spark, docs).select("doc_id", "text", "lang", F.lit(1).alias("kept")))
-    assert rows(got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == brute.rules(docs)
+    assert rows(
+        got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    ) == brute.rules(docs)
     assert got.where("base_failed and kept").count() == 0
     assert quality_rules.judge(frame(spark, docs[:1]).limit(0)).count() == 0
     p, q = np.array([[1.0, 0.0], [1, 1], [0, 0]]), np.array([[0.0, 1.0], [1, 1], [1, 1]])
@@ -233,7 +252,9 @@ def test_packing(spark, docs):
         share = g.length.sum() / total
         served = g.groupby("sequence_id").length.sum().reindex(range(len(sizes)), fill_value=0).cumsum()
         assert (abs(served - share * np.minimum((np.arange(len(sizes)) + 1) * 1024, total)) < 3).all(), source
-    assert packing.sequences(packing.pack(frame(spark, plain), path, packing.Options(end_id=0))).where("octet_length(ids) <> 4 * n_tokens or n_pad + n_tokens <> 1024 and n_pad > 0").count() == 0
+    assert packing.sequences(packing.pack(frame(spark, plain), path, packing.Options(end_id=0))).where(
+        "octet_length(ids) <> 4 * n_tokens or n_pad + n_tokens <> 1024 and n_pad > 0"
+    ).count() == 0
     assert packing.pack(frame(spark, plain[:1]).limit(0), path, packing.Options(end_id=0)).count() == 0
 
 
@@ -241,7 +262,9 @@ def test_packing_keeps_sources_and_weights_with_more_sources_than_queues(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     rng = random.Random(3)
     names = [f"q{i}" for i in range(40)] + [None, ""]
-    plain = [(i, " ".join(rng.choices(["ab", "cde", "f", "gh"], k=rng.randint(0, 120))), rng.choice(names + ["hot"] * 30)) for i in range(900)]
+    plain = [
+        (i, " ".join(rng.choices(["ab", "cde", "f", "gh"], k=rng.randint(0, 120))), rng.choice(names + ["hot"] * 30)) for i in range(900)
+    ]
     df = spark.createDataFrame(plain, "doc_id long, text string, source string").repartition(4)
     path = public_tokenizers.path("byte_bpe_50k.json")
     e = encoder.Encoder(open(path, encoding="utf-8").read())
@@ -258,7 +281,9 @@ def test_packing_keeps_sources_and_weights_with_more_sources_than_queues(spark):
             assert (keys != keys.shift()).sum() == keys.nunique()  # each source's ids are contiguous
         sizes = windows.length.sum()
         assert (sizes[:-1] == 128).all() and pieces.length.sum() == flat.length.sum()
-        served = lambda p, s: p[p.source.fillna("(null)") == s].groupby("sequence_id").length.sum().reindex(range(len(sizes)), fill_value=0).cumsum()  # noqa: E731, B023
+        served = lambda p, s: p[p.source.fillna("(null)") == s].groupby("sequence_id").length.sum().reindex(
+            range(len(sizes)), fill_value=0
+        ).cumsum()  # noqa: E731, B023
         for s in {x if x is not None else "(null)" for _, _, x in plain}:
             assert (abs(served(pieces, s) - served(flat, s)) < 7).all(), s
 
@@ -313,10 +338,15 @@ def licence_model():
 
 #: Wordings that are in neither the learnt nor the calibration notices.
 FRESH = {
-    "MIT": "our tools are provided under the terms of the MIT license", "Apache": "you can use it under the Apache License, version 2.0 only", "BSD": "it is offered under a BSD license, see the file",
-    "GPL": "this plugin is free software under the GNU General Public License version 2", "LGPL": "the runtime is covered by the GNU Lesser General Public License", "AGPL": "the server is covered by the GNU Affero General Public License",
-    "MPL": "the engine is covered by the Mozilla Public License, v. 2.0", "CC-BY-SA": "photos are shared under CC BY-SA 4.0", "CC-BY-NC": "maps are licensed under CC BY-NC 4.0", "EPL": "the editor is covered by the Eclipse Public License 2.0",
-    "Public-Domain": "the data set is dedicated to the public domain under CC0", "ISC": "the parser is released under the ISC license", "BSL": "headers come under the Boost Software License", "Zlib": "the codec is under the zlib license",
+    "MIT": "our tools are provided under the terms of the MIT license",
+    "Apache": "you can use it under the Apache License, version 2.0 only", "BSD": "it is offered under a BSD license, see the file",
+    "GPL": "this plugin is free software under the GNU General Public License version 2",
+    "LGPL": "the runtime is covered by the GNU Lesser General Public License",
+    "AGPL": "the server is covered by the GNU Affero General Public License",
+    "MPL": "the engine is covered by the Mozilla Public License, v. 2.0", "CC-BY-SA": "photos are shared under CC BY-SA 4.0",
+    "CC-BY-NC": "maps are licensed under CC BY-NC 4.0", "EPL": "the editor is covered by the Eclipse Public License 2.0",
+    "Public-Domain": "the data set is dedicated to the public domain under CC0", "ISC": "the parser is released under the ISC license",
+    "BSL": "headers come under the Boost Software License", "Zlib": "the codec is under the zlib license",
 }
 
 
@@ -346,8 +376,13 @@ def test_license_scan_equals_the_model_window_by_window(spark, licence_model):
         texts.append(rng.choice(["\n\n", "\n \t\n"]).join(parts))
     docs = [(i if i % 9 else None, t, "x", 1) for i, t in enumerate(texts)] + [(4, texts[4], "x", 1)]
     df = spark.createDataFrame(docs, "doc_id long, text string, family string, paragraph int")
-    got = sorted(((r["doc_id"] or 0, r["paragraph"], r["family"], round(r["probability"], 5)) for r in license_scan.scan(df, licence_model).collect()))
-    want = sorted((d or 0, k, f, round(p, 5)) for d, t, *_ in docs for k, x in enumerate(re.split(r"\n[ \t\r]*\n", t or ""), 1) for f, p in licence_model.paragraph(x).items())
+    got = sorted(
+        ((r["doc_id"] or 0, r["paragraph"], r["family"], round(r["probability"], 5)) for r in license_scan.scan(df, licence_model).collect())
+    )
+    want = sorted(
+        (d or 0, k, f, round(p, 5)) for d, t, *_ in docs for k, x in enumerate(re.split(r"\n[ \t\r]*\n", t or ""), 1) for f,
+        p in licence_model.paragraph(x).items()
+    )
     assert len(got) == len(want) > 30 and all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-4 for a, b in zip(got, want, strict=True))
     mit = license_scan.scan(df.where("doc_id = 4"), licence_model).collect()
     assert [(r["family"], r["confirmed"]) for r in mit] == [("MIT", True)] * 2

@@ -104,7 +104,9 @@ def test_pipeline_equals_plain_stages(spark, corpus, tmp_path):
     import corpus_pipeline
 
     docs, items = corpus
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(
+        docs, "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     stages = [name for name, _ in corpus_pipeline.STAGES]
     assert stages == ["quality_rules", "near_dedup", "substring_dedup", "decontamination", "packing"]
@@ -144,10 +146,14 @@ def test_very_long_texts(spark):
     got = {r["doc_id"]: (r["n_bytes"], r["n"]) for r in suffix_dedup.strip(df).select("doc_id", "n_bytes", n.alias("n")).collect()}
     assert got[1] == (len(long), 4000) and got[3] == (4000, 4000) and got[4] == (700_000, 700_000) and got[5] == (0, 0)
     one = {r["doc_id"]: r["n_removed"] for r in substring_dedup.digest(substring_dedup.strip(df)).collect()}
-    assert one[1] == 0 and one[3] == len(long[1_000_000:1_004_000].split()) - (not long[999_999].isspace()) - (not long[1_004_000].isspace())
+    assert one[1] == 0 and one[3] == len(
+        long[1_000_000:1_004_000].split()
+    ) - (not long[999_999].isspace()) - (not long[1_004_000].isspace())
     found = {r["doc_id"]: r["component_id"] for r in near_dedup.groups(df).df.collect()}
     assert found[1] == 1 and found[3] == 3
     assert {r["doc_id"]: r["n_words"] for r in quality_rules.judge(df.selectExpr("doc_id", "text", "'en' as lang")).collect()}[1] == 400_000
-    hit = decontamination.digest(decontamination.hits(df, spark.createDataFrame([(9, " ".join(long.split()[200_000:200_020]))], "item_id long, text string"))).where("contaminated").collect()
+    hit = decontamination.digest(
+        decontamination.hits(df, spark.createDataFrame([(9, " ".join(long.split()[200_000:200_020]))], "item_id long, text string"))
+    ).where("contaminated").collect()
     assert [(r["doc_id"], r["n_hit"]) for r in hit] == [(1, 20)]
     assert len(line_crf.measure(kernels.Batch.of([long.encode()]))[0]) == 1

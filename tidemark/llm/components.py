@@ -17,14 +17,20 @@ def components(edges: DataFrame) -> DataFrame:
     is no burden.
     """
     both = frames.Saved(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = frames.Saved(both.df.groupBy(F.col("a").alias("nid")).agg(F.min("b").alias("label")).select("nid", F.least("nid", "label").alias("label")))
+    labels = frames.Saved(
+        both.df.groupBy(F.col("a").alias("nid")).agg(F.min("b").alias("label")).select("nid", F.least("nid", "label").alias("label"))
+    )
     while True:
         old = labels.df
-        near = frames.join(both.df, old.withColumnRenamed("nid", "b"), ["b"]).groupBy(F.col("a").alias("nid")).agg(F.min("label").alias("near"))
+        near = frames.join(
+            both.df, old.withColumnRenamed("nid", "b"), ["b"]
+        ).groupBy(F.col("a").alias("nid")).agg(F.min("label").alias("near"))
         least = frames.join(old, near, ["nid"]).select("nid", "label", F.least("label", "near").alias("next"))
         jump = old.select(F.col("nid").alias("next"), F.col("label").alias("jump"))
         to = F.least("next", F.coalesce("jump", "next"))
-        new = frames.Saved(frames.join(least, jump, ["next"], "left").select("nid", to.alias("label"), (to < F.col("label")).alias("moved")))
+        new = frames.Saved(
+            frames.join(least, jump, ["next"], "left").select("nid", to.alias("label"), (to < F.col("label")).alias("moved"))
+        )
         moved = new.df.where("moved").limit(1).count()
         labels.drop()
         labels = new

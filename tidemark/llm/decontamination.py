@@ -83,7 +83,9 @@ class Windows:
         # the items of window g are names[i] for i in item[edges[g]:edges[g + 1]], each once
         ids = sorted({i for i, _ in items})
         number = {x: k for k, x in enumerate(ids)}
-        own = np.unique(np.stack((group, np.array([number[i] for i, _ in items], dtype=np.int64)[item]), axis=1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
+        own = np.unique(
+            np.stack((group, np.array([number[i] for i, _ in items], dtype=np.int64)[item]), axis=1), axis=0
+        ) if len(item) else np.zeros((0, 2), np.int64)
         self.names, self.item, self.edges = ids, own[:, 1].astype(np.int32), np.searchsorted(own[:, 0], np.arange(len(first) + 1))
         self.k = np.minimum(self.length, opt.shingle)
 
@@ -207,7 +209,10 @@ def _probe_block(docs: DataFrame, index: Index) -> DataFrame:
                     starts[i], ends[i] = a.tolist(), e.tolist()
                     items[i] = index.items(w[doc == i])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(n_words), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
+                    [
+                        part.column(0), part.column(2), pa.array(n_words), pa.array(starts, pa.list_(pa.int64())),
+                        pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))
+                    ],
                     names=[c.split()[0] for c in OUT.split(", ")],
                 )
 
@@ -226,22 +231,30 @@ def hits(docs: DataFrame, benchmark: DataFrame, opt: Options = Options()) -> Dat
         one = frames.Saved(_probe_block(docs, _index(docs, block, opt)).where(F.size("items") > 0).dropDuplicates(key)).df
         found = one if found is None else found.unionByName(one)
     found = found.withColumn("doc_id", frames.null_first_id("doc_id"))
-    spans = found.select(*key, "items", F.arrays_zip("hit_starts", "hit_ends").alias("s")).groupBy(*key).agg(F.flatten(F.collect_list("s")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    spans = found.select(*key, "items", F.arrays_zip("hit_starts", "hit_ends").alias("s")).groupBy(*key).agg(
+        F.flatten(F.collect_list("s")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
     merged = F.aggregate(
         F.array_sort("s"),
         F.expr("cast(array() as array<struct<a:bigint,e:bigint>>)"),
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["hit_starts"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["e"], x["hit_ends"]).alias("e")))),
+            F.concat(
+                F.slice(acc, 1, F.size(acc) - 1),
+                F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["e"], x["hit_ends"]).alias("e")))
+            ),
         ).otherwise(F.concat(acc, F.array(F.struct(x["hit_starts"].alias("a"), x["hit_ends"].alias("e"))))),
     )
     spans = spans.select(*key, "items", merged.alias("m"))
-    everyone = _probe_block(docs, Index(w := Windows([], opt), w.shingles(), {})).select("doc_id", F.struct(frames.null_first_id("doc_id").alias("i"), "text_key").alias("k"), "text_key", "n_words")
+    everyone = _probe_block(docs, Index(w := Windows([], opt), w.shingles(), {})).select(
+        "doc_id", F.struct(frames.null_first_id("doc_id").alias("i"), "text_key").alias("k"), "text_key", "n_words"
+    )
     spans = spans.select(F.struct(F.col("doc_id").alias("i"), "text_key").alias("k"), "items", "m")
     none_l, none_s = F.expr("cast(array() as array<bigint>)"), F.expr("cast(array() as array<string>)")
     return everyone.join(spans, "k", "left").select(
         "doc_id", "text_key", "n_words",
-        F.coalesce(F.transform("m", lambda x: x["a"]), none_l).alias("hit_starts"), F.coalesce(F.transform("m", lambda x: x["e"]), none_l).alias("hit_ends"), F.coalesce("items", none_s).alias("items"),
+        F.coalesce(F.transform("m", lambda x: x["a"]), none_l).alias("hit_starts"),
+        F.coalesce(F.transform("m", lambda x: x["e"]), none_l).alias("hit_ends"), F.coalesce("items", none_s).alias("items"),
     )
 
 

@@ -87,7 +87,9 @@ def measure(b: kernels.Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     length = words.end - words.start
     cols.append((np.concatenate(([0], np.cumsum(length)))[hi] - np.concatenate(([0], np.cumsum(length)))[lo]) / np.maximum(hi - lo, 1))
     cols.append(np.log1p(hi - lo))
-    text = kernels.mix(kernels.span_digests(b.buf, begin, end, 73) ^ kernels.mix(np.searchsorted(b.off, begin, side="right").astype(np.uint64)))
+    text = kernels.mix(
+        kernels.span_digests(b.buf, begin, end, 73) ^ kernels.mix(np.searchsorted(b.off, begin, side="right").astype(np.uint64))
+    )
     _, back, count = np.unique(text, return_inverse=True, return_counts=True)
     cols.append((count[back] > 1).astype(float) if n else np.zeros(0))
     return np.stack(cols, axis=1) if n else np.zeros((0, len(cols))), (end - begin).astype(float), first
@@ -103,7 +105,9 @@ class Model:
         self.scale, self.shift, self.prior = 0.0, 0.0, 0.5
 
     def bins(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, k], side="right") for k, e in enumerate(self.edges)], axis=1) if len(x) else np.zeros((0, len(self.edges)), np.int64)
+        return np.stack(
+            [np.searchsorted(e, x[:, k], side="right") for k, e in enumerate(self.edges)], axis=1
+        ) if len(x) else np.zeros((0, len(self.edges)), np.int64)
 
     def unary(self, bins: np.ndarray, first: np.ndarray) -> np.ndarray:
         k = np.arange(bins.shape[1])
@@ -128,7 +132,9 @@ class Model:
         trans = self.stay[None]
         for t in range(longest):
             at = first[:-1][order[: live[t]]] + t
-            alpha[at] = score[at] if t == 0 else score[at] + np.logaddexp(alpha[at - 1, 0, None] + trans[:, 0], alpha[at - 1, 1, None] + trans[:, 1])
+            alpha[at] = score[at] if t == 0 else score[at] + np.logaddexp(
+                alpha[at - 1, 0, None] + trans[:, 0], alpha[at - 1, 1, None] + trans[:, 1]
+            )
         for t in range(longest - 2, -1, -1):
             at = first[:-1][order[: live[t + 1]]] + t
             nxt = score[at + 1] + beta[at + 1]
@@ -182,7 +188,9 @@ def fit(texts: list[bytes], labels: list[int], opt: Options = Options()) -> Mode
     bins = m.bins(x)
     line_y = np.repeat(y, np.diff(first))
     n = np.diff(first)
-    weight = np.repeat(np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) / np.maximum(n, 1), n)  # both labels alike
+    weight = np.repeat(
+        np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) / np.maximum(n, 1), n
+    )  # both labels alike
     inner = np.ones(len(x), dtype=bool)
     inner[first[:-1][n > 0]] = False
     last = np.append(inner[1:], False)  # has a line after it

@@ -132,11 +132,18 @@ def _sketch(docs: DataFrame, opt: Options) -> DataFrame:
             for part, b in kernels.chunks(rb, "text"):
                 values, first = distinct_shingles(b, opt.shingle)
                 n = np.diff(first)
-                sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(kernels.mix(values ^ np.uint64(s)), dtype=np.uint64))) for s in (0x51ED270B, 0xA5A5F00D1)]
+                sums = [
+                    np.concatenate(
+                        (np.zeros(1, np.uint64), np.cumsum(kernels.mix(values ^ np.uint64(s)), dtype=np.uint64))
+                    ) for s in (0x51ED270B, 0xA5A5F00D1)
+                ]
                 names = np.stack([kernels.mix(c[first[1:]] - c[first[:-1]] + n.astype(np.uint64)) for c in sums], axis=1)
                 regs = sketches(values, first, opt)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([r.tobytes() for r in names], pa.binary()), pa.array(n), pa.array([r.tobytes() for r in regs], pa.binary())],
+                    [
+                        part.column(0), part.column(1), pa.array([r.tobytes() for r in names], pa.binary()), pa.array(n),
+                        pa.array([r.tobytes() for r in regs], pa.binary())
+                    ],
                     names=["doc_id", "text_key", "node", "n", "sketch"],
                 )
 
@@ -146,7 +153,10 @@ def _sketch(docs: DataFrame, opt: Options) -> DataFrame:
 def _bands(nodes: DataFrame, opt: Options, keep: frames.Scratch) -> DataFrame:
     """(key, nid, centre) of every band that several nodes share."""
     width = 2 * opt.band
-    keys = F.transform(F.sequence(F.lit(0), F.lit(opt.registers // opt.band - 1)), lambda i: F.struct(i.alias("i"), F.substring("sketch", i * width + 1, F.lit(width)).alias("k")))
+    keys = F.transform(
+        F.sequence(F.lit(0), F.lit(opt.registers // opt.band - 1)),
+        lambda i: F.struct(i.alias("i"), F.substring("sketch", i * width + 1, F.lit(width)).alias("k"))
+    )
     used = F.filter(keys, lambda x: x["k"] != F.lit(bytes(width)))
     every = nodes.select("nid", F.explode(F.transform(used, lambda x: F.xxhash64(x["i"], x["k"]))).alias("key"))
     sizes = every.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -158,7 +168,9 @@ def _bands(nodes: DataFrame, opt: Options, keep: frames.Scratch) -> DataFrame:
 def _star_pairs(bands: DataFrame, nodes: DataFrame, opt: Options) -> DataFrame:
     """(nid, pivot, centre) of nodes and the most central node of one of their bands whose sketches allow a link; centre is the pivot's."""
     pivots = bands.groupBy("key").agg(F.max(F.struct("centre", "nid")).alias("p"))
-    pairs = frames.join(bands, pivots, ["key"]).where("nid <> p.nid").select("nid", F.col("p.nid").alias("pivot"), F.col("p.centre").alias("centre")).distinct()
+    pairs = frames.join(bands, pivots, ["key"]).where("nid <> p.nid").select(
+        "nid", F.col("p.nid").alias("pivot"), F.col("p.centre").alias("centre")
+    ).distinct()
     a = nodes.select("nid", F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     b = nodes.select(F.col("nid").alias("pivot"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
 
@@ -185,14 +197,23 @@ def _meetings(members: DataFrame, by: str, block: Column, opt: Options) -> DataF
     their own, which only meet the blocks of the others. `block` is the number of blocks that a count of members and their size take.
     """
     labels = members.groupBy(by, "label").agg(F.count("*").alias("m"), F.sum("weight").alias("w"))
-    major = labels.groupBy(by).agg(F.max(F.struct("m", "label", "w")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w")).where("top.m < m")
-    blocks = major.select(by, F.col("top.label").alias("major"), block(F.col("m") - F.col("top.m"), F.col("w") - F.col("top.w")).alias("minors"), block(F.col("top.m"), F.col("top.w")).alias("majors"))
+    major = labels.groupBy(by).agg(
+        F.max(F.struct("m", "label", "w")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w")
+    ).where("top.m < m")
+    blocks = major.select(
+        by, F.col("top.label").alias("major"), block(F.col("m") - F.col("top.m"), F.col("w") - F.col("top.w")).alias("minors"),
+        block(F.col("top.m"), F.col("top.w")).alias("majors")
+    )
     rows = frames.join(members, blocks, [by])
     is_major = F.col("label") == F.col("major")
-    mine = F.when(is_major, F.col("minors") + F.pmod(F.xxhash64("nid"), "majors")).otherwise(F.pmod(F.xxhash64("nid"), "minors")).cast("int")
+    mine = F.when(
+        is_major, F.col("minors") + F.pmod(F.xxhash64("nid"), "majors")
+    ).otherwise(F.pmod(F.xxhash64("nid"), "minors")).cast("int")
     last = F.when(is_major, F.col("minors") - 1).otherwise(F.col("minors") + F.col("majors") - 1).cast("int")
     meets = F.transform(F.sequence(F.lit(0), last), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    return rows.select(by, "nid", "label", mine.alias("mine"), F.explode(meets).alias("at")).select(by, F.col("at.i").alias("i"), F.col("at.j").alias("j"), "mine", "nid", "label")
+    return rows.select(by, "nid", "label", mine.alias("mine"), F.explode(meets).alias("at")).select(
+        by, F.col("at.i").alias("i"), F.col("at.j").alias("j"), "mine", "nid", "label"
+    )
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -260,7 +281,9 @@ def _alike(rows: DataFrame, nodes: DataFrame, opt: Options) -> DataFrame:
             group = np.repeat(np.arange(len(begin)), end - begin)
             of = union_find.classes(np.arange(len(label)), *_same(group, label))
             for x, y in _pairs_in(begin, end, 1 << 14):
-                some = (of[x] != of[y]) & ((i[x] == j[x]) | (mine[x] != mine[y])) & (100 * np.minimum(n[x], n[y]) >= opt.percent * np.maximum(n[x], n[y]))
+                some = (of[x] != of[y]) & ((i[x] == j[x]) | (mine[x] != mine[y])) & (
+                    100 * np.minimum(n[x], n[y]) >= opt.percent * np.maximum(n[x], n[y])
+                )
                 x, y = x[some], y[some]
                 if len(x):
                     able = estimated(s[x], s[y], n[x], n[y], opt)[1]
@@ -376,7 +399,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, opt: Options) -> DataFrame:
 def _packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
     off = first * 8
     kind = pa.large_binary() if off[-1] >= 1 << 31 else pa.binary()
-    return pa.Array.from_buffers(kind, len(first) - 1, [None, pa.py_buffer(off.astype(np.int64 if kind == pa.large_binary() else np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+    return pa.Array.from_buffers(
+        kind, len(first) - 1,
+        [None, pa.py_buffer(off.astype(np.int64 if kind == pa.large_binary() else np.int32)), pa.py_buffer(np.ascontiguousarray(values))]
+    )
 
 
 NO_ID = -(2**63)
@@ -387,7 +413,9 @@ def groups(docs: DataFrame, opt: Options = Options()) -> frames.Saved:
 
     `first` marks the rows of the one (doc_id, text_key) that stands for its group: its smallest doc_id, known ones before null, then the smallest text_key.
     """
-    docs = docs.select(frames.null_first_id("doc_id").alias("doc_id"), frames.text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(
+        frames.null_first_id("doc_id").alias("doc_id"), frames.text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text")
+    )
     with frames.Scratch() as keep:
         return _groups(docs, opt, keep)
 
@@ -396,7 +424,11 @@ def _groups(docs: DataFrame, opt: Options, keep: frames.Scratch) -> frames.Saved
     rows = keep(_sketch(docs, opt))
     known = F.when(F.col("doc_id") == F.lit(NO_ID), None).otherwise(F.col("doc_id"))
     least = F.min(F.struct(known.isNull().alias("none"), "doc_id", "text_key", "n", "sketch")).alias("r")
-    nodes = keep(rows.where("n > 0").groupBy("node").agg(least).select("node", F.monotonically_increasing_id().alias("nid"), "r.none", F.col("r.doc_id").alias("doc"), "r.text_key", "r.n", "r.sketch"))
+    nodes = keep(
+        rows.where("n > 0").groupBy("node").agg(least).select(
+            "node", F.monotonically_increasing_id().alias("nid"), "r.none", F.col("r.doc_id").alias("doc"), "r.text_key", "r.n", "r.sketch"
+        )
+    )
     bands = _bands(nodes, opt, keep)
 
     best = _star_pairs(bands, nodes, opt).groupBy("nid").agg(F.max(F.struct("centre", "pivot")).alias("p"))
@@ -412,8 +444,13 @@ def _groups(docs: DataFrame, opt: Options, keep: frames.Scratch) -> frames.Saved
     wanted = frames.join(nodes, loose, ["nid"], "left_semi")
     sets = keep(_sets(docs, wanted.select("nid", "doc", "text_key"), opt).dropDuplicates(["nid"]))
     parts = stars.groupBy("pivot").agg(F.ceil(F.count("*") / opt.block).cast("int").alias("parts"))
-    spread = frames.join(stars, parts, ["pivot"]).select(F.col("pivot").alias("key"), F.lit(0).alias("i"), (1 + F.pmod(F.xxhash64("nid"), "parts")).cast("int").alias("j"), "nid")
-    centres = parts.select(F.col("pivot").alias("key"), F.lit(0).alias("i"), F.explode(F.sequence(F.lit(1), "parts")).alias("j"), F.lit(0).alias("mine"), F.col("pivot").alias("nid"))
+    spread = frames.join(stars, parts, ["pivot"]).select(
+        F.col("pivot").alias("key"), F.lit(0).alias("i"), (1 + F.pmod(F.xxhash64("nid"), "parts")).cast("int").alias("j"), "nid"
+    )
+    centres = parts.select(
+        F.col("pivot").alias("key"), F.lit(0).alias("i"), F.explode(F.sequence(F.lit(1), "parts")).alias("j"), F.lit(0).alias("mine"),
+        F.col("pivot").alias("nid")
+    )
     star_rows = spread.select("key", "i", "j", F.col("j").alias("mine"), "nid").unionByName(centres).withColumn("label", F.col("nid"))
     links = keep(_verified(star_rows, sets, "key", opt))
     tight = components(links)
@@ -425,12 +462,18 @@ def _groups(docs: DataFrame, opt: Options, keep: frames.Scratch) -> frames.Saved
     more = keep(_verified(meetings, sets, "loose", opt))
     labels = components(links.union(more)) if more.limit(1).count() else tight
 
-    owner = keep(frames.join(nodes, labels, ["nid"], "left").select("node", "none", "doc", "text_key", F.coalesce("label", "nid").alias("label")))
+    owner = keep(
+        frames.join(nodes, labels, ["nid"], "left").select("node", "none", "doc", "text_key", F.coalesce("label", "nid").alias("label"))
+    )
     named = owner.groupBy("label").agg(F.min(F.struct("none", "doc", "text_key")).alias("r"))
     by_node = frames.join(owner, named, ["label"]).select("node", "r")
     stands = F.coalesce((F.col("doc_id") == F.col("r.doc")) & (F.col("text_key") == F.col("r.text_key")), F.lit(True))
     group = F.when(F.col("n") == 0, known).when(~F.col("r.none"), F.col("r.doc"))
-    return frames.Saved(frames.join(rows, by_node, ["node"], "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), group.alias("component_id"), stands.alias("first")))
+    return frames.Saved(
+        frames.join(rows, by_node, ["node"], "left").select(
+            "doc_id", "text_key", F.col("n").alias("n_shingles"), group.alias("component_id"), stands.alias("first")
+        )
+    )
 
 
 def _id() -> Column:
@@ -448,4 +491,7 @@ def keep_one(docs: DataFrame, opt: Options, columns: tuple[str, ...]) -> DataFra
 def query(spark, sf_dir: str) -> DataFrame:
     found = groups(frames.pick(frames.table(spark, sf_dir, "documents"), doc_id="long", text="string"), Options(shingle=2)).df
     doc = _id()
-    return found.select(doc.alias("doc_id"), "n_shingles", "component_id", F.coalesce(doc == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    return found.select(
+        doc.alias("doc_id"), "n_shingles", "component_id",
+        F.coalesce(doc == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
+    )

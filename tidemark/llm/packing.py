@@ -97,7 +97,9 @@ class Tree:
     def of(cls, rb: pa.RecordBatch) -> Tree:
         node, left, is_left = (rb.column(c).to_pylist() for c in ("node", "left", "is_left"))
         deep = max(map(len, node), default=0)
-        pad = lambda rows, fill: np.array([x + [fill] * (deep - len(x)) for x in rows]).reshape(len(rows), deep)  # noqa: E731  a node that is all left passes ids on as they are
+        pad = lambda rows, fill: np.array(
+            [x + [fill] * (deep - len(x)) for x in rows]
+        ).reshape(len(rows), deep)  # noqa: E731  a node that is all left passes ids on as they are
         return cls(pad(node, 1).astype(np.int64), pad(left, 1).astype(np.int64), pad(is_left, True).astype(bool))
 
     @staticmethod
@@ -141,15 +143,29 @@ def tokenise(docs: DataFrame, tokenizer_path: str, opt: Options) -> frames.Saved
         for rb in batches:
             for begin in range(0, rb.num_rows, 512):
                 piece = rb.slice(begin, 512)
-                ids = [(np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() if width == 2 else x) + end for x in enc.encode(piece.column(2).to_pylist())]
+                ids = [
+                    (
+                        np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() if width == 2 else x
+                    ) + end for x in enc.encode(piece.column(2).to_pylist())
+                ]
                 starts = []
                 for q, x in zip(piece.column(1).to_pylist(), ids, strict=True):
                     starts.append(at.get(q, 0))
                     at[q] = at.get(q, 0) + len(x) // width
                 counts = pa.array([len(x) // width for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int64()), piece.column(0), piece.column(1), pa.array(starts, pa.int64()), counts, pa.array(ids, pa.binary())], names=["part", "doc_id", "queue", "local_start", "n_tokens", "ids"])
-
-    return frames.Saved(docs.select("doc_id", _queue().alias("queue"), "text").mapInArrow(run, "part long, doc_id long, queue string, local_start long, n_tokens long, ids binary"))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([part] * len(ids), pa.int64()), piece.column(0), piece.column(1), pa.array(starts, pa.int64()), counts,
+                        pa.array(ids, pa.binary())
+                    ],
+                    names=["part", "doc_id", "queue", "local_start", "n_tokens", "ids"]
+                )
+
+    return frames.Saved(
+        docs.select("doc_id", _queue().alias("queue"), "text").mapInArrow(
+            run, "part long, doc_id long, queue string, local_start long, n_tokens long, ids binary"
+        )
+    )
 
 
 def _queue() -> Column:
@@ -178,14 +194,22 @@ def pack(docs: DataFrame, tokenizer_path: str, opt: Options) -> DataFrame:
     spark = docs.sparkSession
     saved = tokenise(docs, tokenizer_path, opt).df
     by_part = saved.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n"))
-    starts = frames.Saved(by_part.select("queue", "part", "n", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("part_start"))).df
+    starts = frames.Saved(
+        by_part.select(
+            "queue", "part", "n", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("part_start")
+        )
+    ).df
     sources = starts.groupBy("queue").agg(F.sum("n").alias("n"))
     few = sources.limit(opt.max_queues + 1).count() <= opt.max_queues
     weights = {f"s={k}": v for k, v in opt.weights}
     if not few:
         hashed = F.concat(F.lit("h="), F.pmod(F.xxhash64("queue"), F.lit(opt.max_queues)).cast("string"))
-        sources = frames.Saved(sources.withColumn("grp", F.when(F.col("queue").isin(*weights), F.col("queue")).otherwise(hashed) if weights else hashed)).df
-    totals = {r["grp"]: r["n"] for r in sources.groupBy(F.col("queue" if few else "grp").alias("grp")).agg(F.sum("n").alias("n")).collect()}  # max_queues rows and one for each weight at most
+        sources = frames.Saved(
+            sources.withColumn("grp", F.when(F.col("queue").isin(*weights), F.col("queue")).otherwise(hashed) if weights else hashed)
+        ).df
+    totals = {
+        r["grp"]: r["n"] for r in sources.groupBy(F.col("queue" if few else "grp").alias("grp")).agg(F.sum("n").alias("n")).collect()
+    }  # max_queues rows and one for each weight at most
     names = sorted(totals)
     all_tokens = max(1, sum(totals.values()))
     plan = Schedule([totals[q] for q in names], [weights.get(q, totals[q] / all_tokens) for q in names], opt.length)
@@ -236,21 +260,32 @@ def _cut(rb: pa.RecordBatch, plan: Schedule, index: dict[str, int]) -> Iterator[
         offset = before + start - low
         some = stop > start
         r, start, stop, offset, ww = r[some], (start - begin[r])[some], (stop - begin[r])[some], offset[some], ww[some]
-        pieces = [np.frombuffer(ids[i], f"<u{width}", b - a, a * width).astype("<u4").tobytes() for i, a, b in zip(r.tolist(), start.tolist(), stop.tolist(), strict=True)]
+        pieces = [
+            np.frombuffer(ids[i], f"<u{width}", b - a, a * width).astype("<u4").tobytes() for i, a,
+            b in zip(r.tolist(), start.tolist(), stop.tolist(), strict=True)
+        ]
         take = pa.array(r)
         yield pa.RecordBatch.from_arrays(
-            [rb.column(0).take(take), pa.array(start), pa.array(stop - start), rb.column(4).take(take), source.take(take), pa.array(ww), pa.array(offset), pa.array(pieces, pa.binary())],
+            [
+                rb.column(0).take(take), pa.array(start), pa.array(stop - start), rb.column(4).take(take), source.take(take), pa.array(ww),
+                pa.array(offset), pa.array(pieces, pa.binary())
+            ],
             names=[c.split()[0] for c in OUT.split(", ")],
         )
 
 
 def sequences(pieces: DataFrame, length: int = 1024, pad_id: int = 0) -> DataFrame:
     """The packed sequences: ids, and the pad ids that follow them where the length is no power of two."""
-    whole = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", F.hex("ids").alias("hex")))).alias("p"))
+    whole = pieces.groupBy("sequence_id").agg(
+        F.array_sort(F.collect_list(F.struct("offset", "length", F.hex("ids").alias("hex")))).alias("p")
+    )
     ids = F.unhex(F.array_join(F.transform("p", lambda x: x["hex"]), ""))
     n = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["length"])
     power = n.bitwiseAND(n - 1) == 0
-    return whole.select("sequence_id", ids.alias("ids"), n.alias("n_tokens"), F.when(power, 0).otherwise(length - n).cast("int").alias("n_pad"), F.lit(pad_id).alias("pad_id"))
+    return whole.select(
+        "sequence_id", ids.alias("ids"), n.alias("n_tokens"), F.when(power, 0).otherwise(length - n).cast("int").alias("n_pad"),
+        F.lit(pad_id).alias("pad_id")
+    )
 
 
 DOCUMENT = {"doc_id": "long", "text": "string", "source": "string"}

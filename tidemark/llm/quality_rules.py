@@ -126,7 +126,8 @@ def measure(b: kernels.Batch, min_words: int, max_repeat_percent: int) -> dict[s
     width = len(known) + 1
     hist = np.bincount(word_doc * width + bins, minlength=n * width).reshape(n, width)
     return {
-        "n_words": n_words, "word_chars": per_doc(chars[b.buf]), "n_symbols": per_doc(symbols[b.buf]), "n_dup_lines": n_dup, "n_repeat_words": repeat,
+        "n_words": n_words, "word_chars": per_doc(chars[b.buf]), "n_symbols": per_doc(symbols[b.buf]), "n_dup_lines": n_dup,
+        "n_repeat_words": repeat,
         "base_failed": (n_words < min_words) | (100 * repeat > max_repeat_percent * n_words), "classes": classes, "words": hist,
     }
 
@@ -151,7 +152,9 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where((total[:, 0] > 0) & (q.sum(1) > 0), d, 0.0)
 
 
-def distances(classes: np.ndarray, words: np.ndarray, ref_c: np.ndarray, ref_w: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distances(
+    classes: np.ndarray, words: np.ndarray, ref_c: np.ndarray, ref_w: np.ndarray, lang: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """Both distances to the document's language, or to an even mixture of it with another one where that is nearer.
 
     The mixtures stand for documents that change language half-way.
@@ -188,7 +191,9 @@ def references(docs: DataFrame, limits: Limits = LIMITS) -> tuple[np.ndarray, np
         where = np.argwhere(acc > 0)
         yield pa.RecordBatch.from_arrays([pa.array(where[:, 0]), pa.array(where[:, 1]), pa.array(acc[acc > 0])], names=["lang", "bin", "n"])
 
-    rows = docs.select("text", "lang").mapInArrow(sums, "lang long, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text", "lang").mapInArrow(
+        sums, "lang long, bin long, n long"
+    ).groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
     ref = np.zeros((n_lang, 8 + width), dtype=np.int64)
     for r in rows:
         ref[r["lang"], r["bin"]] = r["n"]
@@ -218,8 +223,14 @@ def judge(docs: DataFrame, limits: Limits = LIMITS, keep: str = "") -> DataFrame
                 if keep:
                     yield part.filter(pa.array(kept))
                     continue
-                cols = [part.column(0), *(pa.array(m[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(m["base_failed"]), pa.array(dc), pa.array(dw), pa.array(kept)], names=[c.split()[0] for c in OUT.split(", ")])
+                cols = [
+                    part.column(0),
+                    *(pa.array(m[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [*cols, pa.array(m["base_failed"]), pa.array(dc), pa.array(dw), pa.array(kept)],
+                    names=[c.split()[0] for c in OUT.split(", ")]
+                )
 
     return docs.mapInArrow(run, keep or OUT)
 

@@ -62,7 +62,9 @@ def _header(part: pa.RecordBatch, words: kernels.Words) -> bytes:
 
 def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "payload" else pa.int64()) for c, n in zip(cols, names, strict=True)], names=names)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, pa.binary() if n == "payload" else pa.int64()) for c, n in zip(cols, names, strict=True)], names=names
+    )
 
 
 def _send_anchors(opt: Options, n_buckets: int):
@@ -96,11 +98,21 @@ def _send_anchors(opt: Options, n_buckets: int):
                 send[first] = True
                 send = np.flatnonzero(send)
                 number = numbers.number()
-                rows = [(-1 - number % n_buckets, number, _header(part, words)), (-1 - number % n_buckets, number, routing.join(b"L", routing.squeeze(routing.places(at[here]))))]
+                rows = [
+                    (-1 - number % n_buckets, number, _header(part, words)),
+                    (-1 - number % n_buckets, number, routing.join(b"L", routing.squeeze(routing.places(at[here]))))
+                ]
                 for bucket, i in routing.by_bucket(routing.bucket_of(d[send], n_buckets), n_buckets):
                     i = send[i]
                     flags = block[i].astype(np.uint8) + 2 * here[i].astype(np.uint8)
-                    rows.append((bucket, number, routing.join(b"E", routing.squeeze(routing.places(at[i])), d[i].astype(np.uint32).tobytes(), routing.squeeze(flags))))
+                    rows.append(
+                        (
+                            bucket, number,
+                            routing.join(
+                                b"E", routing.squeeze(routing.places(at[i])), d[i].astype(np.uint32).tobytes(), routing.squeeze(flags)
+                            )
+                        )
+                    )
                 yield _rows(rows, ["bucket", "batch", "payload"])
 
     return run
@@ -208,12 +220,23 @@ def _send_windows(opt: Options, n_buckets: int):
                 gone[order] = rank[order] > least
                 send = np.flatnonzero(~gone)
                 number = numbers.number()
-                rows = [(-1 - number % n_buckets, number, _header(part, words)), (-1 - number % n_buckets, number, routing.join(b"L", routing.squeeze(routing.places(at[gone]))))]
+                rows = [
+                    (-1 - number % n_buckets, number, _header(part, words)),
+                    (-1 - number % n_buckets, number, routing.join(b"L", routing.squeeze(routing.places(at[gone]))))
+                ]
                 for bucket, i in routing.by_bucket(routing.bucket_of(x[send], n_buckets), n_buckets):
                     i = send[i]
                     of, first, n = np.unique(rank[i], return_inverse=True, return_counts=True)
                     del n
-                    rows.append((bucket, number, routing.join(b"E", routing.squeeze(routing.places(at[i])), x[i].astype(np.uint32).tobytes(), y[i].tobytes(), of.tobytes(), routing.squeeze(first.astype(np.uint32)))))
+                    rows.append(
+                        (
+                            bucket, number,
+                            routing.join(
+                                b"E", routing.squeeze(routing.places(at[i])), x[i].astype(np.uint32).tobytes(), y[i].tobytes(),
+                                of.tobytes(), routing.squeeze(first.astype(np.uint32))
+                            )
+                        )
+                    )
                 yield _rows(rows, ["bucket", "batch", "payload"])
 
     return run
@@ -252,11 +275,15 @@ def _round(docs: DataFrame, send, meet, before: int) -> frames.Saved:
 
 def repeats(docs: DataFrame, opt: Options = Options()) -> frames.Saved:
     """Saved table (id, text_key, starts, ends): runs of window starts that a smaller doc_id also has."""
-    docs = docs.select(frames.null_first_id("doc_id").alias("id"), frames.text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(
+        frames.null_first_id("doc_id").alias("id"), frames.text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text")
+    )
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     anchors = _round(docs, _send_anchors(opt, routing.buckets_for(size)), _meet_anchors, opt.window - opt.block)
     near = docs.join(anchors.df.hint("merge"), ["id", "text_key"])
-    marked = anchors.df.agg(F.sum(F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first()["n"] or 0
+    marked = anchors.df.agg(
+        F.sum(F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")
+    ).first()["n"] or 0
     out = _round(near, _send_windows(opt, routing.buckets_for(8 * marked)), _meet_windows, 0)
     anchors.drop()
     return out
@@ -270,7 +297,9 @@ def strip(docs: DataFrame, opt: Options = Options(), columns: tuple[str, ...] =
     found = repeats(docs, opt).df.withColumnsRenamed({"id": "_id", "text_key": "_key"})
     left = docs.select(*columns, frames.null_first_id("doc_id").alias("_id"), frames.text_key().alias("_key"))
     joined = left.join(found.hint("merge"), ["_id", "_key"], "left").select(*columns, "starts", "ends")
-    schema = ", ".join(f"{c} {t}" for c, t in joined.select(*columns).dtypes) + ", n_words long, removed_starts array<int>, removed_ends array<int>"
+    schema = ", ".join(
+        f"{c} {t}" for c, t in joined.select(*columns).dtypes
+    ) + ", n_words long, removed_starts array<int>, removed_ends array<int>"
     at_text, window = columns.index("text"), opt.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +322,9 @@ def strip(docs: DataFrame, opt: Options = Options(), columns: tuple[str, ...] =
                     a, e = kernels.runs(gone[lo:hi])
                     starts[i], ends[i] = a.tolist(), e.tolist()
                     a, e = kernels.runs(~gone[lo:hi])
-                    kept = [b.buf[words.start[lo + p] : words.end[lo + q - 1]].tobytes() for p, q in zip(a.tolist(), e.tolist(), strict=True)]
+                    kept = [
+                        b.buf[words.start[lo + p] : words.end[lo + q - 1]].tobytes() for p, q in zip(a.tolist(), e.tolist(), strict=True)
+                    ]
                     texts[i] = b" ".join(b" ".join(kept).split())
                 text = pa.array([t.decode() if isinstance(t, bytes) else t for t in texts], pa.string())
                 cols = [text if k == at_text else part.column(k) for k in range(len(columns))]

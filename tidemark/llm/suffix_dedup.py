@@ -100,14 +100,19 @@ def _context_rows(texts: DataFrame, opt: Options, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             ids, keys = (rb.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            origin, weight = (rb.column(k).to_numpy().astype(np.int64) for k in (3, 4)) if inner else (np.zeros(rb.num_rows, np.int64), np.ones(rb.num_rows, np.int64))
+            origin, weight = (rb.column(k).to_numpy().astype(np.int64) for k in (3, 4)) if inner else (
+                np.zeros(rb.num_rows, np.int64), np.ones(rb.num_rows, np.int64)
+            )
             for rows, base, b in kernels.pieces(rb, "text", opt.length - 1):
                 first, last, cell, within = contexts(b, opt.length, gram)
                 x, y = (kernels.spans(kernels.prefix(b.buf, kernels.byte_table(s)), first, last + opt.length) for s in (63, 67))
                 doc = np.searchsorted(b.off, first, side="right") - 1
                 row = rows[doc]
                 shift = base[doc] + origin[row] - b.off[doc]
-                cols = [*(v.view(np.int64) for v in (cell, x, y)), ids[row], keys[row], *((v + shift).astype(np.int32) for v in (first, last)), within, weight[row]]
+                cols = [
+                    *(v.view(np.int64) for v in (cell, x, y)), ids[row], keys[row], *((v + shift).astype(np.int32) for v in (first, last)),
+                    within, weight[row]
+                ]
                 out = [pa.array(v) for v in cols]
                 if inner:
                     out.append(_slices(b.buf, first, last + opt.length))
@@ -159,7 +164,9 @@ class _Shard:
         self.gone = np.zeros(len(text), dtype=bool)
         self.gone[sa[hit]] = True
         self.gone[sa[hit - 1]] = True
-        self.gone &= kernels.cover(len(text), begin, end - begin - length + 1)  # suffixes that start no whole string may agree beyond their text's end
+        self.gone &= kernels.cover(
+            len(text), begin, end - begin - length + 1
+        )  # suffixes that start no whole string may agree beyond their text's end
         self.sa, self.end, self.length = sa, end, length
 
     def strings(self, some: np.ndarray) -> np.ndarray:
@@ -219,7 +226,12 @@ def _lost(lo: int, s: _Shard, t: pa.Table, alone: np.ndarray) -> pa.Table:
     a, e, row = a[some], e[some], row[some]
     at = pa.array(lo + row)
     first = t.column("first").to_numpy()[lo + row] - s.begin[row]
-    return pa.table({"doc_id": t.column("doc_id").take(at), "text_key": t.column("text_key").take(at), "first": pa.array((first + a).astype(np.int32)), "last": pa.array((first + e - 1).astype(np.int32))})
+    return pa.table(
+        {
+            "doc_id": t.column("doc_id").take(at), "text_key": t.column("text_key").take(at),
+            "first": pa.array((first + a).astype(np.int32)), "last": pa.array((first + e - 1).astype(np.int32))
+        }
+    )
 
 
 def _cut_texts(docs: DataFrame, rows: DataFrame, opt: Options) -> DataFrame:
@@ -239,7 +251,10 @@ def _cut_texts(docs: DataFrame, rows: DataFrame, opt: Options) -> DataFrame:
                 to = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + kernels.CHUNK_BYTES, side="right")))
                 own = of[begin:to]
                 text = _slices(whole.buf, lo[begin:to], lo[begin:to] + size[begin:to])
-                cols = [*(flat.field(k).slice(begin, to - begin) for k in (2, 3, 4)), pa.array(ids[own]), pa.array(keys[own]), pa.array(first[begin:to].astype(np.int32)), text]
+                cols = [
+                    *(flat.field(k).slice(begin, to - begin) for k in (2, 3, 4)), pa.array(ids[own]), pa.array(keys[own]),
+                    pa.array(first[begin:to].astype(np.int32)), text
+                ]
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in CUT.split(", ")])
                 begin = to
 
@@ -250,7 +265,9 @@ def _cut_texts(docs: DataFrame, rows: DataFrame, opt: Options) -> DataFrame:
 
 def repeats(docs: DataFrame, opt: Options = Options()) -> frames.Saved:
     """Saved table (doc_id, text_key, at): ranges [first, last] of starts of strings that also start elsewhere. doc_id null is the least long."""
-    docs = docs.select(frames.null_first_id("doc_id").alias("doc_id"), frames.text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(
+        frames.null_first_id("doc_id").alias("doc_id"), frames.text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text")
+    )
     with frames.Scratch() as keep:
         return frames.Saved(_by_doc(_found(docs.where(F.octet_length("text") >= opt.length), opt, keep)))
 
@@ -262,7 +279,13 @@ def _found(long: DataFrame, opt: Options, keep: frames.Scratch) -> DataFrame:
         firsts = (F.first(c).alias(c) for c in (*at, "last", "within"))  # all from one row
         known = keep(rows.groupBy("cell", "x", "y").agg((F.sum("weight") == 1).alias("alone"), *firsts))
         cells = known.groupBy("cell").agg(F.count("*").alias("size"), F.max("alone").alias("some"), F.max("within").alias("within"))
-        found.append(keep(frames.join(rows.where("weight = 1"), known.where("not alone").select("cell", "x", "y"), ["cell", "x", "y"], "left_semi").select(*at, "last")))
+        found.append(
+            keep(
+                frames.join(
+                    rows.where("weight = 1"), known.where("not alone").select("cell", "x", "y"), ["cell", "x", "y"], "left_semi"
+                ).select(*at, "last")
+            )
+        )
         mixed = cells.where("some and (size > 1 or within)").select("cell", "size")
         todo = keep(frames.join(known, mixed, ["cell"]).select("cell", *at, "last", "alone", "size"))
         if level == 0:
@@ -279,7 +302,11 @@ def _found(long: DataFrame, opt: Options, keep: frames.Scratch) -> DataFrame:
             break
         level += 1
         weight = F.when(F.col("alone"), 1).otherwise(2).cast("long")
-        rows = keep(_context_rows(large.select("doc_id", "text_key", "text", F.col("first").alias("base"), weight.alias("weight")), opt, opt.grams()[level]))
+        rows = keep(
+            _context_rows(
+                large.select("doc_id", "text_key", "text", F.col("first").alias("base"), weight.alias("weight")), opt, opt.grams()[level]
+            )
+        )
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
@@ -292,7 +319,9 @@ OUT = "n_bytes long, removed_starts array<long>, removed_ends array<long>, kept
 def strip(docs: DataFrame, opt: Options = Options()) -> DataFrame:
     """doc_id, n_bytes, the removed runs [removed_starts, removed_ends) and the bytes that are left."""
     at = repeats(docs, opt).df.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    left = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), frames.null_first_id("doc_id").alias("_id"), frames.text_key().alias("_key"))
+    left = docs.select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), frames.null_first_id("doc_id").alias("_id"), frames.text_key().alias("_key")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -309,9 +338,14 @@ def strip(docs: DataFrame, opt: Options = Options()) -> DataFrame:
                 lists = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=b.n)))).astype(np.int32)
                 left = b.buf[~gone]
                 off = np.concatenate(([0], np.cumsum(~gone)))[b.off] if len(gone) else b.off
-                kept = pa.Array.from_buffers(pa.binary(), b.n, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(left))])
+                kept = pa.Array.from_buffers(
+                    pa.binary(), b.n, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(left))]
+                )
                 starts, ends = (pa.ListArray.from_arrays(pa.array(lists), pa.array(v - b.off[doc])) for v in (a, e))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(b.off)), starts, ends, kept], names=["doc_id", "n_bytes", "removed_starts", "removed_ends", "kept"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.diff(b.off)), starts, ends, kept],
+                    names=["doc_id", "n_bytes", "removed_starts", "removed_ends", "kept"]
+                )
 
     return frames.join(left, at, ["_id", "_key"], "left").select("doc_id", "text", "at").mapInArrow(run, f"doc_id long, {OUT}")
 
@@ -319,4 +353,7 @@ def strip(docs: DataFrame, opt: Options = Options()) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     out = strip(frames.pick(frames.table(spark, sf_dir, "documents"), doc_id="long", text="string"))
     n = F.aggregate(F.zip_with("removed_ends", "removed_starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.select("doc_id", "n_bytes", n.alias("n_removed"), F.size("removed_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(
+        "doc_id", "n_bytes", n.alias("n_removed"), F.size("removed_starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256")
+    )

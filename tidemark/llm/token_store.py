@@ -139,10 +139,16 @@ def write(docs: DataFrame, tokenizer_path: str, fmt: Format) -> tuple[frames.Sav
         def flush() -> pa.RecordBatch:
             n = state["bytes"] // width
             first, last = (NO_ID if held[k][0] is None else held[k][0] for k in (0, -1))
-            row = [part, state["file"], state["start"], len(held), n, first, last, pack_file([h[0] for h in held], [h[1] for h in held], width, dictionary, level)]
+            row = [
+                part, state["file"], state["start"], len(held), n, first, last,
+                pack_file([h[0] for h in held], [h[1] for h in held], width, dictionary, level)
+            ]
             state.update(file=state["file"] + 1, start=state["start"] + n, bytes=0)
             held.clear()
-            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in row[:7]), pa.array([row[7]], pa.binary())], names=[c.split()[0] for c in FILES.split(", ")])
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array([x], pa.int64()) for x in row[:7]), pa.array([row[7]], pa.binary())],
+                names=[c.split()[0] for c in FILES.split(", ")]
+            )
 
         for rb in batches:
             for at in range(0, rb.num_rows, 256):
@@ -201,7 +207,9 @@ def fetch(files: DataFrame, dictionary: bytes, doc_ids: list[int | None]) -> Dat
                 f = TokenFile(content, dictionary)
                 at = [(k, i) for k in keys for i in f.find(k)]
                 docs = pa.array([None if k == NO_ID else k for k, _ in at], pa.int64())
-                yield pa.RecordBatch.from_arrays([docs, pa.array([f.ids(i).astype("<u4").tobytes() for _, i in at], pa.binary())], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [docs, pa.array([f.ids(i).astype("<u4").tobytes() for _, i in at], pa.binary())], names=["doc_id", "ids"]
+                )
 
     return files.where(wanted).select("content").mapInArrow(run, "doc_id long, ids binary")
 

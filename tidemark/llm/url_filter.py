@@ -46,7 +46,10 @@ class Options:
 
 
 #: Fixed values of the query's contract: host and path, and what the rule says.
-RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+RULES = (
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+    ("net", "/fr/", "block")
+)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -61,15 +64,25 @@ def best_rule(host: Column, path: Column, rules) -> Column:
     """The longest rule that fits, as struct (length, rule, verdict), or null. The rules are literals of the plan."""
     if not rules:
         return F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
-    one = [F.struct(F.lit(len(h + p)).alias("length"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"), F.lit(h).alias("h"), F.lit(p).alias("p")) for h, p, v in rules]
+    one = [
+        F.struct(
+            F.lit(len(h + p)).alias("length"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"), F.lit(h).alias("h"),
+            F.lit(p).alias("p")
+        ) for h,
+        p, v in rules
+    ]
     fits = F.filter(F.array(*one), lambda r: ((host == r["h"]) | host.endswith(F.concat(F.lit("."), r["h"]))) & path.startswith(r["p"]))
-    return F.array_max(F.transform(fits, lambda r: F.struct(r["length"].alias("length"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
+    return F.array_max(
+        F.transform(fits, lambda r: F.struct(r["length"].alias("length"), r["rule"].alias("rule"), r["verdict"].alias("verdict")))
+    )
 
 
 def segments(path: Column, depth: int) -> Column:
     """The generalised segments of a path; after depth of them the rest is the last one."""
     every = F.split(F.regexp_replace(path, r"^/", ""), "/", depth + 1)
-    return F.transform(every, lambda s: F.regexp_replace(F.regexp_replace(s, r"[0-9a-fA-F]{16,}(?:-[0-9a-fA-F]+)*", "<h>"), r"[0-9]+", "<n>"))
+    return F.transform(
+        every, lambda s: F.regexp_replace(F.regexp_replace(s, r"[0-9a-fA-F]{16,}(?:-[0-9a-fA-F]+)*", "<h>"), r"[0-9]+", "<n>")
+    )
 
 
 EVERY = "*"  # the host of the common tree; no url has it
@@ -101,17 +114,25 @@ def _grown(nodes: DataFrame, levels: int, opt: Options, keep: frames.Scratch) ->
 
 def templates(urls: DataFrame, opt: Options = Options()) -> DataFrame:
     """(host, segs, template, n_labels, n_blocked, purity, rejected) for each different (host, segs); urls has host, segs and bad (1, 0 or null)."""
-    per = frames.Saved(urls.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))).df
-    common = per.where("host <> ''").groupBy("segs").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b")).select(F.lit(EVERY).alias("host"), "segs", "n", "l", "b")
+    per = frames.Saved(
+        urls.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
+    ).df
+    common = per.where("host <> ''").groupBy("segs").agg(
+        F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b")
+    ).select(F.lit(EVERY).alias("host"), "segs", "n", "l", "b")
     nodes = grown(per.unionByName(common), opt)
     totals = nodes.groupBy("host", "template").agg(F.sum("l").alias("n_labels"), F.sum("b").alias("n_blocked"))
-    every = frames.join(nodes.where(F.col("host") == EVERY).select("segs", "template"), totals.where(F.col("host") == EVERY).drop("host"), ["template"])
+    every = frames.join(
+        nodes.where(F.col("host") == EVERY).select("segs", "template"), totals.where(F.col("host") == EVERY).drop("host"), ["template"]
+    )
     rate = (F.col("n_blocked") + opt.prior * opt.strength) / (F.col("n_labels") + opt.strength)
     every = every.select("segs", rate.alias("rate"), F.col("n_labels").alias("all_labels"))
     own = frames.join(nodes.where(F.col("host") != EVERY).select("host", "segs", "template"), totals, ["host", "template"])
     purity = (F.col("n_blocked") + F.coalesce("rate", F.lit(opt.prior)) * opt.strength) / (F.col("n_labels") + opt.strength)
     known = (F.col("n_labels") > 0) | (F.coalesce("all_labels", F.lit(0)) >= opt.support)
-    return frames.join(own, every, ["segs"], "left").withColumn("purity", purity).withColumn("rejected", known & (F.col("purity") >= opt.purity) & (F.col("host") != "")).drop("rate", "all_labels")
+    return frames.join(own, every, ["segs"], "left").withColumn("purity", purity).withColumn(
+        "rejected", known & (F.col("purity") >= opt.purity) & (F.col("host") != "")
+    ).drop("rate", "all_labels")
 
 
 def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, opt: Options = Options()) -> DataFrame:
