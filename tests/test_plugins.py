@@ -18,7 +18,9 @@ def test_order_cycles_and_missing():
 
 
 def test_apply_and_notes(spark):
-    df = spark.createDataFrame([("u", "", None, None), ("v", "", None, None)], f"uuid string, seen string, notes {notes.NOTES}, audit_log {notes.AUDIT}")
+    df = spark.createDataFrame(
+        [("u", "", None, None), ("v", "", None, None)], f"uuid string, seen string, notes {notes.NOTES}, audit_log {notes.AUDIT}"
+    )
     assert apply(df, [plugin("a", "b"), plugin("b")]).first()["seen"] == "ba"
     out = notes.add_note(notes.add_note(df, "u", "one", "x", "X", 1), "u", "two", "x", "X", 2)
     out = notes.audit(out, F.col("uuid") == "v", 3, "x", "X", 5)

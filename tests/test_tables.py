@@ -41,7 +41,12 @@ def test_sinks_and_fan_out(spark, tmp_path):
 
 def test_hooks_run_in_order(spark):
     said = []
-    h = Hooks(post_index=[(lambda b: said.append("start1"), None, lambda b: said.append("run1"), lambda b: said.append("end1")), (None, lambda b: said.append("prepare2"), lambda b: said.append("run2"))])
+    h = Hooks(
+        post_index=[
+            (lambda b: said.append("start1"), None, lambda b: said.append("run1"), lambda b: said.append("end1")),
+            (None, lambda b: said.append("prepare2"), lambda b: said.append("run2"))
+        ]
+    )
     h.post_create.append(lambda o, s: said.append("created"))
     h.created(None, None)
     h.indexed(None)
@@ -49,7 +54,12 @@ def test_hooks_run_in_order(spark):
 
 
 def summaries(spark):
-    rows = [(f"{i:x}0", f"f{i}", f"h{i}", "/A/B" if i % 2 else "/C", i % 6, i % 3, f"dev{i % 4}", None, i, 10 * i, 20 * i, 20 * i, 0, None, None, None, ["t", f"t{i % 2}"]) for i in range(12)]
+    rows = [
+        (
+            f"{i:x}0", f"f{i}", f"h{i}", "/A/B" if i % 2 else "/C", i % 6, i % 3, f"dev{i % 4}", None, i, 10 * i, 20 * i, 20 * i, 0, None,
+            None, None, ["t", f"t{i % 2}"]
+        ) for i in range(12)
+    ]
     kinds = "uuid string, fingerprint string, fingerprint_hash string, event_class string, severity int, status int, element_identifier string, element_uuid string, event_count long, first_seen long, last_seen long, status_change long, update_time long, user_name string"
     return spark.createDataFrame(rows, kinds + f", notes {notes.NOTES}, details {details.DETAILS}, tags array<string>")
 
@@ -57,7 +67,10 @@ def summaries(spark):
 def test_engine(spark):
     s = summaries(spark)
     said = []
-    e = api.Engine(s.where("event_count < 10"), s.where("event_count >= 10"), clock=lambda: 1000, hooks=Hooks(update=[lambda kind, uuids, change: said.append((kind, uuids.count()))]))
+    e = api.Engine(
+        s.where("event_count < 10"), s.where("event_count >= 10"), clock=lambda: 1000,
+        hooks=Hooks(update=[lambda kind, uuids, change: said.append((kind, uuids.count()))])
+    )
     rows, hits = e.list(EventQuery(EventFilter(severity=(1, 2)), sort=(Sort("event_count", True),), limit=2))
     assert [r["event_count"] for r in rows.collect()] == [8, 7] and hits.first().asDict() == {"total": 4, "next_offset": 2}
     assert e.get("a0").first()["event_count"] == 10 and e.get("30").first()["event_count"] == 3 and e.get("zz").count() == 0
@@ -67,14 +80,22 @@ def test_engine(spark):
     assert (at, more) == (2, True) and e.summaries.where("status = 3").count() == 2
     e.add_note("a0", "seen", "u", "U")
     e.add_note("10", "here", "u", "U")
-    assert [n["message"] for n in e.archive.where("uuid = 'a0'").first()["notes"]] == ["seen"] and e.summaries.where("size(notes) = 1").count() == 1
-    e.update_details("10", F.array(F.struct(F.lit("k").alias("name"), F.array(F.lit("1")).alias("values"), F.lit("REPLACE").alias("merge"))))
+    assert [
+        n["message"] for n in e.archive.where("uuid = 'a0'").first()["notes"]
+    ] == ["seen"] and e.summaries.where("size(notes) = 1").count() == 1
+    e.update_details(
+        "10", F.array(F.struct(F.lit("k").alias("name"), F.array(F.lit("1")).alias("values"), F.lit("REPLACE").alias("merge")))
+    )
     assert e.summaries.where("uuid = '10'").first()["details"][0]["values"] == ["1"]
     assert said == [("status", 2), ("status", 2), ("note", 1), ("note", 1), ("details", 1)]
     roll = e.tag_severities(EventFilter(severity=(1,)), ["t1", "none"])
-    assert {(r["tag"], r["total"]) for r in roll.collect()} == {("t1", 8), ("none", 0)} and e.tag_severities(EventFilter(severity=(1,)), ["t1", "none"]) is roll
+    assert {
+        (r["tag"], r["total"]) for r in roll.collect()
+    } == {("t1", 8), ("none", 0)} and e.tag_severities(EventFilter(severity=(1,)), ["t1", "none"]) is roll
     name = e.create_saved_search(EventQuery(EventFilter(event_class=("/A/",)), sort=(Sort("event_count"),)))
-    assert [r["event_count"] for r in e.search_page(name, 1, 2).collect()] == [3, 5] and e.delete_saved_search(name) and not e.delete_saved_search(name)
+    assert [
+        r["event_count"] for r in e.search_page(name, 1, 2).collect()
+    ] == [3, 5] and e.delete_saved_search(name) and not e.delete_saved_search(name)
     e.age(900, model.CRITICAL)
     assert e.summaries.where("status = 6").count() == e.summaries.where("severity < 5 and last_seen < 100 and status = 6").count() > 0
     n = e.summaries.where("status in (3, 6) and last_seen < 500").count()
@@ -103,7 +124,9 @@ def test_a_rebuild_goes_on_where_it_ended(spark):
 
 
 def test_streams_of_beats_and_changes(spark, tmp_path):
-    beats = spark.createDataFrame([("m", "a", 5, 1), ("m", "a", 9, 2), ("m", "b", 1, 3)], "monitor string, daemon string, last_time long, timeout_s int")
+    beats = spark.createDataFrame(
+        [("m", "a", 5, 1), ("m", "a", 9, 2), ("m", "b", 1, 3)], "monitor string, daemon string, last_time long, timeout_s int"
+    )
     beats.coalesce(1).write.parquet(str(tmp_path / "in"))
     t = engine.LatestTable(spark, str(tmp_path / "beats"), ("monitor", "daemon"), "last_time")
     read = lambda p, schema: spark.readStream.schema(schema).parquet(str(tmp_path / p))
@@ -115,7 +138,10 @@ def test_streams_of_beats_and_changes(spark, tmp_path):
     changes.coalesce(1).write.parquet(str(tmp_path / "changes"))
     seen, said = [], []
     hooks = Hooks(post_index=[(lambda b: said.append(b.count()),)])
-    engine.index_changes(read("changes", changes.schema), lambda u: lookup.by_uuids(s, u), lambda rows, gone: seen.append(([r["uuid"] for r in rows.collect()], [r["uuid"] for r in gone.collect()])), str(tmp_path / "c2"), hooks).awaitTermination()
+    engine.index_changes(
+        read("changes", changes.schema), lambda u: lookup.by_uuids(s, u), lambda rows,
+        gone: seen.append(([r["uuid"] for r in rows.collect()], [r["uuid"] for r in gone.collect()])), str(tmp_path / "c2"), hooks
+    ).awaitTermination()
     assert seen == [(["10"], ["gone"])] and said == [1]
 
 

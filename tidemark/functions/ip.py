@@ -58,7 +58,9 @@ def _v6_parts(col: Column) -> Column:
     """The eight groups, with :: filled."""
     low = F.lower(col)
     head = F.filter(F.split(F.substring_index(low, "::", 1), ":"), lambda s: s != "")
-    tail = F.when(low.contains("::"), F.filter(F.split(F.substring_index(low, "::", -1), ":"), lambda s: s != "")).otherwise(F.expr("cast(array() as array<string>)"))
+    tail = F.when(
+        low.contains("::"), F.filter(F.split(F.substring_index(low, "::", -1), ":"), lambda s: s != "")
+    ).otherwise(F.expr("cast(array() as array<string>)"))
     gap = F.greatest(8 - F.size(head) - F.size(tail), F.lit(0))
     return F.concat(head, F.array_repeat(F.lit("0"), gap), tail)
 

@@ -81,7 +81,9 @@ def path(col: Column, value: str) -> Column:
     stored = F.concat(F.lower(F.coalesce(col, F.lit(""))), F.lit("/"))
     if value.startswith("/"):
         if value.endswith(("/", "*")):
-            return stored.startswith(value.rstrip("*").rstrip("/") + "/") if value.rstrip("*").endswith("/") else stored.startswith(value.rstrip("*"))
+            return stored.startswith(
+                value.rstrip("*").rstrip("/") + "/"
+            ) if value.rstrip("*").endswith("/") else stored.startswith(value.rstrip("*"))
         return stored == value + "/"
     return phrase(stored, [p for p in value.split("/") if p], "/", "[^/]")
 
@@ -90,7 +92,9 @@ def clear_fingerprints(element: Column, sub: Column, classes: Column, key: Colum
     """The hashes of all that a clear ends: for each of its classes the one by identifiers and, with a sub-element's uuid, the one by that."""
     e = lambda c: F.coalesce(c, F.lit(""))
     old = F.transform(classes, lambda c: F.sha1(F.concat_ws("|", e(element), e(sub), c, e(key))))
-    new = F.when(e(sub_uuid) != "", F.transform(classes, lambda c: F.sha1(F.concat_ws("|", sub_uuid, c, e(key))))).otherwise(F.expr("cast(array() as array<string>)"))
+    new = F.when(
+        e(sub_uuid) != "", F.transform(classes, lambda c: F.sha1(F.concat_ws("|", sub_uuid, c, e(key))))
+    ).otherwise(F.expr("cast(array() as array<string>)"))
     return F.when(e(element) != "", F.concat(old, new)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
@@ -124,7 +128,10 @@ def truncate_utf8(col: Column, n: int) -> Column:
     sizes = F.aggregate(
         F.split(few, ""),
         F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("chars")),
-        lambda a, c: F.when(a["bytes"] + F.octet_length(c) <= n, F.struct((a["bytes"] + F.octet_length(c)).alias("bytes"), (a["chars"] + 1).alias("chars"))).otherwise(F.struct(F.lit(n).alias("bytes"), a["chars"].alias("chars"))),
+        lambda a,
+        c: F.when(
+            a["bytes"] + F.octet_length(c) <= n, F.struct((a["bytes"] + F.octet_length(c)).alias("bytes"), (a["chars"] + 1).alias("chars"))
+        ).otherwise(F.struct(F.lit(n).alias("bytes"), a["chars"].alias("chars"))),
     )
     return F.when(F.octet_length(col) <= n, col).otherwise(F.substring(col, F.lit(1), sizes["chars"]))
 
@@ -133,7 +140,10 @@ def organizer_ancestors(paths: Column) -> Column:
     """/a/b/c becomes /a, /a/b and /a/b/c; distinct and sorted over a list of paths."""
     def up(p: Column) -> Column:
         parts = F.filter(F.split(p, "/"), lambda s: s != "")
-        return F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.expr("cast(array() as array<string>)"))
+        return F.when(
+            F.size(parts) > 0,
+            F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
+        ).otherwise(F.expr("cast(array() as array<string>)"))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(paths, up))))
 

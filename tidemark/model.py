@@ -10,7 +10,10 @@ CLOSED_STATUSES = (CLOSED, CLEARED, AGED)
 SEVERITY_NAMES = ("CLEAR", "DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 STATUS_NAMES = ("NEW", "ACKNOWLEDGED", "SUPPRESSED", "CLOSED", "CLEARED", "DROPPED", "AGED")
 LIMITS = {"fingerprint": 255, "event_class": 128, "agent": 64, "summary": 255, "message": 4096, "user_name": 32, "element_title": 255}
-DEFAULT_DETAILS = {"priority": "INTEGER", "production_state": "INTEGER", "ip_address": "IP_ADDRESS", "location": "PATH", "groups": "PATH", "systems": "PATH", "device_class": "PATH"}
+DEFAULT_DETAILS = {
+    "priority": "INTEGER", "production_state": "INTEGER", "ip_address": "IP_ADDRESS", "location": "PATH", "groups": "PATH",
+    "systems": "PATH", "device_class": "PATH"
+}
 MIGRATE_DETAIL = "tidemark.migrate_update_time"
 
 

@@ -17,11 +17,15 @@ def of_batch(raw: DataFrame, dropped_clears: DataFrame | None = None) -> DataFra
     gone = state.rejected(raw).agg(F.count("*").alias("dropped"))
     clears = dropped_clears.agg(F.count("*").alias("clears")) if dropped_clears is not None else raw.sparkSession.createDataFrame([(0,)], "clears long")
     one = valid.crossJoin(F.broadcast(gone)).crossJoin(F.broadcast(clears))  # one row each
-    return one.select("processed", (F.col("dropped") + F.col("clears")).alias("dropped"), (F.col("processed") - F.col("keys")).alias("deduped"))
+    return one.select(
+        "processed", (F.col("dropped") + F.col("clears")).alias("dropped"), (F.col("processed") - F.col("keys")).alias("deduped")
+    )
 
 
 def of_summaries(before: DataFrame, after: DataFrame) -> DataFrame:
     """(cleared, aged, archived): summaries that changed to cleared or aged, and those that are no longer there."""
     both = before.select("uuid", F.col("status").alias("was")).join(after.select("uuid", F.col("status").alias("now")), "uuid", "left")
     became = lambda s: F.count_if((F.col("was") != s) & (F.col("now") == s))
-    return both.agg(became(model.CLEARED).alias("cleared"), became(model.AGED).alias("aged"), F.count_if(F.col("now").isNull()).alias("archived"))
+    return both.agg(
+        became(model.CLEARED).alias("cleared"), became(model.AGED).alias("aged"), F.count_if(F.col("now").isNull()).alias("archived")
+    )

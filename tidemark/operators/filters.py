@@ -64,7 +64,10 @@ def parse_count(value: str | None) -> Range | None:
     """The count syntax of query strings: >n, >=n, <n, <=n, =n, n, a:b."""
     if not value:
         return None
-    for sign, make in ((">=", lambda n: (n, None)), ("<=", lambda n: (None, n)), (">", lambda n: (n + 1, None)), ("<", lambda n: (None, n - 1)), ("=", lambda n: (n, n))):
+    for sign, make in (
+        (">=", lambda n: (n, None)), ("<=", lambda n: (None, n)), (">", lambda n: (n + 1, None)), ("<", lambda n: (None, n - 1)),
+        ("=", lambda n: (n, n))
+    ):
         if value.startswith(sign):
             number = value[len(sign) :]
             if not number.isdigit():
@@ -156,7 +159,11 @@ def _ip(c: Column, value: str) -> Column:
 
 def clauses(f: EventFilter) -> int:
     """The values of a filter and of all filters in it."""
-    ranges = sum(len(getattr(f, n)) for n in ("severity", "status", "count", "first_seen", "last_seen", "status_change", "update_time", "event_class"))
+    ranges = sum(
+        len(getattr(f, n)) for n in (
+            "severity", "status", "count", "first_seen", "last_seen", "status_change", "update_time", "event_class"
+        )
+    )
     lists = sum(len(v) for pairs in (f.wildcards, f.identifiers, f.texts, f.tags) for _, v in pairs) + sum(len(d.values) for d in f.details)
     return ranges + lists + sum(clauses(s) for s in f.subfilters) + (clauses(f.not_filter) if f.not_filter else 0)
 

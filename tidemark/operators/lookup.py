@@ -21,7 +21,9 @@ def by_key(archive: DataFrame, keys: DataFrame) -> DataFrame:
     wanted = keys.select("uuid", "last_seen")
     if "archive_day" not in archive.columns:
         return archive.join(wanted, ["uuid", "last_seen"], "left_semi")
-    return archive.join(wanted.withColumn("archive_day", F.expr("last_seen div 86400000")), ["archive_day", "uuid", "last_seen"], "left_semi")
+    return archive.join(
+        wanted.withColumn("archive_day", F.expr("last_seen div 86400000")), ["archive_day", "uuid", "last_seen"], "left_semi"
+    )
 
 
 def with_fallback(summaries: DataFrame, archive: DataFrame, uuids: DataFrame) -> DataFrame:
@@ -64,17 +66,23 @@ def encode(names: DataFrame, column: str, stored: DataFrame) -> DataFrame:
     new = names.select(F.col(column).alias("name")).where("name is not null").distinct().join(stored.select("name"), "name", "left_anti")
     ranged = new.withColumn("prefix", F.substring(F.sha1("name"), 1, 3))
     sizes = ranged.groupBy("prefix").agg(F.count("*").alias("n"))
-    before = sizes.select("prefix", (F.sum("n").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))  # at most 4096 rows
+    before = sizes.select(
+        "prefix", (F.sum("n").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1))).alias("before")
+    )  # at most 4096 rows
     base = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base"))
     local = F.row_number().over(Window.partitionBy("prefix").orderBy("name"))
     out = ranged.withColumn("k", local).join(before, "prefix").crossJoin(F.broadcast(base))  # one row
-    return stored.select("id", "name").unionByName(out.select((F.col("base") + F.coalesce("before", F.lit(0)) + F.col("k")).cast("long").alias("id"), "name"))
+    return stored.select("id", "name").unionByName(
+        out.select((F.col("base") + F.coalesce("before", F.lit(0)) + F.col("k")).cast("long").alias("id"), "name")
+    )
 
 
 def apply_changes(index: DataFrame, upserts: DataFrame, deletes: DataFrame) -> DataFrame:
     """A table of one row for each uuid after rows were written and deleted."""
     touched = upserts.select("uuid").union(deletes.select("uuid")).distinct()
-    return index.join(touched, "uuid", "left_anti").unionByName(upserts.join(deletes.select("uuid"), "uuid", "left_anti").select(*index.columns))
+    return index.join(touched, "uuid", "left_anti").unionByName(
+        upserts.join(deletes.select("uuid"), "uuid", "left_anti").select(*index.columns)
+    )
 
 
 def purge(table: DataFrame, threshold_ms: int, column: str = "last_seen") -> DataFrame:

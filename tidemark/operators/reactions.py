@@ -11,7 +11,9 @@ from tidemark import model
 from tidemark.operators.filters import EventFilter, condition
 
 
-def tag_severities(summaries: DataFrame, flt: EventFilter | None = None, requested: list[str] | None = None, types: dict[str, str] | None = None) -> DataFrame:
+def tag_severities(
+    summaries: DataFrame, flt: EventFilter | None = None, requested: list[str] | None = None, types: dict[str, str] | None = None
+) -> DataFrame:
     """(tag, severity, events, acknowledged, total) over the summaries of a filter, with an array column tags; total sums event counts by tag.
 
     A tag that is listed twice in one summary counts once. Tags that are asked for and found nowhere have zeros and no severity.
@@ -20,13 +22,18 @@ def tag_severities(summaries: DataFrame, flt: EventFilter | None = None, request
     tags = rows.select(F.explode(F.array_distinct("tags")).alias("tag"), "severity", "status", "event_count")
     if requested is not None:
         tags = tags.where(F.col("tag").isin(*requested))
-    per = tags.groupBy("tag", "severity").agg(F.count("*").alias("events"), F.count_if(F.col("status") == model.ACKNOWLEDGED).alias("acknowledged"), F.sum("event_count").alias("n"))
+    per = tags.groupBy("tag", "severity").agg(
+        F.count("*").alias("events"), F.count_if(F.col("status") == model.ACKNOWLEDGED).alias("acknowledged"),
+        F.sum("event_count").alias("n")
+    )
     totals = per.groupBy("tag").agg(F.sum("n").alias("total"))
     out = per.join(totals, "tag").select("tag", "severity", "events", "acknowledged", "total")
     if requested is not None:
         asked = summaries.sparkSession.createDataFrame([(t,) for t in requested], "tag string")
         none = F.lit(0).cast("long")
-        out = asked.join(out, "tag", "left").select("tag", "severity", *(F.coalesce(c, none).alias(c) for c in ("events", "acknowledged", "total")))
+        out = asked.join(out, "tag", "left").select(
+            "tag", "severity", *(F.coalesce(c, none).alias(c) for c in ("events", "acknowledged", "total"))
+        )
     return out
 
 
@@ -37,7 +44,9 @@ def flaps(events: DataFrame, key: str, threshold: int = model.WARNING, interval_
     without a key or an element's uuid are left out. Keys are worked through in blocks of one interval of time: the severity
     before a block comes from an aggregate, and a flap is also a witness in the next block.
     """
-    rows = events.where(F.col("element_uuid").isNotNull() & (F.col("element_uuid") != "") & F.col(key).isNotNull()).withColumn("second", F.expr("created div 1000"))
+    rows = events.where(
+        F.col("element_uuid").isNotNull() & (F.col("element_uuid") != "") & F.col(key).isNotNull()
+    ).withColumn("second", F.expr("created div 1000"))
     rows = rows.withColumn("block", F.expr(f"second div {max(1, interval_s)}"))
     per = rows.groupBy(key, "block").agg(F.max(F.struct("created", "arrival_seq", "severity")).alias("l"))
     earlier = per.select(key, "block", F.lag("l.severity", 1, model.CLEAR).over(Window.partitionBy(key).orderBy("block")).alias("before"))
@@ -48,7 +57,9 @@ def flaps(events: DataFrame, key: str, threshold: int = model.WARNING, interval_
     seen = marked.withColumn("at", F.explode(F.when(F.col("is_flap"), F.array(in_block(0), in_block(1))).otherwise(F.array(in_block(0)))))
     seen = seen.withColumn("block", F.col("at.block")).withColumn("own", F.col("at.own")).drop("at")
     upto = F.count_if("is_flap").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    gone = F.count_if("is_flap").over(Window.partitionBy(key, "block").orderBy("second").rangeBetween(Window.unboundedPreceding, -interval_s - 1))
+    gone = F.count_if("is_flap").over(
+        Window.partitionBy(key, "block").orderBy("second").rangeBetween(Window.unboundedPreceding, -interval_s - 1)
+    )
     counted = seen.withColumn("n_flaps", F.when(F.col("is_flap"), upto - gone).otherwise(F.lit(0).cast("long"))).where("own")
     return counted.drop("own", "block", "second")
 
@@ -59,7 +70,9 @@ def flap_alerts(flapped: DataFrame, count: int) -> DataFrame:
 
 def latest_beats(beats: DataFrame) -> DataFrame:
     """The stored heartbeats after a batch: the last of each (monitor, daemon)."""
-    return beats.groupBy("monitor", "daemon").agg(F.max(F.struct("last_time", "timeout_s")).alias("b")).select("monitor", "daemon", "b.last_time", "b.timeout_s")
+    return beats.groupBy("monitor", "daemon").agg(
+        F.max(F.struct("last_time", "timeout_s")).alias("b")
+    ).select("monitor", "daemon", "b.last_time", "b.timeout_s")
 
 
 def heartbeats(beats: DataFrame, open_events: DataFrame, now_ms: int) -> DataFrame:
@@ -74,8 +87,10 @@ def heartbeat_events(actions: DataFrame, now_ms: int) -> DataFrame:
     """The occurrences that heartbeats send back to the raw stream: an error or a clear for each (monitor, daemon)."""
     clear = F.col("action") == "clear"
     return actions.select(
-        F.sha1(F.concat_ws("|", F.lit("heartbeat"), "monitor", "daemon", F.lit(str(now_ms)))).alias("uuid"), F.lit(now_ms).cast("long").alias("created"), F.lit("/Heartbeat").alias("event_class"),
-        F.when(clear, model.CLEAR).otherwise(model.ERROR).alias("severity"), F.lit(model.NEW).alias("status"), F.col("monitor").alias("element_identifier"),
+        F.sha1(F.concat_ws("|", F.lit("heartbeat"), "monitor", "daemon", F.lit(str(now_ms)))).alias("uuid"),
+        F.lit(now_ms).cast("long").alias("created"), F.lit("/Heartbeat").alias("event_class"),
+        F.when(clear, model.CLEAR).otherwise(model.ERROR).alias("severity"), F.lit(model.NEW).alias("status"),
+        F.col("monitor").alias("element_identifier"),
         F.concat_ws("|", "monitor", "daemon", F.lit("/Heartbeat")).alias("fingerprint"),
     )
 
@@ -83,8 +98,10 @@ def heartbeat_events(actions: DataFrame, now_ms: int) -> DataFrame:
 def flap_events(alerts: DataFrame, event_class: str = "/Status/Flapping") -> DataFrame:
     """The occurrences that flap alerts send back to the raw stream."""
     return alerts.select(
-        F.sha1(F.concat_ws("|", F.lit("flap"), "uuid")).alias("uuid"), "created", F.lit(event_class).alias("event_class"), "severity", F.lit(model.NEW).alias("status"),
-        "element_identifier", F.concat_ws("|", "element_identifier", F.lit(event_class)).alias("fingerprint"), F.concat(F.lit("flapped "), "n_flaps", F.lit(" times")).alias("summary"),
+        F.sha1(F.concat_ws("|", F.lit("flap"), "uuid")).alias("uuid"), "created", F.lit(event_class).alias("event_class"), "severity",
+        F.lit(model.NEW).alias("status"),
+        "element_identifier", F.concat_ws("|", "element_identifier", F.lit(event_class)).alias("fingerprint"),
+        F.concat(F.lit("flapped "), "n_flaps", F.lit(" times")).alias("summary"),
     )
 
 
@@ -131,7 +148,10 @@ class _Rule(ast.NodeVisitor):
                 one = F.array_contains(right, left) if isinstance(right_node, ast.Attribute) and right_node.attr in ("groups", "systems") else right.contains(left)
                 one = ~one if isinstance(op, ast.NotIn) else one
             else:
-                one = {ast.Eq: left.__eq__, ast.NotEq: left.__ne__, ast.Lt: left.__lt__, ast.LtE: left.__le__, ast.Gt: left.__gt__, ast.GtE: left.__ge__}[type(op)](right)
+                one = {
+                    ast.Eq: left.__eq__, ast.NotEq: left.__ne__, ast.Lt: left.__lt__, ast.LtE: left.__le__, ast.Gt: left.__gt__,
+                    ast.GtE: left.__ge__
+                }[type(op)](right)
             out, left = out & one, right
         return out
 
@@ -139,7 +159,10 @@ class _Rule(ast.NodeVisitor):
         if not isinstance(node.func, ast.Attribute) or node.keywords:
             return self.generic_visit(node)
         target, name, args = self.visit(node.func.value), node.func.attr, [self.visit(a) for a in node.args]
-        made = {"startswith": lambda c, a: c.startswith(a), "endswith": lambda c, a: c.endswith(a), "lower": F.lower, "upper": F.upper, "strip": F.trim}
+        made = {
+            "startswith": lambda c, a: c.startswith(a), "endswith": lambda c, a: c.endswith(a), "lower": F.lower, "upper": F.upper,
+            "strip": F.trim
+        }
         if name not in made or len(args) != (1 if name.endswith("with") else 0):
             raise ValueError(f"not in the rule language: {name}")
         return made[name](target, *args)
@@ -171,13 +194,21 @@ def advance(events: DataFrame, matches: DataFrame, subscriptions: DataFrame, spo
     """
     now, delay, repeat = F.lit(now_ms).cast("long"), F.col("delay_seconds").cast("long") * 1000, F.col("repeat_seconds").cast("long") * 1000
     seen = events.groupBy("uuid").agg(F.max(F.col("status").isin(*model.OPEN_STATUSES)).alias("open"))
-    hits = matches.select("uuid", "trigger").distinct().join(subscriptions.select("subscription", "trigger"), "trigger").join(seen.where("open").select("uuid"), "uuid").select("uuid", "subscription", F.lit(True).alias("hit"))
-    both = spool.select("uuid", "subscription", "flush_time", "sent", F.lit(True).alias("there")).join(hits, ["uuid", "subscription"], "full_outer")
-    all_ = both.join(seen, "uuid", "left").join(subscriptions.select("subscription", "delay_seconds", "repeat_seconds", "send_initial"), "subscription", "left")
+    hits = matches.select("uuid", "trigger").distinct().join(
+        subscriptions.select("subscription", "trigger"), "trigger"
+    ).join(seen.where("open").select("uuid"), "uuid").select("uuid", "subscription", F.lit(True).alias("hit"))
+    both = spool.select(
+        "uuid", "subscription", "flush_time", "sent", F.lit(True).alias("there")
+    ).join(hits, ["uuid", "subscription"], "full_outer")
+    all_ = both.join(seen, "uuid", "left").join(
+        subscriptions.select("subscription", "delay_seconds", "repeat_seconds", "send_initial"), "subscription", "left"
+    )
     there, hit, initial = F.coalesce("there", F.lit(False)), F.coalesce("hit", F.lit(False)), F.coalesce("send_initial", F.lit(False))
     at_once, closed = delay <= 0, ~F.coalesce("open", F.lit(True))
     first = F.when(delay > 0, now + delay).when(repeat > 0, now + repeat).otherwise(F.lit(NEVER).cast("long"))
-    pulled = F.when((repeat > 0) & ((F.col("flush_time") == NEVER) | (F.col("flush_time") > now + repeat)), now + repeat).otherwise(F.col("flush_time"))
+    pulled = F.when(
+        (repeat > 0) & ((F.col("flush_time") == NEVER) | (F.col("flush_time") > now + repeat)), now + repeat
+    ).otherwise(F.col("flush_time"))
     known = F.col("open") & F.col("delay_seconds").isNotNull()
     again = F.when((repeat == 0) & ~initial & (F.col("flush_time") == NEVER), now + delay).otherwise(pulled)
     flush_time = (
@@ -195,7 +226,9 @@ def empty_spool(spark) -> DataFrame:
     return spark.createDataFrame([], "uuid string, subscription string, flush_time long, sent boolean")
 
 
-def flush(spool: DataFrame, subscriptions: DataFrame, summaries: DataFrame, now_ms: int, triggers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def flush(
+    spool: DataFrame, subscriptions: DataFrame, summaries: DataFrame, now_ms: int, triggers: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(signals due by now, the spool after them).
 
     Spools of closed and missing events go. Those whose subscription, or trigger (of triggers: trigger, enabled), is missing stay as they are. A disabled
@@ -211,13 +244,18 @@ def flush(spool: DataFrame, subscriptions: DataFrame, summaries: DataFrame, now_
     again = (F.col("repeat_seconds") > 0) & (F.col("status") != model.ACKNOWLEDGED)
     nxt = F.when(again, F.lit(now_ms).cast("long") + F.col("repeat_seconds") * 1000).otherwise(F.lit(NEVER).cast("long"))
     rest = full.where(~F.col("due") | open_)
-    return full.where(sends).select("uuid", "subscription"), rest.select("uuid", "subscription", F.when(goes_on, nxt).otherwise(F.col("flush_time")).alias("flush_time"), (F.col("sent") | sends).alias("sent"))
+    return full.where(sends).select("uuid", "subscription"), rest.select(
+        "uuid", "subscription", F.when(goes_on, nxt).otherwise(F.col("flush_time")).alias("flush_time"),
+        (F.col("sent") | sends).alias("sent")
+    )
 
 
 def nested_subscriptions(triggers: DataFrame, subscriptions: DataFrame, enabled_only: bool = False) -> DataFrame:
     """Each trigger with an array of its subscriptions, ordered by name; empty where it has none."""
     rows = triggers.where("enabled") if enabled_only else triggers
-    own = subscriptions.groupBy("trigger").agg(F.array_sort(F.collect_list(F.struct("subscription", "delay_seconds", "repeat_seconds"))).alias("subscriptions"))
+    own = subscriptions.groupBy("trigger").agg(
+        F.array_sort(F.collect_list(F.struct("subscription", "delay_seconds", "repeat_seconds"))).alias("subscriptions")
+    )
     none = F.expr("cast(array() as array<struct<subscription:string,delay_seconds:int,repeat_seconds:int>>)")
     return rows.join(own, "trigger", "left").withColumn("subscriptions", F.coalesce("subscriptions", none))
 
@@ -226,7 +264,9 @@ def replace_subscriptions(stored: DataFrame, subscriber: str, wanted: DataFrame)
     """(subscriptions after a subscriber's list was set to `wanted`, those of the subscriber that were not in it and went)."""
     own = F.col("subscriber") == subscriber
     gone = stored.where(own).join(wanted.select("subscription"), "subscription", "left_anti")
-    rest = stored.join(wanted.select("subscription"), "subscription", "left_anti").join(gone.select("subscription"), "subscription", "left_anti")
+    rest = stored.join(
+        wanted.select("subscription"), "subscription", "left_anti"
+    ).join(gone.select("subscription"), "subscription", "left_anti")
     return rest.unionByName(wanted.select(*stored.columns)), gone
 
 
@@ -237,5 +277,10 @@ def find_subscription(subscriptions: DataFrame, trigger: str, subscriber: str) -
 def full_signals(signals: DataFrame, subscriptions: DataFrame, summaries: DataFrame) -> DataFrame:
     """Signals with their trigger and subscriber, their event and, for cleared ones, the event that cleared it."""
     clearing = summaries.select(F.col("uuid").alias("cleared_by"), F.col("fingerprint").alias("clear_fingerprint"))
-    event = summaries.select("uuid", "fingerprint", "severity", "status", "event_count", *(["cleared_by"] if "cleared_by" in summaries.columns else [F.lit(None).cast("string").alias("cleared_by")]))
-    return signals.join(subscriptions.select("subscription", "trigger", "subscriber"), "subscription").join(event, "uuid").join(clearing, "cleared_by", "left")
+    event = summaries.select(
+        "uuid", "fingerprint", "severity", "status", "event_count",
+        *(["cleared_by"] if "cleared_by" in summaries.columns else [F.lit(None).cast("string").alias("cleared_by")])
+    )
+    return signals.join(
+        subscriptions.select("subscription", "trigger", "subscriber"), "subscription"
+    ).join(event, "uuid").join(clearing, "cleared_by", "left")

@@ -24,12 +24,16 @@ OPTIONAL = (
 def validate(raw: DataFrame) -> DataFrame:
     """Occurrences without uuid or time and dropped ones go; an empty class becomes /Unknown."""
     ok = (F.coalesce("uuid", F.lit("")) != "") & F.col("created").isNotNull() & (F.col("status") != model.DROPPED)
-    return raw.where(ok).withColumn("event_class", F.when(F.coalesce("event_class", F.lit("")) == "", "/Unknown").otherwise(F.col("event_class")))
+    return raw.where(ok).withColumn(
+        "event_class", F.when(F.coalesce("event_class", F.lit("")) == "", "/Unknown").otherwise(F.col("event_class"))
+    )
 
 
 def rejected(raw: DataFrame) -> DataFrame:
     """What validate drops, with the reason: the dead letters of a batch."""
-    reason = F.when(F.coalesce("uuid", F.lit("")) == "", "no uuid").when(F.col("created").isNull(), "no time").when(F.col("status") == model.DROPPED, "dropped")
+    reason = F.when(
+        F.coalesce("uuid", F.lit("")) == "", "no uuid"
+    ).when(F.col("created").isNull(), "no time").when(F.col("status") == model.DROPPED, "dropped")
     return raw.withColumn("reason", reason).where("reason is not null")
 
 
@@ -58,16 +62,23 @@ def _arrivals(events: DataFrame, stored: DataFrame | None) -> tuple[DataFrame, l
     keys = ["hash", *(["life"] if "life" in events.columns else [])]
     has_details = "details" in events.columns
     rows = events.select(
-        occurrence_hash(F.col("fingerprint"), F.col("status"), F.col("severity"), F.col("created")).alias("hash"), *keys[1:], F.col("arrival_seq").cast("long").alias("seq"), "uuid",
-        F.col("count").cast("long").alias("n"), "created", F.col("created").alias("first"), F.col("created").alias("changed"), "status", truncate_utf8(F.col("fingerprint"), model.LIMITS["fingerprint"]).alias("fingerprint"),
+        occurrence_hash(F.col("fingerprint"), F.col("status"), F.col("severity"), F.col("created")).alias("hash"), *keys[1:],
+        F.col("arrival_seq").cast("long").alias("seq"), "uuid",
+        F.col("count").cast("long").alias("n"), "created", F.col("created").alias("first"), F.col("created").alias("changed"), "status",
+        truncate_utf8(F.col("fingerprint"), model.LIMITS["fingerprint"]).alias("fingerprint"),
         *content, *(["details"] if has_details else []),
     )
     if stored is not None:
         changed = F.col("status_change") if "status_change" in stored.columns else F.col("last_seen")
-        held = {c: (F.col(c) if c in stored.columns else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in [*keys[1:], *content, *(["details"] if has_details else [])]}
+        held = {
+            c: (
+                F.col(c) if c in stored.columns else F.lit(None).cast(rows.schema[c].dataType)
+            ).alias(c) for c in [*keys[1:], *content, *(["details"] if has_details else [])]
+        }
         rows = rows.unionByName(
             stored.select(
-                F.col("fingerprint_hash").alias("hash"), F.lit(-1).cast("long").alias("seq"), "uuid", F.col("event_count").cast("long").alias("n"), F.col("last_seen").alias("created"),
+                F.col("fingerprint_hash").alias("hash"), F.lit(-1).cast("long").alias("seq"), "uuid",
+                F.col("event_count").cast("long").alias("n"), F.col("last_seen").alias("created"),
                 F.col("first_seen").alias("first"), changed.alias("changed"), "status", "fingerprint", *held.values(),
             )
         )
@@ -103,20 +114,29 @@ def dedup(events: DataFrame, stored: DataFrame | None = None, block: int = BLOCK
     on_time = lambda c: F.when(~F.col("late"), c)
     moved = F.col("was").isNotNull() & (F.col("was") != F.col("status"))
     by_block = marked.groupBy(*keys, "block").agg(
-        F.min(F.struct("seq", "uuid")).alias("u"), F.sum("n").alias("n"), F.min("first").alias("first_seen"), F.max("created").alias("last_seen"),
-        F.max(on_time(F.struct("seq", "status", "fingerprint", *content))).alias("l"), F.min(on_time(F.struct("seq", "status", "changed"))).alias("f"),
-        F.max(on_time(F.when(moved, F.struct("seq", "changed")))).alias("moved"), F.min(on_time(F.when(F.col("status") == model.ACKNOWLEDGED, F.struct("seq", "changed")))).alias("ack"),
+        F.min(F.struct("seq", "uuid")).alias("u"), F.sum("n").alias("n"), F.min("first").alias("first_seen"),
+        F.max("created").alias("last_seen"),
+        F.max(on_time(F.struct("seq", "status", "fingerprint", *content))).alias("l"),
+        F.min(on_time(F.struct("seq", "status", "changed"))).alias("f"),
+        F.max(on_time(F.when(moved, F.struct("seq", "changed")))).alias("moved"),
+        F.min(on_time(F.when(F.col("status") == model.ACKNOWLEDGED, F.struct("seq", "changed")))).alias("ack"),
     )
     earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     came = F.last("l.status", ignorenulls=True).over(earlier)
-    entered = F.when(F.col("f").isNotNull() & ~F.col("f.status").eqNullSafe(came), F.struct(F.col("f.seq").alias("seq"), F.col("f.changed").alias("changed")))
+    entered = F.when(
+        F.col("f").isNotNull() & ~F.col("f.status").eqNullSafe(came),
+        F.struct(F.col("f.seq").alias("seq"), F.col("f.changed").alias("changed"))
+    )
     agg = by_block.withColumn("moved", F.coalesce("moved", entered)).groupBy(*keys).agg(
-        F.min("u").alias("u"), F.sum("n").alias("event_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("l").alias("l"), F.max("moved").alias("moved"), F.min("ack").alias("ack")
+        F.min("u").alias("u"), F.sum("n").alias("event_count"), F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"), F.max("l").alias("l"), F.max("moved").alias("moved"), F.min("ack").alias("ack")
     )
     acked = F.col("ack").isNotNull() & F.col("l.status").isin(model.NEW, model.ACKNOWLEDGED, model.SUPPRESSED)
     out = agg.select(
-        F.col("u.uuid").alias("uuid"), F.col("hash").alias("fingerprint_hash"), "l.fingerprint", "l.event_class", "l.severity", F.when(acked, model.ACKNOWLEDGED).otherwise(F.col("l.status")).alias("status"),
-        "l.element_identifier", "l.element_uuid", "event_count", "first_seen", "last_seen", F.when(acked, F.col("ack.changed")).otherwise(F.col("moved.changed")).alias("status_change"),
+        F.col("u.uuid").alias("uuid"), F.col("hash").alias("fingerprint_hash"), "l.fingerprint", "l.event_class", "l.severity",
+        F.when(acked, model.ACKNOWLEDGED).otherwise(F.col("l.status")).alias("status"),
+        "l.element_identifier", "l.element_uuid", "event_count", "first_seen", "last_seen",
+        F.when(acked, F.col("ack.changed")).otherwise(F.col("moved.changed")).alias("status_change"),
         *(f"l.{c}" for c in content[len(REQUIRED) :]), *keys[1:],
     )
     if "details" in rows.columns:
@@ -139,7 +159,9 @@ def clear_marks(open_events: DataFrame, clears_: DataFrame, block_ms: int = DAY_
     per = rows.groupBy("clear_hash", "block").agg(F.min(clear).alias("c"))
     later = Window.partitionBy("clear_hash").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     after = per.select("clear_hash", "block", F.min("c").over(later).alias("after"))
-    w = Window.partitionBy("clear_hash", "block").orderBy(F.desc("t"), F.col("clear_uuid").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("clear_hash", "block").orderBy(
+        F.desc("t"), F.col("clear_uuid").desc_nulls_last()
+    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = rows.withColumn("c", F.min(clear).over(w)).where("uuid is not null").join(after, ["clear_hash", "block"])
     return found.select("uuid", F.coalesce("c", "after")["clear_uuid"].alias("cleared_by")).where("cleared_by is not null")
 
@@ -153,23 +175,33 @@ def clear(summaries: DataFrame, clears_: DataFrame, generate=None) -> tuple[Data
     """
     named = clears_ if generate is None else generate(clears_)
     keys = named.select(F.explode(F.array_distinct("clear_hashes")).alias("clear_hash"), F.col("uuid").alias("clear_uuid"), "created")
-    marks = clear_marks(summaries.where(F.col("status").isin(*model.OPEN_STATUSES)), keys).groupBy("uuid").agg(F.min("cleared_by").alias("by"))
+    marks = clear_marks(
+        summaries.where(F.col("status").isin(*model.OPEN_STATUSES)), keys
+    ).groupBy("uuid").agg(F.min("cleared_by").alias("by"))
     at = marks.join(named.select(F.col("uuid").alias("by"), F.col("created").alias("at")), "by")
     held = summaries if "cleared_by" in summaries.columns else summaries.withColumn("cleared_by", F.lit(None).cast("string"))
     out = held.join(at, "uuid", "left")
     gone = F.col("by").isNotNull()
-    for name, value in (("cleared_by", F.col("by")), ("status", F.lit(model.CLEARED)), ("status_change", F.col("at")), ("fingerprint_hash", closed_hash(F.col("fingerprint"), F.col("at")))):
+    for name, value in (
+        ("cleared_by", F.col("by")), ("status", F.lit(model.CLEARED)), ("status_change", F.col("at")),
+        ("fingerprint_hash", closed_hash(F.col("fingerprint"), F.col("at")))
+    ):
         if name in out.columns:
             out = out.withColumn(name, F.when(gone, value).otherwise(F.col(name)))
     used = at.select(F.col("by").alias("uuid")).distinct()
     closing = named.drop("clear_hashes").withColumn("status", F.lit(model.CLOSED))
     stored = dedup(closing.join(used, "uuid", "left_semi"))
-    return out.select(*held.columns).unionByName(stored.select(*(c for c in stored.columns if c in held.columns)), allowMissingColumns=True), named.join(used, "uuid", "left_anti")
+    return out.select(*held.columns).unionByName(
+        stored.select(*(c for c in stored.columns if c in held.columns)), allowMissingColumns=True
+    ), named.join(used, "uuid", "left_anti")
 
 
 def clearing_event(summaries: DataFrame) -> DataFrame:
     """Cleared events with the severity and time of the event that cleared them, null where it is gone."""
-    by = summaries.select(F.col("uuid").alias("cleared_by"), F.col("severity").alias("clear_severity"), F.col("last_seen").alias("clear_time"), F.lit(True).alias("clear_found"))
+    by = summaries.select(
+        F.col("uuid").alias("cleared_by"), F.col("severity").alias("clear_severity"), F.col("last_seen").alias("clear_time"),
+        F.lit(True).alias("clear_found")
+    )
     return summaries.where("cleared_by is not null").join(by, "cleared_by", "left")
 
 
@@ -199,7 +231,9 @@ def transition(summaries: DataFrame, uuids: DataFrame, to: int, now_ms: int, use
         can = can & ~((F.col("status") == to) & F.col("user_name").eqNullSafe(F.lit(user)))
     if to == model.NEW:
         # an active event holds the plain hash; of several that would reopen to one hash, the least uuid does
-        active = summaries.where(~F.col("status").isin(model.CLOSED, model.CLEARED)).select(own.alias("h"), F.col("uuid").alias("other")).groupBy("h").agg(F.min("other").alias("other"))
+        active = summaries.where(
+            ~F.col("status").isin(model.CLOSED, model.CLEARED)
+        ).select(own.alias("h"), F.col("uuid").alias("other")).groupBy("h").agg(F.min("other").alias("other"))
         first = marked.where(can).groupBy(own.alias("h")).agg(F.min("uuid").alias("first"))
         marked = marked.withColumn("h", own).join(active, "h", "left").join(first, "h", "left").drop("h")
         can = can & F.when(F.col("other").isNull(), F.col("first") == F.col("uuid")).otherwise(F.col("other") == F.col("uuid"))
@@ -208,7 +242,10 @@ def transition(summaries: DataFrame, uuids: DataFrame, to: int, now_ms: int, use
     new_hash = closed_hash(F.col("fingerprint"), F.lit(now_ms)) if closing else own
     out = marked.withColumn("moved", can)
     now = F.lit(now_ms).cast("long")
-    for name, value in (("fingerprint_hash", new_hash), ("user_name", user_name), ("status_change", now), ("update_time", now), ("cleared_by", F.lit(None).cast("string")), ("status", F.lit(to))):
+    for name, value in (
+        ("fingerprint_hash", new_hash), ("user_name", user_name), ("status_change", now), ("update_time", now),
+        ("cleared_by", F.lit(None).cast("string")), ("status", F.lit(to))
+    ):
         if name in summaries.columns:
             out = out.withColumn(name, F.when(F.col("moved"), value).otherwise(F.col(name)))
     return out.select(*summaries.columns)
@@ -227,7 +264,9 @@ def _first(summaries: DataFrame, cond: Column, limit: int | None) -> DataFrame:
     return summaries.join(some, "uuid", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
 
 
-def age(summaries: DataFrame, now_ms: int, interval_ms: int, max_severity: int, inclusive: bool = False, limit: int | None = None) -> DataFrame:
+def age(
+    summaries: DataFrame, now_ms: int, interval_ms: int, max_severity: int, inclusive: bool = False, limit: int | None = None
+) -> DataFrame:
     """Old open events become aged. Their fingerprint hash stays, so a new occurrence still merges into them."""
     out = _first(summaries, age_condition(now_ms, interval_ms, max_severity, inclusive), limit)
     now = F.lit(now_ms).cast("long")
@@ -241,11 +280,15 @@ def archive_split(summaries: DataFrame, now_ms: int, interval_ms: int, limit: in
     """(summaries that stay, rows for the archive with their day)."""
     old = F.col("status").isin(*model.CLOSED_STATUSES) & (F.col("last_seen") < now_ms - interval_ms)
     marked = _first(summaries, old, limit)
-    return marked.where("not chosen").select(*summaries.columns), marked.where("chosen").select(*summaries.columns, F.expr(f"last_seen div {DAY_MS}").alias("archive_day"))
+    return marked.where("not chosen").select(*summaries.columns), marked.where("chosen").select(
+        *summaries.columns, F.expr(f"last_seen div {DAY_MS}").alias("archive_day")
+    )
 
 
 def _clear_hash() -> Column:
-    return clear_fingerprint(F.col("element_identifier"), F.col("element_sub_identifier"), F.col("event_class"), F.col("event_key"), F.col("element_sub_uuid"))
+    return clear_fingerprint(
+        F.col("element_identifier"), F.col("element_sub_identifier"), F.col("event_class"), F.col("event_key"), F.col("element_sub_uuid")
+    )
 
 
 def reidentify(summaries: DataFrame, changes: DataFrame, now_ms: int) -> DataFrame:
@@ -256,25 +299,46 @@ def reidentify(summaries: DataFrame, changes: DataFrame, now_ms: int) -> DataFra
     """
     one = changes.groupBy("type", "id").agg(F.max(F.struct("uuid", "title", "parent_uuid")).alias("x"))
     limit = model.LIMITS["element_title"]
-    top = one.select(F.col("type").alias("element_type"), F.col("id").alias("element_identifier"), F.col("x.uuid").alias("new_uuid"), truncate_utf8(F.col("x.title"), limit).alias("new_title"))
+    top = one.select(
+        F.col("type").alias("element_type"), F.col("id").alias("element_identifier"), F.col("x.uuid").alias("new_uuid"),
+        truncate_utf8(F.col("x.title"), limit).alias("new_title")
+    )
     out = summaries.join(top, ["element_type", "element_identifier"], "left")
     hit = F.col("element_uuid").isNull() & F.col("new_uuid").isNotNull()
-    out = out.withColumns({"element_title": F.when(hit, F.col("new_title")).otherwise(F.col("element_title")), "update_time": F.when(hit, F.lit(now_ms).cast("long")).otherwise(F.col("update_time")), "element_uuid": F.coalesce("element_uuid", "new_uuid")})
+    out = out.withColumns(
+        {
+            "element_title": F.when(hit, F.col("new_title")).otherwise(F.col("element_title")),
+            "update_time": F.when(hit, F.lit(now_ms).cast("long")).otherwise(F.col("update_time")),
+            "element_uuid": F.coalesce("element_uuid", "new_uuid")
+        }
+    )
     sub = changes.where("parent_uuid is not null").groupBy("type", "id", "parent_uuid").agg(F.max(F.struct("uuid", "title")).alias("x"))
-    sub = sub.select(F.col("type").alias("element_sub_type"), F.col("id").alias("element_sub_identifier"), F.col("parent_uuid").alias("element_uuid"), F.col("x.uuid").alias("sub_uuid"), truncate_utf8(F.col("x.title"), limit).alias("sub_title"))
+    sub = sub.select(
+        F.col("type").alias("element_sub_type"), F.col("id").alias("element_sub_identifier"), F.col("parent_uuid").alias("element_uuid"),
+        F.col("x.uuid").alias("sub_uuid"), truncate_utf8(F.col("x.title"), limit).alias("sub_title")
+    )
     out = out.select(*summaries.columns).join(sub, ["element_sub_type", "element_sub_identifier", "element_uuid"], "left")
     hit = F.col("element_sub_uuid").isNull() & F.col("sub_uuid").isNotNull()
-    out = out.withColumns({"element_sub_title": F.when(hit, F.col("sub_title")).otherwise(F.col("element_sub_title")), "update_time": F.when(hit, F.lit(now_ms).cast("long")).otherwise(F.col("update_time")), "hit": hit, "element_sub_uuid": F.coalesce("element_sub_uuid", "sub_uuid")})
+    out = out.withColumns(
+        {
+            "element_sub_title": F.when(hit, F.col("sub_title")).otherwise(F.col("element_sub_title")),
+            "update_time": F.when(hit, F.lit(now_ms).cast("long")).otherwise(F.col("update_time")), "hit": hit,
+            "element_sub_uuid": F.coalesce("element_sub_uuid", "sub_uuid")
+        }
+    )
     return out.withColumn("clear_hash", F.when(F.col("hit"), _clear_hash()).otherwise(F.col("clear_hash"))).select(*summaries.columns)
 
 
 def deidentify(summaries: DataFrame, removed: DataFrame, now_ms: int) -> DataFrame:
     """Model elements that were removed (uuid): events lose their uuid; where it was a sub-element's, the clear hash is made anew."""
     gone = removed.select("uuid").distinct()
-    out = summaries.join(gone.select(F.col("uuid").alias("element_uuid"), F.lit(True).alias("top")), "element_uuid", "left").join(gone.select(F.col("uuid").alias("element_sub_uuid"), F.lit(True).alias("sub")), "element_sub_uuid", "left")
+    out = summaries.join(gone.select(F.col("uuid").alias("element_uuid"), F.lit(True).alias("top")), "element_uuid", "left").join(
+        gone.select(F.col("uuid").alias("element_sub_uuid"), F.lit(True).alias("sub")), "element_sub_uuid", "left"
+    )
     none = F.lit(None).cast("string")
     out = out.withColumns({
-        "element_uuid": F.when(F.col("top"), none).otherwise(F.col("element_uuid")), "element_sub_uuid": F.when(F.col("sub"), none).otherwise(F.col("element_sub_uuid")),
+        "element_uuid": F.when(F.col("top"), none).otherwise(F.col("element_uuid")),
+        "element_sub_uuid": F.when(F.col("sub"), none).otherwise(F.col("element_sub_uuid")),
         "update_time": F.when(F.coalesce("top", "sub"), F.lit(now_ms).cast("long")).otherwise(F.col("update_time")),
     })
     return out.withColumn("clear_hash", F.when(F.col("sub"), _clear_hash()).otherwise(F.col("clear_hash"))).select(*summaries.columns)
@@ -286,7 +350,12 @@ def import_new(summaries: DataFrame, imported: DataFrame) -> DataFrame:
     active = summaries.where(~F.col("status").isin(model.CLOSED, model.CLEARED)).select("fingerprint_hash")
     fresh = fresh.join(active, "fingerprint_hash", "left_anti")
     if "details" in fresh.columns and "update_time" in fresh.columns:
-        mark = F.array(F.struct(F.lit(model.MIGRATE_DETAIL).alias("name"), F.array(F.col("update_time").cast("string")).alias("values"), F.lit("REPLACE").alias("merge"))).cast(detail_lists.DETAILS)
+        mark = F.array(
+            F.struct(
+                F.lit(model.MIGRATE_DETAIL).alias("name"), F.array(F.col("update_time").cast("string")).alias("values"),
+                F.lit("REPLACE").alias("merge")
+            )
+        ).cast(detail_lists.DETAILS)
         fresh = fresh.withColumn("details", detail_lists.merge(F.col("details"), mark))
     return summaries.unionByName(fresh.select(*summaries.columns))
 

@@ -53,19 +53,28 @@ def lookup_by_key(spark, d):
     return lookup.by_key(old, keys).select("uuid", "event_count")
 
 
-@query("lookup_fallback", SPLIT_SQL + ", w AS (SELECT uuid FROM e WHERE user_id % 4 = 1) SELECT uuid, event_count, last_seen FROM live WHERE uuid IN (SELECT uuid FROM w) UNION ALL SELECT uuid, event_count, last_seen FROM old WHERE uuid IN (SELECT uuid FROM w)")
+@query(
+    "lookup_fallback",
+    SPLIT_SQL + ", w AS (SELECT uuid FROM e WHERE user_id % 4 = 1) SELECT uuid, event_count, last_seen FROM live WHERE uuid IN (SELECT uuid FROM w) UNION ALL SELECT uuid, event_count, last_seen FROM old WHERE uuid IN (SELECT uuid FROM w)"
+)
 def lookup_fallback(spark, d):
     live, old = _split(spark, d)
     wanted = tables.occurrences(spark, d).where("user_id % 4 = 1").select("uuid")
     return lookup.with_fallback(live.select("uuid", "event_count", "last_seen"), old, wanted)
 
 
-@query("archive_page", SPLIT_SQL + " SELECT uuid, archive_day FROM old WHERE archive_day < 19740 OR archive_day = 19740 AND uuid > '8' ORDER BY archive_day DESC, uuid LIMIT 30")
+@query(
+    "archive_page",
+    SPLIT_SQL + " SELECT uuid, archive_day FROM old WHERE archive_day < 19740 OR archive_day = 19740 AND uuid > '8' ORDER BY archive_day DESC, uuid LIMIT 30"
+)
 def archive_page(spark, d):
     return lookup.partition_page(_split(spark, d)[1], (19740, "8"), NOW, 30).select("uuid", "archive_day")
 
 
-@query("hits_in_order", f"WITH {S_SQL}, h AS (SELECT uuid, row_number() OVER (ORDER BY uuid DESC) AS ordinal FROM (SELECT uuid FROM e ORDER BY uuid DESC LIMIT 1000)) SELECT h.uuid, h.ordinal, event_count FROM h JOIN s USING (uuid) ORDER BY ordinal")
+@query(
+    "hits_in_order",
+    f"WITH {S_SQL}, h AS (SELECT uuid, row_number() OVER (ORDER BY uuid DESC) AS ordinal FROM (SELECT uuid FROM e ORDER BY uuid DESC LIMIT 1000)) SELECT h.uuid, h.ordinal, event_count FROM h JOIN s USING (uuid) ORDER BY ordinal"
+)
 def hits_in_order(spark, d):
     """Hits without a row are left out; the others keep the hits' order."""
     from pyspark.sql import Window
@@ -80,14 +89,20 @@ def index_purge(spark, d):
     return lookup.purge(_s(spark, d), NOW - 2 * DAY).select("uuid")
 
 
-@query("index_changes", f"WITH {S_SQL} SELECT uuid, CASE WHEN severity = 4 THEN event_count + 1 ELSE event_count END AS event_count FROM s WHERE severity <> 1")
+@query(
+    "index_changes",
+    f"WITH {S_SQL} SELECT uuid, CASE WHEN severity = 4 THEN event_count + 1 ELSE event_count END AS event_count FROM s WHERE severity <> 1"
+)
 def index_changes(spark, d):
     index = _s(spark, d).select("uuid", "severity", "event_count")
     new = index.where("severity in (1, 4)").withColumn("event_count", F.col("event_count") + 1)
     return lookup.apply_changes(index, new, index.where("severity = 1")).select("uuid", "event_count")
 
 
-@query("archive_changes", SPLIT_SQL + ", q AS (SELECT DISTINCT uuid, last_seen + event_count % 2 AS last_seen FROM old) SELECT q.uuid, old.uuid IS NOT NULL AS found FROM q LEFT JOIN old ON old.uuid = q.uuid AND old.last_seen = q.last_seen")
+@query(
+    "archive_changes",
+    SPLIT_SQL + ", q AS (SELECT DISTINCT uuid, last_seen + event_count % 2 AS last_seen FROM old) SELECT q.uuid, old.uuid IS NOT NULL AS found FROM q LEFT JOIN old ON old.uuid = q.uuid AND old.last_seen = q.last_seen"
+)
 def archive_changes(spark, d):
     old = _split(spark, d)[1]
     queue = old.select("uuid", (F.col("last_seen") + F.col("event_count") % 2).alias("last_seen"))
@@ -95,7 +110,10 @@ def archive_changes(spark, d):
     return here.select("uuid", F.lit(True).alias("found")).union(gone.select("uuid", F.lit(False)))
 
 
-@query("dictionary_encode", "SELECT row_number() OVER (ORDER BY CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, substr(sha1(event_type), 1, 3), event_type) + 6 AS id, event_type AS name FROM (SELECT DISTINCT event_type FROM events)")
+@query(
+    "dictionary_encode",
+    "SELECT row_number() OVER (ORDER BY CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, substr(sha1(event_type), 1, 3), event_type) + 6 AS id, event_type AS name FROM (SELECT DISTINCT event_type FROM events)"
+)
 def dictionary_encode(spark, d):
     stored = spark.createDataFrame([(7, "view"), (8, "click")], "id long, name string")
     return lookup.encode(tables.occurrences(spark, d), "event_type", stored)
@@ -106,10 +124,15 @@ def dictionary_encode(spark, d):
 CLOSED_SQL = "WITH " + E_SQL + ", x AS (SELECT * REPLACE (CASE WHEN event_id % 13 = 0 THEN 3 ELSE status END AS status) FROM e), y AS (SELECT *, CASE WHEN status = 3 THEN sha1(fingerprint || '|' || (created - CASE WHEN severity = 0 THEN 1 ELSE 0 END)) ELSE sha1(fingerprint) END AS h FROM x), " + FOLD_SQL.format(key="h", source="y")
 
 
-@query("dedup_closed_occurrences", CLOSED_SQL + " SELECT uuid, fp AS fingerprint_hash, status, event_count, first_seen, last_seen, status_change FROM s")
+@query(
+    "dedup_closed_occurrences",
+    CLOSED_SQL + " SELECT uuid, fp AS fingerprint_hash, status, event_count, first_seen, last_seen, status_change FROM s"
+)
 def dedup_closed_occurrences(spark, d):
     """Closed occurrences are stored one by one and leave the active event alone."""
-    e = tables.occurrences(spark, d).withColumn("status", F.when((F.col("arrival_seq").bitwiseXOR(F.lit(5))) % 13 == 0, model.CLOSED).otherwise(F.col("status")))
+    e = tables.occurrences(spark, d).withColumn(
+        "status", F.when((F.col("arrival_seq").bitwiseXOR(F.lit(5))) % 13 == 0, model.CLOSED).otherwise(F.col("status"))
+    )
     return state.dedup(e).select("uuid", "fingerprint_hash", "status", "event_count", "first_seen", "last_seen", "status_change")
 
 
@@ -121,26 +144,36 @@ def _detailed(spark, d):
     return tables.occurrences(spark, d).withColumn("details", F.when(F.col("k") < 80, both.cast(details.DETAILS)).otherwise(none))
 
 
-@query("dedup_details", f"WITH {S_SQL}, q AS (SELECT fingerprint, coalesce(arg_max(k, seq) FILTER (NOT late), arg_min(k, seq) FILTER (late)) AS k, count(DISTINCT k % 4) AS kinds FROM m WHERE k < 80 GROUP BY fingerprint) SELECT uuid, CAST(q.k AS VARCHAR) AS k, q.kinds AS kinds FROM s JOIN q USING (fingerprint)")
+@query(
+    "dedup_details",
+    f"WITH {S_SQL}, q AS (SELECT fingerprint, coalesce(arg_max(k, seq) FILTER (NOT late), arg_min(k, seq) FILTER (late)) AS k, count(DISTINCT k % 4) AS kinds FROM m WHERE k < 80 GROUP BY fingerprint) SELECT uuid, CAST(q.k AS VARCHAR) AS k, q.kinds AS kinds FROM s JOIN q USING (fingerprint)"
+)
 def dedup_details(spark, d):
     """The last occurrence in time gives a detail that is replaced; a detail that is a set gathers all values."""
     s = state.dedup(_detailed(spark, d), block=777).where("details is not null")
     seen = F.get(F.filter("details", lambda x: x["name"] == "seen"), 0)["values"]
-    return s.select("uuid", details.first_value(F.col("details"), "k").alias("k"), F.size(F.array_distinct(seen)).cast("long").alias("kinds"))
+    return s.select(
+        "uuid", details.first_value(F.col("details"), "k").alias("k"), F.size(F.array_distinct(seen)).cast("long").alias("kinds")
+    )
 
 
 def _clear_batch(spark, d):
     e = tables.occurrences(spark, d)
     own = text.clear_fingerprint(F.col("element_identifier"), F.lit(""), F.lit("/App"), F.lit(""))
     classes = F.array(F.lit("/App"), F.lit("/Other"))
-    named = lambda rows: rows.withColumn("clear_hashes", text.clear_fingerprints(F.col("element_identifier"), F.lit(""), classes, F.lit(""), F.lit("")))
+    named = lambda rows: rows.withColumn(
+        "clear_hashes", text.clear_fingerprints(F.col("element_identifier"), F.lit(""), classes, F.lit(""), F.lit(""))
+    )
     return state.clear(state.dedup(e.where("severity > 0").withColumn("clear_hash", own)), e.where("severity = 0"), named)
 
 
 CLEARED_SQL = f"WITH {S_SQL}{C_SQL}"
 
 
-@query("clear_store", CLEARED_SQL + ", ct AS (SELECT s.*, p.cleared_by, e.created AS ms FROM s LEFT JOIN p USING (uuid) LEFT JOIN e ON e.uuid = p.cleared_by WHERE s.severity > 0) SELECT uuid, CASE WHEN cleared_by IS NULL THEN status ELSE 4 END AS status, cleared_by, CASE WHEN cleared_by IS NULL THEN fingerprint_hash ELSE sha1(fingerprint || '|' || ms) END AS fingerprint_hash FROM ct UNION ALL SELECT uuid, 3, NULL, sha1(fingerprint || '|' || (created - 1)) FROM e WHERE uuid IN (SELECT cleared_by FROM p)")
+@query(
+    "clear_store",
+    CLEARED_SQL + ", ct AS (SELECT s.*, p.cleared_by, e.created AS ms FROM s LEFT JOIN p USING (uuid) LEFT JOIN e ON e.uuid = p.cleared_by WHERE s.severity > 0) SELECT uuid, CASE WHEN cleared_by IS NULL THEN status ELSE 4 END AS status, cleared_by, CASE WHEN cleared_by IS NULL THEN fingerprint_hash ELSE sha1(fingerprint || '|' || ms) END AS fingerprint_hash FROM ct UNION ALL SELECT uuid, 3, NULL, sha1(fingerprint || '|' || (created - 1)) FROM e WHERE uuid IN (SELECT cleared_by FROM p)"
+)
 def clear_store(spark, d):
     """Events that a clear ended, and the clears that ended any, stored as closed."""
     return _clear_batch(spark, d)[0].select("uuid", "status", "cleared_by", "fingerprint_hash")
@@ -152,30 +185,48 @@ def clear_dropped(spark, d):
     return _clear_batch(spark, d)[1].select("uuid")
 
 
-@query("clearing_event", CLEARED_SQL + " SELECT p.uuid, cleared_by, 0 AS clear_severity, e.created AS clear_time, true AS clear_found FROM p JOIN e ON e.uuid = p.cleared_by")
+@query(
+    "clearing_event",
+    CLEARED_SQL + " SELECT p.uuid, cleared_by, 0 AS clear_severity, e.created AS clear_time, true AS clear_found FROM p JOIN e ON e.uuid = p.cleared_by"
+)
 def clearing_event(spark, d):
     return state.clearing_event(_clear_batch(spark, d)[0]).select("uuid", "cleared_by", "clear_severity", "clear_time", "clear_found")
 
 
-@query("clear_fingerprint_set", f"WITH {E_SQL} SELECT uuid, [sha1(element_identifier || '||/A|k'), sha1(element_identifier || '||/B|k')] || CASE WHEN severity > 2 THEN [sha1(element_uuid || '|/A|k'), sha1(element_uuid || '|/B|k')] ELSE [] END AS hashes FROM e".replace("SELECT uuid, [", "SELECT uuid, array_to_string([").replace(" END AS hashes", " END, ',') AS hashes"))
+@query(
+    "clear_fingerprint_set",
+    f"WITH {E_SQL} SELECT uuid, [sha1(element_identifier || '||/A|k'), sha1(element_identifier || '||/B|k')] || CASE WHEN severity > 2 THEN [sha1(element_uuid || '|/A|k'), sha1(element_uuid || '|/B|k')] ELSE [] END AS hashes FROM e".replace(
+        "SELECT uuid, [", "SELECT uuid, array_to_string(["
+    ).replace(" END AS hashes", " END, ',') AS hashes")
+)
 def clear_fingerprint_set(spark, d):
     e = tables.occurrences(spark, d)
     sub = F.when(F.col("severity") > 2, F.col("element_uuid"))
-    hashes = text.clear_fingerprints(F.col("element_identifier"), F.lit(None).cast("string"), F.array(F.lit("/A"), F.lit("/B")), F.lit("k"), sub)
+    hashes = text.clear_fingerprints(
+        F.col("element_identifier"), F.lit(None).cast("string"), F.array(F.lit("/A"), F.lit("/B")), F.lit("k"), sub
+    )
     return e.select("uuid", F.array_join(hashes, ",").alias("hashes"))
 
 
-@query("age_limited", f"WITH {S_SQL}, a AS (SELECT uuid FROM s WHERE {AGE_SQL} ORDER BY last_seen, uuid LIMIT 10) SELECT uuid, CASE WHEN uuid IN (SELECT uuid FROM a) THEN 6 ELSE status END AS status FROM s")
+@query(
+    "age_limited",
+    f"WITH {S_SQL}, a AS (SELECT uuid FROM s WHERE {AGE_SQL} ORDER BY last_seen, uuid LIMIT 10) SELECT uuid, CASE WHEN uuid IN (SELECT uuid FROM a) THEN 6 ELSE status END AS status FROM s"
+)
 def age_limited(spark, d):
     return state.age(_s(spark, d), NOW, 5 * DAY, model.ERROR, limit=10).select("uuid", "status")
 
 
-@query("archive_limited", f"WITH {S_SQL} SELECT uuid FROM s WHERE {AGE_SQL} AND last_seen < {NOW - 6 * DAY} ORDER BY last_seen, uuid LIMIT 7")
+@query(
+    "archive_limited", f"WITH {S_SQL} SELECT uuid FROM s WHERE {AGE_SQL} AND last_seen < {NOW - 6 * DAY} ORDER BY last_seen, uuid LIMIT 7"
+)
 def archive_limited(spark, d):
     return state.archive_split(state.age(_s(spark, d), NOW, 5 * DAY, model.ERROR), NOW, 6 * DAY, limit=7)[1].select("uuid")
 
 
-@query("import_new", f"WITH {S_SQL} SELECT uuid, event_count FROM s UNION ALL SELECT sha1('new|' || uuid), event_count FROM s WHERE severity = 3")
+@query(
+    "import_new",
+    f"WITH {S_SQL} SELECT uuid, event_count FROM s UNION ALL SELECT sha1('new|' || uuid), event_count FROM s WHERE severity = 3"
+)
 def import_new(spark, d):
     """Of imported events those with a known uuid, or an active fingerprint, stay out."""
     s = _s(spark, d)
@@ -194,7 +245,8 @@ def _identified(spark, d):
     s = _s(spark, d)
     none = F.lit(None).cast("string")
     return s.withColumns({
-        "element_uuid": F.when(F.col("severity") != 4, F.col("element_uuid")), "element_type": F.lit(1), "element_title": none, "element_sub_type": F.lit(2), "element_sub_identifier": F.concat(F.lit("if"), "severity"),
+        "element_uuid": F.when(F.col("severity") != 4, F.col("element_uuid")), "element_type": F.lit(1), "element_title": none,
+        "element_sub_type": F.lit(2), "element_sub_identifier": F.concat(F.lit("if"), "severity"),
         "element_sub_uuid": none, "element_sub_title": none, "event_key": none, "update_time": F.col("last_seen"), "clear_hash": none,
     })
 
@@ -202,9 +254,16 @@ def _identified(spark, d):
 def _changes(spark, d):
     """Every fourth element is given a uuid, and the sub-element if1 of each element with one too."""
     u = tables.occurrences(spark, d).select("user_id", "element_identifier", "element_uuid").distinct()
-    top = u.where("user_id % 4 = 0").select(F.lit(1).alias("type"), F.col("element_identifier").alias("id"), "element_uuid", F.lit(None).cast("string").alias("parent_uuid"))
-    sub = u.select(F.lit(2).alias("type"), F.lit("if1").alias("id"), F.sha1(F.concat(F.lit("sub|"), "element_uuid")).alias("element_uuid"), F.col("element_uuid").alias("parent_uuid"))
-    return top.union(sub).select("type", "id", F.col("element_uuid").alias("uuid"), F.concat(F.lit("T "), "id").alias("title"), "parent_uuid")
+    top = u.where("user_id % 4 = 0").select(
+        F.lit(1).alias("type"), F.col("element_identifier").alias("id"), "element_uuid", F.lit(None).cast("string").alias("parent_uuid")
+    )
+    sub = u.select(
+        F.lit(2).alias("type"), F.lit("if1").alias("id"), F.sha1(F.concat(F.lit("sub|"), "element_uuid")).alias("element_uuid"),
+        F.col("element_uuid").alias("parent_uuid")
+    )
+    return top.union(sub).select(
+        "type", "id", F.col("element_uuid").alias("uuid"), F.concat(F.lit("T "), "id").alias("title"), "parent_uuid"
+    )
 
 
 RE_SQL = ID_SQL + """, n AS (SELECT *, coalesce(element_uuid, CASE WHEN CAST(substr(element_identifier, 6) AS BIGINT) % 4 = 0 THEN sha1('u|' || substr(element_identifier, 6)) END) AS eu FROM i),
@@ -212,16 +271,26 @@ RE_SQL = ID_SQL + """, n AS (SELECT *, coalesce(element_uuid, CASE WHEN CAST(sub
    CASE WHEN sub = 'if1' AND eu IS NOT NULL THEN 'T if1' END AS element_sub_title, element_identifier, sub FROM n)"""
 
 
-@query("reidentify", RE_SQL + " SELECT uuid, element_uuid, element_title, element_sub_uuid, element_sub_title, CASE WHEN element_sub_uuid IS NOT NULL THEN sha1(element_sub_uuid || '|' || event_class || '|') END AS clear_hash FROM r")
+@query(
+    "reidentify",
+    RE_SQL + " SELECT uuid, element_uuid, element_title, element_sub_uuid, element_sub_title, CASE WHEN element_sub_uuid IS NOT NULL THEN sha1(element_sub_uuid || '|' || event_class || '|') END AS clear_hash FROM r"
+)
 def reidentify(spark, d):
     return state.reidentify(_identified(spark, d), _changes(spark, d), NOW).select(*IDENTITY)
 
 
-@query("deidentify", RE_SQL + " SELECT uuid, CASE WHEN severity_even THEN NULL ELSE element_uuid END AS element_uuid, element_title, NULL AS element_sub_uuid, element_sub_title, CASE WHEN element_sub_uuid IS NOT NULL THEN sha1(element_identifier || '|' || sub || '|' || event_class || '|') END AS clear_hash FROM (SELECT *, element_uuid < '8' AS severity_even FROM r)".replace("NULL AS element_sub_uuid", "CAST(NULL AS VARCHAR) AS element_sub_uuid"))
+@query(
+    "deidentify",
+    RE_SQL + " SELECT uuid, CASE WHEN severity_even THEN NULL ELSE element_uuid END AS element_uuid, element_title, NULL AS element_sub_uuid, element_sub_title, CASE WHEN element_sub_uuid IS NOT NULL THEN sha1(element_identifier || '|' || sub || '|' || event_class || '|') END AS clear_hash FROM (SELECT *, element_uuid < '8' AS severity_even FROM r)".replace(
+        "NULL AS element_sub_uuid", "CAST(NULL AS VARCHAR) AS element_sub_uuid"
+    )
+)
 def deidentify(spark, d):
     """All sub-elements go, and the elements with a uuid under 8."""
     s = state.reidentify(_identified(spark, d), _changes(spark, d), NOW)
-    gone = s.where("element_sub_uuid is not null").select(F.col("element_sub_uuid").alias("uuid")).union(s.where("element_uuid < '8'").select("element_uuid"))
+    gone = s.where("element_sub_uuid is not null").select(F.col("element_sub_uuid").alias("uuid")).union(
+        s.where("element_uuid < '8'").select("element_uuid")
+    )
     return state.deidentify(s, gone, NOW).select(*IDENTITY)
 
 
@@ -230,7 +299,9 @@ def deidentify(spark, d):
 
 def _lists(spark, d):
     """Documents of details and tags, made of each summary's own values."""
-    one = lambda name, values, merge: F.struct(F.lit(name).alias("name"), F.array(*values).alias("values"), F.lit(merge).alias("merge"))
+    one = lambda name, values, merge: F.struct(
+        F.lit(name).alias("name"), F.array(*values).alias("values"), F.lit(merge).alias("merge")
+    )
     n, sev = F.col("event_count").cast("string"), F.col("severity").cast("string")
     old = F.array(one("a", [n], "REPLACE"), one("b", [sev, n], "REPLACE"), one("c", [sev], "REPLACE"), one("a", [sev], "REPLACE"))
     new = F.array(one("b", [F.lit("x"), sev], "UNIQUE"), one("c", [], "REPLACE"), one("d", [n], "APPEND"), one("a", [F.lit("z")], "APPEND"))
@@ -241,29 +312,53 @@ def _flat(col: str):
     return F.array_join(F.transform(col, lambda x: F.concat(x["name"], F.lit("="), F.array_join(x["values"], "+"))), ";")
 
 
-@query("details_of_one_name", f"WITH {S_SQL} SELECT uuid, 'a=' || event_count || '+' || severity || ';b=' || severity || '+' || event_count || ';c=' || severity AS flat FROM s")
+@query(
+    "details_of_one_name",
+    f"WITH {S_SQL} SELECT uuid, 'a=' || event_count || '+' || severity || ';b=' || severity || '+' || event_count || ';c=' || severity AS flat FROM s"
+)
 def details_of_one_name(spark, d):
     return _lists(spark, d).withColumn("one", details.merge_duplicates(F.col("old"))).select("uuid", _flat("one").alias("flat"))
 
 
-@query("details_merge", f"WITH {S_SQL} SELECT uuid, 'a=' || event_count || '+' || severity || '+z;b=' || severity || '+' || event_count || '+x;d=' || event_count AS flat FROM s")
+@query(
+    "details_merge",
+    f"WITH {S_SQL} SELECT uuid, 'a=' || event_count || '+' || severity || '+z;b=' || severity || '+' || event_count || '+x;d=' || event_count AS flat FROM s"
+)
 def details_merge(spark, d):
-    s = _lists(spark, d).withColumn("one", details.merge_duplicates(F.col("old"))).withColumn("m", details.merge(F.col("one"), F.col("new")))
+    s = _lists(spark, d).withColumn("one", details.merge_duplicates(F.col("old"))).withColumn(
+        "m", details.merge(F.col("one"), F.col("new"))
+    )
     return s.select("uuid", _flat("m").alias("flat"))
 
 
 @query("details_size_guard", f"WITH {S_SQL} SELECT uuid, CASE WHEN length(event_class) > 9 THEN 1 ELSE 2 END AS n FROM s")
 def details_size_guard(spark, d):
     """Long details leave only those with an important name."""
-    one = lambda name, value: F.struct(F.lit(name).alias("name"), F.array(value).alias("values"), F.lit("REPLACE").alias("merge"))
-    s = _s(spark, d).withColumn("x", F.array(one("core.a", F.lit("1")), one("other", F.repeat(F.lit("y"), F.when(F.length("event_class") > 9, 600).otherwise(6)))).cast(details.DETAILS))
+    one = lambda name, value: F.struct(
+        F.lit(name).alias("name"), F.array(value).alias("values"), F.lit("REPLACE").alias("merge")
+    )
+    s = _s(spark, d).withColumn(
+        "x",
+        F.array(
+            one("core.a", F.lit("1")), one("other", F.repeat(F.lit("y"), F.when(F.length("event_class") > 9, 600).otherwise(6)))
+        ).cast(details.DETAILS)
+    )
     return s.select("uuid", F.size(details.fit(F.col("x"), 1000, ("core.",))).alias("n"))
 
 
-@query("tags_normalised", f"WITH {S_SQL} SELECT uuid, CASE WHEN event_class = element_identifier THEN 'dev:' || element_identifier ELSE 'cls:' || event_class || ';dev:' || element_identifier || '+' || element_uuid END AS flat FROM s")
+@query(
+    "tags_normalised",
+    f"WITH {S_SQL} SELECT uuid, CASE WHEN event_class = element_identifier THEN 'dev:' || element_identifier ELSE 'cls:' || event_class || ';dev:' || element_identifier || '+' || element_uuid END AS flat FROM s"
+)
 def tags_normalised(spark, d):
     tag = lambda kind, *u: F.struct(F.lit(kind).alias("type"), F.array(*u).alias("uuids"))
-    s = _s(spark, d).withColumn("t", F.array(tag("dev", F.col("element_identifier")), tag("cls", F.col("event_class"), F.col("element_identifier")), tag("dev", F.col("element_uuid"), F.col("event_class"))))
+    s = _s(spark, d).withColumn(
+        "t",
+        F.array(
+            tag("dev", F.col("element_identifier")), tag("cls", F.col("event_class"), F.col("element_identifier")),
+            tag("dev", F.col("element_uuid"), F.col("event_class"))
+        )
+    )
     flat = F.transform(details.normalise_tags(F.col("t")), lambda x: F.concat(x["type"], F.lit(":"), F.array_join(x["uuids"], "+")))
     return s.select("uuid", F.array_join(flat, ";").alias("flat"))
 
@@ -278,23 +373,40 @@ def tag_of_element(spark, d):
     return e.where(has_tags(every, (sha1(b"u|7").hexdigest(), "error"), "OR")).select("uuid")
 
 
-@query("notes_and_details", f"WITH {S_SQL}, f AS (SELECT min(uuid) AS u FROM s) SELECT uuid, CASE WHEN uuid = u THEN 2 ELSE 0 END AS n_notes, CASE WHEN uuid = u THEN 'second' END AS newest, CASE WHEN uuid = u THEN '2' END AS level, CASE WHEN uuid = u THEN {NOW + 2} ELSE last_seen END AS update_time FROM s, f")
+@query(
+    "notes_and_details",
+    f"WITH {S_SQL}, f AS (SELECT min(uuid) AS u FROM s) SELECT uuid, CASE WHEN uuid = u THEN 2 ELSE 0 END AS n_notes, CASE WHEN uuid = u THEN 'second' END AS newest, CASE WHEN uuid = u THEN '2' END AS level, CASE WHEN uuid = u THEN {NOW + 2} ELSE last_seen END AS update_time FROM s, f"
+)
 def notes_and_details(spark, d):
-    s = _s(spark, d).withColumn("notes", F.expr(f"cast(null as {notes.NOTES})")).withColumn("details", F.expr(f"cast(null as {details.DETAILS})")).withColumn("update_time", F.col("last_seen"))
+    s = _s(spark, d).withColumn("notes", F.expr(f"cast(null as {notes.NOTES})")).withColumn(
+        "details", F.expr(f"cast(null as {details.DETAILS})")
+    ).withColumn("update_time", F.col("last_seen"))
     least = s.agg(F.min("uuid").alias("u")).first()["u"]
-    level = lambda v: F.array(F.struct(F.lit("level").alias("name"), F.array(F.lit(v)).alias("values"), F.lit("REPLACE").alias("merge")))
+    level = lambda v: F.array(
+        F.struct(F.lit("level").alias("name"), F.array(F.lit(v)).alias("values"), F.lit("REPLACE").alias("merge"))
+    )
     s = notes.add_note(notes.add_note(s, least, "first", "u1", "op", NOW), least, "second", "u1", "op", NOW + 1)
     s = notes.update_details(notes.update_details(s, least, level("1"), NOW), least, level("2"), NOW + 2)
     none = F.lit(0)
-    return s.select("uuid", F.greatest(F.coalesce(F.size("notes"), none), none).alias("n_notes"), F.get("notes", 0)["message"].alias("newest"), details.first_value(F.col("details"), "level").alias("level"), "update_time")
+    return s.select(
+        "uuid", F.greatest(F.coalesce(F.size("notes"), none), none).alias("n_notes"), F.get("notes", 0)["message"].alias("newest"),
+        details.first_value(F.col("details"), "level").alias("level"), "update_time"
+    )
 
 
 # ---- requests, views and records
 
-PARAMS = {"severity": ["warning", "SEVERITY_ERROR"], "ex_status": ["acknowledged"], "count": [">=5"], "last_seen": ["2024-01-10T00:00:00Z/2024-01-30T12:30:00.500Z"], "element_identifier": ["user-1"], "sort": ["COUNT,DESCENDING", "UUID"], "limit": ["40"]}
+PARAMS = {
+    "severity": ["warning", "SEVERITY_ERROR"], "ex_status": ["acknowledged"], "count": [">=5"],
+    "last_seen": ["2024-01-10T00:00:00Z/2024-01-30T12:30:00.500Z"], "element_identifier": ["user-1"], "sort": ["COUNT,DESCENDING", "UUID"],
+    "limit": ["40"]
+}
 
 
-@query("request_query", f"WITH {S_SQL} SELECT uuid, event_count FROM s WHERE severity IN (3, 4) AND status <> 1 AND event_count >= 5 AND last_seen BETWEEN 1704844800000 AND 1706617800500 AND element_identifier LIKE '%user-1%' ORDER BY event_count DESC, uuid LIMIT 40")
+@query(
+    "request_query",
+    f"WITH {S_SQL} SELECT uuid, event_count FROM s WHERE severity IN (3, 4) AND status <> 1 AND event_count >= 5 AND last_seen BETWEEN 1704844800000 AND 1706617800500 AND element_identifier LIKE '%user-1%' ORDER BY event_count DESC, uuid LIMIT 40"
+)
 def request_query(spark, d):
     return page(_s(spark, d), event_query(PARAMS)).select("uuid", "event_count")
 
@@ -305,7 +417,10 @@ def request_tags(spark, d):
     return tables.occurrences(spark, d).where(condition(flt)).select("uuid")
 
 
-@query("update_by_search", f"WITH {S_SQL}, h AS (SELECT uuid FROM s WHERE severity = 2 AND status IN (0, 2) ORDER BY uuid LIMIT 30) SELECT uuid, CASE WHEN uuid IN (SELECT uuid FROM h) THEN 1 ELSE status END AS status FROM s")
+@query(
+    "update_by_search",
+    f"WITH {S_SQL}, h AS (SELECT uuid FROM s WHERE severity = 2 AND status IN (0, 2) ORDER BY uuid LIMIT 30) SELECT uuid, CASE WHEN uuid IN (SELECT uuid FROM h) THEN 1 ELSE status END AS status FROM s"
+)
 def search_update(spark, d):
     """Three pages of ten, each request going on where the one before ended."""
     s = _s(spark, d).withColumn("user_name", F.lit(None).cast("string"))
@@ -316,16 +431,24 @@ def search_update(spark, d):
     return s.select("uuid", "status")
 
 
-@query("readable_view", f"WITH {E_SQL} SELECT substr(u, 1, 8) || '-' || substr(u, 9, 4) || '-' || substr(u, 13, 4) || '-' || substr(u, 17, 4) || '-' || substr(u, 21, 12) AS uuid, fingerprint_hash, event_class, event_key, strftime(epoch_ms(last_seen), '%Y-%m-%d %H:%M:%S.') || lpad(CAST(last_seen % 1000 AS VARCHAR), 3, '0') AS last_seen FROM (SELECT substr(uuid, 1, 32) AS u, sha1(fingerprint) AS fingerprint_hash, event_class, CASE WHEN user_id % 2 = 0 THEN 'even' END AS event_key, created AS last_seen FROM e WHERE event_type <> 'signup')")
+@query(
+    "readable_view",
+    f"WITH {E_SQL} SELECT substr(u, 1, 8) || '-' || substr(u, 9, 4) || '-' || substr(u, 13, 4) || '-' || substr(u, 17, 4) || '-' || substr(u, 21, 12) AS uuid, fingerprint_hash, event_class, event_key, strftime(epoch_ms(last_seen), '%Y-%m-%d %H:%M:%S.') || lpad(CAST(last_seen % 1000 AS VARCHAR), 3, '0') AS last_seen FROM (SELECT substr(uuid, 1, 32) AS u, sha1(fingerprint) AS fingerprint_hash, event_class, CASE WHEN user_id % 2 = 0 THEN 'even' END AS event_key, created AS last_seen FROM e WHERE event_type <> 'signup')"
+)
 def readable_view(spark, d):
     """Ids of classes and keys become names; an event without a class is left out, one without a key stays."""
     e = tables.occurrences(spark, d)
-    classes = spark.createDataFrame([(i, f"/App/{c}") for i, c in enumerate(("error", "purchase", "click", "view"))], "id long, name string")
+    classes = spark.createDataFrame(
+        [(i, f"/App/{c}") for i, c in enumerate(("error", "purchase", "click", "view"))], "id long, name string"
+    )
     keys = spark.createDataFrame([(0, "even")], "id long, name string")
     stored = e.join(classes.withColumnRenamed("id", "event_class_id"), F.col("event_class") == F.col("name"), "left").select(
-        F.unhex(F.substring("uuid", 1, 32)).alias("uuid"), F.unhex(F.sha1("fingerprint")).alias("fingerprint_hash"), "event_class_id", (F.col("user_id") % 2).alias("event_key_id"), F.col("created").alias("last_seen")
+        F.unhex(F.substring("uuid", 1, 32)).alias("uuid"), F.unhex(F.sha1("fingerprint")).alias("fingerprint_hash"), "event_class_id",
+        (F.col("user_id") % 2).alias("event_key_id"), F.col("created").alias("last_seen")
+    )
+    return views.readable(stored, {"event_class": classes, "event_key": keys}).select(
+        "uuid", "fingerprint_hash", "event_class", "event_key", "last_seen"
     )
-    return views.readable(stored, {"event_class": classes, "event_key": keys}).select("uuid", "fingerprint_hash", "event_class", "event_key", "last_seen")
 
 
 ETL = "evid, event_source_table, dedupid, device, component, summary, severity, severity_name, event_state_name, first_time, last_time, count, prod_state, clear_evid, state_change, element_uuid, detail_k"
@@ -342,16 +465,23 @@ def _etl_text(df):
 def etl_records(spark, d):
     """The warehouse's record, with a detail; archived events that are summaries again come once."""
     live, old = _split(spark, d)
-    one = lambda name, value: F.struct(F.lit(name).alias("name"), F.array(value).alias("values"), F.lit("REPLACE").alias("merge"))
+    one = lambda name, value: F.struct(
+        F.lit(name).alias("name"), F.array(value).alias("values"), F.lit("REPLACE").alias("merge")
+    )
 
     def full(df):
         found = F.array(one("k", F.concat(F.lit("v"), "event_count")), one("production_state", F.when(F.col("severity") > 2, "1000")))
-        return df.withColumn("details", found.cast(details.DETAILS)).withColumn("summary", F.concat(F.lit(" seen\r "), "event_count", F.lit(" times\r")))
+        return df.withColumn("details", found.cast(details.DETAILS)).withColumn(
+            "summary", F.concat(F.lit(" seen\r "), "event_count", F.lit(" times\r"))
+        )
 
     return _etl_text(views.etl(full(live), full(old.drop("archive_day", "update_time").unionByName(live.where("severity = 3"))), ("k",)))
 
 
-@query("export_records", f"WITH {S_SQL} SELECT uuid, last_seen AS timestamp, CASE WHEN status = 2 THEN 'SUPPRESSED' ELSE 'OPEN' END AS status, ['CLEAR', 'DEBUG', 'INFO', 'WARNING', 'ERROR', 'CRITICAL'][severity + 1] AS severity, CASE WHEN event_count % 2 = 0 THEN 'eth0' ELSE element_identifier END AS context, left(fingerprint, 10) AS summary, CASE WHEN event_count % 2 = 0 THEN element_identifier END AS parent, 'site' AS source, event_class FROM s WHERE severity >= 3")
+@query(
+    "export_records",
+    f"WITH {S_SQL} SELECT uuid, last_seen AS timestamp, CASE WHEN status = 2 THEN 'SUPPRESSED' ELSE 'OPEN' END AS status, ['CLEAR', 'DEBUG', 'INFO', 'WARNING', 'ERROR', 'CRITICAL'][severity + 1] AS severity, CASE WHEN event_count % 2 = 0 THEN 'eth0' ELSE element_identifier END AS context, left(fingerprint, 10) AS summary, CASE WHEN event_count % 2 = 0 THEN element_identifier END AS parent, 'site' AS source, event_class FROM s WHERE severity >= 3"
+)
 def export_records(spark, d):
     s = _s(spark, d).withColumn("element_sub_identifier", F.when(F.col("event_count") % 2 == 0, "eth0"))
     out = views.export_record(s, "site", model.WARNING, summary_bytes=10)
@@ -359,26 +489,39 @@ def export_records(spark, d):
     return out.select("uuid", "timestamp", "status", "severity", "context", "summary", meta("parent"), meta("source"), meta("event_class"))
 
 
-@query("conversions", f"WITH {E_SQL} SELECT uuid, lower(hex(unhex(uuid))) AS hash, strftime(epoch_ms(created), '%Y-%m-%d %H:%M:%S.') || lpad(CAST(created % 1000 AS VARCHAR), 3, '0') AS at, coalesce(CASE WHEN user_id % 3 = 0 THEN 'T' || user_id END, element_identifier) AS title, list_contains([0, 1, 2], severity) AS below_warning FROM e")
+@query(
+    "conversions",
+    f"WITH {E_SQL} SELECT uuid, lower(hex(unhex(uuid))) AS hash, strftime(epoch_ms(created), '%Y-%m-%d %H:%M:%S.') || lpad(CAST(created % 1000 AS VARCHAR), 3, '0') AS at, coalesce(CASE WHEN user_id % 3 = 0 THEN 'T' || user_id END, element_identifier) AS title, list_contains([0, 1, 2], severity) AS below_warning FROM e"
+)
 def conversions(spark, d):
     e = tables.occurrences(spark, d)
     title = text.title_or_id(F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("T"), "user_id")), F.col("element_identifier"))
     below = F.col("severity").isin(*model.severities_below(model.WARNING))
-    return e.select("uuid", text.sha1_text(F.unhex("uuid")).alias("hash"), text.millis_text(F.col("created")).alias("at"), title.alias("title"), below.alias("below_warning"))
+    return e.select(
+        "uuid", text.sha1_text(F.unhex("uuid")).alias("hash"), text.millis_text(F.col("created")).alias("at"), title.alias("title"),
+        below.alias("below_warning")
+    )
 
 
 @query("json_round_trip", f"WITH {S_SQL} SELECT uuid, 'a=' || event_count || ';b=' || severity || '+' || event_count AS flat FROM s")
 def json_round_trip(spark, d):
-    one = lambda name, *values: F.struct(F.lit(name).alias("name"), F.array(*values).alias("values"), F.lit("REPLACE").alias("merge"))
+    one = lambda name, *values: F.struct(
+        F.lit(name).alias("name"), F.array(*values).alias("values"), F.lit("REPLACE").alias("merge")
+    )
     n = F.col("event_count").cast("string")
     s = _s(spark, d).withColumn("json", F.to_json(F.array(one("a", n), one("b", F.col("severity").cast("string"), n))))
     return s.withColumn("back", F.from_json("json", details.DETAILS)).select("uuid", _flat("back").alias("flat"))
 
 
-@query("sort_missing_first", f"WITH {E_SQL} SELECT uuid, k FROM (SELECT uuid, CASE WHEN k < 50 THEN k END AS k FROM e) ORDER BY k NULLS FIRST, uuid LIMIT 3000")
+@query(
+    "sort_missing_first",
+    f"WITH {E_SQL} SELECT uuid, k FROM (SELECT uuid, CASE WHEN k < 50 THEN k END AS k FROM e) ORDER BY k NULLS FIRST, uuid LIMIT 3000"
+)
 def sort_missing_first(spark, d):
     """A numeric detail that is missing sorts as the least number; limits above the page's are cut, so three pages."""
-    e = tables.occurrences(spark, d).withColumn("k", F.when(F.col("k") < 50, F.col("k"))).withColumn("by", F.coalesce("k", F.lit(MISSING_INT)))
+    e = tables.occurrences(spark, d).withColumn("k", F.when(F.col("k") < 50, F.col("k"))).withColumn(
+        "by", F.coalesce("k", F.lit(MISSING_INT))
+    )
     parts = [page(e, EventQuery(sort=(Sort("by"),), offset=at, limit=1000)) for at in (0, 1000, 2000)]
     return parts[0].union(parts[1]).union(parts[2]).select("uuid", "k")
 
@@ -387,7 +530,9 @@ def sort_missing_first(spark, d):
 def ip_ranges(spark, d):
     """A netmask, and a last octet with leading zeros."""
     c = F.col("ip")
-    return tables.occurrences(spark, d).where(ip.in_range(c, "10.0.0.64/255.255.255.192") | ip.substring(c, "0.005")).where(~ip.exact(c, "10.0.1.5")).select("uuid")
+    return tables.occurrences(spark, d).where(
+        ip.in_range(c, "10.0.0.64/255.255.255.192") | ip.substring(c, "0.005")
+    ).where(~ip.exact(c, "10.0.1.5")).select("uuid")
 
 
 # ---- triggers and monitors
@@ -398,10 +543,16 @@ def trigger_nesting(spark, d):
     """Enabled triggers with their subscriptions; one without any has an empty list."""
     triggers = spark.createDataFrame([("t1", True), ("t2", True), ("t4", True), ("t5", False)], "trigger string, enabled boolean")
     out = reactions.nested_subscriptions(triggers, _subscriptions(spark), enabled_only=True)
-    return out.select("trigger", F.size("subscriptions").alias("n"), F.array_join(F.transform("subscriptions", lambda x: x["subscription"]), ",").alias("names"))
+    return out.select(
+        "trigger", F.size("subscriptions").alias("n"),
+        F.array_join(F.transform("subscriptions", lambda x: x["subscription"]), ",").alias("names")
+    )
 
 
-@query("subscription_update", f"WITH {SUBS_SQL} SELECT subscription, trigger, CASE WHEN subscription = 's3' THEN 99 ELSE delay END AS delay_seconds FROM b WHERE subscription IN ('s2', 's3') UNION ALL SELECT 's9', 't2', 5")
+@query(
+    "subscription_update",
+    f"WITH {SUBS_SQL} SELECT subscription, trigger, CASE WHEN subscription = 's3' THEN 99 ELSE delay END AS delay_seconds FROM b WHERE subscription IN ('s2', 's3') UNION ALL SELECT 's9', 't2', 5"
+)
 def subscription_update(spark, d):
     """A subscriber's list is replaced: what it does not name goes, with its spools."""
     subs = _subscriptions(spark)
@@ -417,29 +568,47 @@ def subscription_lookup(spark, d):
 @query("spool_of_deleted_trigger", SUB_SQL + " SELECT uuid, subscription FROM sp WHERE subscription <> 's3'")
 def spool_of_deleted_trigger(spark, d):
     spool = _first_batch(spark, d)[1]
-    return spool.join(_subscriptions(spark).where("trigger = 't2'").select("subscription"), "subscription", "left_anti").select("uuid", "subscription")
+    return spool.join(
+        _subscriptions(spark).where("trigger = 't2'").select("subscription"), "subscription", "left_anti"
+    ).select("uuid", "subscription")
 
 
-@query("signals_with_events", SUB_SQL + " SELECT sp.uuid, subscription, subscriber, event_count, CAST(NULL AS VARCHAR) AS clear_fingerprint FROM sp JOIN b USING (subscription) JOIN s ON s.uuid = sp.uuid WHERE sent")
+@query(
+    "signals_with_events",
+    SUB_SQL + " SELECT sp.uuid, subscription, subscriber, event_count, CAST(NULL AS VARCHAR) AS clear_fingerprint FROM sp JOIN b USING (subscription) JOIN s ON s.uuid = sp.uuid WHERE sent"
+)
 def signals_with_events(spark, d):
     out = reactions.full_signals(_first_batch(spark, d)[0], _subscriptions(spark), _s(spark, d))
     return out.select("uuid", "subscription", "subscriber", "event_count", "clear_fingerprint")
 
 
 def _beats(spark, d):
-    return tables.occurrences(spark, d).select(F.col("element_identifier").alias("monitor"), F.col("event_type").alias("daemon"), F.col("created").alias("last_time"), F.lit(43200).alias("timeout_s"))
+    return tables.occurrences(spark, d).select(
+        F.col("element_identifier").alias("monitor"), F.col("event_type").alias("daemon"), F.col("created").alias("last_time"),
+        F.lit(43200).alias("timeout_s")
+    )
 
 
-@query("heartbeats_of_monitor", f"WITH {E_SQL} SELECT event_type AS daemon, max(created) AS last_time FROM e WHERE element_identifier = 'user-7' GROUP BY event_type")
+@query(
+    "heartbeats_of_monitor",
+    f"WITH {E_SQL} SELECT event_type AS daemon, max(created) AS last_time FROM e WHERE element_identifier = 'user-7' GROUP BY event_type"
+)
 def heartbeats_of_monitor(spark, d):
     return reactions.latest_beats(_beats(spark, d)).where("monitor = 'user-7'").select("daemon", "last_time")
 
 
-@query("heartbeats_after_delete", f"WITH {E_SQL} SELECT element_identifier AS monitor, event_type AS daemon, max(created) AS last_time FROM e WHERE element_identifier <> 'user-7' AND NOT (element_identifier = 'user-8' AND event_type = 'view') GROUP BY ALL")
+@query(
+    "heartbeats_after_delete",
+    f"WITH {E_SQL} SELECT element_identifier AS monitor, event_type AS daemon, max(created) AS last_time FROM e WHERE element_identifier <> 'user-7' AND NOT (element_identifier = 'user-8' AND event_type = 'view') GROUP BY ALL"
+)
 def heartbeats_after_delete(spark, d):
-    gone = spark.createDataFrame([("user-7", None), ("user-8", "view")], "monitor string, daemon string").withColumnRenamed("daemon", "which")
+    gone = spark.createDataFrame(
+        [("user-7", None), ("user-8", "view")], "monitor string, daemon string"
+    ).withColumnRenamed("daemon", "which")
     beats = reactions.latest_beats(_beats(spark, d))
-    return beats.join(gone, (beats.monitor == gone.monitor) & (gone.which.isNull() | (gone.which == beats.daemon)), "left_anti").select("monitor", "daemon", "last_time")
+    return beats.join(
+        gone, (beats.monitor == gone.monitor) & (gone.which.isNull() | (gone.which == beats.daemon)), "left_anti"
+    ).select("monitor", "daemon", "last_time")
 
 
 HB_SQL = f"""WITH {E_SQL}, h AS (SELECT element_identifier AS monitor, event_type AS daemon, max(created) + 43200000 <= {NOW} AS expired FROM e GROUP BY ALL) SELECT sha1('heartbeat|' || monitor || '|' || daemon || '|{NOW}') AS uuid, 4 AS severity, monitor || '|' || daemon || '|/Heartbeat' AS fingerprint FROM h WHERE expired"""
@@ -453,7 +622,10 @@ def heartbeat_events(spark, d):
     return reactions.heartbeat_events(reactions.heartbeats(beats, none, NOW), NOW).select("uuid", "severity", "fingerprint")
 
 
-@query("flap_events", FLAP_SQL + " SELECT sha1('flap|' || uuid) AS uuid, 'flapped ' || n_flaps || ' times' AS summary FROM k WHERE is_flap AND n_flaps >= 2 AND n_flaps % 2 = 0")
+@query(
+    "flap_events",
+    FLAP_SQL + " SELECT sha1('flap|' || uuid) AS uuid, 'flapped ' || n_flaps || ' times' AS summary FROM k WHERE is_flap AND n_flaps >= 2 AND n_flaps % 2 = 0"
+)
 def flap_events(spark, d):
     return reactions.flap_events(reactions.flap_alerts(_flaps(spark, d), 2)).select("uuid", "summary")
 
@@ -461,7 +633,10 @@ def flap_events(spark, d):
 # ---- tables and counters
 
 
-@query("event_time_log", f"WITH {E_SQL} SELECT uuid, CAST({NOW} AS BIGINT) AS processed, created FROM e WHERE created > {NOW - 3 * DAY} ORDER BY uuid LIMIT 500")
+@query(
+    "event_time_log",
+    f"WITH {E_SQL} SELECT uuid, CAST({NOW} AS BIGINT) AS processed, created FROM e WHERE created > {NOW - 3 * DAY} ORDER BY uuid LIMIT 500"
+)
 def event_time_log(spark, d):
     e = tables.occurrences(spark, d).where(F.col("created") > NOW - 3 * DAY)
     return lookup.time_since(event_times(e, NOW), NOW - 1, 500).select("uuid", "processed", "created")
@@ -469,17 +644,28 @@ def event_time_log(spark, d):
 
 @query("event_time_purge", f"WITH {E_SQL} SELECT uuid FROM e WHERE created > {NOW - DAY}")
 def event_time_purge(spark, d):
-    return lookup.purge(event_times(tables.occurrences(spark, d), NOW).withColumn("processed", F.col("created")), NOW - DAY, "processed").select("uuid")
+    return lookup.purge(
+        event_times(tables.occurrences(spark, d), NOW).withColumn("processed", F.col("created")), NOW - DAY, "processed"
+    ).select("uuid")
 
 
-@query("messages_parsed", f"WITH {E_SQL} SELECT uuid, created, severity, 'ok' AS outcome FROM e WHERE event_id % 29 <> 0 UNION ALL SELECT NULL, NULL, NULL, 'not an event' FROM e WHERE event_id % 29 = 0")
+@query(
+    "messages_parsed",
+    f"WITH {E_SQL} SELECT uuid, created, severity, 'ok' AS outcome FROM e WHERE event_id % 29 <> 0 UNION ALL SELECT NULL, NULL, NULL, 'not an event' FROM e WHERE event_id % 29 = 0"
+)
 def messages_parsed(spark, d):
     """Occurrences from JSON messages; broken ones are dead letters."""
     e = tables.occurrences(spark, d).withColumn("event_id", F.col("arrival_seq").bitwiseXOR(F.lit(5)))
     good = F.to_json(F.struct("uuid", "created", "severity", "event_class"))
-    raw = e.select(F.when(F.col("event_id") % 58 == 0, F.lit(None)).when(F.col("event_id") % 29 == 0, F.substring(good, 1, 20)).otherwise(good).alias("value"))
+    raw = e.select(
+        F.when(F.col("event_id") % 58 == 0, F.lit(None)).when(
+            F.col("event_id") % 29 == 0, F.substring(good, 1, 20)
+        ).otherwise(good).alias("value")
+    )
     events, dead = tables.parse_messages(raw, "uuid string, created long, severity int, event_class string")
-    return events.select("uuid", "created", "severity", F.lit("ok").alias("outcome")).unionByName(dead.select(F.col("reason").alias("outcome")), allowMissingColumns=True)
+    return events.select("uuid", "created", "severity", F.lit("ok").alias("outcome")).unionByName(
+        dead.select(F.col("reason").alias("outcome")), allowMissingColumns=True
+    )
 
 
 RAW_SQL = f"WITH {E_SQL}, w AS (SELECT CASE WHEN event_id % 17 = 0 THEN '' ELSE uuid END AS uuid, CASE WHEN event_id % 19 = 0 THEN NULL ELSE created END AS created, CASE WHEN event_id % 23 = 0 THEN 5 ELSE status END AS status, fingerprint FROM e)"
@@ -487,19 +673,34 @@ RAW_SQL = f"WITH {E_SQL}, w AS (SELECT CASE WHEN event_id % 17 = 0 THEN '' ELSE
 
 def _raw(spark, d):
     e = tables.occurrences(spark, d).withColumn("event_id", F.col("arrival_seq").bitwiseXOR(F.lit(5)))
-    return e.withColumns({"uuid": F.when(F.col("event_id") % 17 == 0, "").otherwise(F.col("uuid")), "created": F.when(F.col("event_id") % 19 != 0, F.col("created")), "status": F.when(F.col("event_id") % 23 == 0, model.DROPPED).otherwise(F.col("status"))})
+    return e.withColumns(
+        {
+            "uuid": F.when(F.col("event_id") % 17 == 0, "").otherwise(F.col("uuid")),
+            "created": F.when(F.col("event_id") % 19 != 0, F.col("created")),
+            "status": F.when(F.col("event_id") % 23 == 0, model.DROPPED).otherwise(F.col("status"))
+        }
+    )
 
 
-@query("dead_letters", RAW_SQL + " SELECT CASE WHEN uuid = '' THEN 'no uuid' WHEN created IS NULL THEN 'no time' ELSE 'dropped' END AS reason, count(*) AS n FROM w WHERE uuid = '' OR created IS NULL OR status = 5 GROUP BY 1")
+@query(
+    "dead_letters",
+    RAW_SQL + " SELECT CASE WHEN uuid = '' THEN 'no uuid' WHEN created IS NULL THEN 'no time' ELSE 'dropped' END AS reason, count(*) AS n FROM w WHERE uuid = '' OR created IS NULL OR status = 5 GROUP BY 1"
+)
 def dead_letters(spark, d):
     return state.rejected(_raw(spark, d)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("batch_counters", RAW_SQL + " SELECT count(*) FILTER (ok) AS processed, count(*) FILTER (NOT ok) AS dropped, count(*) FILTER (ok) - count(DISTINCT CASE WHEN ok THEN fingerprint END) AS deduped FROM (SELECT *, uuid <> '' AND created IS NOT NULL AND status <> 5 AS ok FROM w)")
+@query(
+    "batch_counters",
+    RAW_SQL + " SELECT count(*) FILTER (ok) AS processed, count(*) FILTER (NOT ok) AS dropped, count(*) FILTER (ok) - count(DISTINCT CASE WHEN ok THEN fingerprint END) AS deduped FROM (SELECT *, uuid <> '' AND created IS NOT NULL AND status <> 5 AS ok FROM w)"
+)
 def batch_counters(spark, d):
     return counters.of_batch(_raw(spark, d))
 
 
-@query("summary_counters", f"WITH {S_SQL} SELECT CAST(0 AS BIGINT) AS cleared, count(*) FILTER ({AGE_SQL} AND last_seen >= {NOW - 6 * DAY}) AS aged, count(*) FILTER ({AGE_SQL} AND last_seen < {NOW - 6 * DAY}) AS archived FROM s")
+@query(
+    "summary_counters",
+    f"WITH {S_SQL} SELECT CAST(0 AS BIGINT) AS cleared, count(*) FILTER ({AGE_SQL} AND last_seen >= {NOW - 6 * DAY}) AS aged, count(*) FILTER ({AGE_SQL} AND last_seen < {NOW - 6 * DAY}) AS archived FROM s"
+)
 def summary_counters(spark, d):
     return counters.of_summaries(_s(spark, d), _split(spark, d)[0])

@@ -37,7 +37,9 @@ def order(sorts: tuple[Sort, ...], tiebreak: str = "uuid") -> list[Column]:
     out = []
     for s in sorts:
         c = F.col(s.field)
-        keys = [ip.ip_type(c), ip.canonical_column(c)] if s.kind == "ip" else [F.lower(c) if s.field in CASELESS else F.concat(F.lower(c), F.lit("/")) if s.field == "event_class" else c]
+        keys = [ip.ip_type(c), ip.canonical_column(c)] if s.kind == "ip" else [
+            F.lower(c) if s.field in CASELESS else F.concat(F.lower(c), F.lit("/")) if s.field == "event_class" else c
+        ]
         out += [k.desc_nulls_last() if s.descending else k.asc_nulls_first() for k in keys]
     return [*out, F.col(tiebreak).asc()]
 
@@ -89,7 +91,11 @@ class SavedSearches:
         return held is not None
 
 
-def update_by_search(summaries: DataFrame, found: DataFrame, to: int, now_ms: int, user: str | None = None, offset: int = 0, limit: int = MAX_PAGE) -> tuple[DataFrame, int, bool]:
+def update_by_search(
+    summaries: DataFrame, found: DataFrame, to: int, now_ms: int, user: str | None = None, offset: int = 0, limit: int = MAX_PAGE
+) -> tuple[DataFrame, int, bool]:
     """(summaries after a page of a frozen result list (uuid) changed status, where the next request goes on, whether there is one)."""
     page_ = found.orderBy("uuid").offset(offset).limit(limit)
-    return state.transition(summaries, page_, to, now_ms, user), offset + limit, found.orderBy("uuid").offset(offset + limit).limit(1).count() > 0
+    return state.transition(
+        summaries, page_, to, now_ms, user
+    ), offset + limit, found.orderBy("uuid").offset(offset + limit).limit(1).count() > 0

@@ -59,27 +59,47 @@ def _filtered(name: str, flt: EventFilter, sql: str, exclusion: EventFilter | No
 
 
 def _events(name: str, cond: Callable[[], object], sql: str) -> None:
-    query(name, f"WITH {E_SQL} SELECT uuid, created FROM e WHERE {sql}")(lambda spark, d: tables.occurrences(spark, d).where(cond()).select("uuid", "created"))
+    query(name, f"WITH {E_SQL} SELECT uuid, created FROM e WHERE {sql}")(
+        lambda spark, d: tables.occurrences(spark, d).where(cond()).select("uuid", "created")
+    )
 
 
-@query("filter_status_severity_topk", f"WITH {S_SQL} SELECT uuid, severity, last_seen, event_count FROM s WHERE severity >= 3 AND status IN (0, 1, 2) ORDER BY severity DESC, last_seen DESC, uuid LIMIT 20")
+@query(
+    "filter_status_severity_topk",
+    f"WITH {S_SQL} SELECT uuid, severity, last_seen, event_count FROM s WHERE severity >= 3 AND status IN (0, 1, 2) ORDER BY severity DESC, last_seen DESC, uuid LIMIT 20"
+)
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The first page of open events of severity WARNING or more, most severe and latest first."""
-    q = EventQuery(EventFilter(severity=(3, 4, 5), status=model.OPEN_STATUSES), sort=(Sort("severity", True), Sort("last_seen", True)), limit=20)
+    q = EventQuery(
+        EventFilter(severity=(3, 4, 5), status=model.OPEN_STATUSES), sort=(Sort("severity", True), Sort("last_seen", True)), limit=20
+    )
     return page(_s(spark, d), q).select("uuid", "severity", "last_seen", "event_count")
 
 
-_filtered("filter_time_range", EventFilter(last_seen=((1706400000000, 1706600000000),), first_seen=((None, 1704400000000),)), "last_seen BETWEEN 1706400000000 AND 1706600000000 AND first_seen <= 1704400000000")
+_filtered(
+    "filter_time_range", EventFilter(last_seen=((1706400000000, 1706600000000),), first_seen=((None, 1704400000000),)),
+    "last_seen BETWEEN 1706400000000 AND 1706600000000 AND first_seen <= 1704400000000"
+)
 _filtered("filter_count_range", EventFilter(count=((5, 10), (8, 12), (40, None))), "event_count BETWEEN 5 AND 12 OR event_count >= 40")
 _filtered("filter_or_operator", EventFilter(severity=(4,), status=(2,), op="OR"), "severity = 4 OR status = 2")
 _filtered("filter_exclusion", EventFilter(severity=(3, 4)), "severity IN (3, 4) AND NOT (status = 1)", EventFilter(status=(1,)))
 _filtered("filter_exclusion_only", EventFilter(), "NOT (severity = 0)", EventFilter(severity=(0,)))
-_filtered("filter_subfilter_tree", EventFilter(subfilters=(EventFilter(severity=(4,), status=(1,)), EventFilter(severity=(0,), count=((12, None),))), op="OR"), "(severity = 4 AND status = 1) OR (severity = 0 AND event_count >= 12)")
-_filtered("wildcard_case_sensitive", EventFilter(wildcards=(("fingerprint", ("user-1?|err*", "USER*")),)), "regexp_full_match(fingerprint, 'user-1.\\|err.*')")
+_filtered(
+    "filter_subfilter_tree",
+    EventFilter(subfilters=(EventFilter(severity=(4,), status=(1,)), EventFilter(severity=(0,), count=((12, None),))), op="OR"),
+    "(severity = 4 AND status = 1) OR (severity = 0 AND event_count >= 12)"
+)
+_filtered(
+    "wildcard_case_sensitive", EventFilter(wildcards=(("fingerprint", ("user-1?|err*", "USER*")),)),
+    "regexp_full_match(fingerprint, 'user-1.\\|err.*')"
+)
 _filtered("wildcard_prefix", EventFilter(wildcards=(("fingerprint", ("user-7*",)),)), "fingerprint LIKE 'user-7%'")
 _filtered("path_prefix", EventFilter(event_class=("/app/*",)), "lower(event_class) || '/' LIKE '/app/%'")
 _filtered("path_exact", EventFilter(event_class=("/APP/error",)), "lower(event_class) = '/app/error'")
-_filtered("path_phrase", EventFilter(event_class=("ap*/cli*", "purchase")), "regexp_full_match(lower(event_class), '/ap[^/]*/cli[^/]*') OR lower(event_class) LIKE '%/purchase'")
+_filtered(
+    "path_phrase", EventFilter(event_class=("ap*/cli*", "purchase")),
+    "regexp_full_match(lower(event_class), '/ap[^/]*/cli[^/]*') OR lower(event_class) LIKE '%/purchase'"
+)
 
 
 @query("identifier_substring", "SELECT p_partkey FROM part WHERE p_name ILIKE '%idge%' OR lower(p_name) = 'red bolt'")
@@ -88,32 +108,51 @@ def identifier_substring(spark, d):
     return p.where(text.identifier(F.col("p_name"), "IDGE*") | text.identifier(F.col("p_name"), '"Red Bolt"')).select("p_partkey")
 
 
-@query("fulltext_terms", "SELECT doc_id FROM documents WHERE list_contains(string_split_regex(lower(text), '\\s+'), 'the') AND len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x LIKE 'rea%')) > 0")
+@query(
+    "fulltext_terms",
+    "SELECT doc_id FROM documents WHERE list_contains(string_split_regex(lower(text), '\\s+'), 'the') AND len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x LIKE 'rea%')) > 0"
+)
 def fulltext_terms(spark, d):
     return tables.read(spark, d, "documents").where(text.full_text(F.col("text"), "THE rea*")).select("doc_id")
 
 
-@query("fulltext_phrase", "SELECT doc_id FROM documents WHERE ' ' || regexp_replace(lower(text), '\\s+', ' ', 'g') || ' ' LIKE '% of the %'")
+@query(
+    "fulltext_phrase", "SELECT doc_id FROM documents WHERE ' ' || regexp_replace(lower(text), '\\s+', ' ', 'g') || ' ' LIKE '% of the %'"
+)
 def fulltext_phrase(spark, d):
     return tables.read(spark, d, "documents").where(text.full_text(F.col("text"), '"of the"')).select("doc_id")
 
 
 _events("tag_any", lambda: has_tags(F.col("tags"), ("error", "g3"), "OR"), "event_type = 'error' OR user_id % 7 = 3")
 _events("tag_all", lambda: has_tags(F.col("tags"), ("error", "g3"), "AND"), "event_type = 'error' AND user_id % 7 = 3")
-_events("detail_numeric_range", lambda: condition(EventFilter(details=(DetailFilter("k", ("10:20", "15:30", "77")),)), {"k": "INTEGER"}), "k BETWEEN 10 AND 30 OR k = 77")
-_events("detail_missing_sentinel", lambda: numeric_detail(F.when(F.col("k") < 50, F.col("detail_k")), (":5",)), "k <= 5 OR k IS NULL OR k >= 50")
+_events(
+    "detail_numeric_range", lambda: condition(EventFilter(details=(DetailFilter("k", ("10:20", "15:30", "77")),)), {"k": "INTEGER"}),
+    "k BETWEEN 10 AND 30 OR k = 77"
+)
+_events(
+    "detail_missing_sentinel", lambda: numeric_detail(F.when(F.col("k") < 50, F.col("detail_k")), (":5",)), "k <= 5 OR k IS NULL OR k >= 50"
+)
 _events("ip_exact", lambda: ip.exact(F.col("ip"), "10.0.0.17"), "ip = '10.0.0.17'")
-_events("ip_range", lambda: ip.in_range(F.col("ip"), "10.0.0.16/29") | ip.in_range(F.col("ip"), "10.0.0.90-95"), "user_id BETWEEN 16 AND 23 OR user_id BETWEEN 90 AND 95")
+_events(
+    "ip_range", lambda: ip.in_range(F.col("ip"), "10.0.0.16/29") | ip.in_range(F.col("ip"), "10.0.0.90-95"),
+    "user_id BETWEEN 16 AND 23 OR user_id BETWEEN 90 AND 95"
+)
 _events("ip_substring", lambda: ip.substring(F.col("ip"), "0.1?"), "user_id BETWEEN 10 AND 19")
 
 
-@query("sort_multi_key", f"WITH {S_SQL} SELECT uuid, event_count, element_identifier FROM s ORDER BY event_count DESC, lower(element_identifier), uuid LIMIT 50")
+@query(
+    "sort_multi_key",
+    f"WITH {S_SQL} SELECT uuid, event_count, element_identifier FROM s ORDER BY event_count DESC, lower(element_identifier), uuid LIMIT 50"
+)
 def sort_multi_key(spark, d):
     q = EventQuery(sort=(Sort("event_count", True), Sort("element_identifier")), limit=50)
     return page(_s(spark, d), q).select("uuid", "event_count", "element_identifier")
 
 
-@query("sort_ip_v4_before_v6", f"WITH {E_SQL} SELECT uuid FROM (SELECT uuid, CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END AS v6, user_id FROM e ORDER BY v6, user_id, uuid LIMIT 100)")
+@query(
+    "sort_ip_v4_before_v6",
+    f"WITH {E_SQL} SELECT uuid FROM (SELECT uuid, CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END AS v6, user_id FROM e ORDER BY v6, user_id, uuid LIMIT 100)"
+)
 def sort_ip(spark, d):
     e = tables.occurrences(spark, d)
     addr = F.when(F.col("arrival_seq") % 2 == 0, F.concat(F.lit("fe80::"), F.lower(F.hex("user_id")))).otherwise(F.col("ip"))
@@ -125,7 +164,9 @@ def page_offset_limit(spark, d):
     return page(_s(spark, d), EventQuery(sort=(Sort("last_seen", True),), offset=50, limit=25)).select("uuid", "last_seen")
 
 
-@query("total_hits", f"WITH {S_SQL} SELECT count(*) AS total, CASE WHEN count(*) > 75 THEN 75 END AS next_offset FROM s WHERE severity >= 2")
+@query(
+    "total_hits", f"WITH {S_SQL} SELECT count(*) AS total, CASE WHEN count(*) > 75 THEN 75 END AS next_offset FROM s WHERE severity >= 2"
+)
 def total_hits(spark, d):
     return total(_s(spark, d), EventQuery(EventFilter(severity=(2, 3, 4, 5)), offset=50, limit=25))
 
@@ -135,7 +176,10 @@ def keyset_page(spark, d):
     return state.keyset_page(_s(spark, d).withColumn("update_time", F.col("last_seen")), "8", 1706600000000, 40).select("uuid")
 
 
-SUMMARY = ("uuid", "fingerprint_hash", "event_class", "severity", "status", "element_identifier", "event_count", "first_seen", "last_seen", "status_change")
+SUMMARY = (
+    "uuid", "fingerprint_hash", "event_class", "severity", "status", "element_identifier", "event_count", "first_seen", "last_seen",
+    "status_change"
+)
 
 
 @query("dedup_summary", f"WITH {S_SQL} SELECT {', '.join(SUMMARY)} FROM s")
@@ -162,7 +206,9 @@ def tag_severity_rollup(spark, d):
 
 @query("tag_rollup_filtered", f"WITH {S_SQL}, " + ROLLUP_SQL.format(cond="status IN (0, 2) AND event_count >= 10"))
 def tag_rollup_filtered(spark, d):
-    return reactions.tag_severities(_s(spark, d).withColumn("tags", F.array("event_class", "element_identifier")), EventFilter(status=(0, 2), count=((10, None),)))
+    return reactions.tag_severities(
+        _s(spark, d).withColumn("tags", F.array("event_class", "element_identifier")), EventFilter(status=(0, 2), count=((10, None),))
+    )
 
 
 AGE_SQL = f"status IN (0, 1, 2) AND severity < 4 AND last_seen < {NOW - 5 * DAY}"
@@ -178,7 +224,9 @@ def age_events(spark, d):
     return state.age(_s(spark, d), NOW, 5 * DAY, model.ERROR).select("uuid", "status")
 
 
-@query("archive_split", f"WITH {S_SQL} SELECT uuid, last_seen // {DAY} AS archive_day FROM s WHERE {AGE_SQL} AND last_seen < {NOW - 6 * DAY}")
+@query(
+    "archive_split", f"WITH {S_SQL} SELECT uuid, last_seen // {DAY} AS archive_day FROM s WHERE {AGE_SQL} AND last_seen < {NOW - 6 * DAY}"
+)
 def archive_split(spark, d):
     return state.archive_split(state.age(_s(spark, d), NOW, 5 * DAY, model.ERROR), NOW, 6 * DAY)[1].select("uuid", "archive_day")
 
@@ -199,7 +247,10 @@ def clear_events(spark, d):
     return state.clear_marks(*_clears(spark, d))
 
 
-@query("clear_drop_unmatched", f"WITH {S_SQL}{C_SQL} SELECT clear_uuid FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.severity > 0 AND s.element_identifier = c.element_identifier AND s.last_seen <= c.created)")
+@query(
+    "clear_drop_unmatched",
+    f"WITH {S_SQL}{C_SQL} SELECT clear_uuid FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.severity > 0 AND s.element_identifier = c.element_identifier AND s.last_seen <= c.created)"
+)
 def clear_drop_unmatched(spark, d):
     """Clears that clear nothing are dropped: the earliest open event of their hash decides."""
     open_, clears = _clears(spark, d)
@@ -207,7 +258,10 @@ def clear_drop_unmatched(spark, d):
     return clears.join(first, "clear_hash", "left").where("first is null or first > created").select("clear_uuid")
 
 
-@query("reopen_transition", f"WITH {S_SQL} SELECT uuid, CASE WHEN severity = 1 THEN 0 ELSE CASE WHEN severity = 2 THEN 3 ELSE status END END AS status FROM s")
+@query(
+    "reopen_transition",
+    f"WITH {S_SQL} SELECT uuid, CASE WHEN severity = 1 THEN 0 ELSE CASE WHEN severity = 2 THEN 3 ELSE status END END AS status FROM s"
+)
 def reopen_transition(spark, d):
     s = _s(spark, d).withColumn("user_name", F.lit(None).cast("string")).withColumn("status_change", F.col("last_seen"))
     closed = state.transition(s, s.where("severity in (1, 2)"), model.CLOSED, NOW, "op")
@@ -216,18 +270,26 @@ def reopen_transition(spark, d):
 
 @query("ack_idempotent", f"WITH {S_SQL} SELECT uuid, 1 AS status, {NOW} AS status_change FROM s WHERE severity = 4")
 def ack_idempotent(spark, d):
-    s = _s(spark, d).where("severity = 4").withColumn("user_name", F.lit(None).cast("string")).withColumn("status_change", F.col("last_seen"))
+    s = _s(spark, d).where("severity = 4").withColumn(
+        "user_name", F.lit(None).cast("string")
+    ).withColumn("status_change", F.col("last_seen"))
     once = state.transition(s, s, model.ACKNOWLEDGED, NOW, "op")
     return state.transition(once, once, model.ACKNOWLEDGED, NOW + 5, "op").select("uuid", "status", "status_change")
 
 
-@query("dimension_view_join", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+@query(
+    "dimension_view_join",
+    "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"
+)
 def dimension_view_join(spark, d):
     c, n, r = (tables.read(spark, d, t) for t in ("customer", "nation", "region"))
     return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey, "left").select("c_custkey", "n_name", "r_name")
 
 
-@query("left_join_missing", "SELECT c_custkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') o ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+@query(
+    "left_join_missing",
+    "SELECT c_custkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') o ON o_custkey = c_custkey WHERE o_orderkey IS NULL"
+)
 def left_join_missing(spark, d):
     c, o = tables.read(spark, d, "customer"), tables.read(spark, d, "orders").where("o_orderstatus = 'P'")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
@@ -253,17 +315,25 @@ def anti_join_etl(spark, d):
     return old.join(new, "uuid", "left_anti").select("uuid")
 
 
-@query("etl_union", ETL_SQL + " SELECT uuid, fingerprint, 'status' AS origin FROM n UNION ALL SELECT uuid, fingerprint, 'history' FROM a WHERE uuid NOT IN (SELECT uuid FROM n)")
+@query(
+    "etl_union",
+    ETL_SQL + " SELECT uuid, fingerprint, 'status' AS origin FROM n UNION ALL SELECT uuid, fingerprint, 'history' FROM a WHERE uuid NOT IN (SELECT uuid FROM n)"
+)
 def etl_union(spark, d):
     new, old = _etl(spark, d)
-    return new.select("uuid", "fingerprint", F.lit("status").alias("origin")).unionByName(old.join(new, "uuid", "left_anti").select("uuid", "fingerprint", F.lit("history").alias("origin")))
+    return new.select("uuid", "fingerprint", F.lit("status").alias("origin")).unionByName(
+        old.join(new, "uuid", "left_anti").select("uuid", "fingerprint", F.lit("history").alias("origin"))
+    )
 
 
 @query("heartbeat_status", f"""WITH {E_SQL}, h AS (SELECT element_identifier AS monitor, event_type AS daemon, max(created) + 43200000 <= {NOW} AS expired FROM e WHERE event_type <> 'signup' GROUP BY ALL),
  o AS (SELECT DISTINCT element_identifier AS monitor, event_type AS daemon FROM e WHERE event_type IN ('error', 'signup'))
  SELECT monitor, daemon, CASE WHEN expired THEN 'error' ELSE 'clear' END AS action FROM h FULL JOIN o USING (monitor, daemon) WHERE expired OR o.monitor IS NOT NULL""")
 def heartbeat_status(spark, d):
-    e = tables.occurrences(spark, d).select(F.col("element_identifier").alias("monitor"), F.col("event_type").alias("daemon"), F.col("created").alias("last_time"), F.lit(43200).alias("timeout_s"))
+    e = tables.occurrences(spark, d).select(
+        F.col("element_identifier").alias("monitor"), F.col("event_type").alias("daemon"), F.col("created").alias("last_time"),
+        F.lit(43200).alias("timeout_s")
+    )
     return reactions.heartbeats(e.where("daemon <> 'signup'"), e.where("daemon in ('error', 'signup')"), NOW)
 
 
@@ -274,7 +344,9 @@ FLAP_SQL = f"""WITH {E_SQL}, f AS (SELECT *, coalesce(lag(severity) OVER (PARTIT
 
 def _flaps(spark, d):
     """Flaps by clear fingerprint; all of an element's events have one class here, as a mapping would give them."""
-    e = tables.occurrences(spark, d).withColumn("clear_hash", text.clear_fingerprint(F.col("element_identifier"), F.lit(""), F.lit("/App"), F.lit("")))
+    e = tables.occurrences(spark, d).withColumn(
+        "clear_hash", text.clear_fingerprint(F.col("element_identifier"), F.lit(""), F.lit("/App"), F.lit(""))
+    )
     return reactions.flaps(e, "clear_hash", model.WARNING, 21600)
 
 
@@ -288,12 +360,18 @@ def flap_emit(spark, d):
     return reactions.flap_alerts(_flaps(spark, d), 2).select("uuid")
 
 
-TRIGGERS = {"t1": "evt.severity >= 4 and dev.name.startswith('user-1')", "t2": "'error' in evt.event_class or evt.count > 30", "t3": "1 = 0", "t4": "evt.missing == 1", "t5": "not evt.severity > 0"}
+TRIGGERS = {
+    "t1": "evt.severity >= 4 and dev.name.startswith('user-1')", "t2": "'error' in evt.event_class or evt.count > 30", "t3": "1 = 0",
+    "t4": "evt.missing == 1", "t5": "not evt.severity > 0"
+}
 T_SQL = f"WITH {S_SQL}, t AS (SELECT uuid, 't1' AS trigger FROM s WHERE severity >= 4 AND element_identifier LIKE 'user-1%' UNION ALL SELECT uuid, 't2' FROM s WHERE event_class LIKE '%error%' OR event_count > 30 UNION ALL SELECT uuid, 't5' FROM s WHERE severity = 0)"
 
 
 def _matched(spark, d):
-    columns = {"evt.severity": F.col("severity"), "evt.event_class": F.col("event_class"), "evt.count": F.col("event_count"), "dev.name": F.col("element_identifier")}
+    columns = {
+        "evt.severity": F.col("severity"), "evt.event_class": F.col("event_class"), "evt.count": F.col("event_count"),
+        "dev.name": F.col("element_identifier")
+    }
     return reactions.matched(_s(spark, d), TRIGGERS, columns)
 
 
@@ -302,12 +380,17 @@ def trigger_rule_match(spark, d):
     return _matched(spark, d)
 
 
-SUBS = (("s1", "t1", "ops", 0, 60, False), ("s2", "t1", "mail", 30, 0, False), ("s3", "t2", "ops", 10, 10, False), ("s4", "t5", "ops", 0, 0, True))
+SUBS = (
+    ("s1", "t1", "ops", 0, 60, False), ("s2", "t1", "mail", 30, 0, False), ("s3", "t2", "ops", 10, 10, False),
+    ("s4", "t5", "ops", 0, 0, True)
+)
 SUBS_SQL = "b(subscription, trigger, subscriber, delay, repeat, initial) AS (VALUES ('s1', 't1', 'ops', 0, 60, false), ('s2', 't1', 'mail', 30, 0, false), ('s3', 't2', 'ops', 10, 10, false), ('s4', 't5', 'ops', 0, 0, true))"
 
 
 def _subscriptions(spark):
-    return spark.createDataFrame(SUBS, "subscription string, trigger string, subscriber string, delay_seconds int, repeat_seconds int, send_initial boolean")
+    return spark.createDataFrame(
+        SUBS, "subscription string, trigger string, subscriber string, delay_seconds int, repeat_seconds int, send_initial boolean"
+    )
 
 
 def _first_batch(spark, d):
@@ -346,12 +429,17 @@ def _second_batch(spark, d):
     return reactions.advance(batch, again, _subscriptions(spark), _first_batch(spark, d)[1], LATER)
 
 
-@query("trigger_spool_step", STEP_SQL + " SELECT uuid, subscription, CAST(flush_time AS BIGINT) AS flush_time, sent OR again AS sent FROM nx WHERE turn <> 0")
+@query(
+    "trigger_spool_step",
+    STEP_SQL + " SELECT uuid, subscription, CAST(flush_time AS BIGINT) AS flush_time, sent OR again AS sent FROM nx WHERE turn <> 0"
+)
 def trigger_spool_step(spark, d):
     return _second_batch(spark, d)[1]
 
 
-@query("trigger_step_signals", STEP_SQL + " SELECT uuid, subscription, turn = 0 AS clear FROM nx WHERE turn = 0 AND sent OR turn = 1 AND again")
+@query(
+    "trigger_step_signals", STEP_SQL + " SELECT uuid, subscription, turn = 0 AS clear FROM nx WHERE turn = 0 AND sent OR turn = 1 AND again"
+)
 def trigger_step_signals(spark, d):
     return _second_batch(spark, d)[0]
 
@@ -370,7 +458,10 @@ def trigger_spool_flush(spark, d):
     return _flushed(spark, d)[0]
 
 
-@query("trigger_spool_after_flush", FLUSH_SQL + f" SELECT uuid, subscription, CAST(CASE WHEN NOT due THEN flush_time WHEN repeat > 0 AND status <> 1 THEN {NOW + 60000} + repeat * 1000 ELSE -1 END AS BIGINT) AS flush_time, sent OR (due AND enabled) AS sent FROM w WHERE NOT due OR status IN (0, 1, 2)")
+@query(
+    "trigger_spool_after_flush",
+    FLUSH_SQL + f" SELECT uuid, subscription, CAST(CASE WHEN NOT due THEN flush_time WHEN repeat > 0 AND status <> 1 THEN {NOW + 60000} + repeat * 1000 ELSE -1 END AS BIGINT) AS flush_time, sent OR (due AND enabled) AS sent FROM w WHERE NOT due OR status IN (0, 1, 2)"
+)
 def trigger_spool_after_flush(spark, d):
     return _flushed(spark, d)[1]
 
@@ -382,17 +473,24 @@ def min_flush_time(spark, d):
 
 @query("organizer_ancestors", f"WITH {E_SQL} SELECT uuid, '/App,' || event_class AS organizers FROM e")
 def organizer_ancestors(spark, d):
-    return tables.occurrences(spark, d).select("uuid", F.array_join(text.organizer_ancestors(F.array("event_class")), ",").alias("organizers"))
+    return tables.occurrences(spark, d).select(
+        "uuid", F.array_join(text.organizer_ancestors(F.array("event_class")), ",").alias("organizers")
+    )
 
 
 @query("clear_fingerprint_hash", f"WITH {E_SQL} SELECT uuid, sha1(element_identifier || '||' || event_class || '|') AS clear_hash FROM e")
 def clear_fingerprint_hash(spark, d):
-    return tables.occurrences(spark, d).select("uuid", text.clear_fingerprint(F.col("element_identifier"), F.lit(None).cast("string"), F.col("event_class"), F.lit("")).alias("clear_hash"))
+    return tables.occurrences(spark, d).select(
+        "uuid",
+        text.clear_fingerprint(F.col("element_identifier"), F.lit(None).cast("string"), F.col("event_class"), F.lit("")).alias("clear_hash")
+    )
 
 
 @query("event_time_since", f"WITH {E_SQL} SELECT uuid, created FROM e WHERE created >= 1706000000000 ORDER BY created, uuid LIMIT 100")
 def event_time_since(spark, d):
-    return tables.occurrences(spark, d).where(F.col("created") >= 1706000000000).orderBy("created", "uuid").limit(100).select("uuid", "created")
+    return tables.occurrences(spark, d).where(
+        F.col("created") >= 1706000000000
+    ).orderBy("created", "uuid").limit(100).select("uuid", "created")
 
 
 @query("routing_key", f"WITH {E_SQL} SELECT uuid, 'tidemark.event.app.' || event_type AS routing_key FROM e")
@@ -400,11 +498,19 @@ def routing_key(spark, d):
     return tables.occurrences(spark, d).select("uuid", text.routing_key(F.col("event_class")).alias("routing_key"))
 
 
-@query("export_projection", f"WITH {S_SQL} SELECT uuid, last_seen AS timestamp, CASE WHEN status = 2 THEN 'SUPPRESSED' ELSE 'OPEN' END AS status, ['CLEAR', 'DEBUG', 'INFO', 'WARNING', 'ERROR', 'CRITICAL'][severity + 1] AS severity, element_identifier AS context, left(fingerprint, 12) AS summary FROM s WHERE severity >= 2")
+@query(
+    "export_projection",
+    f"WITH {S_SQL} SELECT uuid, last_seen AS timestamp, CASE WHEN status = 2 THEN 'SUPPRESSED' ELSE 'OPEN' END AS status, ['CLEAR', 'DEBUG', 'INFO', 'WARNING', 'ERROR', 'CRITICAL'][severity + 1] AS severity, element_identifier AS context, left(fingerprint, 12) AS summary FROM s WHERE severity >= 2"
+)
 def export_projection(spark, d):
     names = F.array(*map(F.lit, model.SEVERITY_NAMES))
-    status = F.when(F.col("status") == model.SUPPRESSED, "SUPPRESSED").when(F.col("status").isin(*model.CLOSED_STATUSES), "CLOSED").otherwise("OPEN")
-    return _s(spark, d).where("severity >= 2").select("uuid", F.col("last_seen").alias("timestamp"), status.alias("status"), F.get(names, F.col("severity")).alias("severity"), F.col("element_identifier").alias("context"), text.truncate_utf8(F.col("fingerprint"), 12).alias("summary"))
+    status = F.when(F.col("status") == model.SUPPRESSED, "SUPPRESSED").when(
+        F.col("status").isin(*model.CLOSED_STATUSES), "CLOSED"
+    ).otherwise("OPEN")
+    return _s(spark, d).where("severity >= 2").select(
+        "uuid", F.col("last_seen").alias("timestamp"), status.alias("status"), F.get(names, F.col("severity")).alias("severity"),
+        F.col("element_identifier").alias("context"), text.truncate_utf8(F.col("fingerprint"), 12).alias("summary")
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -47,7 +47,8 @@ def event_filter(params: Params, exclusion: bool = False) -> EventFilter:
         raise ValueError(f"no such operator: {op}")
     count = parse_count(first("count"))
     return EventFilter(
-        severity=tuple(model.name_of(model.SEVERITY_NAMES, v) for v in get("severity")), status=tuple(model.name_of(model.STATUS_NAMES, v) for v in get("status")),
+        severity=tuple(model.name_of(model.SEVERITY_NAMES, v) for v in get("severity")),
+        status=tuple(model.name_of(model.STATUS_NAMES, v) for v in get("status")),
         count=(count,) if count else (), **{t: (parse_times(first(t)),) for t in TIMES if first(t)}, event_class=get("event_class"),
         wildcards=columns(WILDCARDS), identifiers=columns(IDENTIFIERS), texts=columns(TEXTS), tags=((op, tags),) if tags else (),
     )

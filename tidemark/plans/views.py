@@ -58,12 +58,19 @@ def etl_record(events: DataFrame, origin: str, detail_names: tuple[str, ...] = (
     number = lambda name: F.coalesce(col(name).cast("string"), F.lit(ZERO))
     words = lambda name: F.coalesce(col(name), F.lit(""))
     return events.select(
-        _detail(events, "analytics.instance_key").alias("instance_key"), F.lit(origin).alias("event_source_table"), plain(words("fingerprint")).alias("dedupid"), F.col("uuid").alias("evid"),
-        words("element_identifier").alias("device"), words("element_sub_identifier").alias("component"), words("event_class").alias("event_class"), words("event_key").alias("event_key"),
-        F.trim(plain(words("summary"))).alias("summary"), plain(words("message")).alias("message"), F.col("severity").cast("string").alias("severity"), F.lower(_named(model.SEVERITY_NAMES, F.col("severity"))).alias("severity_name"),
-        F.col("status").cast("string").alias("event_state"), F.lower(_named(model.STATUS_NAMES, F.col("status"))).alias("event_state_name"), words("event_class_key").alias("event_class_key"), words("event_group").alias("event_group"),
-        number("first_seen").alias("first_time"), number("last_seen").alias("last_time"), number("event_count").alias("count"), _detail(events, "production_state").alias("prod_state"), words("agent").alias("agent"), words("monitor").alias("monitor"),
-        _detail(events, "analytics.entity_key").alias("entity_key"), _detail(events, "analytics.entity_class_name").alias("entity_class_name"), words("cleared_by").alias("clear_evid"), number("status_change").alias("state_change"),
+        _detail(events, "analytics.instance_key").alias("instance_key"), F.lit(origin).alias("event_source_table"),
+        plain(words("fingerprint")).alias("dedupid"), F.col("uuid").alias("evid"),
+        words("element_identifier").alias("device"), words("element_sub_identifier").alias("component"),
+        words("event_class").alias("event_class"), words("event_key").alias("event_key"),
+        F.trim(plain(words("summary"))).alias("summary"), plain(words("message")).alias("message"),
+        F.col("severity").cast("string").alias("severity"), F.lower(_named(model.SEVERITY_NAMES, F.col("severity"))).alias("severity_name"),
+        F.col("status").cast("string").alias("event_state"), F.lower(_named(model.STATUS_NAMES, F.col("status"))).alias("event_state_name"),
+        words("event_class_key").alias("event_class_key"), words("event_group").alias("event_group"),
+        number("first_seen").alias("first_time"), number("last_seen").alias("last_time"), number("event_count").alias("count"),
+        _detail(events, "production_state").alias("prod_state"), words("agent").alias("agent"), words("monitor").alias("monitor"),
+        _detail(events, "analytics.entity_key").alias("entity_key"),
+        _detail(events, "analytics.entity_class_name").alias("entity_class_name"), words("cleared_by").alias("clear_evid"),
+        number("status_change").alias("state_change"),
         words("element_uuid").alias("element_uuid"), *(_detail(events, d).alias(f"detail_{d}") for d in detail_names),
     )
 
@@ -83,22 +90,39 @@ def short(c: Column, n: int) -> Column:
     return F.when(F.octet_length(c) > n, F.substring(c, 1, n)).otherwise(c)
 
 
-def export_record(events: DataFrame, source: str, min_severity: int = model.DEBUG, summary_bytes: int = 255, message_bytes: int = 4096, max_bytes: int = 1 << 20) -> DataFrame:
+def export_record(
+    events: DataFrame, source: str, min_severity: int = model.DEBUG, summary_bytes: int = 255, message_bytes: int = 4096,
+    max_bytes: int = 1 << 20
+) -> DataFrame:
     """Records for publication: events of a severity or more that have a fingerprint, a time and a class, with a metadata map.
 
     The context is the sub-element, or the element where there is none. The time is the last update's, or the occurrence's. Long texts are cut, and
     records that are too large as JSON are left out.
     """
     col = lambda name: _column(events, name)
-    status = F.when(F.col("status") == model.SUPPRESSED, "SUPPRESSED").when(F.col("status").isin(*model.CLOSED_STATUSES), "CLOSED").otherwise("OPEN")
+    status = F.when(F.col("status") == model.SUPPRESSED, "SUPPRESSED").when(
+        F.col("status").isin(*model.CLOSED_STATUSES), "CLOSED"
+    ).otherwise("OPEN")
     time = F.coalesce(F.col("update_time"), F.col("last_seen")) if "update_time" in events.columns else F.col("last_seen")
     sub = F.when(F.coalesce(col("element_sub_identifier"), F.lit("")) != "", col("element_sub_identifier"))
-    parts = {"source": F.lit(source), "event_class": col("event_class"), "event_key": col("event_key"), "agent": col("agent"), "monitor": col("monitor"), "parent": F.when(sub.isNotNull(), col("element_identifier"))}
-    entries = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in parts.items())), lambda x: F.coalesce(x["value"], F.lit("")) != "")
-    rows = events.where((F.col("severity") >= min_severity) & (F.coalesce("fingerprint", F.lit("")) != "") & F.col("last_seen").isNotNull() & (F.coalesce("event_class", F.lit("")) != ""))
+    parts = {
+        "source": F.lit(source), "event_class": col("event_class"), "event_key": col("event_key"), "agent": col("agent"),
+        "monitor": col("monitor"), "parent": F.when(sub.isNotNull(), col("element_identifier"))
+    }
+    entries = F.filter(
+        F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in parts.items())),
+        lambda x: F.coalesce(x["value"], F.lit("")) != ""
+    )
+    rows = events.where(
+        (F.col("severity") >= min_severity) & (
+            F.coalesce("fingerprint", F.lit("")) != ""
+        ) & F.col("last_seen").isNotNull() & (F.coalesce("event_class", F.lit("")) != "")
+    )
     out = rows.select(
-        "uuid", time.alias("timestamp"), status.alias("status"), _named(model.SEVERITY_NAMES, F.col("severity")).alias("severity"), F.coalesce(sub, col("element_identifier")).alias("context"),
-        F.coalesce(col("element_sub_title"), sub, col("element_title"), col("element_identifier")).alias("context_title"), short(F.coalesce(col("summary"), F.col("fingerprint")), summary_bytes).alias("summary"),
+        "uuid", time.alias("timestamp"), status.alias("status"), _named(model.SEVERITY_NAMES, F.col("severity")).alias("severity"),
+        F.coalesce(sub, col("element_identifier")).alias("context"),
+        F.coalesce(col("element_sub_title"), sub, col("element_title"), col("element_identifier")).alias("context_title"),
+        short(F.coalesce(col("summary"), F.col("fingerprint")), summary_bytes).alias("summary"),
         short(col("message"), message_bytes).alias("message"), F.map_from_entries(entries).alias("metadata"),
     )
     return out.where(F.octet_length(F.to_json(F.struct("*"))) <= max_bytes)

@@ -25,11 +25,17 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = F.unix_micros(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
-        F.sha1(text("e|", uid)).alias("uuid"), F.col("event_id").bitwiseXOR(F.lit(5)).alias("arrival_seq"), F.expr("1").alias("count"), micros.alias("micros"),
-        F.floor(micros / 1000).cast("long").alias("created"), text("/App/", F.col("event_type")).alias("event_class"), severity.alias("severity"), status.alias("status"),
-        text("user-", user).alias("element_identifier"), F.sha1(text("u|", user)).alias("element_uuid"), text("user-", user, "|", F.col("event_type")).alias("fingerprint"),
+        F.sha1(text("e|", uid)).alias("uuid"), F.col("event_id").bitwiseXOR(F.lit(5)).alias("arrival_seq"), F.expr("1").alias("count"),
+        micros.alias("micros"),
+        F.floor(micros / 1000).cast("long").alias("created"), text("/App/", F.col("event_type")).alias("event_class"),
+        severity.alias("severity"), status.alias("status"),
+        text("user-", user).alias("element_identifier"), F.sha1(text("u|", user)).alias("element_uuid"),
+        text("user-", user, "|", F.col("event_type")).alias("fingerprint"),
         k.alias("k"), F.when(k.isNotNull(), F.array(k)).alias("detail_k"), F.col("user_id"), F.col("event_type"), "value",
-        text("10.", (F.col("user_id") / 65536).cast("long").cast("string"), ".", ((F.col("user_id") / 256).cast("long") % 256).cast("string"), ".", (F.col("user_id") % 256).cast("string")).alias("ip"),
+        text(
+            "10.", (F.col("user_id") / 65536).cast("long").cast("string"), ".",
+            ((F.col("user_id") / 256).cast("long") % 256).cast("string"), ".", (F.col("user_id") % 256).cast("string")
+        ).alias("ip"),
         F.array(F.col("event_type"), text("g", (F.col("user_id") % 7).cast("string"))).alias("tags"),
     ).withColumn("created", F.expr("micros div 1000")).drop("micros")
 

@@ -49,7 +49,9 @@ def _lives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             life.append(lives[h])
             ended.append([])
         kind = pa.list_(pa.struct([("hash", pa.string()), ("life", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(life, pa.int32()), pa.array(ended, kind)], names=[*rb.schema.names, "life", "ended"])
+        yield pa.RecordBatch.from_arrays(
+            [*rb.columns, pa.array(life, pa.int32()), pa.array(ended, kind)], names=[*rb.schema.names, "life", "ended"]
+        )
 
 
 def apply_in_order(old: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -61,31 +63,49 @@ def apply_in_order(old: DataFrame | None, batch: DataFrame) -> DataFrame:
     that a fingerprint changes between go together.
     """
     is_clear = F.col("severity") == model.CLEAR
-    named = batch.withColumn("hash", state.fingerprint_hash(F.col("fingerprint"))).withColumn("kind", F.when(is_clear, CLEAR).otherwise(EVENT))
+    named = batch.withColumn(
+        "hash", state.fingerprint_hash(F.col("fingerprint"))
+    ).withColumn("kind", F.when(is_clear, CLEAR).otherwise(EVENT))
     events = named.where(~F.coalesce(is_clear, F.lit(False))).drop("clear_hashes")
-    ends = named.where(is_clear).withColumn("clear_hash", F.explode(F.array_distinct("clear_hashes"))).drop("clear_hashes").where("clear_hash is not null")
+    ends = named.where(is_clear).withColumn(
+        "clear_hash", F.explode(F.array_distinct("clear_hashes"))
+    ).drop("clear_hashes").where("clear_hash is not null")
     rows = events.unionByName(ends)
     idle = F.col("status").isin(model.CLOSED, model.CLEARED)
     if old is not None:
-        held = old.where(~idle).select(F.col("fingerprint_hash").alias("hash"), F.lit(OLD).alias("kind"), F.lit(None).cast("long").alias("arrival_seq"), F.col("last_seen").alias("created"), "status", "clear_hash", "uuid")
+        held = old.where(~idle).select(
+            F.col("fingerprint_hash").alias("hash"), F.lit(OLD).alias("kind"), F.lit(None).cast("long").alias("arrival_seq"),
+            F.col("last_seen").alias("created"), "status", "clear_hash", "uuid"
+        )
         rows = rows.unionByName(held, allowMissingColumns=True)
     own = F.coalesce("clear_hash", F.concat(F.lit("f|"), "hash"))
-    linked = rows.where(F.col("kind") != CLEAR).groupBy("hash").agg(F.collect_set(own).alias("all")).where("size(all) > 1").select(F.explode("all").alias("key")).distinct()
-    keyed = rows.withColumn("key", own).join(linked.withColumn("link", F.lit("*")), "key", "left").withColumn("key", F.coalesce("link", "key")).drop("link")
+    linked = rows.where(F.col("kind") != CLEAR).groupBy("hash").agg(
+        F.collect_set(own).alias("all")
+    ).where("size(all) > 1").select(F.explode("all").alias("key")).distinct()
+    keyed = rows.withColumn("key", own).join(
+        linked.withColumn("link", F.lit("*")), "key", "left"
+    ).withColumn("key", F.coalesce("link", "key")).drop("link")
     ordered = keyed.repartition("key").sortWithinPartitions("key", F.col("arrival_seq").asc_nulls_first(), "uuid")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
     done = scratch.cut(ordered.mapInArrow(_lives, ddl + ", life int, ended array<struct<hash:string,life:int>>"))
     held = None if old is None else old.where(~idle).drop("cleared_by").withColumn("life", F.lit(0))
     new = state.dedup(done.where(F.col("kind") == EVENT).drop("hash"), held)
     clears = done.where((F.col("kind") == CLEAR) & (F.size("ended") > 0))
-    by = clears.select(F.explode("ended").alias("e"), F.col("uuid").alias("cleared_by"), F.col("created").alias("at")).select(F.col("e.hash").alias("fingerprint_hash"), F.col("e.life").alias("life"), "cleared_by", "at")
+    by = clears.select(
+        F.explode("ended").alias("e"), F.col("uuid").alias("cleared_by"), F.col("created").alias("at")
+    ).select(F.col("e.hash").alias("fingerprint_hash"), F.col("e.life").alias("life"), "cleared_by", "at")
     out = new.join(by, ["fingerprint_hash", "life"], "left")
     gone = F.col("cleared_by").isNotNull()
     salted = F.sha1(F.concat_ws("|", "fingerprint", "at", "cleared_by", "life"))
-    out = out.withColumn("fingerprint_hash", F.when(gone, salted).otherwise(F.col("fingerprint_hash"))).withColumn("status", F.when(gone, model.CLEARED).otherwise(F.col("status"))).drop("life", "at")
+    out = out.withColumn(
+        "fingerprint_hash", F.when(gone, salted).otherwise(F.col("fingerprint_hash"))
+    ).withColumn("status", F.when(gone, model.CLEARED).otherwise(F.col("status"))).drop("life", "at")
     stored = clears.dropDuplicates(["uuid", "arrival_seq"]).select(
-        "uuid", F.sha1(F.concat_ws("|", "fingerprint", F.col("created") - 1, "uuid", "arrival_seq")).alias("fingerprint_hash"), "fingerprint", "event_class", "severity", F.lit(model.CLOSED).alias("status"), "element_identifier", "element_uuid",
-        F.col("count").cast("long").alias("event_count"), F.col("created").alias("first_seen"), F.col("created").alias("last_seen"), F.col("created").alias("status_change"), F.lit(None).cast("string").alias("clear_hash"), F.lit(None).cast("string").alias("cleared_by"),
+        "uuid", F.sha1(F.concat_ws("|", "fingerprint", F.col("created") - 1, "uuid", "arrival_seq")).alias("fingerprint_hash"),
+        "fingerprint", "event_class", "severity", F.lit(model.CLOSED).alias("status"), "element_identifier", "element_uuid",
+        F.col("count").cast("long").alias("event_count"), F.col("created").alias("first_seen"), F.col("created").alias("last_seen"),
+        F.col("created").alias("status_change"), F.lit(None).cast("string").alias("clear_hash"),
+        F.lit(None).cast("string").alias("cleared_by"),
     )
     out = out.unionByName(stored, allowMissingColumns=True)
     return out if old is None else out.unionByName(old.where(idle), allowMissingColumns=True)
@@ -105,7 +125,13 @@ def flap_alerts(events: DataFrame, key: str, count: int, threshold: int = model.
             return
         prev, times = kept.get if kept.exists else (model.CLEAR, [])
         times, out = list(times), []
-        for _, created, severity, uuid in sorted((s, c, v, u) for x in chunks for c, s, v, u in zip(x["created"].tolist(), zip(x["created"].tolist(), x["arrival_seq"].tolist(), strict=True), x["severity"].tolist(), x["uuid"].tolist(), strict=True)):
+        for _, created, severity, uuid in sorted(
+            (s, c, v, u) for x in chunks for c, s, v,
+            u in zip(
+                x["created"].tolist(), zip(x["created"].tolist(), x["arrival_seq"].tolist(), strict=True), x["severity"].tolist(),
+                x["uuid"].tolist(), strict=True
+            )
+        ):
             now = created // 1000
             if prev < threshold <= severity:
                 times.append(now)
@@ -117,8 +143,12 @@ def flap_alerts(events: DataFrame, key: str, count: int, threshold: int = model.
         kept.setTimeoutDuration(interval_s * 1000)
         yield pd.DataFrame(out, columns=["key", "uuid", "n_flaps"])
 
-    seen = events.where(F.col("element_uuid").isNotNull() & (F.col("element_uuid") != "") & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), "created", "arrival_seq", "severity", "uuid")
-    return seen.groupBy("key").applyInPandasWithState(run, "key string, uuid string, n_flaps long", "prev int, times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    seen = events.where(
+        F.col("element_uuid").isNotNull() & (F.col("element_uuid") != "") & F.col(key).isNotNull()
+    ).select(F.col(key).cast("string").alias("key"), "created", "arrival_seq", "severity", "uuid")
+    return seen.groupBy("key").applyInPandasWithState(
+        run, "key string, uuid string, n_flaps long", "prev int, times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
 
 
 class SummaryTable:
@@ -144,7 +174,9 @@ class SummaryTable:
         return fs.exists(p)
 
     def _manifest(self, n: int) -> dict[str, int]:
-        return {r["part"]: r["v"] for r in self.spark.read.schema("part string, v long").parquet(f"{self.path}/manifest={n:012d}").collect()}  # 256 rows at most
+        return {
+            r["part"]: r["v"] for r in self.spark.read.schema("part string, v long").parquet(f"{self.path}/manifest={n:012d}").collect()
+        }  # 256 rows at most
 
     def _parts(self, manifest: dict[str, int], parts: set[str]) -> DataFrame | None:
         paths = [f"{self.path}/v={v:012d}/part={p}" for p, v in sorted(manifest.items()) if p in parts]
@@ -162,14 +194,18 @@ class SummaryTable:
         if {"clear_hash", "clear_hashes"} <= set(batch.columns):
             new, stays = apply_in_order(self._parts(manifest, set(manifest)), valid), {}
         else:
-            hashes = valid.select(state.occurrence_hash(F.col("fingerprint"), F.col("status"), F.col("severity"), F.col("created")).alias("fingerprint_hash"))
+            hashes = valid.select(
+                state.occurrence_hash(F.col("fingerprint"), F.col("status"), F.col("severity"), F.col("created")).alias("fingerprint_hash")
+            )
             touched = {r["part"] for r in hashes.select(part.alias("part")).distinct().collect()}  # 256 at most
             new, stays = state.dedup(valid, self._parts(manifest, touched)), manifest
         new.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/v={n:012d}")
         fs, p = self._path(f"v={n:012d}")
         written = [f.getPath().getName().removeprefix("part=") for f in fs.listStatus(p) if f.isDirectory()]
         now = stays | dict.fromkeys(written, n)
-        self.spark.createDataFrame(list(now.items()), "part string, v long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest={n:012d}")
+        self.spark.createDataFrame(
+            list(now.items()), "part string, v long"
+        ).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest={n:012d}")
         for sink in self.sinks:
             sink(valid, n)
         used = {*now.values(), *manifest.values()}
@@ -180,7 +216,9 @@ class SummaryTable:
 
     def run(self, events: DataFrame, checkpoint: str):
         """Everything that is there now, in micro-batches."""
-        return events.writeStream.foreachBatch(lambda df, n: self.fold(df, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return events.writeStream.foreachBatch(lambda df, n: self.fold(df, n)).option(
+            "checkpointLocation", checkpoint
+        ).trigger(availableNow=True).start()
 
 
 class LatestTable:
@@ -199,10 +237,14 @@ class LatestTable:
         last.select(*self.keys, "r.*").select(*batch.columns).write.mode("overwrite").parquet(f"{self.path}/v={n:012d}")
 
     def run(self, rows: DataFrame, checkpoint: str):
-        return rows.writeStream.foreachBatch(lambda df, n: self.fold(df, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return rows.writeStream.foreachBatch(lambda df, n: self.fold(df, n)).option(
+            "checkpointLocation", checkpoint
+        ).trigger(availableNow=True).start()
 
 
-def index_changes(changes: DataFrame, load: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, DataFrame], None], checkpoint: str, hooks=None):
+def index_changes(
+    changes: DataFrame, load: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, DataFrame], None], checkpoint: str, hooks=None
+):
     """Runs a stream of changed uuids through an index: each batch's uuids once, those that still have a row to be written, the others deleted.
 
     The checkpoint is the queue: a batch that fails is run again, and writing a row twice is the same as writing it once.
