@@ -52,6 +52,11 @@ def test_substring_dedup(spark, docs, monkeypatch):
     monkeypatch.setattr(routing, "BATCH_BYTES", 5000)
     monkeypatch.setattr(routing, "BUCKET_BYTES", 9000)
     assert rows(substring_dedup.digest(substring_dedup.strip(frame(spark, docs)))) == want
+    monkeypatch.setattr(routing, "FAN", 3)  # two hops
+    monkeypatch.setattr(routing, "BATCH_BYTES", 1500)
+    monkeypatch.setattr(routing, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(routing, "REGION", 4)
+    assert rows(substring_dedup.digest(substring_dedup.strip(frame(spark, docs)))) == want
     assert substring_dedup.strip(frame(spark, docs[:1]).limit(0)).count() == 0
 
 

@@ -14,8 +14,8 @@ import struct
 from itertools import pairwise
 
 #: A cached piece takes some 200 bytes of a worker; a full cache is emptied.
-CACHE_UNITS = 100_000
-CACHE_PIECES = 400_000
+CACHE_UNITS = 150_000
+CACHE_PIECES = 700_000
 CACHE_LONGEST = 48
 
 #: The characters with the Unicode property White_Space.

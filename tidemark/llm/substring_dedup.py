@@ -17,6 +17,7 @@ A very long text is one batch, with some 40 bytes of memory for each of its byte
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,15 +57,22 @@ class _Batches:
         return self.next
 
 
-def _header(part: pa.RecordBatch, words: kernels.Words) -> bytes:
-    return routing.join(b"H", _ids(part.column(0)).tobytes(), _ids(part.column(1)).tobytes(), words.first.astype(np.int64).tobytes())
+def _own(number: int, n: int, part: pa.RecordBatch, words: kernels.Words, at: np.ndarray) -> list[tuple]:
+    """What a batch sends to itself: its documents' keys and first words, and the places that it has answered already."""
+    bucket = -1 - number % n
+    head = routing.join(
+        b"H", struct.pack("<q", number), _ids(part.column(0)).tobytes(), _ids(part.column(1)).tobytes(),
+        words.first.astype(np.int64).tobytes()
+    )
+    return [(bucket, number, head), (bucket, number, routing.local(number, at))]
 
 
-def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, pa.binary() if n == "payload" else pa.int64()) for c, n in zip(cols, names, strict=True)], names=names
-    )
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return routing.table_of(rows, routing.SENT).combine_chunks().to_batches()[0]
+
+
+ANCHORS = "dz", [np.uint32, np.uint8]
+WINDOWS = "ddz", [np.uint32, np.uint64, np.int64]
 
 
 def _send_anchors(opt: Options, n_buckets: int):
@@ -98,55 +106,42 @@ def _send_anchors(opt: Options, n_buckets: int):
                 send[first] = True
                 send = np.flatnonzero(send)
                 number = numbers.number()
-                rows = [
-                    (-1 - number % n_buckets, number, _header(part, words)),
-                    (-1 - number % n_buckets, number, routing.join(b"L", routing.squeeze(routing.places(at[here]))))
-                ]
-                for bucket, i in routing.by_bucket(routing.bucket_of(d[send], n_buckets), n_buckets):
-                    i = send[i]
-                    flags = block[i].astype(np.uint8) + 2 * here[i].astype(np.uint8)
-                    rows.append(
-                        (
-                            bucket, number,
-                            routing.join(
-                                b"E", routing.squeeze(routing.places(at[i])), d[i].astype(np.uint32).tobytes(), routing.squeeze(flags)
-                            )
-                        )
-                    )
-                yield _rows(rows, ["bucket", "batch", "payload"])
+                flags = block[send].astype(np.uint8) + 2 * here[send].astype(np.uint8)
+                rows = routing.outgoing(
+                    number, routing.bucket_of(d[send], n_buckets), at[send], [d[send].astype(np.uint32), flags], ANCHORS[0], n_buckets
+                )
+                yield _batch(_own(number, n_buckets, part, words, at[here]) + rows)
 
     return run
 
 
-def _meet_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    kernels.trim()
-    if key[0].as_py() < 0:
-        return table.select(["batch", "payload"])
-    batch, payload = table.column("batch").to_pylist(), table.column("payload").to_pylist()
-    parts = [routing.split(p) for p in payload]
-    low = [np.frombuffer(p[2], np.uint32) for p in parts]
-    flags = [routing.unsqueeze(p[3], np.uint8) for p in parts]
-    n = np.array([len(x) for x in low])
-    row = np.repeat(np.arange(len(n)), n)
-    value, flag = np.concatenate(low), np.concatenate(flags)
-    order = np.argsort(value.astype(np.uint64) << np.uint64(32) | row.astype(np.uint64))
-    value, row, flag = value[order], row[order], flag[order]
-    new = np.diff(value, prepend=value[:1] + np.uint32(1)) != 0
-    group = np.cumsum(new) - 1
-    several = np.zeros(new.sum(), dtype=bool)
-    several[group[1:][(group[1:] == group[:-1]) & (row[1:] != row[:-1])]] = True
-    several[group[flag >= 2]] = True
-    blocks = np.zeros(len(several), dtype=bool)
-    blocks[group[flag % 2 == 1]] = True
-    hit = Sieve(value[new][several & blocks].astype(np.uint64) << np.uint64(32))
-    rows = []
-    for b, p, x, f in zip(batch, parts, low, flags, strict=True):
-        at, _ = hit.find(x.astype(np.uint64) << np.uint64(32))
-        at = at[f[at] < 2]
-        if len(at):
-            flat = np.cumsum(routing.unsqueeze(p[1], np.uint32).astype(np.int64))
-            rows.append((b, routing.join(b"L", routing.squeeze(routing.places(flat[at])))))
-    return pa.Table.from_batches([_rows(rows, ["batch", "payload"])])
+def _to_regions(table: pa.Table, n_buckets: int) -> pa.Table:
+    """Rows that batches sent to themselves go on to their regions."""
+    return pa.table({"batch": pa.array(table.column("batch").to_numpy() >> routing.shift(n_buckets)), "payload": table.column("payload")})
+
+
+def _meet_anchors(n_buckets: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        kernels.trim()
+        if key[0].as_py() < 0:
+            return _to_regions(table, n_buckets)
+        number, at, (value, flag) = routing.entries(table, *ANCHORS)
+        batch = np.unique(number, return_inverse=True)[1].astype(np.uint64)
+        order = np.argsort(value.astype(np.uint64) << np.uint64(32) | batch)
+        batch = batch[order]
+        new = np.diff(value[order].astype(np.int64), prepend=-1) != 0
+        group = np.cumsum(new) - 1
+        several = np.zeros(int(new.sum()), dtype=bool)
+        several[group[1:][(group[1:] == group[:-1]) & (batch[1:] != batch[:-1])]] = True
+        several[group[flag[order] >= 2]] = True
+        blocks = np.zeros(len(several), dtype=bool)
+        blocks[group[flag[order] % 2 == 1]] = True
+        hit = np.zeros(len(value), dtype=bool)
+        hit[order] = (several & blocks)[group]
+        hit &= flag < 2
+        return routing.replies(number[hit], at[hit], n_buckets)
+
+    return run
 
 
 RUNS = "id long, text_key long, starts array<int>, ends array<int>"
@@ -156,25 +151,16 @@ def _answer(before: int):
     """Per document, the runs of window starts that an answered place lies in: from `before` words ahead of it."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        header, flat = None, []
-        for p in table.column("payload").to_pylist():
-            p = routing.split(p)
-            if p[0] == b"H":
-                header = p
-            else:
-                flat.append(np.cumsum(routing.unsqueeze(p[1], np.uint32).astype(np.int64)))
-        flat = np.unique(np.concatenate(flat)) if flat else np.zeros(0, np.int64)
-        ids, keys, first = (np.frombuffer(x, np.int64) for x in header[1:])
-        doc = np.searchsorted(first, flat, side="right") - 1
-        low = np.maximum(flat - before, first[doc])
-        mask = np.zeros(first[-1] + 1, dtype=np.int32)
-        np.add.at(mask, low, 1)
-        np.add.at(mask, flat + 1, -1)
-        mask = np.cumsum(mask[:-1]) > 0
+        headers, found = routing.answers(table.column("payload").to_pylist())
         out = []
-        for i in np.unique(doc).tolist():
-            a, e = kernels.runs(mask[first[i] : first[i + 1]])
-            out.append((int(ids[i]), int(keys[i]), a.tolist(), e.tolist()))
+        for number, flat in found.items():
+            ids, keys, first = (np.frombuffer(x, np.int64) for x in headers[number])
+            doc = np.searchsorted(first, flat, side="right") - 1
+            low = np.maximum(flat - before, first[doc])
+            mask = kernels.cover(int(first[-1]), low, flat + 1 - low)
+            for i in np.unique(doc).tolist():
+                a, e = kernels.runs(mask[first[i] : first[i + 1]])
+                out.append((int(ids[i]), int(keys[i]), a.tolist(), e.tolist()))
         cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "text_key", "starts", "ends"])
@@ -220,56 +206,40 @@ def _send_windows(opt: Options, n_buckets: int):
                 gone[order] = rank[order] > least
                 send = np.flatnonzero(~gone)
                 number = numbers.number()
-                rows = [
-                    (-1 - number % n_buckets, number, _header(part, words)),
-                    (-1 - number % n_buckets, number, routing.join(b"L", routing.squeeze(routing.places(at[gone]))))
-                ]
-                for bucket, i in routing.by_bucket(routing.bucket_of(x[send], n_buckets), n_buckets):
-                    i = send[i]
-                    of, first, n = np.unique(rank[i], return_inverse=True, return_counts=True)
-                    del n
-                    rows.append(
-                        (
-                            bucket, number,
-                            routing.join(
-                                b"E", routing.squeeze(routing.places(at[i])), x[i].astype(np.uint32).tobytes(), y[i].tobytes(),
-                                of.tobytes(), routing.squeeze(first.astype(np.uint32))
-                            )
-                        )
-                    )
-                yield _rows(rows, ["bucket", "batch", "payload"])
+                rows = routing.outgoing(
+                    number, routing.bucket_of(x[send], n_buckets), at[send], [x[send].astype(np.uint32), y[send], rank[send]], WINDOWS[0],
+                    n_buckets
+                )
+                yield _batch(_own(number, n_buckets, part, words, at[gone]) + rows)
+
+    return run
+
+
+def _meet_windows(n_buckets: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        kernels.trim()
+        if key[0].as_py() < 0:
+            return _to_regions(table, n_buckets)
+        number, at, (x, y, rank) = routing.entries(table, *WINDOWS)
+        order = np.lexsort((rank, x, y))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+        least = rank[order][new][np.cumsum(new) - 1]
+        later = np.zeros(len(order), dtype=bool)
+        later[order] = rank[order] > least
+        return routing.replies(number[later], at[later], n_buckets)
 
     return run
 
 
-def _meet_windows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    kernels.trim()
-    if key[0].as_py() < 0:
-        return table.select(["batch", "payload"])
-    batch, payload = table.column("batch").to_pylist(), table.column("payload").to_pylist()
-    parts = [routing.split(p) for p in payload]
-    x = np.concatenate([np.frombuffer(p[2], np.uint32) for p in parts])
-    y = np.concatenate([np.frombuffer(p[3], np.uint64) for p in parts])
-    rank = np.concatenate([np.frombuffer(p[4], np.int64)[routing.unsqueeze(p[5], np.uint32)] for p in parts])
-    order = np.lexsort((rank, x, y))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
-    least = rank[order][new][np.cumsum(new) - 1]
-    later = np.zeros(len(order), dtype=bool)
-    later[order] = rank[order] > least
-    rows, begin = [], 0
-    for b, p in zip(batch, parts, strict=True):
-        n = len(p[2]) // 4
-        mine = later[begin : begin + n]
-        begin += n
-        if mine.any():
-            flat = np.cumsum(routing.unsqueeze(p[1], np.uint32).astype(np.int64))
-            rows.append((b, routing.join(b"L", routing.squeeze(routing.places(flat[mine])))))
-    return pa.Table.from_batches([_rows(rows, ["batch", "payload"])])
-
-
-def _round(docs: DataFrame, send, meet, before: int) -> frames.Saved:
-    met = docs.mapInArrow(send, routing.SENT).groupBy("bucket").applyInArrow(meet, routing.REPLY)
+def _round(docs: DataFrame, send, meet, kind: tuple, n_buckets: int, before: int) -> frames.Saved:
+    sent = docs.mapInArrow(send, routing.SENT)
+    if routing.shift(n_buckets):
+        region = F.shiftright("batch", routing.shift(n_buckets)).alias("region")
+        sent = sent.select("bucket", region, "batch", "payload").groupBy("bucket", "region").applyInArrow(
+            routing.spread(*kind, n_buckets), routing.SENT
+        )
+    met = sent.groupBy("bucket").applyInArrow(meet(n_buckets), routing.REPLY)
     return frames.Saved(met.groupBy("batch").applyInArrow(_answer(before), RUNS).dropDuplicates(["id", "text_key"]))
 
 
@@ -279,12 +249,14 @@ def repeats(docs: DataFrame, opt: Options = Options()) -> frames.Saved:
         frames.null_first_id("doc_id").alias("id"), frames.text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text")
     )
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    anchors = _round(docs, _send_anchors(opt, routing.buckets_for(size)), _meet_anchors, opt.window - opt.block)
+    n = routing.buckets_for(size)
+    anchors = _round(docs, _send_anchors(opt, n), _meet_anchors, ANCHORS, n, opt.window - opt.block)
     near = docs.join(anchors.df.hint("merge"), ["id", "text_key"])
     marked = anchors.df.agg(
         F.sum(F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")
     ).first()["n"] or 0
-    out = _round(near, _send_windows(opt, routing.buckets_for(8 * marked)), _meet_windows, 0)
+    n = routing.buckets_for(8 * marked)
+    out = _round(near, _send_windows(opt, n), _meet_windows, WINDOWS, n, 0)
     anchors.drop()
     return out
 
