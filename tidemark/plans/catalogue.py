@@ -478,15 +478,36 @@ def etl_records(spark, d):
     return _etl_text(views.etl(full(live), full(old.drop("archive_day", "update_time").unionByName(live.where("severity = 3"))), ("k",)))
 
 
-@query(
-    "export_records",
-    f"WITH {S_SQL} SELECT uuid, last_seen AS timestamp, CASE WHEN status = 2 THEN 'SUPPRESSED' ELSE 'OPEN' END AS status, ['CLEAR', 'DEBUG', 'INFO', 'WARNING', 'ERROR', 'CRITICAL'][severity + 1] AS severity, CASE WHEN event_count % 2 = 0 THEN 'eth0' ELSE element_identifier END AS context, left(fingerprint, 10) AS summary, CASE WHEN event_count % 2 = 0 THEN element_identifier END AS parent, 'site' AS source, event_class FROM s WHERE severity >= 3"
-)
+EXPORT_SQL = """SELECT uuid, last_seen AS timestamp, CASE WHEN severity = 0 THEN 'CLOSED' WHEN status = 2 THEN 'SUPPRESSED' ELSE 'OPEN' END AS status,
+ CASE status WHEN 1 THEN true WHEN 0 THEN false END AS acknowledged, ['DEFAULT', 'DEBUG', 'INFO', 'WARNING', 'ERROR', 'CRITICAL'][severity + 1] AS severity,
+ left('event ' || fingerprint, 10) AS summary, CASE WHEN event_count % 2 = 0 THEN 'eth0' ELSE element_identifier END AS context_id, element_identifier AS parent_id,
+ event_class, CAST(event_count AS VARCHAR) AS count, event_count || '+x' AS detail FROM s WHERE severity <> 1 AND event_count % 5 <> 0"""
+
+
+@query("export_records", f"WITH {S_SQL} {EXPORT_SQL}")
 def export_records(spark, d):
-    s = _s(spark, d).withColumn("element_sub_identifier", F.when(F.col("event_count") % 2 == 0, "eth0"))
-    out = views.export_record(s, "site", model.WARNING, summary_bytes=10)
-    meta = lambda k: F.element_at("metadata", k).alias(k)
-    return out.select("uuid", "timestamp", "status", "severity", "context", "summary", meta("parent"), meta("source"), meta("event_class"))
+    """Records with their metadata; events without an element's uuid and those of DEBUG are left out."""
+    n = F.col("event_count").cast("string")
+    one = lambda name, *values: F.struct(
+        F.lit(name).alias("name"), F.array(*values).alias("values"), F.lit("REPLACE").alias("merge")
+    )
+    even = F.col("event_count") % 2 == 0
+    s = _s(spark, d).withColumns(
+        {
+            "element_sub_identifier": F.when(even, "eth0"),
+            "element_sub_uuid": F.when(even & (F.col("event_count") % 5 != 0), F.concat(F.lit("sub"), n)),
+            "element_uuid": F.when(F.col("event_count") % 5 != 0, F.col("element_uuid")),
+            "summary": F.concat(F.lit("event "), "fingerprint"),
+            "details": F.array(one("k", n, F.lit("x")), one("none")).cast(details.DETAILS),
+        }
+    )
+    out = views.export_record(s.where("severity <> 1"), "t", "site", model.CLEAR, field_bytes=10)
+    meta = lambda k: F.array_join(F.element_at("metadata", k), "+")
+    return out.select(
+        "uuid", "timestamp", "status", "acknowledged", "severity", "summary", meta("context_id").alias("context_id"),
+        meta("parent_id").alias("parent_id"),
+        meta("event_class").alias("event_class"), meta("count").alias("count"), meta("detail.k").alias("detail")
+    )
 
 
 @query(

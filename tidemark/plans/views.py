@@ -81,48 +81,69 @@ def etl(summaries: DataFrame, archive: DataFrame, detail_names: tuple[str, ...]
     return etl_record(summaries, "status", detail_names).unionByName(etl_record(old, "history", detail_names))
 
 
-#: How statuses are named in exports.
-EXPORT_STATUS = {model.SUPPRESSED: "SUPPRESSED"}
-
-
 def short(c: Column, n: int) -> Column:
     """A text of more than n bytes keeps n characters."""
     return F.when(F.octet_length(c) > n, F.substring(c, 1, n)).otherwise(c)
 
 
+#: Metadata of exported records and the columns that they come from.
+METADATA = {
+    "monitor": "monitor", "agent": "agent", "event_key": "event_key", "event_class": "event_class", "event_class_key": "event_class_key",
+    "event_group": "event_group", "count": "event_count", "first_seen": "first_seen", "last_seen": "last_seen",
+    "update_time": "update_time", "cleared_by": "cleared_by",
+}
+DETAIL_PREFIX = "detail."
+
+
 def export_record(
-    events: DataFrame, source: str, min_severity: int = model.DEBUG, summary_bytes: int = 255, message_bytes: int = 4096,
-    max_bytes: int = 1 << 20
+    events: DataFrame, tenant: str, source: str, min_severity: int = model.DEBUG, field_bytes: int = 4096, max_bytes: int = 1 << 20
 ) -> DataFrame:
-    """Records for publication: events of a severity or more that have a fingerprint, a time and a class, with a metadata map.
+    """Records for publication, of events of a severity or more, with metadata as lists of values.
 
-    The context is the sub-element, or the element where there is none. The time is the last update's, or the occurrence's. Long texts are cut, and
-    records that are too large as JSON are left out.
+    Valid are events with a uuid, a time, a severity, a fingerprint and the uuid of an element. The context is the sub-element where that has a
+    uuid, else all of the element. A clear is closed whatever its status, and so is a dropped event; new and acknowledged
+    events say which they are. The time is the last update's, else the last occurrence's. Long fields are cut, details without a value are
+    left out, and so are records that reach max_bytes as JSON.
     """
     col = lambda name: _column(events, name)
-    status = F.when(F.col("status") == model.SUPPRESSED, "SUPPRESSED").when(
-        F.col("status").isin(*model.CLOSED_STATUSES), "CLOSED"
-    ).otherwise("OPEN")
-    time = F.coalesce(F.col("update_time"), F.col("last_seen")) if "update_time" in events.columns else F.col("last_seen")
-    sub = F.when(F.coalesce(col("element_sub_identifier"), F.lit("")) != "", col("element_sub_identifier"))
-    parts = {
-        "source": F.lit(source), "event_class": col("event_class"), "event_key": col("event_key"), "agent": col("agent"),
-        "monitor": col("monitor"), "parent": F.when(sub.isNotNull(), col("element_identifier"))
-    }
-    entries = F.filter(
-        F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in parts.items())),
-        lambda x: F.coalesce(x["value"], F.lit("")) != ""
+    filled = lambda c: F.coalesce(c.cast("string"), F.lit("")) != ""
+    has_sub = filled(col("element_sub_uuid"))
+    either = lambda sub, top: F.when(has_sub, col(sub)).otherwise(col(top))
+    closed = F.col("status").isin(*model.CLOSED_STATUSES, model.DROPPED) | (F.col("severity") == model.CLEAR)
+    status = F.when(closed, "CLOSED").when(F.col("status") == model.SUPPRESSED, "SUPPRESSED").otherwise("OPEN")
+    acknowledged = F.when(F.col("status") == model.ACKNOWLEDGED, True).when(F.col("status") == model.NEW, False)
+    severity = F.when(F.col("severity") == model.CLEAR, "DEFAULT").otherwise(_named(model.SEVERITY_NAMES, F.col("severity")))
+    updated = F.coalesce(F.when(col("update_time").cast("long") > 0, col("update_time").cast("long")), F.col("last_seen"))
+    context = {
+        "parent_uuid": col("element_uuid"), "parent_id": col("element_identifier"),
+        "parent_title": short(col("element_title"), field_bytes),
+        "parent_type": col("element_type"), "context_uuid": either("element_sub_uuid", "element_uuid"),
+        "context_id": either("element_sub_identifier", "element_identifier"),
+        "context_title": short(either("element_sub_title", "element_title"), field_bytes),
+        "context_type": either("element_sub_type", "element_type"),
+        "status": _named(model.STATUS_NAMES, F.col("status")), "message": short(col("message"), field_bytes),
+        **{k: col(c) for k, c in METADATA.items()},
+    }
+    entry = lambda k, values: F.struct(k.alias("key"), values.alias("value"))
+    plain = F.array(
+        *(F.when(filled(v) & (v.cast("string") != "0"), entry(F.lit(k), F.array(v.cast("string")))) for k, v in context.items())
     )
-    rows = events.where(
-        (F.col("severity") >= min_severity) & (
-            F.coalesce("fingerprint", F.lit("")) != ""
-        ) & F.col("last_seen").isNotNull() & (F.coalesce("event_class", F.lit("")) != "")
+    entries = F.array_compact(plain)
+    if "details" in events.columns:
+        kept = F.filter(
+            F.coalesce("details", F.expr("cast(array() as array<struct<name:string,values:array<string>,merge:string>>)")),
+            lambda d: F.size(d["values"]) > 0
+        )
+        cut = lambda v: F.when(F.octet_length(v[0]) > field_bytes, F.array(F.substring(v[0], 1, field_bytes))).otherwise(v)
+        entries = F.concat(entries, F.transform(kept, lambda d: entry(F.concat(F.lit(DETAIL_PREFIX), d["name"]), cut(d["values"]))))
+    valid = filled(F.col("uuid")) & (F.col("last_seen") > 0) & filled(F.col("fingerprint")) & filled(
+        either("element_sub_uuid", "element_uuid")
     )
-    out = rows.select(
-        "uuid", time.alias("timestamp"), status.alias("status"), _named(model.SEVERITY_NAMES, F.col("severity")).alias("severity"),
-        F.coalesce(sub, col("element_identifier")).alias("context"),
-        F.coalesce(col("element_sub_title"), sub, col("element_title"), col("element_identifier")).alias("context_title"),
-        short(F.coalesce(col("summary"), F.col("fingerprint")), summary_bytes).alias("summary"),
-        short(col("message"), message_bytes).alias("message"), F.map_from_entries(entries).alias("metadata"),
+    out = events.where((F.col("severity") >= min_severity) & valid).select(
+        F.lit(tenant).alias("tenant"), F.lit(source).alias("source"), "uuid", "fingerprint", updated.alias("timestamp"),
+        status.alias("status"),
+        acknowledged.alias("acknowledged"), severity.alias("severity"), short(col("summary"), field_bytes).alias("summary"),
+        short(col("message"), field_bytes).alias("body"), col("event_class_key").alias("type"),
+        F.map_from_entries(entries).alias("metadata"),
     )
-    return out.where(F.octet_length(F.to_json(F.struct("*"))) <= max_bytes)
+    return out.where(F.octet_length(F.to_json(F.struct("*"))) < max_bytes)
