@@ -167,3 +167,20 @@ def test_a_batch_writes_only_its_parts(spark, tmp_path):
     cols = ["uuid", "fingerprint", "event_count", "last_seen", "status_change"]
     want = state.dedup(spark.createDataFrame([r for b in batches for r in b], occ))
     assert sorted(map(tuple, t.read(3).select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_export_cuts_fields_and_leaves_out_what_is_too_large_or_not_valid(spark):
+    from tidemark.plans import views
+
+    rows = [
+        ("a", "f", "e", 4, 0, 9, "x" * 30, "m"), ("b", "f", "e", 4, 1, 9, "é" * 6, "m"), ("c", "f", None, 4, 0, 9, "s", "m"), ("d", "", "e", 4, 0, 9, "s", "m"),
+        ("e", "f", "e", 4, 0, 0, "s", "m"), ("f", "f", "e", 1, 0, 9, "s", "m"), ("g", "f", "e", 5, model.DROPPED, 9, "s", "m" * 5000), ("h", "f", "e", 0, 0, 9, "s", "m"),
+    ]
+    df = spark.createDataFrame(rows, "uuid string, fingerprint string, element_uuid string, severity int, status int, last_seen long, summary string, message string")
+    got = {r["uuid"]: r for r in views.export_record(df.where("severity <> 0"), "t", "s", model.INFO, field_bytes=10, max_bytes=100_000).collect()}
+    assert set(got) == {"a", "b", "g"} and got["a"]["summary"] == "x" * 10 and got["b"]["summary"] == "é" * 6
+    assert got["g"]["status"] == "CLOSED" and got["g"]["acknowledged"] is None and got["g"]["body"] == "m" * 10 and got["b"]["acknowledged"] is True
+    assert got["a"]["metadata"]["context_uuid"] == ["e"] and "monitor" not in got["a"]["metadata"]
+    clear = views.export_record(df.where("severity = 0"), "t", "s", model.CLEAR).first()
+    assert (clear["status"], clear["severity"]) == ("CLOSED", "DEFAULT")
+    assert views.export_record(df, "t", "s", model.INFO, field_bytes=10_000, max_bytes=2000).where("uuid = 'g'").count() == 0

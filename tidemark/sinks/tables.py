@@ -68,6 +68,13 @@ def write_json(records: DataFrame, path: str, key: str | None = None) -> None:
     (w.partitionBy(key) if key else w).json(path)
 
 
+def publish(records: DataFrame, servers: str, topic: str, key: str | None = None) -> None:
+    """Records as JSON messages of a topic, where the session has the connector; key is the column that messages are keyed by."""
+    value = F.to_json(F.struct("*")).alias("value")
+    rows = records.select(F.col(key).cast("string").alias("key"), value) if key else records.select(value)
+    rows.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+
 def fan_out(sinks: Iterable[Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
     """A micro-batch function that gives each batch to all sinks, computed once."""
     every = tuple(sinks)
