@@ -13,13 +13,12 @@ def of_batch(raw: DataFrame, dropped_clears: DataFrame | None = None) -> DataFra
     """(processed, dropped, deduped): valid occurrences, rejected ones and clears that ended nothing, and those that met an earlier one of their key."""
     ok = state.validate(raw)
     key = state.occurrence_hash(F.col("fingerprint"), F.col("status"), F.col("severity"), F.col("created"))
-    valid = ok.agg(F.count("*").alias("processed"), F.count_distinct(key).alias("keys"))
-    gone = state.rejected(raw).agg(F.count("*").alias("dropped"))
-    clears = dropped_clears.agg(F.count("*").alias("clears")) if dropped_clears is not None else raw.sparkSession.createDataFrame([(0,)], "clears long")
-    one = valid.crossJoin(F.broadcast(gone)).crossJoin(F.broadcast(clears))  # one row each
-    return one.select(
-        "processed", (F.col("dropped") + F.col("clears")).alias("dropped"), (F.col("processed") - F.col("keys")).alias("deduped")
-    )
+    counts = ok.agg(F.count("*").alias("processed"), F.count_distinct(key).alias("keys"))
+    counts = counts.unionByName(state.rejected(raw).agg(F.count("*").alias("dropped")), allowMissingColumns=True)
+    if dropped_clears is not None:
+        counts = counts.unionByName(dropped_clears.agg(F.count("*").alias("dropped")), allowMissingColumns=True)
+    all_ = counts.agg(*(F.sum(c).alias(c) for c in ("processed", "keys", "dropped")))
+    return all_.select("processed", "dropped", (F.col("processed") - F.col("keys")).alias("deduped"))
 
 
 def of_summaries(before: DataFrame, after: DataFrame) -> DataFrame:

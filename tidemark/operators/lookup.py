@@ -65,16 +65,13 @@ def encode(names: DataFrame, column: str, stored: DataFrame) -> DataFrame:
     """
     new = names.select(F.col(column).alias("name")).where("name is not null").distinct().join(stored.select("name"), "name", "left_anti")
     ranged = new.withColumn("prefix", F.substring(F.sha1("name"), 1, 3))
-    sizes = ranged.groupBy("prefix").agg(F.count("*").alias("n"))
-    before = sizes.select(
-        "prefix", (F.sum("n").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1))).alias("before")
-    )  # at most 4096 rows
-    base = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base"))
+    last = stored.agg(F.lit("").alias("prefix"), F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("n"))  # the numbers that are taken
+    sizes = ranged.groupBy("prefix").agg(F.count("*").alias("n")).unionByName(last)  # at most 4097 rows
+    earlier = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("prefix", F.sum("n").over(earlier).alias("before"))
     local = F.row_number().over(Window.partitionBy("prefix").orderBy("name"))
-    out = ranged.withColumn("k", local).join(before, "prefix").crossJoin(F.broadcast(base))  # one row
-    return stored.select("id", "name").unionByName(
-        out.select((F.col("base") + F.coalesce("before", F.lit(0)) + F.col("k")).cast("long").alias("id"), "name")
-    )
+    out = ranged.withColumn("k", local).join(before, "prefix")
+    return stored.select("id", "name").unionByName(out.select((F.col("before") + F.col("k")).cast("long").alias("id"), "name"))
 
 
 def apply_changes(index: DataFrame, upserts: DataFrame, deletes: DataFrame) -> DataFrame:
