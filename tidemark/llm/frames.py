@@ -108,6 +108,13 @@ def join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -
     return left.join(right.hint("merge"), on, how)
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: str, spread: str, parts: int = 16) -> DataFrame:
+    """A join with a hot key on the left and one row for each key on the right: every key is `parts` tasks' work. `spread` deals the left rows."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(parts)))
+    every = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return join(dealt, every, [on, "_salt"]).drop("_salt")
+
+
 def text_key(text: str = "text") -> Column:
     """With doc_id, the key that joins results back to rows; rows alike in both share their results."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

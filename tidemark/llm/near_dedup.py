@@ -204,7 +204,7 @@ def _meetings(members: DataFrame, by: str, block: Column, opt: Options) -> DataF
         by, F.col("top.label").alias("major"), block(F.col("m") - F.col("top.m"), F.col("w") - F.col("top.w")).alias("minors"),
         block(F.col("top.m"), F.col("top.w")).alias("majors")
     )
-    rows = frames.join(members, blocks, [by])
+    rows = frames.salted_join(members, blocks, by, "nid")
     is_major = F.col("label") == F.col("major")
     mine = F.when(
         is_major, F.col("minors") + F.pmod(F.xxhash64("nid"), "majors")
@@ -462,11 +462,11 @@ def _groups(docs: DataFrame, opt: Options, keep: frames.Scratch) -> frames.Saved
     more = keep(_verified(meetings, sets, "loose", opt))
     labels = components(links.union(more)) if more.limit(1).count() else tight
 
-    owner = keep(
-        frames.join(nodes, labels, ["nid"], "left").select("node", "none", "doc", "text_key", F.coalesce("label", "nid").alias("label"))
-    )
-    named = owner.groupBy("label").agg(F.min(F.struct("none", "doc", "text_key")).alias("r"))
-    by_node = frames.join(owner, named, ["label"]).select("node", "r")
+    me = F.struct("none", "doc", "text_key")
+    linked = keep(frames.join(nodes, labels, ["nid"]).select("node", "nid", "label", "none", "doc", "text_key"))
+    named = linked.groupBy("label").agg(F.min(me).alias("r"))
+    grouped = frames.salted_join(linked, named, "label", "nid").select("node", "r")
+    by_node = grouped.unionByName(frames.join(nodes, labels, ["nid"], "left_anti").select("node", me.alias("r")))
     stands = F.coalesce((F.col("doc_id") == F.col("r.doc")) & (F.col("text_key") == F.col("r.text_key")), F.lit(True))
     group = F.when(F.col("n") == 0, known).when(~F.col("r.none"), F.col("r.doc"))
     return frames.Saved(
