@@ -242,7 +242,7 @@ def _cut(rb: pa.RecordBatch, plan: Schedule, index: dict[str, int]) -> Iterator[
     ids = rb.column(5).to_pylist()
     width = len(ids[0]) // int(n[0])
     source = pa.array([None if q == "s" else q[2:] for q in rb.column(1).to_pylist()], pa.string())
-    step = max(1, min(100_000, (1 << 20) // len(plan.n)))
+    step = max(1, min(100_000, (1 << 21) // len(plan.n)))
     for at in range(0, len(row), step):
         r, ww = row[at : at + step], w[at : at + step]
         edges, where = np.unique(np.concatenate((ww, ww + 1)), return_inverse=True)
