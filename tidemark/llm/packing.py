@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import encoder, frames
+from tidemark.llm import encoder, frames, kernels
 
 
 @dataclass(frozen=True)
@@ -239,8 +239,10 @@ def _cut(rb: pa.RecordBatch, plan: Schedule, index: dict[str, int]) -> Iterator[
     per = last - first + 1
     row = np.repeat(np.arange(len(n)), per)
     w = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per) + first[row]
-    ids = rb.column(5).to_pylist()
-    width = len(ids[0]) // int(n[0])
+    packed = kernels.arrow_batch(rb.column(5))
+    width = len(packed.buf) // int(n.sum())
+    ids = np.frombuffer(packed.buf.tobytes(), f"<u{width}").astype("<u4")
+    base = packed.off[:-1] // width
     source = pa.array([None if q == "s" else q[2:] for q in rb.column(1).to_pylist()], pa.string())
     step = max(1, min(100_000, (1 << 21) // len(plan.n)))
     for at in range(0, len(row), step):
@@ -260,15 +262,17 @@ def _cut(rb: pa.RecordBatch, plan: Schedule, index: dict[str, int]) -> Iterator[
         offset = before + start - low
         some = stop > start
         r, start, stop, offset, ww = r[some], (start - begin[r])[some], (stop - begin[r])[some], offset[some], ww[some]
-        pieces = [
-            np.frombuffer(ids[i], f"<u{width}", b - a, a * width).astype("<u4").tobytes() for i, a,
-            b in zip(r.tolist(), start.tolist(), stop.tolist(), strict=True)
-        ]
+        # a document's pieces follow each other, and so do the documents: the pieces lie one after the other in the ids
+        edges4 = np.append(base[r] + start, base[r[-1]] + stop[-1] if len(r) else 0)
+        low4 = int(edges4[0])
+        pieces = pa.Array.from_buffers(
+            pa.binary(), len(r), [None, pa.py_buffer(((edges4 - low4) * 4).astype(np.int32)), pa.py_buffer(ids[low4 : int(edges4[-1])])]
+        )
         take = pa.array(r)
         yield pa.RecordBatch.from_arrays(
             [
                 rb.column(0).take(take), pa.array(start), pa.array(stop - start), rb.column(4).take(take), source.take(take), pa.array(ww),
-                pa.array(offset), pa.array(pieces, pa.binary())
+                pa.array(offset), pieces
             ],
             names=[c.split()[0] for c in OUT.split(", ")],
         )
