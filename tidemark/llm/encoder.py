@@ -15,8 +15,7 @@ from itertools import pairwise
 
 #: A cached piece takes some 200 bytes of a worker; a full cache is emptied.
 CACHE_UNITS = 200_000
-CACHE_PIECES = 700_000
-CACHE_WORDS = 700_000
+CACHE_PIECES = 1_300_000
 CACHE_LONGEST = 48
 
 #: The characters with the Unicode property White_Space.
@@ -32,6 +31,14 @@ _CUT_DROP = re.compile(rf"[{_LATIN}]+|[0-9]|[{_ASCII_MARKS}]+")
 _CUT_KEEP = re.compile(rf" ?[{_LATIN}]+| ?[0-9]+| ?[{_ASCII_MARKS}]+|\s+(?!\S)|\s+")
 
 
+_PLAIN_BYTES = bytes(b for b in range(128) if _PLAIN.fullmatch(chr(b)))
+
+
+def _is_plain(text: str) -> bool:
+    """Latin letters, digits, marks and white space only."""
+    return not text.encode().translate(None, _PLAIN_BYTES) if text.isascii() else _PLAIN.fullmatch(text) is not None
+
+
 class Encoder:
     """Made on an executor from the tokenizer file's text; `vocab` decides the width of stored ids."""
 
@@ -44,7 +51,6 @@ class Encoder:
         self.drops_space = not keeps_space(spec)
         self.units: dict = {}
         self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.edge = [False] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
@@ -59,17 +65,10 @@ class Encoder:
         plain, rest = [], []
         for i, t in enumerate(texts):
             if t:
-                (plain if _PLAIN.fullmatch(t) else rest).append(i)
+                (plain if _is_plain(t) else rest).append(i)
         if plain:  # Latin letters, marks and white space: cut as the tokenizer does, whole pieces
             find = _CUT_DROP.findall if self.drops_space else _CUT_KEEP.findall
-            if self.drops_space:
-                self._by_words([texts[i].lower().split() for i in plain], plain, find, out)
-                plain = []
-            else:  # a piece spans a space only where white space is doubled
-                single = [i for i in plain if "  " not in texts[i]]
-                self._by_words([texts[i].split(" ") for i in single], single, find, out)
-                plain = [i for i in plain if "  " in texts[i]]
-            cut = [find(texts[i]) for i in plain]
+            cut = [find(texts[i].lower() if self.drops_space else texts[i]) for i in plain]
             extra = self._encode_pieces(set().union(*cut).difference(self.pieces))
             get = self.pieces.__getitem__ if not extra else lambda p: self.pieces[p] if p in self.pieces else extra[p]
             for i, pieces in zip(plain, cut, strict=True):
@@ -79,27 +78,6 @@ class Encoder:
                 out[i] = ids
         return out
 
-    def _by_words(self, words: list[list[str]], places: list[int], find, out: list[bytes]) -> None:
-        """Ids of texts by their words between spaces, each with the space before it where that is kept; the first word of a text has none."""
-        known, drops = self.words, self.drops_space
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        heads = [[]] * len(words) if drops else [find(w[0]) for w in words]
-        if not drops:
-            words = [w[1:] for w in words]
-        new = list(set().union(*words).difference(known)) if words else []
-        cut = [find(w if drops else " " + w) for w in new]
-        extra = self._encode_pieces(set().union(*cut, *heads).difference(self.pieces))
-        get = self.pieces.__getitem__ if not extra else lambda p: self.pieces[p] if p in self.pieces else extra[p]
-        for w, pieces in zip(new, cut, strict=True):
-            known[w] = b"".join(map(get, pieces))
-        ids = known.__getitem__
-        for i, head, own in zip(places, heads, words, strict=True):
-            out[i] = b"".join(map(get, head)) + b"".join(map(ids, own))
-        for w in new:
-            if len(w) > CACHE_LONGEST:
-                del known[w]
-
     def _encode_units(self, texts: list[str]) -> list[bytes]:
         if self.drops_space:
             split = [t.encode().split() for t in texts]

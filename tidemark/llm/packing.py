@@ -139,27 +139,22 @@ def tokenise(docs: DataFrame, tokenizer_path: str, opt: Options) -> frames.Saved
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder.encoder(shipped.value), TaskContext.get().partitionId()
-        end, at = np.array([end_id], f"<u{width}").tobytes(), {}
+        end, at = np.array([end_id], "<u4").tobytes(), {}
         for rb in batches:
             for begin in range(0, rb.num_rows, 512):
                 piece = rb.slice(begin, 512)
-                ids = [
-                    (
-                        np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() if width == 2 else x
-                    ) + end for x in enc.encode(piece.column(2).to_pylist())
-                ]
+                ids = enc.encode(piece.column(2).to_pylist())
+                sizes = np.array([len(x) // 4 + 1 for x in ids], dtype=np.int64)
+                off = np.concatenate(([0], np.cumsum(sizes)))
+                flat = np.frombuffer(b"".join([x + end for x in ids]), "<u4").astype(f"<u{width}")
+                packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((off * width).astype(np.int32)), pa.py_buffer(flat)])
                 starts = []
-                for q, x in zip(piece.column(1).to_pylist(), ids, strict=True):
+                for q, x in zip(piece.column(1).to_pylist(), sizes.tolist(), strict=True):
                     starts.append(at.get(q, 0))
-                    at[q] = at.get(q, 0) + len(x) // width
-                counts = pa.array([len(x) // width for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part] * len(ids), pa.int64()), piece.column(0), piece.column(1), pa.array(starts, pa.int64()), counts,
-                        pa.array(ids, pa.binary())
-                    ],
-                    names=["part", "doc_id", "queue", "local_start", "n_tokens", "ids"]
-                )
+                    at[q] = at.get(q, 0) + x
+                first = pa.array(np.full(len(ids), part))
+                columns = [first, piece.column(0), piece.column(1), pa.array(starts, pa.int64()), pa.array(sizes), packed]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "queue", "local_start", "n_tokens", "ids"])
 
     return frames.Saved(
         docs.select("doc_id", _queue().alias("queue"), "text").mapInArrow(
