@@ -429,3 +429,16 @@ def test_suffix_arrays():
         found = suffix_array.find(one, np.array(whole[0], dtype=np.int64), two, there, 7)
         known = {bytes(two[i : i + 7]) for i in whole[1]}
         assert found.tolist() == [bytes(one[i : i + 7]) in known for i in whole[0]]
+
+
+def test_license_scan_does_not_copy_a_paragraph_for_each_window(spark, licence_model):
+    n, opt = 4000, licence_model.opt
+    df = spark.createDataFrame([(1, " ".join([FRESH["MIT"]] * n))], "doc_id long, text string")
+    rows = license_scan.windows(df, licence_model)
+    arrays = [f.name for f in rows.schema if f.dataType.typeName() == "array"]
+    got = rows.agg(F.count("*").alias("n"), *(F.max(F.size(c)).alias(c) for c in arrays)).first()
+    assert got["n"] > n and {c: got[c] for c in arrays} == {"own": opt.window, "near": opt.context}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    made = [x for x in plan.splitlines() if "Generate explode(transform(filter(" in x]
+    assert len(made) == 1 and ", [doc_id#" in made[0] and "words#" not in made[0].rsplit("), [", 1)[1]
+    assert [r["family"] for r in license_scan.scan(df, licence_model).collect()] == ["MIT"]

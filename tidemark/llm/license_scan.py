@@ -381,19 +381,19 @@ def _bounds(words: Column, model: Model) -> Column:
     return F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: most(a, ones) + pair(a, b))
 
 
-def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, paragraph (1 first), family, probability, confirmed): a row for each family of each paragraph that is a licence."""
+def windows(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, paragraph (1 first), own, near): the windows that may be a licence, each with its words and those around its begin.
+
+    A row has the words of one window only, so a paragraph of very many licences is not copied for each.
+    """
     opt = model.opt
     blocks = F.transform(
         F.split("text", r"\n[ \t\r]*\n"), lambda t,
         i: F.struct((i + 1).alias("paragraph"), F.filter(F.split(F.lower(t), "[^a-z0-9]+"), lambda w: w != "").alias("words"))
     )
     each = docs.select("doc_id", F.explode(blocks).alias("p")).select("doc_id", "p.paragraph", "p.words")
-    weights, bias = _lookup(model.weights, "array<double>"), _constant(model.bias, "array<double>")
     need = min(float(np.log(t / (1 - t))) - b for t, b in zip(model.limits, model.bias, strict=True)) - 1e-6
-    templates = _constant(model.templates, "map<string,array<array<string>>>")
     half = (opt.context - opt.window) // 2
-
     last = F.greatest(F.size("words") - opt.window + opt.stride - 1, F.lit(0))
     starts = F.sequence(F.lit(0), last - last % opt.stride, F.lit(opt.stride))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, v: x + v)
@@ -401,10 +401,23 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     some = each.select(
         "doc_id", "paragraph", "words", F.explode(F.array(_bounds(F.col("words"), model))).alias("most")
     ).where(total("most") >= need)
-    rows = some.select("doc_id", "paragraph", "words", F.explode(able).alias("at"))
-    own = F.slice("words", F.col("at") + 1, opt.window)
+    each = F.transform(
+        able, lambda at: F.struct(
+            F.slice("words", at + 1, opt.window).alias("own"),
+            F.slice("words", F.greatest(at + 1 - half, F.lit(1)), opt.context).alias("near")
+        )
+    )
+    return some.select("doc_id", "paragraph", F.explode(each).alias("w")).select("doc_id", "paragraph", "w.own", "w.near")
+
+
+def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, paragraph (1 first), family, probability, confirmed): a row for each family of each window that is a licence."""
+    opt = model.opt
+    weights, bias = _lookup(model.weights, "array<double>"), _constant(model.bias, "array<double>")
+    templates = _constant(model.templates, "map<string,array<array<string>>>")
+    own = F.col("own")
     grams = F.array_distinct(F.filter(F.concat(own, _pairs(own)), lambda g: g.isin(list(model.weights))))
-    rows = rows.withColumn("grams", grams)
+    rows = windows(docs, model).withColumn("grams", grams)
     z = F.aggregate("grams", bias, lambda acc, g: F.zip_with(acc, weights(g), lambda a, v: a + v))
     rows = rows.withColumn("p", F.transform(z, lambda v: 1 / (1 + F.exp(-v))))
     reached = F.filter(
@@ -412,20 +425,20 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
         lambda x: x["p"] >= x["limit"]
     )
     rows = rows.withColumn("reached", reached).where(F.size("reached") > 0)
-    context = F.slice("words", F.greatest(F.col("at") + 1 - half, F.lit(1)), opt.context)
-    rows = rows.withColumn("near", F.array_distinct(F.concat(context, _pairs(context), _pairs(context, 3))))
+    near = F.col("near")
+    rows = rows.withColumn("near", F.array_distinct(F.concat(near, _pairs(near), _pairs(near, 3))))
     confirmed = lambda f: F.coalesce(
         F.exists(F.element_at(templates, f), lambda t: F.size(F.array_intersect(t, F.col("near"))) >= opt.confirm * F.size(t)), F.lit(False)
     )
     each = rows.select(
-        "doc_id", "paragraph", "words",
+        "doc_id", "paragraph",
         F.explode(
             F.transform(
                 "reached", lambda x: F.struct(x["family"].alias("family"), x["p"].alias("p"), confirmed(x["family"]).alias("confirmed"))
             )
         ).alias("x")
     )
-    return each.select("doc_id", "paragraph", "words", "x.family", F.col("x.p").alias("probability"), "x.confirmed")
+    return each.select("doc_id", "paragraph", "x.family", F.col("x.p").alias("probability"), "x.confirmed")
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
