@@ -5,10 +5,11 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, encoder, kernels, license_scan, line_crf, near_dedup, packing, quality_rules, routing, substring_dedup, suffix_array, suffix_dedup, token_store, url_filter
+from tidemark.llm import decontamination, encoder, kernels, license_scan, line_crf, near_dedup, packing, piece_table, quality_rules, routing, substring_dedup, suffix_array, suffix_dedup, token_store, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, part int, _id int"
 
@@ -181,6 +182,33 @@ def test_encoder_equals_the_library(name):
     assert e.encode([None]) == [b""]
 
 
+@pytest.mark.parametrize("slab, most, colliding", [(1 << 16, 1 << 20, False), (7, 40, False), (50, 1 << 20, True)])
+def test_encoding_a_batch_equals_the_library(monkeypatch, slab, most, colliding):
+    """Pieces cut and looked up in numpy are those of the library; known ones are not made into strings again."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(piece_table, "SLAB", slab)
+    monkeypatch.setattr(piece_table, "MOST", most)
+    if colliding:
+        monkeypatch.setattr(piece_table, "digest", lambda low, high: (low % np.uint64(5)) << np.uint64(61))
+    rng = random.Random(5)
+    letters = ["".join(rng.choices("abÉßüz  \n\t!?-_#12,<|>$[]\\^{}~\"", k=rng.randint(0, 60))) for _ in range(700)]
+    mixed = ["".join(rng.choices("aÉ  \n\t'!1.\r\x1c é×÷\0日½ª\u2003\u3000s", k=rng.randint(0, 12))) for _ in range(300)]
+    texts = letters + mixed + ["", "  ", "a ", " ", "b", "\n", "c", " \n d", "abcdefghijklmno pqrstuvwxyzabcde fghijklmnopqrstuv", "é" * 8 + " " + "é" * 8, "z" * 70]
+    rng.shuffle(texts)
+    e = encoder.Encoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        ids, sizes = e.encode_batch(kernels.arrow_batch(pa.array(["x", *texts]).slice(1)))
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert [x.tolist() for x in e.encode_batch(kernels.arrow_batch(pa.array([None, None], pa.string())))] == [[], [0, 0]]
+    assert [x.tolist() for x in e.encode_batch(kernels.arrow_batch(pa.array([], pa.string())))] == [[], []]
+    if most > len(texts):
+        plain = kernels.arrow_batch(pa.array([t for t in letters if max(map(len, t.split(" ")), default=0) < 8]))
+        ids = e.encode_batch(plain)[0]
+        monkeypatch.setattr(e, "_encode_all", None)
+        assert (e.encode_batch(plain)[0] == ids).all()
+
+
 def test_line_crf_learns_lines(spark):
     rng = random.Random(4)
     good = lambda: " ".join(rng.choices(["the", "of", "and", "river", "stone", "house", "walks", "under"], k=12)) + "."
